@@ -41,12 +41,14 @@ def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _utf16_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-16 code units of a whole batch, with the start and length of every row."""
+    if len(texts) == 0:
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
     texts = pc.fill_null(texts, "") if texts.null_count else texts
     wide = pa.types.is_large_string(texts.type)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)
     offsets = offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
-    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
     # A lead byte starts one unit, a four-byte lead starts two, a continuation byte starts none.
     weight = ((raw & 0xC0) != 0x80).astype(np.int64) + (raw >= 0xF0)
     unit_at = np.concatenate(([0], np.cumsum(weight)))
