@@ -14,3 +14,11 @@ def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
     """
     others = [c for c in df.columns if c != name]
     return df.select(*[F.col(c) for c in others], F.explode(F.array(value)).alias(name))
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast a table only after counting that it is small; otherwise leave the join to the planner.
+
+    The count stops at the limit, so it never scans a large table.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
