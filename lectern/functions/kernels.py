@@ -7,6 +7,8 @@ one very long row never turns into quadratic copying.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -94,16 +96,22 @@ def fnv1a32_each(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(length))).astype(np.int32), _hex8(_fnv_rows(flat)))
 
 
+def _nfkc(texts: pa.Array) -> pa.Array:
+    # Python's own tables: the Arrow normaliser of some versions leaves composed letters decomposed.
+    return pa.array(
+        [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], type=pa.string()
+    )
+
+
 @arrow_udf(StringType())
 def nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    return _nfkc(text)
 
 
 @arrow_udf(ArrayType(StringType()))
 def nfkc_each(texts: pa.Array) -> pa.Array:
     _, length = _bounds(texts)
-    flat = pc.utf8_normalize(texts.flatten(), form="NFKC")
-    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(length))).astype(np.int32), flat)
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(length))).astype(np.int32), _nfkc(texts.flatten()))
 
 
 @arrow_udf(ArrayType(LongType()))

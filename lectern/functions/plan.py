@@ -16,6 +16,11 @@ def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[F.col(c) for c in others], F.explode(F.array(value)).alias(name))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast a table only after counting that it is small; otherwise leave the join to the planner.
 

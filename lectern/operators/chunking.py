@@ -13,7 +13,8 @@ from lectern.policies import DEFAULT_CHUNKS, PREEMPTIVE_CHUNKS, ChunkPolicy
 
 def _runs(items: Column, starts: Column, make) -> Column:
     """Cut an array at 1-based start positions and build one value per run from (run, first position)."""
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(items) + 1))
+    n = F.size(starts)
+    ends = F.when(n > 0, F.concat(F.slice(starts, F.lit(2), F.greatest(n - 1, F.lit(0))), F.array(F.size(items) + 1))).otherwise(starts)
     return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: make(F.slice(items, r["a"], r["b"] - r["a"]), r["a"]))
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.plan import let
 from lectern.operators.documents import block, finish_segments
 
 # Named character references that are decoded (the ampersand itself comes last).
 ENTITIES = {
-    "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&quot;": '"', "&apos;": "'",
+    "&nbsp;": "\u00a0", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&quot;": '"', "&apos;": "'",
     "&lt;": "<", "&gt;": ">", "&laquo;": "«", "&raquo;": "»", "&deg;": "°", "&sect;": "§",
     "&para;": "¶", "&cent;": "¢", "&pound;": "£", "&yen;": "¥", "&euro;": "€",
     "&trade;": "™", "&times;": "×", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘",
@@ -25,27 +26,40 @@ UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template)\b[^>]*>.*?(?
 TAG = r"""(?s)</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*>|<[!?][^>]*>"""
 
 
+_NUMERIC = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def _spell(code: Column) -> Column:
+    """The character of a numeric reference; a replacement character when there is none."""
+    is_hex = F.lower(F.left(code, F.lit(1))) == "x"
+    point = F.when(is_hex, F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("int")
+    return let(
+        point,
+        lambda p: F.decode(
+            F.unhex(F.lpad(F.hex(F.when(p.between(1, 0xD7FF) | p.between(0xE000, 0x10FFFF), p).otherwise(0xFFFD)), 8, "0")),
+            "UTF-32",
+        ),
+    )
+
+
+def _decode(text: Column) -> Column:
+    codes = F.regexp_extract_all(text, F.lit(_NUMERIC), F.lit(1))
+    zipped = F.arrays_zip(F.split(text, _NUMERIC).alias("p"), codes.alias("c"))
+    spelled = F.array_join(F.transform(zipped, lambda z: F.concat(z["p"], F.when(z["c"].isNotNull(), _spell(z["c"])).otherwise(""))), "")
+    table = F.array(*[F.array(F.lit(n), F.lit(c)) for n, c in ENTITIES.items()])
+    numbered = F.when(F.contains(text, F.lit("&#")), spelled).otherwise(text)
+    named = F.aggregate(table, numbered, lambda t, pair: F.replace(t, pair[0], pair[1]))
+    return F.when(F.contains(text, F.lit("&")), F.replace(named, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+
+
 def decode_entities(text: Column) -> Column:
     """Named references from the table above and all numeric ones."""
-    numeric = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
-    codes = F.regexp_extract_all(text, F.lit(numeric), F.lit(1))
-
-    def to_char(code: Column) -> Column:
-        is_hex = F.lower(F.left(code, F.lit(1))) == "x"
-        point = F.when(is_hex, F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("int")
-        valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
-        bits = F.unhex(F.lpad(F.hex(F.when(valid, point).otherwise(F.lit(0xFFFD))), 8, "0"))
-        return F.decode(bits, "UTF-32")
-
-    parts = F.split(text, numeric)
-    spelled = F.array_join(
-        F.transform(parts, lambda p, i: F.concat(p, F.coalesce(to_char(F.get(codes, i)), F.lit("")))), ""
-    )
-    out = F.when(F.contains(text, F.lit("&#")), spelled).otherwise(text)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    return let(text, _decode)
+
+
+def plain_text(fragment: Column) -> Column:
+    """Text of a fragment without its tags. Adjacent tags leave no space between their texts."""
+    return T.collapse_whitespace(decode_entities(F.regexp_replace(fragment, TAG, "")))
 
 
 def page_title(html: Column) -> Column:
@@ -55,10 +69,9 @@ def page_title(html: Column) -> Column:
 
 
 def body_text(html: Column) -> Column:
-    """Text of the body without unread elements. Adjacent tags leave no space between their texts."""
-    readable = F.regexp_replace(html, UNREAD, "")
-    body = F.regexp_replace(readable, r"(?is)\A.*?<body\b[^>]*>|<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>", "")
-    return T.collapse_whitespace(decode_entities(F.regexp_replace(body, TAG, "")))
+    """Text of the body without unread elements."""
+    head = r"(?is)\A.*?<body\b[^>]*>|<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>"
+    return plain_text(F.regexp_replace(F.regexp_replace(html, UNREAD, ""), head, ""))
 
 
 def html_to_text(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -130,7 +143,7 @@ def _meta(html: Column, *names: str) -> Column:
         content = r"""content\s*=\s*["']([^"'>]*)["']"""
         found.append(F.nullif(T.js_trim(F.regexp_extract(html, rf"(?is)<meta\b[^>]*{key}[^>]*{content}", 1)), F.lit("")))
         found.append(F.nullif(T.js_trim(F.regexp_extract(html, rf"(?is)<meta\b[^>]*{content}[^>]*{key}", 1)), F.lit("")))
-    return decode_entities(F.coalesce(*found))
+    return F.coalesce(*found)
 
 
 # Relative trust in each container when choosing the main text.
@@ -143,35 +156,30 @@ def extract_articles(pages: DataFrame, html: str = "html") -> DataFrame:
     All candidates of a page stay in its row, so the choice is an `array_max`, not a shuffle.
     """
     readable = pages.withColumn("_readable", F.regexp_replace(F.col(html), UNREAD, ""))
+    bare = lambda fragment: F.btrim(F.regexp_replace(F.regexp_replace(fragment, TAG, ""), f"[{T.WS}]+", " "), F.lit(" "))
 
-    def plain(fragment: Column) -> Column:
-        return T.collapse_whitespace(decode_entities(F.regexp_replace(fragment, TAG, "")))
-
-    def candidates(tag: str, weight: int) -> Column:
+    def candidates(tag: str) -> Column:
         found = F.regexp_extract_all("_readable", F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
+        return F.transform(found, lambda f: F.struct(F.lit(CONTAINER_WEIGHT[tag]).alias("w"), F.lit(tag).alias("tag"), f.alias("f")))
 
-        def score(fragment: Column) -> Column:
-            linked = F.array_join(F.regexp_extract_all(fragment, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), "")
-            text = plain(fragment)
-            points = (F.length(text) - 2 * F.length(plain(linked))) * weight
-            return F.struct(points.alias("points"), F.lit(tag).alias("container"), text.alias("text"))
+    def score(c: Column) -> Column:
+        links = F.array_join(F.regexp_extract_all(c["f"], F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), "")
+        text = bare(c["f"])
+        points = (F.length(text) - 2 * F.length(bare(links))) * c["w"]
+        return F.struct(points.alias("points"), c["tag"].alias("container"), text.alias("text"))
 
-        return F.transform(found, score)
-
-    best = F.array_max(F.concat(*[candidates(tag, weight) for tag, weight in CONTAINER_WEIGHT.items()]))
+    best = F.array_max(F.transform(F.concat(*[candidates(tag) for tag in CONTAINER_WEIGHT]), score))
     page = F.col(html)
-    excerpt = F.coalesce(
-        _meta(page, "description", "og:description"),
-        F.nullif(plain(F.regexp_extract("_readable", r"(?is)<p\b[^>]*>(.*?)(?=<p\b|</p|</article|\z)", 1)), F.lit("")),
-    )
+    first_paragraph = F.regexp_extract("_readable", r"(?is)<p\b[^>]*>(.*?)(?=<p\b|</p|</article|\z)", 1)
+    excerpt = F.coalesce(_meta(page, "description", "og:description"), F.nullif(bare(first_paragraph), F.lit("")))
     return (
         readable.withColumn("_best", best)
         .withColumn("title", page_title(page))
-        .withColumn("byline", _meta(page, "author", "article:author"))
-        .withColumn("excerpt", excerpt)
-        .withColumn("site_name", _meta(page, "og:site_name"))
+        .withColumn("byline", decode_entities(_meta(page, "author", "article:author")))
+        .withColumn("excerpt", decode_entities(excerpt))
+        .withColumn("site_name", decode_entities(_meta(page, "og:site_name")))
         .withColumn("container", F.col("_best.container"))
-        .withColumn("text_content", F.col("_best.text"))
+        .withColumn("text_content", decode_entities(F.col("_best.text")))
         .drop("_readable", "_best")
     )
 
@@ -195,23 +203,24 @@ def asset_refs(pages: DataFrame, html: str = "html", url: str = "url", path: str
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """A reference resolved against a page address: absolute, protocol-relative, rooted, or relative to the folder."""
-    clean = F.regexp_replace(base, r"[?#].*\z", "")
-    scheme = F.regexp_extract(clean, r"\A([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
-    origin = F.regexp_extract(clean, r"\A([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)", 1)
-    has_path = F.regexp_extract(clean, r"\A[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(/.*)\z", 1)
-    folder = F.when(has_path == "", F.lit("/")).otherwise(F.regexp_extract(has_path, r"\A(.*/)", 1))
-    joined = (
-        F.when(ref.rlike(r"\A[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
-        .when(F.startswith(ref, F.lit("//")), F.concat(scheme, ref))
-        .when(F.startswith(ref, F.lit("/")), F.concat(origin, ref))
-        .when(F.startswith(ref, F.lit("?")), F.concat(clean, ref))
-        .otherwise(F.concat(origin, folder, ref))
-    )
-    # One leading "./" or "../" step per pass is enough for the references found in practice; deeper ones repeat.
-    out = joined
+
+    def join(clean: Column) -> Column:
+        scheme = F.regexp_extract(clean, r"\A([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+        origin = F.regexp_extract(clean, r"\A([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)", 1)
+        folder = F.regexp_extract(clean, r"\A[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(/.*/|/)", 1)
+        return (
+            F.when(ref.rlike(r"\A[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
+            .when(F.startswith(ref, F.lit("//")), F.concat(scheme, ref))
+            .when(F.startswith(ref, F.lit("/")), F.concat(origin, ref))
+            .when(F.startswith(ref, F.lit("?")), F.concat(clean, ref))
+            .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), ref))
+        )
+
+    # Dot steps: "/./" goes, "/x/../" goes with its folder; one pass per level of nesting.
+    out = let(F.regexp_replace(base, r"[?#].*\z", ""), join)
     for _ in range(4):
         out = F.regexp_replace(out, r"\A([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*?)/\./", "$1/")
-        out = F.regexp_replace(out, r"\A([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)(/[^?#]*?)??(?:/(?!\.\.)[^/?#]+)?/\.\./", "$1$2/")
+        out = F.regexp_replace(out, r"\A([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(?:/[^?#]*?)??)(?:/(?!\.\./)[^/?#]+)?/\.\./", "$1/")
     return F.when(ref.isNotNull(), out)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField,
 
 from lectern.functions import kernels as K
 from lectern.functions import text as T
-from lectern.functions.plan import pin
+from lectern.functions.plan import let, pin
 from lectern.operators.documents import META_TYPE, OFFSET_TYPE, block, finish_segments
 from lectern.operators.html import decode_entities
 from lectern.policies import PLAIN_READING, ReadPolicy
@@ -170,40 +170,35 @@ def block_layout(codes: pa.Array, indents: pa.Array, args: pa.Array) -> pa.Array
     return pa.StructArray.from_arrays([blocks, pa.array([r[1] for r in rows], type=pa.list_(pa.int32()))], ["blocks", "roles"])
 
 
-def _classify(line: Column) -> Column:
-    lead = F.replace(F.regexp_extract(line, r"\A([ \t]*)", 1), F.lit("\t"), F.lit("    "))
-    indent = F.length(lead)
-    marker = F.regexp_extract(line, r"\A[ \t]*([-+*]|[0-9]{1,9}[.)])", 1)
-    gap = F.length(F.regexp_extract(line, r"\A[ \t]*(?:[-+*]|[0-9]{1,9}[.)])([ \t]*)", 1))
-    ordered = F.length(marker) > 1
-    content = indent + F.length(marker) + F.when(gap.between(1, 4), gap).otherwise(1)
-    ticks = F.concat(F.regexp_extract(line, _FENCE, 1), F.regexp_extract(line, _FENCE, 2))
-    bare = line.rlike(r"\A[ \t]*(?:`+|~+)[ \t]*\z")
-
-    def made(code: int, arg: Column) -> Column:
-        return F.struct(F.lit(code).alias("code"), indent.alias("indent"), arg.cast("int").alias("arg"))
-
-    zero = F.lit(0)
-    return (
-        F.when(line.rlike(r"\A[ \t]*\z"), made(BLANK, zero))
-        .when(line.rlike(_FENCE), made(FENCE, F.length(ticks) * 4 + F.startswith(ticks, F.lit("~")).cast("int") * 2 + bare.cast("int")))
-        .when(line.rlike(_HEADING), made(HEADING, F.length(F.regexp_extract(line, r"\A[ \t]*(#{1,6})", 1))))
-        .when(line.rlike(_RULE), made(RULE, line.rlike(r"\A[ \t]*-+[ \t]*\z")))
-        .when(
-            line.rlike(_ITEM),
-            made(ITEM, content * 4 + ordered.cast("int") * 2 + (marker.isin("1.", "1)") | ~ordered).cast("int")),
-        )
-        .when(line.rlike(_QUOTE), made(QUOTE, line.rlike(r"\A[ \t]*(?:>[ \t]?)+[ \t]*\z")))
-        .when(line.rlike(r"\A[ \t]*=+[ \t]*\z"), made(UNDERLINE, zero))
-        .when(line.rlike(r"\A[ \t]*-{2,}[ \t]*\z"), made(RULE, F.lit(1)))
-        .when(line.rlike(_BLOCK_TAG), made(HTML, F.lit(1)))
-        .when(line.rlike(_LONE_TAG), made(HTML, zero))
-        .otherwise(made(TEXT, zero))
-    )
+# One struct (code, indent, arg) per line. arg: fence length, kind and bareness; heading depth; whether a rule may
+# underline a heading; an item's content column, order and whether it may interrupt a paragraph; a blank quote line.
+_CLASSIFY = f"""transform(_lines, l -> case
+  when l rlike r'\\A[ \\t]*\\z' then named_struct('code', {BLANK}, 'indent', 0, 'arg', 0)
+  when l rlike r'{_FENCE}' then named_struct('code', {FENCE}, 'indent', @indent, 'arg',
+    length(regexp_extract(l, r'\\A[ \\t]*(`+|~+)', 1)) * 4 + if(l rlike r'\\A[ \\t]*~', 2, 0) + if(l rlike r'\\A[ \\t]*(?:`+|~+)[ \\t]*\\z', 1, 0))
+  when l rlike r'{_HEADING}' then named_struct('code', {HEADING}, 'indent', @indent, 'arg', length(regexp_extract(l, r'\\A[ \\t]*(#+)', 1)))
+  when l rlike r'{_RULE}' then named_struct('code', {RULE}, 'indent', @indent, 'arg', if(l rlike r'\\A[ \\t]*-+[ \\t]*\\z', 1, 0))
+  when l rlike r'{_ITEM}' then named_struct('code', {ITEM}, 'indent', @indent, 'arg',
+    (@indent + length(@marker) + if(@gap between 1 and 4, @gap, 1)) * 4 + if(length(@marker) > 1, 2, 0)
+    + if(length(@marker) = 1 or @marker in ('1.', '1)'), 1, 0))
+  when l rlike r'{_QUOTE}' then named_struct('code', {QUOTE}, 'indent', @indent, 'arg', if(l rlike r'\\A[ \\t]*(?:>[ \\t]?)+[ \\t]*\\z', 1, 0))
+  when l rlike r'\\A[ \\t]*=+[ \\t]*\\z' then named_struct('code', {UNDERLINE}, 'indent', @indent, 'arg', 0)
+  when l rlike r'\\A[ \\t]*-{{2,}}[ \\t]*\\z' then named_struct('code', {RULE}, 'indent', @indent, 'arg', 1)
+  when l rlike r'{_BLOCK_TAG}' then named_struct('code', {HTML}, 'indent', @indent, 'arg', 1)
+  when l rlike r'{_LONE_TAG}' then named_struct('code', {HTML}, 'indent', @indent, 'arg', 0)
+  else named_struct('code', {TEXT}, 'indent', @indent, 'arg', 0) end)""".replace(
+    "@indent", r"length(replace(regexp_extract(l, r'\A([ \t]*)', 1), '\t', '    '))"
+).replace("@marker", r"regexp_extract(l, r'\A[ \t]*([-+*]|[0-9]{1,9}[.)])', 1)").replace(
+    "@gap", r"length(regexp_extract(l, r'\A[ \t]*(?:[-+*]|[0-9]{1,9}[.)])([ \t]*)', 1))"
+)
 
 
 def inline_text(text: Column) -> Column:
     """Inline markers resolved: the parts of a line are joined by single spaces, images vanish, link text stays."""
+    return let(text, _inline)
+
+
+def _inline(text: Column) -> Column:
     w = f"[{T.WS}]*"
     out = text
     for pattern, replacement in (
@@ -228,7 +223,7 @@ def segment_markdown(df: DataFrame, raw: str = "raw", policy: ReadPolicy = PLAIN
     text = F.coalesce(F.col(raw), F.lit(""))
     lined = df.withColumn("_raw", F.split(text, r"(?<=\n)|(?<=\r)(?!\n)"))
     lined = lined.withColumn("_lines", F.transform("_raw", lambda l: F.regexp_replace(l, r"[\r\n]+\z", "")))
-    classed = lined.withColumn("_class", F.transform("_lines", lambda l: _classify(l)))
+    classed = lined.withColumn("_class", F.expr(_CLASSIFY))
     placed = classed.withColumn(
         "_layout",
         block_layout("_class.code", "_class.indent", "_class.arg"),
@@ -239,7 +234,7 @@ def segment_markdown(df: DataFrame, raw: str = "raw", policy: ReadPolicy = PLAIN
         quoted = F.regexp_replace(line, r"\A[ \t]*(?:>[ \t]?)+", "")
         body = (
             F.when(role.isin(OPEN_CODE, MORE_CODE), line)
-            .when(role == HEAD, F.regexp_replace(line, r"\A[ \t]*#{1,6}[ \t]*|(?:(?<=#)|[ \t]+)#+[ \t]*\z", ""))
+            .when(role == HEAD, F.regexp_replace(F.regexp_replace(line, r"\A[ \t]*#{1,6}[ \t]*", ""), r"(?:\A|[ \t]+)#+[ \t]*\z", ""))
             .when(role == MARKER, F.regexp_replace(line, _MARKER, ""))
             .when(role.isin(OPEN_QUOTE, MORE_QUOTE), F.regexp_replace(quoted, _MARKER + r"|\A[ \t]*#{1,6}[ \t]+|\A[ \t]+", ""))
             .otherwise(stripped)

@@ -26,8 +26,12 @@ def read_files(spark: SparkSession, path: str, mime: dict[str, str] | None = Non
     kind = F.lit("")
     for ext, value in table.items():
         kind = F.when(extension == ext, value).otherwise(kind)
-    raw = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\\A\ufeff", "")
-    return files.select(name.alias("name"), kind.alias("mime"), raw.alias("raw"))
+    return files.select(name.alias("name"), kind.alias("mime"), decode_bytes(F.col("content")).alias("raw"))
+
+
+def decode_bytes(content: Column) -> Column:
+    """UTF-8 text of bytes; a leading byte-order mark goes, invalid bytes become replacement characters."""
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\\A\ufeff", "")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
