@@ -65,4 +65,4 @@ def guard_repo_id(repo: Column) -> Column:
 
 def backoff_ms(attempt: Column, base: int) -> Column:
     """Delay after the given 1-based attempt, doubling each time."""
-    return F.shiftleft(F.lit(base), (attempt - 1).cast("int"))
+    return (F.lit(base) * F.pow(F.lit(2.0), attempt - 1)).cast("bigint")

@@ -182,48 +182,46 @@ def resolve_redirects(crawl: DataFrame, max_redirects: int = MAX_REDIRECTS) -> D
     `crawl` has one row per address. Responses that are no redirect need no join at all. The rest walk the log once
     per hop; a finished walk keeps a key of its own that matches nothing, so no hop piles rows up on one key.
     """
-    judged = classify_fetch(crawl).select("url", "location", "verdict", "error_code", "error_message")
     ends = ("verdict", "error_code", "error_message")
-    straight = judged.filter("verdict <> 'redirect'").select(
-        "url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), *ends
+    judged = classify_fetch(crawl).withColumn(
+        "target", F.when(F.col("verdict") == "redirect", resolve_url(F.col("url"), F.col("location")))
     )
-    log = judged.select(F.col("url").alias("_at"), F.col("location").alias("_location"), *[F.col(c).alias(f"_{c}") for c in ends])
+    judged = judged.select("url", "target", F.when(F.col("target").isNotNull(), url_error(F.col("target"))).alias("target_error"), *ends)
+    straight = judged.filter("verdict <> 'redirect'").select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), *ends)
+    log = judged.select(F.col("url").alias("_at"), *[F.col(c).alias(f"_{c}") for c in ("target", "target_error", *ends)])
     walk = judged.filter("verdict = 'redirect'").select(
-        "url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), "location", *ends
+        "url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), "target", "target_error", *ends
     )
+    unreadable = "UNREADABLE_CONTENT"
     for hop in range(1, max_redirects + 1):
         going = F.col("verdict") == "redirect"
-        target = resolve_url(F.col("final_url"), F.col("location"))
-        stepped = walk.withColumn("_target", F.when(going, target)).withColumn(
-            "_at", F.when(going & url_error(F.col("_target")).isNull(), F.col("_target")).otherwise(F.concat(F.lit("\x00"), "url"))
-        )
-        met = stepped.join(log, "_at", "left")
-        invalid = url_error(F.col("_target"))
+        invalid = F.col("target_error").isNotNull()
+        key = F.when(going & ~invalid, F.col("target")).otherwise(F.concat(F.lit("\x00"), "url"))
+        met = walk.withColumn("_at", key).join(log, "_at", "left")
         lost = F.col("_verdict").isNull()
         last = (F.col("_verdict") == "redirect") & F.lit(hop == max_redirects)
 
-        def settle(found: Column, when_invalid: Column, when_lost: str, when_last: Column | str, before: str) -> Column:
+        def settle(column: str, when_invalid: Column, when_lost: str, when_last: str) -> Column:
             return (
-                F.when(~going, F.col(before))
-                .when(invalid.isNotNull(), when_invalid)
+                F.when(~going, F.col(column))
+                .when(invalid, when_invalid)
                 .when(lost, when_lost)
                 .when(last, when_last)
-                .otherwise(found)
+                .otherwise(F.col(f"_{column}"))
+                .alias(column)
             )
 
-        unreadable = "UNREADABLE_CONTENT"
         walk = met.select(
             "url",
-            F.when(going, F.col("_target")).otherwise(F.col("final_url")).alias("final_url"),
+            F.when(going, F.col("target")).otherwise(F.col("final_url")).alias("final_url"),
             F.when(going, hop).otherwise(F.col("hops")).alias("hops"),
-            F.when(going, F.col("_location")).otherwise(F.col("location")).alias("location"),
-            settle(F.col("_verdict"), F.lit("error"), "error", "error", "verdict").alias("verdict"),
-            settle(F.col("_error_code"), F.lit("INVALID_URL"), unreadable, unreadable, "error_code").alias("error_code"),
-            settle(
-                F.col("_error_message"), invalid, MESSAGES["FETCH_FAILED"], MESSAGES["TOO_MANY_REDIRECTS"], "error_message"
-            ).alias("error_message"),
+            F.col("_target").alias("target"),
+            F.col("_target_error").alias("target_error"),
+            settle("verdict", F.lit("error"), "error", "error"),
+            settle("error_code", F.lit("INVALID_URL"), unreadable, unreadable),
+            settle("error_message", F.col("target_error"), MESSAGES["FETCH_FAILED"], MESSAGES["TOO_MANY_REDIRECTS"]),
         )
-    return straight.unionByName(walk.drop("location"))
+    return straight.unionByName(walk.drop("target", "target_error"))
 
 
 def validate_article(articles: DataFrame) -> DataFrame:

@@ -69,16 +69,10 @@ def retry_prefix_check(segments: DataFrame, cache: DataFrame, retries: DataFrame
     )
 
 
-def retry_schedule(failures: DataFrame, attempts: int = P.SYNTH_ATTEMPTS, max_depth: int = P.MAX_SPLIT_DEPTH) -> DataFrame:
-    """Attempt rows of segments that keep failing: (segment_id, split_depth, attempt, delay_ms, outcome, message).
-
-    The last attempt either splits the text and goes one level deeper or gives up. Reads segment_id, text, reason and
-    split_depth.
-    """
-    can_split = split_for_retry(failures, "text", "_parts").withColumn(
+def _schedule(split: DataFrame, attempts: int, max_depth: int) -> DataFrame:
+    rows = split.withColumn(
         "_outcome", F.when((F.col("split_depth") < max_depth) & (F.size("_parts") >= 2), "split").otherwise("exhausted")
-    )
-    rows = can_split.select("*", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
+    ).select("*", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
     last = F.col("attempt") == attempts
     return rows.select(
         "segment_id",
@@ -93,9 +87,8 @@ def retry_schedule(failures: DataFrame, attempts: int = P.SYNTH_ATTEMPTS, max_de
     )
 
 
-def retry_children(failures: DataFrame, max_depth: int = P.MAX_SPLIT_DEPTH) -> DataFrame:
-    """The sub-segments that replace failing segments in the next round, one level deeper."""
-    parts = split_for_retry(failures.filter(F.col("split_depth") < max_depth), "text", "_parts").filter(F.size("_parts") >= 2)
+def _children(split: DataFrame, max_depth: int) -> DataFrame:
+    parts = split.filter((F.col("split_depth") < max_depth) & (F.size("_parts") >= 2))
     exploded = parts.select("segment_id", "reason", "split_depth", F.posexplode("_parts").alias("_i", "_t"))
     return exploded.select(
         F.concat("segment_id", F.lit("::chunk_"), F.col("_i").cast("string")).alias("segment_id"),
@@ -105,15 +98,30 @@ def retry_children(failures: DataFrame, max_depth: int = P.MAX_SPLIT_DEPTH) -> D
     )
 
 
+def retry_schedule(failures: DataFrame, attempts: int = P.SYNTH_ATTEMPTS, max_depth: int = P.MAX_SPLIT_DEPTH) -> DataFrame:
+    """Attempt rows of segments that keep failing: (segment_id, split_depth, attempt, delay_ms, outcome, chunk_count,
+    message).
+
+    The last attempt either splits the text and goes one level deeper or gives up. Reads segment_id, text, reason and
+    split_depth.
+    """
+    return _schedule(split_for_retry(failures, "text", "_parts"), attempts, max_depth)
+
+
+def retry_children(failures: DataFrame, max_depth: int = P.MAX_SPLIT_DEPTH) -> DataFrame:
+    """The sub-segments that replace failing segments in the next round, one level deeper."""
+    return _children(split_for_retry(failures, "text", "_parts"), max_depth)
+
+
 def retry_rounds(segments: DataFrame, fails: Callable[[Column], Column], reason: str, max_depth: int = P.MAX_SPLIT_DEPTH) -> DataFrame:
     """All attempt rows when `fails(text)` says which texts cannot be synthesised; at most max_depth + 1 narrow rounds."""
     level = segments.select("segment_id", "text", F.lit(reason).alias("reason"), F.lit(0).alias("split_depth"))
     out = None
     for _ in range(max_depth + 1):
-        failing = level.filter(fails(F.col("text")))
-        rows = retry_schedule(failing, max_depth=max_depth)
+        split = split_for_retry(level.filter(fails(F.col("text"))), "text", "_parts")
+        rows = _schedule(split, P.SYNTH_ATTEMPTS, max_depth)
         out = rows if out is None else out.unionByName(rows)
-        level = retry_children(failing, max_depth)
+        level = _children(split, max_depth)
     return out
 
 

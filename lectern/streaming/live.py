@@ -150,16 +150,21 @@ def _window_metrics(events: DataFrame, window: Column) -> DataFrame:
     )
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Event time as an instant (a timestamp without zone is read in the session's zone), with a watermark."""
+    return events.withColumn("event_ts", F.col("event_ts").cast("timestamp")).withWatermark("event_ts", late)
+
+
 def stream_budget(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Synthesis latency and underrun rate per tumbling window; rows later than the watermark are left out."""
-    return _window_metrics(events.withWatermark("event_ts", late), F.window("event_ts", width))
+    return _window_metrics(_timed(events, late), F.window("event_ts", width))
 
 
 def stream_session_budget(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """The same per burst of activity of each listening session."""
-    marked = events.withWatermark("event_ts", late)
     return (
-        marked.groupBy("session_id", F.session_window("event_ts", gap).alias("w"))
+        _timed(events, late)
+        .groupBy("session_id", F.session_window("event_ts", gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.coalesce("is_underrun", F.lit(False))).alias("underruns"))
         .select("session_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_events", "underruns")
     )
