@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 # 32-bit FNV-1a.
 FNV_BASIS, FNV_PRIME, MASK32 = 2166136261, 16777619, 0xFFFFFFFF
-_FEW_ROWS = 24  # below this many live rows a plain loop is cheaper than numpy calls
+_FEW_ROWS = 96  # below this many live rows a plain loop is cheaper than numpy calls
 
 
 def _ints(values: pa.Array) -> np.ndarray:
@@ -61,20 +61,25 @@ def _utf16_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _fnv_rows(texts: pa.Array) -> np.ndarray:
     units, start, length = _utf16_units(texts)
-    state = np.full(len(start), FNV_BASIS, dtype=np.uint32)
     order, live = _by_length(length)
+    at, size = start[order], length[order]
+    state = np.full(len(start), FNV_BASIS, dtype=np.uint32)  # longest row first
     prime = np.uint32(FNV_PRIME)
-    for position, count in enumerate(live):
+    for position, count in enumerate(live.tolist()):
         if count < _FEW_ROWS:
-            for row in order[:count]:
+            for row in range(count):
                 h = int(state[row])
-                for unit in units[start[row] + position : start[row] + length[row]].tolist():
+                for unit in units[at[row] : at[row] + size[row] - position].tolist():
                     h = ((h ^ unit) * FNV_PRIME) & MASK32
                 state[row] = h
             break
-        rows = order[:count]
-        state[rows] = (state[rows] ^ units[start[rows] + position]) * prime
-    return state
+        head, where = state[:count], at[:count]
+        head ^= units.take(where)
+        head *= prime
+        where += 1
+    out = np.empty_like(state)
+    out[order] = state
+    return out
 
 
 def _hex8(state: np.ndarray) -> pa.Array:
@@ -137,7 +142,7 @@ def greedy_starts(max_chars: int, max_tokens: int):
 
     @arrow_udf(ArrayType(IntegerType()))
     def starts(lens: pa.Array, toks: pa.Array, seps: pa.Array, forced: pa.Array) -> pa.Array:
-        base, length = _bounds(lens)
+        _, length = _bounds(lens)
         first = np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64)
         lens_v, toks_v, seps_v, force_v = (_ints(a.flatten()) for a in (lens, toks, seps, forced))
         opens = np.zeros(int(length.sum()), dtype=bool)

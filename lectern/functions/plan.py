@@ -27,3 +27,12 @@ def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     The count stops at the limit, so it never scans a large table.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that arrives in fewer splits than there are cores.
+
+    A large input has many more splits than cores and passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -18,31 +18,31 @@ def _runs(items: Column, starts: Column, make) -> Column:
     return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: make(F.slice(items, r["a"], r["b"] - r["a"]), r["a"]))
 
 
-def _oversized(sentence: Column, policy: ChunkPolicy) -> Column:
-    return (T.utf16_length(sentence) > policy.max_chars) | (T.count_words(sentence) > policy.max_tokens)
+def _unit(src: Column, text: Column, opens: Column, tokens: Column) -> Column:
+    return F.struct(
+        src.alias("src"), text.alias("text"), T.utf16_length(text).alias("n_chars"), tokens.alias("n_tokens"), opens.cast("int").alias("opens")
+    )
 
 
 def split_array(df: DataFrame, texts: Column, out: str, policy: ChunkPolicy, cut: str = "sentences") -> DataFrame:
-    """Adds `out`, an array of (src, text): the pieces of every text in an array, in order.
+    """Adds `out`, an array of (src, text, n_chars, n_tokens): the pieces of every text in an array, in order.
 
     With `cut="sentences"` a text is cut into sentences and only those over a limit into words; with `cut="words"`
     every text is one run of words. Words are then packed greedily, all texts of the row in one linear pass.
     """
 
+    def by_words(text: Column, src: Column) -> Column:
+        return F.transform(T.words(text), lambda w, i: _unit(src, w, i == 0, F.lit(1)))
+
+    def cut_sentence(whole: Column) -> Column:
+        over = (whole["n_chars"] > policy.max_chars) | (whole["n_tokens"] > policy.max_tokens)
+        return F.when(over, by_words(whole["text"], whole["src"])).otherwise(F.array(whole))
+
     def units(text: Column, src: Column) -> Column:
         if cut == "words":
-            return F.transform(
-                T.words(text), lambda w, i: F.struct(src.alias("src"), w.alias("text"), (i == 0).alias("opens"))
-            )
-        return F.flatten(
-            F.transform(
-                T.sentences(text),
-                lambda s: F.transform(
-                    F.when(_oversized(s, policy), T.words(s)).otherwise(F.array(s)),
-                    lambda w, i: F.struct(src.alias("src"), w.alias("text"), (i == 0).alias("opens")),
-                ),
-            )
-        )
+            return by_words(text, src)
+        sized = F.transform(T.sentences(text), lambda s: _unit(src, s, F.lit(True), T.count_words(s)))
+        return F.flatten(F.transform(sized, cut_sentence))
 
     spacing = len(policy.spacing.encode("utf-16-be")) // 2
     with_units = df.withColumn("_units", F.flatten(F.transform(texts, lambda t, i: units(t, i))))
@@ -50,16 +50,20 @@ def split_array(df: DataFrame, texts: Column, out: str, policy: ChunkPolicy, cut
     with_starts = with_units.withColumn(
         "_starts",
         pack(
-            F.transform("_units", lambda u: T.utf16_length(u["text"])),
-            F.transform("_units", lambda u: F.lit(1)),
-            F.transform("_units", lambda u: F.lit(spacing)),
-            F.transform("_units", lambda u: u["opens"].cast("int")),
+            F.col("_units.n_chars"), F.col("_units.n_tokens"), F.transform("_units", lambda u: F.lit(spacing)), F.col("_units.opens")
         ),
     )
 
     def piece(run: Column, _first: Column) -> Column:
-        text = F.when(F.size(run) == 1, run[0]["text"]).otherwise(F.array_join(F.transform(run, lambda u: u["text"]), policy.spacing))
-        return F.struct(run[0]["src"].alias("src"), text.alias("text"))
+        first, n = run[0], F.size(run)
+        packed = F.struct(
+            first["src"].alias("src"),
+            F.array_join(F.transform(run, lambda u: u["text"]), policy.spacing).alias("text"),
+            (F.aggregate(run, F.lit(0), lambda a, u: a + u["n_chars"]) + (n - 1) * spacing).alias("n_chars"),
+            n.alias("n_tokens"),
+        )
+        alone = F.struct(*[first[c].alias(c) for c in ("src", "text", "n_chars", "n_tokens")])
+        return F.when(n == 1, alone).otherwise(packed)
 
     return pin(with_starts, out, _runs(F.col("_units"), F.col("_starts"), piece)).drop("_units", "_starts")
 
@@ -77,13 +81,13 @@ def split_segments(docs: DataFrame, policy: ChunkPolicy = DEFAULT_CHUNKS) -> Dat
     def piece(p: Column, i: Column) -> Column:
         this, before = owner(p), owner(F.get(F.col("_split"), i - 1))
         between = F.when(T.ends_terminal(before["text"]), F.lit(" ")).otherwise(F.lit(policy.list_separator))
-        sep = F.when((i > 0) & is_item(before) & is_item(this), between).otherwise(F.lit(policy.spacing))
+        sep = F.when((i > 0) & is_item(this) & is_item(before), between).otherwise(F.lit(policy.spacing))
         return F.struct(
             i.cast("int").alias("piece_idx"),
             this["segment_id"].alias("segment_id"),
             p["text"].alias("text"),
-            T.utf16_length(p["text"]).alias("n_chars"),
-            T.count_words(p["text"]).alias("n_tokens"),
+            p["n_chars"].alias("n_chars"),
+            p["n_tokens"].alias("n_tokens"),
             sep.alias("sep"),
         )
 
@@ -91,40 +95,27 @@ def split_segments(docs: DataFrame, policy: ChunkPolicy = DEFAULT_CHUNKS) -> Dat
 
 
 def pack_chunks(docs: DataFrame, policy: ChunkPolicy = DEFAULT_CHUNKS) -> DataFrame:
-    """Adds `chunks` from `pieces`: (chunk_idx, chunk_id, text, n_chars, n_tokens, pieces, offsets).
-
-    `offsets` holds the UTF-16 position of every piece in the untrimmed chunk text.
-    """
+    """Adds `chunks` from `pieces`: (chunk_idx, chunk_id, text, n_chars, n_tokens, first_piece, pieces)."""
     pack = K.greedy_starts(policy.max_chars, policy.max_tokens)
     started = docs.withColumn(
         "_starts",
         pack(
-            F.transform("pieces", lambda p: p["n_chars"]),
-            F.transform("pieces", lambda p: p["n_tokens"]),
-            F.transform("pieces", lambda p: T.utf16_length(p["sep"])),
+            F.col("pieces.n_chars"),
+            F.col("pieces.n_tokens"),
+            F.transform("pieces.sep", lambda sep: T.utf16_length(sep)),
             F.transform("pieces", lambda p: F.lit(0)),
         ),
     )
 
-    def joined(run: Column) -> Column:
-        return F.array_join(
+    def chunk(run: Column, first: Column) -> Column:
+        joined = F.array_join(
             F.transform(run, lambda p, i: F.when(i == 0, p["text"]).otherwise(F.concat(p["sep"], p["text"]))), ""
         )
-
-    def chunk(run: Column, _first: Column) -> Column:
-        text = T.js_trim(joined(run))
         return F.struct(
-            text.alias("text"),
-            F.transform(run, lambda p: F.struct(p["segment_id"].alias("segment_id"), p["text"].alias("text"))).alias("pieces"),
+            T.js_trim(joined).alias("text"),
             F.aggregate(run, F.lit(0), lambda a, p: a + p["n_tokens"]).alias("n_tokens"),
-            # Bounded by the policy: a chunk never holds more pieces than its token limit allows.
-            F.transform(
-                run,
-                lambda p, i: F.when(i == 0, F.lit(0)).otherwise(
-                    F.aggregate(F.slice(run, F.lit(1), i), F.lit(0), lambda a, q: a + q["n_chars"])
-                    + F.aggregate(F.slice(run, F.lit(2), i), F.lit(0), lambda a, q: a + T.utf16_length(q["sep"]))
-                ),
-            ).alias("offsets"),
+            (first - 1).alias("first_piece"),
+            F.transform(run, lambda p: F.struct(p["segment_id"].alias("segment_id"), p["text"].alias("text"))).alias("pieces"),
         )
 
     built = pin(started, "_chunks", _runs(F.col("pieces"), F.col("_starts"), chunk))
@@ -136,8 +127,8 @@ def pack_chunks(docs: DataFrame, policy: ChunkPolicy = DEFAULT_CHUNKS) -> DataFr
             c["text"].alias("text"),
             T.utf16_length(c["text"]).alias("n_chars"),
             c["n_tokens"].alias("n_tokens"),
+            c["first_piece"].alias("first_piece"),
             c["pieces"].alias("pieces"),
-            c["offsets"].alias("offsets"),
         ),
     )
     return built.withColumn("chunks", chunks).drop("_starts", "_chunks")
@@ -149,17 +140,26 @@ def chunk_documents(docs: DataFrame, policy: ChunkPolicy = DEFAULT_CHUNKS) -> Da
 
 
 def explode_pieces(docs: DataFrame, *keys: str) -> DataFrame:
-    """One row per piece, with the chunk it landed in when chunks are present."""
+    """One row per piece; when chunks are present, with its chunk and its UTF-16 offset in the untrimmed chunk text."""
     if "chunks" not in docs.columns:
         return docs.select(*keys, F.inline("pieces"))
-    placed = F.flatten(
+    # A piece and the separator after it; running sums give every offset in one pass over the row.
+    following = lambda i: F.coalesce(T.utf16_length(F.get("pieces.sep", i + 1)), F.lit(0))
+    summed = docs.withColumn("_before", K.sums_before(F.transform("pieces", lambda p, i: p["n_chars"] + following(i))))
+    summed = pin(summed, "_at", F.col("_before"))
+    places = F.flatten(
         F.transform(
             "chunks",
-            lambda c: F.transform(c["pieces"], lambda p, i: F.struct(c["chunk_idx"].alias("chunk_idx"), F.get(c["offsets"], i).alias("char_offset"))),
+            lambda c: F.transform(
+                c["pieces"],
+                lambda p: F.struct(c["chunk_idx"].alias("chunk_idx"), F.get(F.col("_at"), c["first_piece"]).alias("origin")),
+            ),
         )
     )
-    zipped = docs.select(*keys, F.explode(F.arrays_zip(F.col("pieces").alias("p"), placed.alias("c"))).alias("z"))
-    return zipped.select(*keys, "z.p.*", "z.c.*")
+    zipped = F.arrays_zip(F.col("pieces").alias("p"), places.alias("c"), F.col("_at").alias("b"))
+    return summed.select(*keys, F.explode(zipped).alias("z")).select(
+        *keys, "z.p.*", F.col("z.c.chunk_idx").alias("chunk_idx"), (F.col("z.b") - F.col("z.c.origin")).cast("int").alias("char_offset")
+    )
 
 
 def explode_chunks(docs: DataFrame, *keys: str) -> DataFrame:

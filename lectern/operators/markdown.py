@@ -251,15 +251,17 @@ def segment_markdown(df: DataFrame, raw: str = "raw", policy: ReadPolicy = PLAIN
     def made(b: Column, i: Column) -> Column:
         first, last = b["first"], b["last"]
         joined = F.array_join(F.slice("_pieces", first + 1, last - first + 1), "")
-        spoken = inline_text(joined)
-        clean = T.normalize_whitespace(spoken)
-        body = (
-            F.when((b["kind"] == CODE_BLOCK) & (b["depth"] == 4), F.regexp_replace(joined, r"(\A |\n)(?: {4}|\t)", "$1"))
-            .when(b["kind"] == CODE_BLOCK, joined)
-            .when(b["kind"] == HEADING_BLOCK, T.heading_text(clean, b["depth"], policy.announce_headings))
-            .when(b["kind"] == ITEM_BLOCK, T.list_prefix(clean, b["ordered"], b["ordinal"], policy.list_prefix))
-            .otherwise(spoken)
-        )
+        is_code = b["kind"] == CODE_BLOCK
+
+        def speak(clean: Column) -> Column:
+            return (
+                F.when(b["kind"] == HEADING_BLOCK, T.heading_text(clean, b["depth"], policy.announce_headings))
+                .when(b["kind"] == ITEM_BLOCK, T.list_prefix(clean, b["ordered"], b["ordinal"], policy.list_prefix))
+                .otherwise(clean)
+            )
+
+        code = F.when(b["depth"] == 4, F.regexp_replace(joined, r"(\A |\n)(?: {4}|\t)", "$1")).otherwise(joined)
+        body = F.when(is_code, code).otherwise(let(T.normalize_whitespace(inline_text(joined)), speak))
         kind_name = F.element_at(
             F.array(*[F.lit(n) for n in ("paragraph", "heading", "list_item", "blockquote", "code")]), b["kind"] + 1
         )

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.functions.plan import spread
+
 # name: (Spark SQL, SQL of the comparing engine or None when the same text works)
 DERIVED: dict[str, tuple[str, str | None]] = {
     "para_docs": ("select doc_id, lang, replace(text, chr(10), concat(chr(10), chr(10))) as raw from {documents}", None),
@@ -126,8 +128,12 @@ DERIVED["link_urls"] = (
 )
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")  # heavy work per row follows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
