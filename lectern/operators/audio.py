@@ -20,16 +20,16 @@ def stitch_pcm(clips: DataFrame, block: int = BLOCK) -> DataFrame:
     document with any number of clips is never gathered into one row. Start positions come from a block-wise running
     sum, so a document that holds most of the clips still spreads over all tasks.
     """
-    target = clips.groupBy("doc_id").agg(
-        F.greatest(F.max(F.size("channels")), F.lit(1)).alias("_channels"), F.max("sample_rate").alias("_rate")
-    )
+    # Sizes only: the samples themselves are shuffled once, by (doc_id, position), in the last join.
     duration = F.col("duration_s") if "duration_s" in clips.columns else F.size(F.get("channels", F.lit(0))) / F.col("sample_rate")
-    sized = clips.select("doc_id", "position", "channels", duration.alias("_seconds")).join(target, "doc_id")
-    sized = sized.withColumn("n_samples", F.ceil(F.col("_seconds") * F.col("_rate")).cast("int"))
-    placed = running(
-        sized.select("doc_id", "position", "n_samples"), ["doc_id"], "position", {"start_sample": ("sum", F.col("n_samples"))},
-        block, inclusive=False,
-    ).drop("n_samples")
+    narrow = clips.select("doc_id", "position", F.size("channels").alias("_n"), "sample_rate", duration.alias("_seconds"))
+    target = narrow.groupBy("doc_id").agg(
+        F.greatest(F.max("_n"), F.lit(1)).alias("_channels"), F.max("sample_rate").alias("_rate")
+    )
+    sized = narrow.drop("sample_rate").join(target, "doc_id").withColumn(
+        "n_samples", F.ceil(F.col("_seconds") * F.col("_rate")).cast("int")
+    )
+    placed = running(sized, ["doc_id"], "position", {"start_sample": ("sum", F.col("n_samples"))}, block, inclusive=False)
 
     def resample(source: Column) -> Column:
         steps = F.greatest(F.lit(1), F.col("n_samples") - 1)
@@ -41,7 +41,7 @@ def stitch_pcm(clips: DataFrame, block: int = BLOCK) -> DataFrame:
         _positions(F.col("_channels")),
         lambda c: resample(F.get("channels", F.least(c, F.size("channels") - 1))),
     )
-    return sized.join(placed, ["doc_id", "position"]).select(
+    return clips.select("doc_id", "position", "channels").join(placed, ["doc_id", "position"]).select(
         "doc_id", "position", F.col("start_sample").cast("bigint").alias("start_sample"), "n_samples",
         F.col("_rate").alias("sample_rate"), spread.alias("channels"),
     )

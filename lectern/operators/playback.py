@@ -362,8 +362,10 @@ def incomplete_artifacts(manifest: DataFrame) -> DataFrame:
 
 def manifest_check(usage: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row: how many artifacts are used, missing or incomplete, and whether the check passes."""
-    used = usage.agg(F.count_distinct("id").alias("used"))
-    missing = missing_artifacts(usage, manifest).agg(F.count(F.lit(1)).alias("missing"))
-    broken = incomplete_artifacts(manifest).agg(F.count(F.lit(1)).alias("incomplete"))
-    row = used.join(missing, F.lit(True)).join(broken, F.lit(True))
+    used = usage.select("id").distinct().select(F.lit(1).alias("used"), F.lit(0).alias("missing"), F.lit(0).alias("incomplete"))
+    missing = missing_artifacts(usage, manifest).select(F.lit(0).alias("used"), F.lit(1).alias("missing"), F.lit(0).alias("incomplete"))
+    broken = incomplete_artifacts(manifest).select(F.lit(0).alias("used"), F.lit(0).alias("missing"), F.lit(1).alias("incomplete"))
+    row = used.unionByName(missing).unionByName(broken).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("used", "missing", "incomplete")]
+    )
     return row.withColumn("passed", (F.col("used") > 0) & (F.col("missing") == 0) & (F.col("incomplete") == 0))

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.plan import broadcast_checked
-
 SMALL_GROUP = 100_000  # groups up to this size keep all their distinct values
 ACCURACY = 100_000  # the sketch is off by at most one rank in this many
 MARGIN = 5e-5  # wide enough for the sketch error and the two neighbouring ranks of a group above SMALL_GROUP
 
 
-def exact_percentiles(df: DataFrame, group: str, value: str, probs: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, group: str, value: str, probs: dict[str, float], few_groups: bool = False) -> DataFrame:
     """(group, n, one column per probability), interpolated between the two nearest ranks.
 
+    `few_groups` states that the groups come from a short fixed list, so their brackets may be broadcast; otherwise the
+    join follows the sizes measured at run time.
+
     A mergeable sketch first brackets each percentile. A second pass counts what lies below the bracket and keeps only
     the few distinct values inside it, with their counts, for exact ranking. A value shared by a third of all rows is
     one row by then.
@@ -36,7 +37,7 @@ def exact_percentiles(df: DataFrame, group: str, value: str, probs: dict[str, fl
             for side, edge, limit in ((0, "lo", float("-inf")), (1, "hi", float("inf")))
         ],
     )
-    within = clean.join(broadcast_checked(brackets), group)
+    within = clean.join(F.broadcast(brackets) if few_groups else brackets, group)
     inside = [F.col("_x").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(probs))]
     kept = reduce(lambda a, b: a | b, inside)
     # Rows outside every bracket are reduced to counts before the shuffle; the rest become (value, count) pairs.

@@ -154,7 +154,7 @@ def metric_values(events: DataFrame) -> DataFrame:
 
 def latency_budget(events: DataFrame) -> DataFrame:
     """Exact p50 and p95 per metric against the budgets: (metric, n, p50, p95, within_budget)."""
-    found = exact_percentiles(metric_values(events), "metric", "value", {"p50": 0.5, "p95": 0.95})
+    found = exact_percentiles(metric_values(events), "metric", "value", {"p50": 0.5, "p95": 0.95}, few_groups=True)
     holds = lambda name, at: F.coalesce(F.col(name) < _limit(F.col("metric"), at), F.lit(True))
     return found.withColumn("within_budget", holds("p50", 1) & holds("p95", 2))
 

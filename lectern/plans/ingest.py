@@ -99,10 +99,11 @@ def read_crawl(crawl: DataFrame, dns: DataFrame, cidr: DataFrame, bodies: DataFr
         .join(hosts.filter("error_code is null").select("host"), "host", "left_semi")
         .select("url", "final_url")
     )
-    pages = bodies.select(F.col("url").alias("final_url"), "html")
-    articles = html.extract_articles(safe.join(pages, "final_url"))
-    valid = guards.validate_article(articles.drop("html")).filter("error_code is null").drop("error_code", "error_message")
-    return documents.segment_article(valid)
+    # Each body is read once, however many addresses lead to it.
+    wanted = safe.select("final_url").distinct()
+    pages = bodies.select(F.col("url").alias("final_url"), "html").join(wanted, "final_url", "left_semi")
+    valid = guards.validate_article(html.extract_articles(pages).drop("html")).filter("error_code is null")
+    return safe.join(documents.segment_article(valid.drop("error_code", "error_message")), "final_url")
 
 
 def flagship(docs: DataFrame, policy: ChunkPolicy = DEFAULT_CHUNKS) -> DataFrame:
