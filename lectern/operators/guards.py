@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import net
 from lectern.functions import text as T
+from lectern.functions.plan import broadcast_checked
 from lectern.operators.html import resolve_url
 from lectern.policies import FETCH_TIMEOUT_MS, MAX_REDIRECTS, MAX_RESPONSE_BYTES
 
@@ -108,9 +109,9 @@ def flag_blocked(df: DataFrame, cidr: DataFrame, address: str = "address") -> Da
     quad = F.coalesce(net.ipv4_to_long(value), net.ipv4_to_long(net.trailing_ipv4(value)))
     key = F.when(quad.isNotNull(), F.lower(F.lpad(F.hex(quad), 8, "0"))).otherwise(net.ipv6_to_hex(value))
     keyed = df.withColumn("_key", key).withColumn("_v", F.when(F.length("_key") == 8, 4).when(F.length("_key") == 32, 6))
-    joined = keyed.withColumn("_octet", F.left("_key", F.lit(2))).join(
-        cidr.select(F.col("version").alias("_v"), F.col("octet").alias("_octet"), "ranges"), ["_v", "_octet"], "left"
-    )
+    # A few address families hold most rows, so this join must not shuffle on the octet.
+    ranges = broadcast_checked(cidr.select(F.col("version").alias("_v"), F.col("octet").alias("_octet"), "ranges"))
+    joined = keyed.withColumn("_octet", F.left("_key", F.lit(2))).join(ranges, ["_v", "_octet"], "left")
     inside = F.exists(
         F.coalesce("ranges", F.array().cast("array<struct<lo:string,hi:string>>")),
         lambda r: F.col("_key").between(r["lo"], r["hi"]),

@@ -263,11 +263,9 @@ def migrate_preferences(prefs: DataFrame, system_voices: DataFrame, neural_activ
         "_moved", renamed_voice(F.when(legacy, "").otherwise(F.col("_voice")))
     )
     listed = system_voices.select(F.col("id").alias("_moved"), F.lit(True).alias("_listed")).distinct()
-    first = system_voices.agg(F.min_by("id", "ord").alias("_first"))
-    matched = moved.join(broadcast_checked(listed), "_moved", "left").join(
-        broadcast_checked(first.withColumn("_system", F.lit(SYSTEM))), F.col("provider") == F.col("_system"), "left"
-    )
-    voice = F.when((F.col("provider") == SYSTEM) & F.col("_listed").isNull(), F.coalesce("_first", "_moved")).otherwise(F.col("_moved"))
+    first = system_voices.agg(F.min_by("id", "ord").alias("first")).scalar()
+    matched = moved.join(broadcast_checked(listed), "_moved", "left")
+    voice = F.when((F.col("provider") == SYSTEM) & F.col("_listed").isNull(), F.coalesce(first, F.col("_moved"))).otherwise(F.col("_moved"))
     stored = F.col("precision")
     precision = (
         F.when(stored.isNull() | stored.isin("", "auto"), "fp32").when(stored.isin(*PRECISIONS), stored).otherwise("auto")
