@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import net
 from lectern.functions import text as T
-from lectern.functions.plan import broadcast_checked
+from lectern.functions.plan import broadcast_checked, let
 from lectern.operators.html import resolve_url
 from lectern.policies import FETCH_TIMEOUT_MS, MAX_REDIRECTS, MAX_RESPONSE_BYTES
 
@@ -99,15 +99,16 @@ def cidr_ranges(spark: SparkSession, cidrs: tuple[str, ...] = BLOCKED_CIDRS) ->
         lo, hi = (f"{int(a):0{width}x}" for a in (network.network_address, network.broadcast_address))
         for octet in range(int(lo[:2], 16), int(hi[:2], 16) + 1):
             found.setdefault((network.version, f"{octet:02x}"), []).append((lo, hi))
-    rows = [(version, octet, ranges) for (version, octet), ranges in found.items()]
-    return spark.createDataFrame(rows, "version int, octet string, ranges array<struct<lo:string,hi:string>>")
+    spans = lambda ranges: ", ".join(f"named_struct('lo', '{lo}', 'hi', '{hi}')" for lo, hi in ranges)
+    rows = ", ".join(f"({version}, '{octet}', array({spans(ranges)}))" for (version, octet), ranges in found.items())
+    return spark.sql(f"select * from values {rows} as t(version, octet, ranges)")
 
 
 def flag_blocked(df: DataFrame, cidr: DataFrame, address: str = "address") -> DataFrame:
     """Adds `blocked`. A trailing dotted quad decides for mixed addresses; text that is no address is blocked."""
     value = F.col(address)
-    quad = F.coalesce(net.ipv4_to_long(value), net.ipv4_to_long(net.trailing_ipv4(value)))
-    key = F.when(quad.isNotNull(), F.lower(F.lpad(F.hex(quad), 8, "0"))).otherwise(net.ipv6_to_hex(value))
+    quad = net.ipv4_to_long(net.trailing_ipv4(value))
+    key = let(quad, lambda q: F.when(q.isNotNull(), F.lower(F.lpad(F.hex(q), 8, "0"))).otherwise(net.ipv6_to_hex(value)))
     keyed = df.withColumn("_key", key).withColumn("_v", F.when(F.length("_key") == 8, 4).when(F.length("_key") == 32, 6))
     # A few address families hold most rows, so this join must not shuffle on the octet.
     ranges = broadcast_checked(cidr.select(F.col("version").alias("_v"), F.col("octet").alias("_octet"), "ranges"))

@@ -284,3 +284,14 @@ def test_stitch_small(spark):
     assert got[2, 0].n_samples == 0 and got[2, 0].channels == [[]]
     samples = audio.quantize_pcm(rows(spark, [([[-2.0, 0.5], [1.0, -0.5]],)], "channels array<array<double>>")).first().samples16
     assert samples == [-32768, 32767, 16384, -16384]
+
+
+def test_retry_rounds(spark):
+    text = " ".join(["abcdefghi"] * 60)
+    df = rows(spark, [("s", text), ("ok", "short")], "segment_id string, text string")
+    got = synthesis.retry_rounds(df, lambda t: T.utf16_length(t) > 300, "too long").orderBy("split_depth", "attempt").collect()
+    assert [(r.segment_id, r.split_depth, r.attempt, r.delay_ms, r.outcome, r.chunk_count) for r in got] == [
+        ("s", 0, 1, 180, "retry", None), ("s", 0, 2, 360, "retry", None), ("s", 0, 3, None, "split", 2),
+        ("s::chunk_0", 1, 1, 180, "retry", None), ("s::chunk_0", 1, 2, 360, "retry", None), ("s::chunk_0", 1, 3, None, "exhausted", None),
+    ]
+    assert got[-1].message == "regen_exhausted: too long"
