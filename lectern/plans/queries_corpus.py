@@ -358,7 +358,7 @@ _CANDIDATES = " union all ".join(
     for tag, weight in html.CONTAINER_WEIGHT.items()
 )
 _U5 = f"""with {cte('dirty_pages')}, rd as (select page_id, html, {_READ} as r from dirty_pages), cd as ({_CANDIDATES}),
-sc as (select page_id, container, {_bare('f')} as t, (length({_bare('f')}) - 2 * length({_bare("array_to_string(regexp_extract_all(f, '(?is)<a[^>]*>(.*?)</a>', 1), '')")})) * w as points from cd),
+sc as (select page_id, container, {_bare('f')} as t, (length({_bare('f')}) - 2 * length({_bare("array_to_string(regexp_extract_all(f, '(?is)<a\\b[^>]*>(.*?)</a>', 1), '')")})) * w as points from cd),
 bt as (select page_id, max(row(points, container, t)) as b from sc group by page_id)
 select page_id, {duck.page_title('html')} as title, cast(null as varchar) as byline,
 nullif({_plain("regexp_extract(regexp_replace(regexp_replace(r, '(?is)<p\\b', chr(1) || '<p', 'g'), '(?is)</(p|article)', chr(1) || '</x', 'g'), '(?is)<p[^>]*>([^' || chr(1) || ']*)', 1)")}, '') as excerpt,
