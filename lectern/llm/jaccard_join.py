@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import shuffle_partitions, stored
 from lectern.llm.components import connected_components
-from lectern.llm.words import BASE, BLANK_SEPARATED, Words, combined, mix, packed, pieces, run_starts, unpacked
+from lectern.llm.words import BASE, BLANK_SEPARATED, Words, combined, mix, packed, pieces, run_starts, runs, unpacked
 
 BUCKET_BYTES = 16 << 20  # candidate keys of one task group
 CHUNK = 256  # candidates intersected at a time
@@ -211,9 +211,8 @@ def jaccard_join(
             bucket = (keys % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             bucket, keys, centres = bucket[order], keys[order], centres[order]
-            at = run_starts(bucket)
-            cut = list(zip(at, [*at[1:], len(bucket)], strict=True))
-            places, payloads = bucket[at].tolist(), [packed(keys[i:j], centres[i:j]) for i, j in cut]
+            cuts = runs(bucket)
+            places, payloads = [int(bucket[i]) for i, _ in cuts], [packed(keys[i:j], centres[i:j]) for i, j in cuts]
             kinds = [0] * len(places)
             if len(edges):
                 places, kinds, payloads = [*places, int(edges[0, 1] % buckets)], [*kinds, 1], [*payloads, packed(edges[:, 0], edges[:, 1])]

@@ -165,3 +165,9 @@ def run_starts(*columns: np.ndarray) -> np.ndarray:
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     return np.flatnonzero(new)
+
+
+def runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of every run of equal values in sorted columns."""
+    at = run_starts(*columns).tolist()
+    return list(zip(at, [*at[1:], len(columns[0])], strict=False))
