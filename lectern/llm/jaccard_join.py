@@ -191,7 +191,7 @@ def jaccard_join(
     schema = marked.drop("text").withColumn("n_shingles", F.lit(0).cast("long")).withColumn("set_id", F.lit(0).cast("long")).schema
     rows = stored(marked.mapInArrow(summaries, schema), "sets")
     sets = rows.filter("set_id <> 0").groupBy("set_id").agg(
-        F.min(F.struct("key", "check")).alias("one"), F.min("n_shingles").alias("n_shingles")
+        F.min(F.struct("key", "check")).alias("one"), F.min("key").alias("low"), F.min("n_shingles").alias("n_shingles")
     )
 
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
@@ -290,8 +290,8 @@ def jaccard_join(
 
     links = content.groupBy("tile").applyInArrow(verify, "a long, b long")
     roots = connected_components(links).withColumnRenamed("node", "set_id")
-    named = sets.select("set_id", "one.key").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    lowest = named.groupBy("root").agg(F.min("key").alias("component_id"))
+    named = sets.select("set_id", "low").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "root").select("set_id", "component_id")
     out = rows.join(named, "set_id", "left")
     alone = F.when(F.col("set_id") == 0, F.col("key")).otherwise(F.col("component_id"))
