@@ -24,6 +24,7 @@ from lectern.llm.common import shuffle_partitions
 from lectern.llm.words import BASE, BLANK_SEPARATED, Words, combined, joined, mix, packed, pieces, run_starts, runs, unpacked, windows
 
 GROUP_BYTES = 16 << 20  # text, or records, of one task group
+SEED_BYTES = 8 << 20  # text whose repeats are settled in a map task
 FINGERPRINT = np.uint64((1 << 48) - 1)
 
 
@@ -74,35 +75,31 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         reader = Words(BLANK_SEPARATED)
         for batch in batches:
             batch = batch.filter(batch["key"].is_valid())
-            doc = np.asarray(batch["key"]).astype(np.int64)
-            owners, whole, low = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for a, b in pieces(batch["text"]):
-                spans = reader.read(batch["text"].slice(a, b - a))
-                at, h = windows(spans, words)
-                owners.append(doc[a + spans.row[at]])
-                whole.append(h)
-                low.append(anchors(spans.hash, at, words, gram)[0] if len(at) else h)
-            owners, whole, low = np.concatenate(owners), np.concatenate(whole), np.concatenate(low)
-            order, first, later = earlier(whole, owners)
-            owners, whole, low = owners[order], whole[order], low[order]
-            out = []
-            # Settled here: a smaller document of this batch has the window.
-            out += [(1, *row) for row in by_place(owners[later], whole[later] & FINGERPRINT)]
-            # Left open: each distinct window once, packed by its anchor's bucket.
-            o, w, s = owners[first], whole[first] & FINGERPRINT, low[first]
-            bucket = (s % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((o, s, bucket))
-            o, w, s, bucket = o[order], w[order], s[order], bucket[order]
-            for i, j in runs(bucket):
-                out.append((0, int(bucket[i]), record(s[i:j], o[i:j], w[i:j])))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in out], pa.int32()),
-                    pa.array([x[1] for x in out], pa.int32()),
-                    pa.array([x[2] for x in out], pa.binary()),
-                ],
-                ["settled", "bucket", "payload"],
-            )
+            for a, b in pieces(batch["text"], SEED_BYTES):
+                yield seeds_of(reader, batch.slice(a, b - a))
+
+    def seeds_of(reader: Words, batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc = np.asarray(batch["key"]).astype(np.int64)
+        owners, whole, low = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for a, b in pieces(batch["text"]):
+            spans = reader.read(batch["text"].slice(a, b - a))
+            at, h = windows(spans, words)
+            owners.append(doc[a + spans.row[at]])
+            whole.append(h)
+            low.append(anchors(spans.hash, at, words, gram)[0] if len(at) else h)
+        owners, whole, low = np.concatenate(owners), np.concatenate(whole), np.concatenate(low)
+        order, first, later = earlier(whole, owners)
+        owners, whole, low = owners[order], whole[order] & FINGERPRINT, low[order]
+        # Settled here: a smaller document of this batch has the window.
+        out = [(1, *row) for row in by_place(owners[later], whole[later])]
+        # Left open: each distinct window once, packed by its anchor's bucket.
+        o, w, s = owners[first], whole[first], low[first]
+        bucket = (s % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((o, s, bucket))
+        o, w, s, bucket = o[order], w[order], s[order], bucket[order]
+        out += [(0, int(bucket[i]), record(s[i:j], o[i:j], w[i:j])) for i, j in runs(bucket)]
+        kinds = pa.int32(), pa.int32(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds[c]) for c in range(3)], ["settled", "bucket", "payload"])
 
     def record(seed: np.ndarray, owner: np.ndarray, fingerprint: np.ndarray) -> bytes:
         """Anchors with their document and number of windows, then the windows' 48-bit fingerprints."""
