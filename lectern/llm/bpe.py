@@ -1,16 +1,18 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Texts are cut into pre-tokens. A piece of some megabytes becomes one row: its distinct words, and for every document the
-numbers of its words in order. The words are exploded with their number, made distinct over all pieces, and each distinct
-word is encoded once; its ids are joined back to every piece that has it, and the documents are reassembled by position.
-Decoding joins ids with the token-byte table, again once per distinct word. A word that is everywhere costs one row per
-piece, so no key is hot.
+numbers of its words in order. The distinct words are exploded and shuffled by a hash of the word, so all pieces' copies
+of a word meet and each distinct word is encoded once; the ids are joined back to every piece that has the word, and the
+documents are reassembled by position. Decoding joins the ids with the token-byte table. Words travel in lists, one per
+piece and task group, as a row per word would cost several times its bytes; a word that is everywhere comes once per piece,
+so no key is hot.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +20,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored, with_fields
-from lectern.llm.words import pieces
+from lectern.llm.common import shuffle_partitions, stored, with_fields
+from lectern.llm.words import pieces, runs
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 32 << 20  # text of a piece, at most about
+GROUP_BYTES = 16 << 20  # text per task group of words
 MAX_TOKENS = 1 << 20  # the largest vocabulary that is broadcast
 
 
@@ -87,6 +90,18 @@ def gathered(slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.repeat(bounds[slots] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, the mostly empty high bytes apart from the low ones, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, decoded) per row: token ids of the text without special tokens, and the bytes they decode to.
 
@@ -95,73 +110,99 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ke
     """
     spark, key_type = docs.sparkSession, docs.schema[key].dataType
     shared = spark.sparkContext.broadcast(ranks)
+    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    homes = max(shuffle_partitions(spark), total // GROUP_BYTES)
 
     def cut(batches):
         find = regex.compile(pattern).findall
         for batch in batches:
             for a, b in pieces(batch["text"], PIECE_BYTES):
-                words: dict[str, int] = {}
-                counts, slots = [], []
+                numbers: dict[str, int] = {}
+                counts, lists = [], []
                 for t in batch["text"].slice(a, b - a):
-                    mine = [words.setdefault(w, len(words)) for w in find(t.as_py() or "")]
+                    mine = [numbers.setdefault(w, len(numbers)) for w in find(t.as_py() or "")]
                     counts.append(len(mine))
-                    slots.append(np.array(mine, np.uint32))
-                slots = np.concatenate(slots)
-                if len(words) <= 1 << 16:
-                    slots = slots.astype(np.uint16)
+                    lists.append(np.array(mine, np.uint32))
+                slots = np.concatenate(lists)
+                # Frequent words get small numbers, which compress well.
+                order = np.argsort(-np.bincount(slots, minlength=len(numbers)), kind="stable")
+                renumber = np.empty(len(order), np.uint32)
+                renumber[order] = np.arange(len(order), dtype=np.uint32)
+                words = pa.array(list(numbers), pa.string()).take(pa.array(order))
+                home = np.array([zlib.crc32(w.encode()) % homes for w in numbers], np.uint32)[order]
+                by_home = np.argsort(home, kind="stable")
+                cuts = runs(home[by_home])
+                bounds = pa.array([0, *[j for _, j in cuts]], pa.int32())
+                groups = pa.ListArray.from_arrays(bounds, words.take(pa.array(by_home)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch["key"].slice(a, b - a).to_pylist()], pa.list_(batch["key"].type)),
                         pa.array([counts], pa.list_(pa.int32())),
-                        pa.array([slots.tobytes()], pa.binary()),
-                        pa.array([list(words)], pa.list_(pa.string())),
+                        pa.array([squeezed(renumber[slots])], pa.binary()),
+                        pa.array([squeezed(home)], pa.binary()),
+                        pa.array([[int(home[by_home[i]]) for i, _ in cuts]], pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), groups),
                     ],
-                    ["keys", "counts", "slots", "words"],
+                    ["keys", "counts", "slots", "home_of", "homes", "words"],
                 )
 
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = source.mapInArrow(cut, with_fields(source.select(F.array("key").alias("keys")).schema, "counts array<int>, slots binary, words array<string>"))
-    # The name of a piece is drawn once and kept by the written table, so a task that runs again cannot mix pieces up.
-    rows = stored(rows.withColumn("piece", F.expr("uuid()")), "pieces")
+    schema = with_fields(source.select(F.array("key").alias("keys")).schema, "counts array<int>, slots binary, home_of binary, homes array<int>, words array<array<string>>")
+    # A piece's number is drawn once and kept by the written table, so a task that runs again cannot mix pieces up.
+    rows = stored(source.mapInArrow(cut, schema).withColumn("piece", F.monotonically_increasing_id()), "pieces")
 
-    def encode(batches):
-        known = shared.value
-        for batch in batches:
-            ids = [encode_word(w.encode(), known) for w in batch["word"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+    def encode(group: pa.Table) -> pa.Table:
+        known, table = shared.value, {}
+        sizes, ids = [], []
+        for words in group["words"]:
+            found = [table[w] if w in table else table.setdefault(w, encode_word(w.encode(), known)) for w in words.values.to_pylist()]
+            sizes.append(squeezed(np.array([len(x) for x in found], np.uint32)))
+            ids.append(squeezed(np.array([i for x in found for i in x], np.uint32)))
+        return pa.table({"piece": group["piece"], "home": group["home"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
-    used = rows.select("piece", F.posexplode("words").alias("slot", "word"))
-    encoded = stored(used.select("word").distinct().mapInArrow(encode, "word string, ids array<int>"), "words")
-    known = encoded.join(decode(encoded, token_table(spark, ranks), "word"), "word")
-    back = used.join(known, "word").select("piece", "slot", "ids", "decoded")
+    used = rows.select("piece", F.explode(F.arrays_zip("homes", "words")).alias("x")).select("piece", F.col("x.homes").alias("home"), F.col("x.words").alias("words"))
+    encoded = used.groupBy("home").applyInArrow(encode, "piece long, home int, sizes binary, ids binary")
 
     def assemble(docs_of: pa.Table, words_of: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(words_of["slot"]))
-        taken = words_of.take(pa.array(order)).combine_chunks() if len(order) else words_of
-        ids = taken["ids"].combine_chunks() if len(order) else pa.array([], pa.list_(pa.int32()))
-        content = taken["decoded"].combine_chunks().cast(pa.large_binary()) if len(order) else pa.array([], pa.large_binary())
-        id_bounds = np.asarray(ids.offsets).astype(np.int64)
-        id_values = np.asarray(ids.values)
-        raw_bounds = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1] if len(content) else np.zeros(1, np.int64)
-        raw = np.frombuffer(content.buffers()[2], np.uint8) if len(content) and content.buffers()[2] else np.zeros(0, np.uint8)
+        token_bytes = [b""] * (max(shared.value.values(), default=-1) + 1)
+        for token, i in shared.value.items():
+            token_bytes[i] = token
+        token_bounds = np.concatenate(([0], np.cumsum([len(x) for x in token_bytes])))
+        token_raw = np.frombuffer(b"".join(token_bytes), np.uint8)
+        order = np.argsort(np.asarray(words_of["home"]))
+        sizes = [unsqueezed(words_of["sizes"][int(i)].as_py()) for i in order]
+        ids = [unsqueezed(words_of["ids"][int(i)].as_py()) for i in order]
+        sizes, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sizes, ids))
+        keys, counts = docs_of["keys"][0].values, np.asarray(docs_of["counts"][0].values).astype(np.int64)
+        slots, home_of = unsqueezed(docs_of["slots"][0].as_py()), unsqueezed(docs_of["home_of"][0].as_py())
+        # Words arrived by home; find each number's ids.
+        place = np.empty(len(home_of), np.int64)
+        place[np.argsort(home_of, kind="stable")] = np.arange(len(home_of))
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        edges = pieces_of(counts)
         out = []
-        for keys, counts, slots in zip(docs_of["keys"], docs_of["counts"], docs_of["slots"], strict=True):
-            counts = np.asarray(counts.values).astype(np.int64)
-            slots = np.frombuffer(slots.as_buffer(), np.uint16 if len(slots.as_buffer()) < 4 * counts.sum() else np.uint32).astype(np.int64)
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            n_ids = np.concatenate(([0], np.cumsum((id_bounds[1:] - id_bounds[:-1])[slots])))[ends]
-            n_raw = np.concatenate(([0], np.cumsum((raw_bounds[1:] - raw_bounds[:-1])[slots])))[ends]
-            lists = pa.ListArray.from_arrays(pa.array(n_ids.astype(np.int32)), pa.array(id_values[gathered(slots, id_bounds)]))
-            bytes_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(n_raw), pa.py_buffer(raw[gathered(slots, raw_bounds)])])
-            out.append(pa.table({"key": keys.values, "ids": lists, "decoded": bytes_.cast(pa.binary())}))
+        for a, b in edges:
+            mine = place[slots[ends[a] : ends[b]]]
+            values = ids[gathered(mine, bounds)]
+            at = np.concatenate(([0], np.cumsum(sizes[mine])))[ends[a : b + 1] - ends[a]]
+            raw_at = np.concatenate(([0], np.cumsum((token_bounds[1:] - token_bounds[:-1])[values])))[at]
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int32)))
+            content = token_raw[gathered(values, token_bounds)]
+            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(raw_at), pa.py_buffer(content)])
+            out.append(pa.table({"key": keys.slice(a, b - a), "ids": lists, "decoded": decoded.cast(pa.binary())}))
         return pa.concat_tables(out)
 
-    schema = with_fields(source.select("key").schema, "ids array<int>, decoded binary")
-    lists = rows.select(F.col("piece").alias("of"), "keys", "counts", "slots")
-    done = lists.groupBy("of").cogroup(back.groupBy("piece")).applyInArrow(assemble, schema)
+    lists = rows.select(F.col("piece").alias("of"), "keys", "counts", "slots", "home_of")
+    done = lists.groupBy("of").cogroup(encoded.groupBy("piece")).applyInArrow(assemble, with_fields(source.select("key").schema, "ids array<int>, decoded binary"))
     return done.select(F.col("key").cast(key_type).alias(key), "ids", "decoded")
 
 
+def pieces_of(counts: np.ndarray, limit: int = 1 << 18) -> list[tuple[int, int]]:
+    """Ranges of documents of about `limit` words each."""
+    return runs((np.cumsum(counts) - counts) // limit)
+
+
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of encoded rows."""
     return encoded.select(
