@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import with_fields
 from lectern.llm.words import BASE, LETTERS_AND_DIGITS, Words, pieces
 
 PATTERN_BYTES = 8 << 20  # benchmark text searched for in one pass over the documents
 LANE = 128  # window starts per lane
 TABLE_BITS = 18
+HIT, ITEMS = "contamination_hit_words", "contamination_items"  # working columns
 
 
 class Patterns:
@@ -122,38 +124,63 @@ def find_contamination(
     No row is shuffled. The benchmark is broadcast in parts of at most about `pattern_bytes` of text, one pass over the
     documents for each part, so what an executor holds does not grow with the benchmark.
     """
-    spark = docs.sparkSession
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    marked = search(rows, "text", benchmark, item_key, item_text, window, pattern_bytes)
+    schema = with_fields(rows.select("key").schema, f"n_words long, n_hit long, {ITEMS} array<string>")
+    counted = marked.mapInArrow(count_hits, schema)
+    return counted.select(F.col("key").alias(key), "n_words", "n_hit", F.array_sort(F.array_distinct(ITEMS)).alias("items"))
+
+
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, pattern_bytes: int = PATTERN_BYTES
+) -> DataFrame:
+    """The rows, with all their columns, in which `find_contamination` finds no hit."""
+    marked = search(docs, text, benchmark, item_key, item_text, window, pattern_bytes)
+    return marked.filter(F.col(HIT).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def search(docs: DataFrame, text: str, benchmark: DataFrame, item_key: str, item_text: str, window: int, pattern_bytes: int) -> DataFrame:
+    """The rows with a bit map of their words hit (null: none) and the items found, after a pass for each part."""
+    out = docs.withColumn(HIT, F.lit(None).cast("binary")).withColumn(ITEMS, F.array().cast("array<string>"))
     for part in benchmark_parts(benchmark, item_key, item_text, pattern_bytes):
-        shared = spark.sparkContext.broadcast(part)
-        out = out.mapInArrow(searcher(shared, window), out.schema)
-    count = searcher(None, window)
-    out = out.mapInArrow(count, out.drop("text", "hit", "items").withColumn("n_words", F.lit(0).cast("long")).withColumn("n_hit", F.lit(0).cast("long")).withColumn("items", F.array().cast("array<string>")).schema)
-    return out.select(F.col("key").alias(key), "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"))
+        out = out.mapInArrow(searcher(docs.sparkSession.sparkContext.broadcast(part), text, window), out.schema)
+    return out
+
 
+def hit_words(rows: pa.RecordBatch, bounds: np.ndarray) -> np.ndarray:
+    """The bit maps of all rows as one flag per word."""
+    hit = np.zeros(int(bounds[-1]), bool)
+    for i, bits in enumerate(rows[HIT]):
+        if bits.is_valid:
+            a, b = int(bounds[i]), int(bounds[i + 1])
+            hit[a:b] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=b - a)
+    return hit
 
-def searcher(shared, window: int):
-    """A pass over the documents: adds a part's hits to the bit map and item list, or without a part counts them."""
+
+def count_hits(batches):
+    reader = Words(LETTERS_AND_DIGITS, lower=True)
+    for batch in batches:
+        for a, b in pieces(batch["text"]):
+            rows = batch.slice(a, b - a)
+            n_words = reader.read(rows["text"]).per_row()
+            bounds = np.concatenate(([0], np.cumsum(n_words)))
+            flags = np.concatenate(([0], np.cumsum(hit_words(rows, bounds))))
+            yield pa.RecordBatch.from_arrays([rows["key"], pa.array(n_words), pa.array(np.diff(flags[bounds])), rows[ITEMS]], ["key", "n_words", "n_hit", ITEMS])
+
+
+def searcher(shared, text: str, window: int):
+    """One pass over the documents for one part of the benchmark: adds to the bit maps and item lists."""
 
     def run(batches):
         reader = Words(LETTERS_AND_DIGITS, lower=True)
-        items = shared.value if shared else []
-        names = [k for k, _ in items]
-        tables = compile_patterns([(i, t) for i, (_, t) in enumerate(items)], window) if shared else []
+        names = [k for k, _ in shared.value]
+        tables = compile_patterns([(i, t) for i, (_, t) in enumerate(shared.value)], window)
         for batch in batches:
-            for a, b in pieces(batch["text"]):
+            for a, b in pieces(batch[text]):
                 rows = batch.slice(a, b - a)
-                spans = reader.read(rows["text"])
-                n_words = spans.per_row()
-                bounds = np.concatenate(([0], np.cumsum(n_words)))
-                hit = np.zeros(len(spans.row), bool)
-                for i, before in enumerate(rows["hit"]):
-                    if before.is_valid:
-                        hit[bounds[i] : bounds[i + 1]] = np.unpackbits(np.frombuffer(before.as_buffer(), np.uint8), count=int(n_words[i]))
-                if not shared:
-                    counted = np.bincount(spans.row[hit], minlength=b - a)
-                    yield pa.RecordBatch.from_arrays([rows["key"], pa.array(n_words), pa.array(counted), rows["items"]], ["key", "n_words", "n_hit", "items"])
-                    continue
+                spans = reader.read(rows[text])
+                bounds = np.concatenate(([0], np.cumsum(spans.per_row())))
+                hit = hit_words(rows, bounds)
                 found: dict[int, set[str]] = {}
                 for table in tables:
                     at, which = table.search(spans.hash, bounds)
@@ -163,18 +190,13 @@ def searcher(shared, window: int):
                         if b" ".join(spans.raw[i:j].tobytes() for i, j in zip(spans.start[s:e], spans.end[s:e], strict=True)) == table.texts[p]:
                             hit[s:e] = True
                             found.setdefault(int(spans.row[s]), set()).update(names[o] for o in table.owners[p])
-                touched = np.bincount(spans.row[hit], minlength=b - a) > 0
-                maps = [np.packbits(hit[i:j]).tobytes() if t else None for i, j, t in zip(bounds[:-1], bounds[1:], touched, strict=True)]
                 if found:
-                    lists = [sorted({*(old or []), *found.get(i, ())}) for i, old in enumerate(rows["items"].to_pylist())]
-                    lists = pa.array(lists, pa.list_(pa.string()))
-                else:
-                    lists = rows["items"]
-                yield pa.RecordBatch.from_arrays([rows["key"], rows["text"], pa.array(maps, pa.binary()), lists], ["key", "text", "hit", "items"])
+                    touched = np.bincount(spans.row[hit], minlength=b - a) > 0
+                    maps = [np.packbits(hit[i:j]).tobytes() if t else None for i, j, t in zip(bounds[:-1], bounds[1:], touched, strict=True)]
+                    lists = [sorted({*(old or []), *found.get(i, ())}) for i, old in enumerate(rows[ITEMS].to_pylist())]
+                    for name, values in ((HIT, maps), (ITEMS, lists)):
+                        at = rows.schema.get_field_index(name)
+                        rows = rows.set_column(at, rows.schema.field(at), pa.array(values, rows.schema.field(at).type))
+                yield rows
 
     return run
-
-
-def items_digest(items):
-    """SHA-256 of the comma-joined item ids."""
-    return F.sha2(F.concat_ws(",", items), 256)
