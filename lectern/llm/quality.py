@@ -21,7 +21,7 @@ from lectern.llm.words import BASE, BLANK_SEPARATED, Words, mix, pieces
 BUCKET_BITS = 16
 DIM = 16
 EPOCHS = 8
-RATE = 2.0
+RATE = 0.5
 TRAIN_ROWS = 6000  # labelled rows the model is fitted on, about
 GRAMS = (3, 4)
 
@@ -125,6 +125,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     return fit([(bytes(r["bucket"]), bytes(r["share"]), r["y"]) for r in rows])
 
 
+def scores(reader: Words, model: Model, texts: pa.Array) -> np.ndarray:
+    """Probability of class 1 of every text."""
+    rows, found = buckets(reader, texts)
+    total = np.bincount(rows, model.weight[found], len(texts))
+    z = model.bias + total / np.maximum(np.bincount(rows, minlength=len(texts)), 1)
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """(key, score, predicted) per row: the probability of class 1, and 1 where it reaches the threshold.
 
@@ -136,15 +144,26 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     def predict(batches):
         reader = Words(BLANK_SEPARATED)
-        weight, bias = shared.value
+        known = Model(*shared.value)
         for batch in batches:
             for a, b in pieces(batch["text"]):
                 part = batch.slice(a, b - a)
-                rows, found = buckets(reader, part["text"])
-                total = np.bincount(rows, weight[found], b - a)
-                z = bias + total / np.maximum(np.bincount(rows, minlength=b - a), 1)
-                score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                score = scores(reader, known, part["text"])
                 yield pa.RecordBatch.from_arrays([part["key"], pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["key", "score", "predicted"])
 
     schema = with_fields(source.select("key").schema, "score double, predicted int")
     return source.mapInArrow(predict, schema).withColumnRenamed("key", key)
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold; as `classify` scores them."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+
+    def keep(batches):
+        reader, known = Words(BLANK_SEPARATED), Model(*shared.value)
+        for batch in batches:
+            for a, b in pieces(batch[text]):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(scores(reader, known, part[text]) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

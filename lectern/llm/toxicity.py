@@ -23,6 +23,7 @@ TRAIN_ROWS = 20000  # labelled rows the lexicon is learned from, about
 LEXICON = 5000  # entries at most
 STEM = (4, 5, 6)  # lengths of word beginnings
 SUPPORT = 5  # toxic documents that an entry needs
+UNTRAINED = -3.0  # bias of a lexicon that nothing was learned for
 PURITY = 0.8  # share of toxic documents among those that hold an entry
 
 # Letters that look like a Latin letter, and digits and signs that stand for one.
@@ -115,7 +116,7 @@ def learn_lexicon(
 
     An entry occurs in SUPPORT toxic documents and in few clean ones; beginnings stand for the longer entries they
     cover. Exception phrases are the given ones, and pairs of a word and a hit (in either order) that mostly clean documents hold.
-    Without labelled rows the lexicon is empty and every score 0.5 or below.
+    Without labelled rows the lexicon is empty and every score low.
     """
     sample = sampled(docs, labels, label, train_rows, key, text)
     strong = counted(sample, lambda: lambda t: evidence(set(t.split())))
@@ -163,7 +164,7 @@ def learn_lexicon(
 def calibrate(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Scale and bias of a logistic curve through (strength, label, count), by Newton steps with a slight pull to zero."""
     if not points:
-        return 1.0, 0.0
+        return 1.0, UNTRAINED
     x, y, n = (np.array(c, float) for c in zip(*points, strict=True))
     features = np.stack((x, np.ones_like(x)), 1)
     w = np.zeros(2)
