@@ -21,18 +21,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast a table only after counting that it is small; otherwise leave the join to the planner.
-
-    The count stops at the limit, so it never scans a large table.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+TEXT_PARTITIONS = "spark.lectern.textPartitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that arrives in fewer splits than there are cores.
+    """Deal a text table out to the number of partitions that the session asks for; unset, it is read as it lies.
 
-    A large input has many more splits than cores and passes unchanged, without a shuffle.
+    Only for inputs kept in fewer splits than there are cores, such as one small file. Such a file cannot be split below
+    its row groups, so it needs a shuffle of its texts to keep all cores busy; tables of many files do not.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df

@@ -89,6 +89,8 @@ def split_segments(docs: DataFrame, policy: ChunkPolicy = DEFAULT_CHUNKS) -> Dat
             p["n_chars"].alias("n_chars"),
             p["n_tokens"].alias("n_tokens"),
             sep.alias("sep"),
+            this["kind"].alias("kind"),
+            T.utf16_length(this["text"]).alias("segment_chars"),
         )
 
     return pin(split, "pieces", F.transform("_split", piece)).drop("_split")

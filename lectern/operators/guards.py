@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import net
 from lectern.functions import text as T
-from lectern.functions.plan import broadcast_checked, let
+from lectern.functions.plan import let
 from lectern.operators.html import resolve_url
 from lectern.policies import FETCH_TIMEOUT_MS, MAX_REDIRECTS, MAX_RESPONSE_BYTES
 
@@ -110,8 +110,9 @@ def flag_blocked(df: DataFrame, cidr: DataFrame, address: str = "address") -> Da
     quad = net.ipv4_to_long(net.trailing_ipv4(value))
     key = let(quad, lambda q: F.when(q.isNotNull(), F.lower(F.lpad(F.hex(q), 8, "0"))).otherwise(net.ipv6_to_hex(value)))
     keyed = df.withColumn("_key", key).withColumn("_v", F.when(F.length("_key") == 8, 4).when(F.length("_key") == 32, 6))
-    # A few address families hold most rows, so this join must not shuffle on the octet.
-    ranges = broadcast_checked(cidr.select(F.col("version").alias("_v"), F.col("octet").alias("_octet"), "ranges"))
+    # A few address families hold most rows, so this join must not shuffle on the octet. Two versions of 256 octets make
+    # 512 rows at most.
+    ranges = F.broadcast(cidr.select(F.col("version").alias("_v"), F.col("octet").alias("_octet"), "ranges"))
     joined = keyed.withColumn("_octet", F.left("_key", F.lit(2))).join(ranges, ["_v", "_octet"], "left")
     inside = F.exists(
         F.coalesce("ranges", F.array().cast("array<struct<lo:string,hi:string>>")),
@@ -178,22 +179,57 @@ def classify_fetch(crawl: DataFrame) -> DataFrame:
     return crawl.withColumn("_f", verdict).select(*crawl.columns, "_f.*")
 
 
-def resolve_redirects(crawl: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
+def judged_hosts(responses: DataFrame, dns: DataFrame, cidr: DataFrame, *columns: str) -> DataFrame:
+    """Adds `<column>_code` and `<column>_message` for the hosts of address columns; null when they may be fetched.
+
+    Every distinct host is judged once; the verdicts are unique per host, so a host with most of the rows only repeats
+    the side that adaptive execution can split.
+    """
+    hosts = None
+    for c in columns:
+        own = responses.select(net.url_host(F.col(c)).alias("host")).filter("host is not null").distinct()
+        hosts = own if hosts is None else hosts.union(own)
+    verdicts = host_verdict(hosts.distinct(), dns, cidr).filter("error_code is not null")
+    out = responses
+    for c in columns:
+        known = verdicts.select(F.col("host").alias("_host"), F.col("error_code").alias(f"{c}_code"), F.col("error_message").alias(f"{c}_message"))
+        out = out.withColumn("_host", net.url_host(F.col(c))).join(known, "_host", "left").drop("_host")
+    return out
+
+
+def resolve_redirects(
+    crawl: DataFrame, max_redirects: int = MAX_REDIRECTS, dns: DataFrame | None = None, cidr: DataFrame | None = None
+) -> DataFrame:
     """Every crawled address followed to its end: (url, final_url, hops, verdict, error_code, error_message).
 
-    `crawl` has one row per address. Responses that are no redirect need no join at all. The rest walk the log once
-    per hop; a finished walk keeps a key of its own that matches nothing, so no hop piles rows up on one key.
+    `crawl` has one row per address. With `dns(host, address)` and address ranges, the host of the first address and of
+    every hop is judged before it counts as fetched, and a walk that meets a forbidden one ends there. Responses that
+    are no redirect need no walk at all. The rest walk the log once per hop; a finished walk keeps a key of its own that
+    matches nothing. Many redirects to one address (a login page) share a key while they walk; the log's side is unique,
+    so adaptive execution splits them.
     """
     ends = ("verdict", "error_code", "error_message")
     judged = classify_fetch(crawl).withColumn(
         "target", F.when(F.col("verdict") == "redirect", resolve_url(F.col("url"), F.col("location")))
     )
-    judged = judged.select("url", "target", F.when(F.col("target").isNotNull(), url_error(F.col("target"))).alias("target_error"), *ends)
+    problem = F.when(F.col("target").isNotNull(), url_error(F.col("target")))
+    judged = judged.select("url", "target", problem.alias("target_error"), F.when(problem.isNotNull(), "INVALID_URL").alias("target_code"), *ends)
+    if dns is not None:
+        hosts = judged_hosts(judged.withColumnRenamed("target_code", "_code").withColumnRenamed("target_error", "_error"), dns, cidr, "url", "target")
+        closed = F.col("url_code").isNotNull()
+        judged = hosts.select(
+            "url",
+            F.when(~closed, F.col("target")).alias("target"),
+            F.coalesce("_error", "target_message").alias("target_error"),
+            F.coalesce("_code", "target_code").alias("target_code"),
+            F.when(closed, "error").otherwise(F.col("verdict")).alias("verdict"),
+            F.when(closed, F.col("url_code")).otherwise(F.col("error_code")).alias("error_code"),
+            F.when(closed, F.col("url_message")).otherwise(F.col("error_message")).alias("error_message"),
+        )
     straight = judged.filter("verdict <> 'redirect'").select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), *ends)
-    log = judged.select(F.col("url").alias("_at"), *[F.col(c).alias(f"_{c}") for c in ("target", "target_error", *ends)])
-    walk = judged.filter("verdict = 'redirect'").select(
-        "url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), "target", "target_error", *ends
-    )
+    step = ("target", "target_error", "target_code")
+    log = judged.select(F.col("url").alias("_at"), *[F.col(c).alias(f"_{c}") for c in (*step, *ends)])
+    walk = judged.filter("verdict = 'redirect'").select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), *step, *ends)
     unreadable = "UNREADABLE_CONTENT"
     for hop in range(1, max_redirects + 1):
         going = F.col("verdict") == "redirect"
@@ -219,11 +255,12 @@ def resolve_redirects(crawl: DataFrame, max_redirects: int = MAX_REDIRECTS) -> D
             F.when(going, hop).otherwise(F.col("hops")).alias("hops"),
             F.col("_target").alias("target"),
             F.col("_target_error").alias("target_error"),
+            F.col("_target_code").alias("target_code"),
             settle("verdict", F.lit("error"), "error", "error"),
-            settle("error_code", F.lit("INVALID_URL"), unreadable, unreadable),
+            settle("error_code", F.col("target_code"), unreadable, unreadable),
             settle("error_message", F.col("target_error"), MESSAGES["FETCH_FAILED"], MESSAGES["TOO_MANY_REDIRECTS"]),
         )
-    return straight.unionByName(walk.drop("target", "target_error"))
+    return straight.unionByName(walk.drop(*step))
 
 
 def validate_article(articles: DataFrame) -> DataFrame:

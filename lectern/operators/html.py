@@ -26,13 +26,14 @@ UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template)\b[^>]*>.*?(?
 TAG = r"""(?s)</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*>|<[!?][^>]*>"""
 
 
-_NUMERIC = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+_NUMERIC = r"&#([xX][0-9a-fA-F]+|[0-9]+);"
 
 
 def _spell(code: Column) -> Column:
     """The character of a numeric reference; a replacement character when there is none."""
     is_hex = F.lower(F.left(code, F.lit(1))) == "x"
-    point = F.when(is_hex, F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("int")
+    digits = F.regexp_replace(code, r"\A[xX]?0*", "")  # any number of leading zeros
+    point = F.when(F.length(digits) <= 8, F.when(is_hex, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10))).cast("long")
     return let(
         point,
         lambda p: F.decode(
@@ -216,12 +217,22 @@ def resolve_url(base: Column, ref: Column) -> Column:
             .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), ref))
         )
 
-    # Dot steps: "/./" goes, "/x/../" goes with its folder; one pass per level of nesting.
-    out = let(F.regexp_replace(base, r"[?#].*\z", ""), join)
-    for _ in range(4):
-        out = F.regexp_replace(out, r"\A([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*?)/\./", "$1/")
-        out = F.regexp_replace(out, r"\A([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(?:/[^?#]*?)??)(?:/(?!\.\./)[^/?#]+)?/\.\./", "$1/")
-    return F.when(ref.isNotNull(), out)
+    return F.when(ref.isNotNull(), let(let(F.regexp_replace(base, r"[?#].*\z", ""), join), _without_dot_steps))
+
+
+def _without_dot_steps(url: Column) -> Column:
+    """An address whose path has no `.` or `..` step left; a step above the root stays at the root."""
+    parts = r"(?s)\A([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)/([^?#]*)(.*)\z"
+    steps = F.split(F.regexp_extract(url, parts, 2), "/")
+
+    def walk(done: Column, step: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(step == ".", done).when(step == "..", up).otherwise(F.array_append(done, step))
+
+    last = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    path = F.array_join(F.concat(F.aggregate(steps, F.array().cast("array<string>"), walk), last), "/")
+    clean = F.concat(F.regexp_extract(url, parts, 1), F.lit("/"), path, F.regexp_extract(url, parts, 3))
+    return F.when(url.rlike(r"\A[a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/\.\.?(?:/|[?#]|\z)"), clean).otherwise(url)
 
 
 def check_assets(refs: DataFrame, fetched: DataFrame, key: str = "page_id") -> DataFrame:
@@ -229,7 +240,11 @@ def check_assets(refs: DataFrame, fetched: DataFrame, key: str = "page_id") -> D
 
     `fetched(asset_url, status)` has one row per address, so a hot asset only repeats the probe side of the join.
     """
-    joined = refs.join(fetched.select("asset_url", "status"), "asset_url", "left")
+    status = fetched.select("asset_url", "status")
+    # Rows without a reference join nothing, and would otherwise all meet in one task.
+    joined = refs.filter("asset_url is not null").join(status, "asset_url", "left").unionByName(
+        refs.filter("asset_url is null").withColumn("status", F.lit(None).cast(status.schema["status"].dataType))
+    )
     verdict = (
         F.when(F.col("ref").isNull(), "no_assets")
         .when(F.col("status").between(200, 299), "ok")

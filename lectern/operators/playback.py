@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from lectern import policies as P
 from lectern.functions import text as T
-from lectern.functions.plan import broadcast_checked
 from lectern.operators.scan import BLOCK, running
 from lectern.schemas import CURSOR_DDL
 
@@ -223,8 +222,8 @@ def resolve_voice(prefs: DataFrame, voices: DataFrame) -> DataFrame:
     """Adds `resolved_voice` and `warning`. `prefs(provider, voice)`, `voices(provider, id, name, ord)`."""
     wanted = prefs.withColumn("_want", F.when(F.col("provider") == NEURAL, renamed_voice(F.col("voice"))).otherwise(F.col("voice")))
     listed = voices.select("provider", F.col("id").alias("_want"), F.lit(True).alias("_known")).distinct()
-    joined = wanted.join(broadcast_checked(listed), ["provider", "_want"], "left").join(
-        broadcast_checked(default_voices(voices)), "provider", "left"
+    joined = wanted.join(listed, ["provider", "_want"], "left").join(
+        default_voices(voices), "provider", "left"
     )
     fallback = F.concat(F.lit(' for '), "provider", F.lit('; switched to "'), F.col("_d.name"), F.lit('".'))
     spoken = F.coalesce(F.nullif("voice", F.lit("")))
@@ -264,7 +263,7 @@ def migrate_preferences(prefs: DataFrame, system_voices: DataFrame, neural_activ
     )
     listed = system_voices.select(F.col("id").alias("_moved"), F.lit(True).alias("_listed")).distinct()
     first = system_voices.agg(F.min_by("id", "ord").alias("first")).scalar()
-    matched = moved.join(broadcast_checked(listed), "_moved", "left")
+    matched = moved.join(listed, "_moved", "left")
     voice = F.when((F.col("provider") == SYSTEM) & F.col("_listed").isNull(), F.coalesce(first, F.col("_moved"))).otherwise(F.col("_moved"))
     stored = F.col("precision")
     precision = (

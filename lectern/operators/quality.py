@@ -44,9 +44,11 @@ def playable_mime(mime: Column) -> Column:
 def validate_synth_output(outputs: DataFrame) -> DataFrame:
     """Adds `verdict`: null when good, else the first failing check.
 
-    Reads n_bytes, mime, header (at least 12 bytes), duration_s, n_samples and rms; a null duration means that nothing
-    could decode the audio here, which skips the last three checks.
+    Reads n_bytes, mime, header (at least 12 bytes; null counts as corrupt), duration_s, n_samples and rms, and
+    optionally decode_failed, which tells that a decoder was there but could not read the audio. A null duration without
+    it means that nothing could decode the audio here, which skips the last three checks.
     """
+    failed = F.coalesce(F.col("decode_failed"), F.lit(False)) if "decode_failed" in outputs.columns else F.lit(False)
     mime = playable_mime(F.col("mime"))
     head = F.lower(F.hex(F.substring(F.col("header"), 1, 4)))
     tag = F.lower(F.hex(F.substring(F.col("header"), 9, 4)))
@@ -56,7 +58,8 @@ def validate_synth_output(outputs: DataFrame) -> DataFrame:
         F.when(F.col("n_bytes") == 0, "empty_audio")
         .when(F.col("n_bytes") < P.MIN_AUDIO_BYTES, F.concat(F.lit("suspicious_size_"), F.col("n_bytes").cast("string")))
         .when(~F.lower(T.js_trim(mime)).isin(*WAV_TYPES), F.concat(F.lit("unsupported_mime_type_"), mime))
-        .when((head != RIFF) | (tag != WAVE), "obvious_corruption_signal")
+        .when(F.coalesce((head != RIFF) | (tag != WAVE), F.lit(True)), "obvious_corruption_signal")
+        .when(failed, "decode_error")
         .when(decoded & (~N.is_finite(duration) | (duration < P.MIN_AUDIO_SECONDS)), "suspicious_duration")
         .when(decoded & (F.col("n_samples") == 0), "empty_decoded_audio")
         .when(decoded & (~N.is_finite(rms) | (rms < P.MIN_RMS)), "near_silent_audio")

@@ -12,6 +12,7 @@ from lectern.functions import hashing
 from lectern.functions import numbers as N
 from lectern.functions import text as T
 from lectern.operators.chunking import split_for_retry
+from lectern.policies import PREEMPTIVE_CHUNKS
 
 
 def with_cache_key(segments: DataFrame, provider: Column, runtime: Column, dtype: Column, voice: Column, rate: Column) -> DataFrame:
@@ -70,10 +71,12 @@ def retry_prefix_check(segments: DataFrame, cache: DataFrame, retries: DataFrame
 
 
 def _schedule(split: DataFrame, attempts: int, max_depth: int) -> DataFrame:
+    """Attempt rows of failing segments with their `_parts`; other columns of `split` stay."""
     rows = split.withColumn(
         "_outcome", F.when((F.col("split_depth") < max_depth) & (F.size("_parts") >= 2), "split").otherwise("exhausted")
     ).select("*", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
     last = F.col("attempt") == attempts
+    others = [c for c in split.columns if c not in ("segment_id", "split_depth", "text", "reason", "_parts")]
     return rows.select(
         "segment_id",
         "split_depth",
@@ -84,16 +87,18 @@ def _schedule(split: DataFrame, attempts: int, max_depth: int) -> DataFrame:
         F.when(last & (F.col("_outcome") == "exhausted"), F.concat(F.lit("regen_exhausted: "), "reason"))
         .otherwise(F.col("reason"))
         .alias("message"),
+        *others,
     )
 
 
 def _children(split: DataFrame, max_depth: int) -> DataFrame:
     parts = split.filter((F.col("split_depth") < max_depth) & (F.size("_parts") >= 2))
-    exploded = parts.select("segment_id", "reason", "split_depth", F.posexplode("_parts").alias("_i", "_t"))
+    others = [c for c in split.columns if c not in ("segment_id", "split_depth", "text", "_parts")]
+    exploded = parts.select("segment_id", "split_depth", *others, F.posexplode("_parts").alias("_i", "_t"))
     return exploded.select(
         F.concat("segment_id", F.lit("::chunk_"), F.col("_i").cast("string")).alias("segment_id"),
         F.col("_t").alias("text"),
-        "reason",
+        *others,
         (F.col("split_depth") + 1).alias("split_depth"),
     )
 
@@ -105,7 +110,8 @@ def retry_schedule(failures: DataFrame, attempts: int = P.SYNTH_ATTEMPTS, max_de
     The last attempt either splits the text and goes one level deeper or gives up. Reads segment_id, text, reason and
     split_depth.
     """
-    return _schedule(split_for_retry(failures, "text", "_parts"), attempts, max_depth)
+    needed = failures.select("segment_id", "text", "reason", "split_depth")
+    return _schedule(split_for_retry(needed, "text", "_parts"), attempts, max_depth)
 
 
 def retry_children(failures: DataFrame, max_depth: int = P.MAX_SPLIT_DEPTH) -> DataFrame:
@@ -113,16 +119,55 @@ def retry_children(failures: DataFrame, max_depth: int = P.MAX_SPLIT_DEPTH) -> D
     return _children(split_for_retry(failures, "text", "_parts"), max_depth)
 
 
-def retry_rounds(segments: DataFrame, fails: Callable[[Column], Column], reason: str, max_depth: int = P.MAX_SPLIT_DEPTH) -> DataFrame:
-    """All attempt rows when `fails(text)` says which texts cannot be synthesised; at most max_depth + 1 narrow rounds."""
-    level = segments.select("segment_id", "text", F.lit(reason).alias("reason"), F.lit(0).alias("split_depth"))
-    out = None
-    for _ in range(max_depth + 1):
-        split = split_for_retry(level.filter(fails(F.col("text"))), "text", "_parts")
-        rows = _schedule(split, P.SYNTH_ATTEMPTS, max_depth)
-        out = rows if out is None else out.unionByName(rows)
-        level = _children(split, max_depth)
-    return out
+def retry_rounds(
+    segments: DataFrame, fails: Callable[[Column], Column], reason: str, folder: str, max_depth: int = P.MAX_SPLIT_DEPTH,
+    other_fails: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """All events of synthesising `segments(segment_id, text)` when `fails(text)` says which texts come out bad.
+
+    Rows as in `retry_schedule`, with these outcomes: `split` of an over-long segment before any attempt (attempt null),
+    `downgrade` of an attempt that is repeated on the other runtime, `retry`, `split` and `exhausted` after the
+    attempts, and `regenerated` when all parts of a split came out well. `other_fails` judges the other runtime; without
+    it there is none. Each of the at most max_depth + 2 levels is written once under `folder`, on shared storage, so no level is
+    computed twice.
+    """
+    spark = segments.sparkSession
+    named = segments.select("segment_id", "text", F.lit(reason).alias("reason"), F.lit(0).alias("split_depth"), F.array("segment_id").alias("line"))
+    trimmed = T.js_trim(F.col("text"))
+    long = (T.utf16_length(trimmed) > PREEMPTIVE_CHUNKS.max_chars) | (T.estimate_tokens(trimmed) > PREEMPTIVE_CHUNKS.max_tokens)
+    cut = split_for_retry(named.withColumn("_long", F.when(long, trimmed)), "_long", "_parts", PREEMPTIVE_CHUNKS).drop("_long")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    first = kept(cut, "first")
+    ahead = first.filter(F.size("_parts") >= 2)
+    none = F.lit(None).cast("int")
+    event = lambda df, attempt, outcome, count: df.select(
+        "segment_id", "split_depth", attempt.alias("attempt"), F.lit(None).cast(delay).alias("delay_ms"), F.lit(outcome).alias("outcome"),
+        count.alias("chunk_count"), F.when(F.lit(outcome == "downgrade"), F.lit(reason)).alias("message"), "line",
+    )
+    delay = _schedule(ahead, 1, max_depth).schema["delay_ms"].dataType
+    out = event(ahead, none, "split", F.size("_parts"))
+    below = lambda df: df.withColumn("line", F.array_append("line", F.col("segment_id")))
+    later = below(_children(ahead, max_depth))
+    level = first.filter(F.size("_parts") < 2).drop("_parts")
+    for depth in range(max_depth + 1):
+        bad = level.filter(fails(F.col("text")))
+        if other_fails is not None:
+            # One downgrade for each attempt; a text that the other runtime can speak needs no second attempt.
+            tries = F.when(other_fails(F.col("text")), P.SYNTH_ATTEMPTS).otherwise(1)
+            lowered = bad.select("*", F.explode(F.sequence(F.lit(1), tries)).alias("attempt"))
+            out = out.unionByName(event(lowered, F.col("attempt"), "downgrade", none))
+            bad = bad.filter(other_fails(F.col("text")))
+        split = kept(split_for_retry(bad, "text", "_parts"), f"level_{depth}")
+        out = out.unionByName(_schedule(split, P.SYNTH_ATTEMPTS, max_depth))
+        children = below(_children(split, max_depth))
+        level = children.unionByName(later) if depth == 0 else children
+    lost = out.filter("outcome = 'exhausted'").select(F.explode("line").alias("segment_id")).distinct()
+    well = out.filter("outcome = 'split'").join(lost, "segment_id", "left_anti")
+    return out.unionByName(event(well, none, "regenerated", F.col("chunk_count"))).drop("line")
 
 
 # Outcome texts of a full-document export.
@@ -166,8 +211,13 @@ def synthesize(segments: DataFrame, model: Callable[[Iterator], Iterator], schem
 
 def synthesize_missing(segments: DataFrame, cache: DataFrame, model: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """Only segments without a ready result reach the model, each distinct request once."""
+    return synthesize(pending_segments(segments, cache), model, schema)
+
+
+def pending_segments(segments: DataFrame, cache: DataFrame) -> DataFrame:
+    """The segments to synthesise: those without a ready result, one row per distinct request."""
     ready = cache.filter("status = 'ready'").select("cache_key")
-    return synthesize(segments.join(ready, "cache_key", "left_anti").dropDuplicates(["cache_key"]), model, schema)
+    return segments.dropDuplicates(["cache_key"]).join(ready, "cache_key", "left_anti")
 
 
 def estimated_tokens(segments: DataFrame) -> DataFrame:

@@ -184,8 +184,7 @@ def degraded_transitions(events: DataFrame) -> DataFrame:
         .groupBy("provider_from", "provider_to", "fallback_code")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # The counted table has one row per (from, to, code); the code taxonomy is fixed, so its total is a tiny window.
-    return counted.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    return counted.withColumn("share", F.col("n") / counted.agg(F.sum("n")).scalar())
 
 
 def retry_summary(events: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import net
 from lectern.functions import text as T
 from lectern.operators import chunking, documents, guards, html, markdown
 from lectern.policies import DEFAULT_CHUNKS, PLAIN_READING, ChunkPolicy, ReadPolicy
@@ -89,16 +88,10 @@ def corpus(raw_docs: DataFrame, read: ReadPolicy = PLAIN_READING, chunks: ChunkP
 def read_crawl(crawl: DataFrame, dns: DataFrame, cidr: DataFrame, bodies: DataFrame) -> DataFrame:
     """Crawled addresses to article documents.
 
-    Addresses are followed to their end and their hosts are checked first, on narrow rows; page bodies are joined only
-    for addresses that passed. `bodies(url, html)`, `dns(host, address)`.
+    Addresses are followed to their end and the host of every hop is checked first, on narrow rows; page bodies are
+    joined only for addresses that passed. `bodies(url, html)`, `dns(host, address)`.
     """
-    ends = guards.resolve_redirects(crawl).withColumn("host", net.url_host(F.col("final_url")))
-    hosts = guards.host_verdict(ends.select("host").distinct(), dns, cidr)
-    safe = (
-        ends.filter("verdict = 'ok'")
-        .join(hosts.filter("error_code is null").select("host"), "host", "left_semi")
-        .select("url", "final_url")
-    )
+    safe = guards.resolve_redirects(crawl, dns=dns, cidr=cidr).filter("verdict = 'ok'").select("url", "final_url")
     # Each body is read once, however many addresses lead to it.
     wanted = safe.select("final_url").distinct()
     pages = bodies.select(F.col("url").alias("final_url"), "html").join(wanted, "final_url", "left_semi")

@@ -15,10 +15,10 @@ from lectern.functions.plan import spread
 DERIVED: dict[str, tuple[str, str | None]] = {
     "para_docs": ("select doc_id, lang, replace(text, chr(10), concat(chr(10), chr(10))) as raw from {documents}", None),
     "md_docs": (
-        "select doc_id, array_join(transform(split(text, chr(10)), (l, i) -> case (i + 1) % 5 when 1 then concat('## ', left(l, 60))"
+        "select doc_id, array_join(transform(split(text, chr(10)), (l, i) -> case (i + 1) % 5 when 1 then concat('## ', l)"
         " when 2 then l when 3 then concat('- ', l) when 4 then concat('> ', l)"
         " else concat('```sql', chr(10), l, chr(10), '```') end), concat(chr(10), chr(10))) as raw from {documents}",
-        "select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: case i % 5 when 1 then concat('## ', left(l, 60))"
+        "select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: case i % 5 when 1 then concat('## ', l)"
         " when 2 then l when 3 then concat('- ', l) when 4 then concat('> ', l)"
         " else concat('```sql', chr(10), l, chr(10), '```') end), concat(chr(10), chr(10))) as raw from {documents}",
     ),
@@ -46,7 +46,7 @@ DERIVED: dict[str, tuple[str, str | None]] = {
     "crawl_log": (
         "select page_id, concat('https://c.example/', cast(page_id as varchar(20))) as url,"
         " case page_id % 10 when 0 then 404 when 1 then 301 when 2 then 302 when 3 then 503 else 200 end as status,"
-        " case when page_id % 10 = 1 and page_id % 30 <> 1 then concat('https://c.example/', cast(page_id + 1 as varchar(20)))"
+        " case when page_id % 70 = 1 then 'http://10.0.0.1/x' when page_id % 70 = 2 then 'https://quiet.example/x' when page_id % 10 = 1 and page_id % 30 <> 1 then concat('https://c.example/', cast(page_id + 1 as varchar(20)))"
         " when page_id % 10 = 2 then concat('https://c.example/', cast(page_id + 10 as varchar(20))) end as location,"
         " case when page_id % 9 = 0 then 'application/pdf' else 'text/html; charset=utf-8' end as content_type,"
         " case when page_id % 11 = 0 then 3000000 else length(html) end as n_bytes from {pages}",
@@ -116,7 +116,7 @@ DERIVED: dict[str, tuple[str, str | None]] = {
         "select concat('profile_', cast(user_id as varchar(20))) as profile_key, event_id as seq,"
         " case when event_type = 'view' then 'clear' else 'mark' end as action,"
         " case when event_id % 13 <> 0 then concat('reason ', cast(event_id % 4 as varchar(20))) end as reason,"
-        " case when event_id % 17 <> 0 then cast(event_id as varchar(20)) end as marked_at from {events} where event_id % 3 = 0",
+        " case when event_id % 17 <> 0 then cast(event_id as varchar(20)) end as marked_at from {events}",
         None,
     ),
 }

@@ -46,15 +46,43 @@ MESSY = (
 
 # --- sources and sinks -------------------------------------------------------------------------------------------
 
-@query("s1_read_text", "select doc_id, text as raw, length(text) as n_units from documents")
+def written_texts(spark, d, value):
+    """One file per document in the shared folder, named by the folder it lies in."""
+    folder = work_folder(spark, "texts")
+    table(spark, d, "documents").select("doc_id", value.alias("value")).write.partitionBy("doc_id").text(folder)
+    return f"{folder}/*/*.txt"
+
+
+def folder_id(path):
+    return F.regexp_extract(path, "doc_id=([0-9]+)", 1).cast("long").alias("doc_id")
+
+
+@query("s1_read_text", "select doc_id, concat(text, chr(10)) as raw, length(text) + 1 as n_units from documents")
+def _(spark, d):
+    read = readers.read_text(spark, written_texts(spark, d, F.col("text")))
+    return read.select(folder_id("path"), "raw", T.utf16_length("raw").alias("n_units"))
+
+
+@query("s2_read_files", "select doc_id, concat(text, chr(65533), chr(10)) as raw, 'text/plain' as mime from documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").alias("raw"), T.utf16_length("text").alias("n_units"))
+    broken = F.concat(F.encode(F.concat(F.lit("\ufeff"), "text"), "UTF-8"), F.unhex(F.lit("FF"))).cast("string")
+    return readers.read_files(spark, written_texts(spark, d, broken), {".txt": "text/plain"}).select(folder_id("path"), "raw", "mime")
 
 
-@query("s2_read_files", "select doc_id, concat(text, chr(65533)) as raw from documents")
+_ARTIFACTS = (
+    "concat('part-', cast(p_partkey as varchar(20))) as id, p_name as packageOrModelName, cast(p_size as varchar(20)) as versionOrHash, p_brand as license, "
+    "concat('https://parts.example/', cast(p_partkey as varchar(20))) as sourceUrl, p_type as attributionText"
+)
+
+
+@query("s7_read_manifest", f"select {_ARTIFACTS} from part")
 def _(spark, d):
-    broken = F.concat(F.encode(F.concat(F.lit("﻿"), "text"), "UTF-8"), F.unhex(F.lit("FF")))
-    return table(spark, d, "documents").select("doc_id", readers.decode_bytes(broken).alias("raw"))
+    """A manifest is one JSON text; here one per brand, so that no task holds all parts."""
+    folder = work_folder(spark, "manifests")
+    entries = sql(spark, d, f"select p_brand, {_ARTIFACTS} from {{part}}")
+    rows = F.collect_list(F.struct(*[c for c in entries.columns if c != "p_brand"])).alias("artifacts")
+    entries.groupBy("p_brand").agg(rows).select(F.to_json(F.struct("artifacts")).alias("value"), "p_brand").write.partitionBy("p_brand").text(folder)
+    return readers.read_manifest(spark, f"{folder}/*/*.txt")
 
 
 @query("s3_read_pages", "select page_id, url, length(html) as n_chars from pages")
@@ -129,12 +157,6 @@ def _(spark, d):
     return messy(spark, d).select("doc_id", T.collapse_whitespace("raw").alias("text"))
 
 
-@query("x5_nfkc", "select doc_id, concat(nfc_normalize(text), '1 fi') as text from documents")
-def _(spark, d):
-    wide = F.concat("text", F.lit("１ ﬁ"))
-    return table(spark, d, "documents").select("doc_id", K.nfkc(wide).alias("text"))
-
-
 @query("x6_fnv1a32", f"select doc_id, {duck.fnv('text')} as hash from documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", K.fnv1a32("text").alias("hash"))
@@ -376,11 +398,10 @@ def _md_sql(with_code: bool, announce: bool, prefix: bool) -> str:
     keep = "" if with_code else "where i % 5 <> 0"
     heading = "concat('Heading level 2: ', t)" if announce else "t"
     item = "concat('Bullet: ', t)" if prefix else "t"
-    clean = duck.decode_entities(duck.normalize("case when i % 5 = 1 then left(l, 60) else l end"))
-    body = duck.normalize("case when i % 5 = 0 then l else concat(case when i % 5 = 1 then left(l, 60) else l end) end")
+    body = duck.normalize("l")
     return f"""with ln as (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents),
 bl as (select doc_id, i, l, {body} as t,
- case i % 5 when 1 then 3 + length(left(l, 60)) when 2 then length(l) when 3 then 2 + length(l) when 4 then 2 + length(l) else 11 + length(l) end as n from ln),
+ case i % 5 when 1 then 3 + length(l) when 2 then length(l) when 3 then 2 + length(l) when 4 then 2 + length(l) else 11 + length(l) end as n from ln),
 so as (select *, sum(n + 2) over (partition by doc_id order by i) - n - 2 as s from bl),
 nm as (select doc_id, i, s, n, row_number() over (partition by doc_id order by i) - 1 as position,
  case i % 5 when 1 then 'heading' when 2 then 'paragraph' when 3 then 'list_item' when 4 then 'blockquote' else 'code' end as block_type,
@@ -413,7 +434,7 @@ def _(spark, d):
 )
 def _(spark, d):
     docs = documents.segment_text(para_docs(spark, d))
-    return docs.select("doc_id", F.array_join("segments.segment_id", " ").alias("ids")).filter("ids <> ''").orderBy("doc_id")
+    return docs.select("doc_id", F.array_join("segments.segment_id", " ").alias("ids")).filter("ids <> ''")
 
 
 @query(
@@ -512,10 +533,7 @@ def _(spark, d):
 )
 def _(spark, d):
     docs = chunking.split_segments(documents.segment_text(para_docs(spark, d)))
-    owners = documents.explode_segments(docs, "doc_id").select("doc_id", "segment_id", "kind", F.length("text").alias("segment_chars"))
-    return chunking.explode_pieces(docs, "doc_id").join(owners, ["doc_id", "segment_id"]).select(
-        "doc_id", "piece_idx", "segment_id", "text", "kind", "segment_chars"
-    )
+    return chunking.explode_pieces(docs, "doc_id").select("doc_id", "piece_idx", "segment_id", "text", "kind", "segment_chars")
 
 
 @query("w1_number_segments", f"{PARA} select doc_id, position, count(*) over (partition by doc_id) as n from seg")

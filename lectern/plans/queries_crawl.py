@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import net
 from lectern.operators import guards, html
-from lectern.plans import duck
+from lectern.plans import duck, ingest
 from lectern.plans.inputs import cte, derive, sql, table
 from lectern.plans.registry import query
 
@@ -58,12 +58,41 @@ w as (select url as beg, url as cur, 0 as hops from v union all
  select w.beg, v.location, w.hops + 1 from w join v on v.url = w.cur where v.status between 300 and 399 and v.m is null and w.hops < 5),
 e as (select beg as url, cur as final_url, hops from w qualify row_number() over (partition by beg order by hops desc) = 1)
 select e.url, e.final_url, hops, case when v.m is null and v.status = 200 then 'ok' else 'error' end as verdict,
- case when v.m is null and v.status = 200 then null else 'UNREADABLE_CONTENT' end as error_code,
- case when v.url is null then 'Fetch failed.' when v.m is not null then v.m when v.status between 300 and 399 then 'Maximum redirects exceeded.' end as error_message
+ case when v.m is null and v.status = 200 then null when e.final_url like 'http://10.%' then 'BLOCKED_HOST' else 'UNREADABLE_CONTENT' end as error_code,
+ case when e.final_url like 'http://10.%' then 'Target host resolves to a blocked IP range.' when e.final_url like 'https://quiet%' then 'Hostname resolved with no records.' when v.url is null then 'Fetch failed.' when v.m is not null then v.m when v.status between 300 and 399 then 'Maximum redirects exceeded.' end as error_message
 from e left join v on v.url = e.final_url""",
 )
 def _(spark, d):
-    return guards.resolve_redirects(derive(spark, d, "crawl_log"))
+    dns = sql(spark, d, _CRAWL_DNS)
+    return guards.resolve_redirects(derive(spark, d, "crawl_log"), dns=dns, cidr=guards.cidr_ranges(spark))
+
+
+# A page's host has one public address; the host `mixed` also has a private one.
+_CRAWL_DNS = (
+    "select distinct 'c.example' as host, '93.184.216.34' as address from {pages} union all "
+    "select distinct concat('h', cast(page_id % 5 as varchar(20)), '.example') as host, '93.184.216.35' as address from {pages} union all "
+    "select distinct 'h3.example' as host, '192.168.0.7' as address from {pages}"
+)
+_SITE = "concat('https://h', cast(page_id % 5 as varchar(20)), '.example/', cast(page_id as varchar(20)))"
+
+
+@query(
+    "crawl_to_articles",
+    f"select concat('https://h', cast(page_id % 5 as varchar), '.example/', cast(page_id as varchar)) as url, "
+    "case when page_id % 6 = 1 then concat('https://h', cast((page_id + 1) % 5 as varchar), '.example/', cast(page_id + 1 as varchar)) else concat('https://h', cast(page_id % 5 as varchar), '.example/', cast(page_id as varchar)) end as final_url, "
+    "1 as n_segments from pages where page_id % 5 <> 3 and page_id % 6 <> 3 and (page_id % 6 <> 1 or ((page_id + 1) % 5 <> 3 and page_id < (select max(page_id) from pages)))",
+)
+def _(spark, d):
+    """Pages behind redirects and forbidden hosts, to article documents."""
+    log = sql(
+        spark, d,
+        f"select {_SITE} as url, case page_id % 6 when 1 then 301 when 3 then 404 else 200 end as status, "
+        "case when page_id % 6 = 1 then concat('https://h', cast((page_id + 1) % 5 as varchar(20)), '.example/', cast(page_id + 1 as varchar(20))) end as location, "
+        "'text/html' as content_type, 10 as n_bytes from {pages}",
+    )
+    bodies = sql(spark, d, f"select {_SITE} as url, html from {{pages}}")
+    found = ingest.read_crawl(log, sql(spark, d, _CRAWL_DNS), guards.cidr_ranges(spark), bodies)
+    return found.select("url", "final_url", F.size("segments").alias("n_segments"))
 
 
 _V4 = "(split_part(q, '.', 1)::bigint * 16777216 + split_part(q, '.', 2)::bigint * 65536 + split_part(q, '.', 3)::bigint * 256 + split_part(q, '.', 4)::bigint)"

@@ -11,6 +11,7 @@ from lectern.operators import audio, playback, quality, synthesis
 from lectern.plans import duck
 from lectern.plans.inputs import cte, derive, sql, table
 from lectern.plans.registry import query
+from lectern.session import work_folder
 
 @query(
     "x10_clamp_rate",
@@ -177,7 +178,7 @@ def _(spark, d):
 @query("u12_retry_rounds")
 def _(spark, d):
     segments = derive(spark, d, "synth_results").select("segment_id", "text")
-    return synthesis.retry_rounds(segments, lambda text: T.utf16_length(text) > 250, "empty blob")
+    return synthesis.retry_rounds(segments, lambda text: T.utf16_length(text) > 250, "empty blob", work_folder(spark, "retries"))
 
 
 @query(
@@ -220,7 +221,7 @@ def _(spark, d):
     "f14_validate_synth_output",
     f"""with {cte('pcm_clips')}, s as (select clip_id, clip_id % 11 as k, sqrt(list_sum(list_transform(ch0, lambda x: x::double * x::double)) / 64) as rms, 64e0 / sample_rate as sec from pcm_clips)
 select clip_id, case when k = 0 then 'empty_audio' when k = 1 then 'suspicious_size_40' when k = 2 then 'unsupported_mime_type_audio/mpeg' when k = 3 then 'obvious_corruption_signal' when k = 4 then 'suspicious_duration'
-when k = 5 then 'empty_decoded_audio' when k = 6 then 'near_silent_audio' when k = 7 then null when rms < 1e-4 then 'near_silent_audio' end as verdict from s""",
+when k = 5 then 'empty_decoded_audio' when k = 6 then 'near_silent_audio' when k = 7 then null when k = 8 then 'decode_error' when k = 10 then 'obvious_corruption_signal' when rms < 1e-4 then 'near_silent_audio' end as verdict from s""",
 )
 def _(spark, d):
     clips = derive(spark, d, "pcm_clips").select("clip_id", (F.col("clip_id") % 11).alias("k"), F.array("ch0").alias("channels"), "sample_rate")
@@ -228,7 +229,8 @@ def _(spark, d):
         "clip_id",
         F.expr("case k when 0 then 0 when 1 then 40 else 1000 end").alias("n_bytes"),
         F.expr("case k when 2 then 'audio/MPEG' when 7 then '' when 8 then ' Audio/X-WAV ' when 9 then 'application/octet-stream' else 'audio/wav' end").alias("mime"),
-        F.expr("case k when 3 then unhex('00494646000000005741564500') else unhex('524946460000000057415645') end").alias("header"),
+        F.expr("case k when 3 then unhex('00494646000000005741564500') when 10 then cast(null as binary) else unhex('524946460000000057415645') end").alias("header"),
+        (F.col("k") == 8).alias("decode_failed"),
         F.expr("case k when 4 then 0.01D when 7 then cast(null as double) else 1D end").alias("duration_s"),
         F.expr("case k when 5 then 0 else n_samples end").alias("n_samples"),
         F.expr("case k when 6 then 0D else rms end").alias("rms"),
@@ -338,28 +340,12 @@ def _(spark, d):
     return audio.clip_stats(clips(spark, d)).select("clip_id", "n_samples", F.round("rms", 6).alias("rms"), "duration_s")
 
 
-def tone(frames):
-    """Stand-in for a speech model: a fixed tone whose length follows the text."""
-    import numpy as np
-    import pandas as pd
-
-    for frame in frames:
-        seconds = frame["text"].str.len() / 40.0
-        yield pd.DataFrame(
-            {
-                "segment_id": frame["segment_id"],
-                "sample_rate": 800,
-                "samples": [np.sin(np.arange(max(1, int(s * 800))) / 9.0).astype("float32").tolist() for s in seconds],
-            }
-        )
-
-
-@query("p4_synthesize")
+@query(
+    "p4_pending_segments",
+    f"{_CACHED} select distinct cache_key from sg where cache_key not in (select cache_key from synth_cache where status = 'ready')",
+)
 def _(spark, d):
-    spoken = synthesis.synthesize_missing(
-        cached_segments(spark, d), derive(spark, d, "synth_cache"), tone, "segment_id string, sample_rate int, samples array<float>"
-    )
-    return spoken.select("segment_id", "sample_rate", F.size("samples").alias("n_samples"))
+    return synthesis.pending_segments(cached_segments(spark, d), derive(spark, d, "synth_cache")).select("cache_key")
 
 
 # --- positions ---------------------------------------------------------------------------------------------------

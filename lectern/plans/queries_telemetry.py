@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lectern.operators import playback, telemetry
 from lectern.plans.inputs import cte, derive, sql
 from lectern.plans.registry import query
+from lectern.session import work_folder
+from lectern.sources import readers
 
 TEL = f"with {cte('telemetry')}"
 _CATEGORY = (
@@ -18,7 +20,10 @@ _CATEGORY = (
 
 @query("s6_read_telemetry", f"{TEL} select session_id, seq, event_ts, type, segment_id, duration_ms, reason, is_underrun from telemetry")
 def _(spark, d):
-    return derive(spark, d, "telemetry")
+    folder = work_folder(spark, "telemetry")
+    derive(spark, d, "telemetry").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(folder)
+    kept = "session_id", "seq", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), "type", "segment_id", "duration_ms", "reason", "is_underrun"
+    return readers.read_telemetry(spark, folder).select(*kept)
 
 
 @query(
@@ -44,20 +49,20 @@ c as (select *, case when contains(failure_message, 'Failed to resolve module sp
  when regexp_matches(failure_message, '(?i)failed to fetch|network|model|\\b(url|uri)\\b|http\\s*(error|status|404|403|500)') then 'KOKORO_MODEL_FETCH_FAILED'
  when coalesce(not has_gpu, false) or regexp_matches(failure_message, '(?i)navigator\\.gpu|webgpu|adapter|requestadapter') then 'WEBGPU_UNAVAILABLE'
  when coalesce(memory_gb < minimum_gb, false) then 'DEVICE_MEMORY_TOO_LOW' when failure_message <> 'Unknown Kokoro failure.' then 'KOKORO_WARMUP_FAILED' else 'UNKNOWN' end as code from m),
-h as (select *, case code when 'DEVICE_MEMORY_TOO_LOW' then 'Requires >= 4GB device memory.' {' '.join(f"when '{k}' then '{v[0]}'" for k, v in telemetry.HINTS.items())} end as hint from c)"""
+h as (select *, case code when 'DEVICE_MEMORY_TOO_LOW' then 'Requires >= 4GB device memory.' {' '.join(f"when '{k}' then '{'|'.join(v)}'" for k, v in telemetry.HINTS.items())} end as hint from c)"""
 
 
-@query("f11_classify_failure", f"with {_CLASSIFIED} select event_id, failure_message, code, coalesce(hint, '') as first_hint from h")
+@query("f11_classify_failure", f"with {_CLASSIFIED} select event_id, failure_message, code, coalesce(hint, '') as hints from h")
 def _(spark, d):
     done = telemetry.classify_failure(sql(spark, d, _FAILURES))
-    return done.select("event_id", "failure_message", "code", F.coalesce(F.get("hints", F.lit(0)), F.lit("")).alias("first_hint"))
+    return done.select("event_id", "failure_message", "code", F.coalesce(F.array_join("hints", "|"), F.lit("")).alias("hints"))
 
 
 @query(
     "f12_fallback_bucket",
     f"with {_CLASSIFIED} select event_id, case when intentional then 'Intentional mode' when code in ('KOKORO_MODULE_RESOLUTION_FAILED', 'KOKORO_MODEL_ID_INVALID', 'KOKORO_MODEL_FETCH_FAILED') then 'Configuration' else 'Capability' end as bucket, "
     f"case when code = 'KOKORO_MODULE_RESOLUTION_FAILED' then '{telemetry.MODULE_REASON}' else failure_message end as shown_reason, "
-    f"case when code = 'KOKORO_MODULE_RESOLUTION_FAILED' then '{telemetry.MODULE_HINT}' else hint end as shown_hint from h",
+    f"case when code = 'KOKORO_MODULE_RESOLUTION_FAILED' then '{telemetry.MODULE_HINT}' else split_part(hint, '|', 1) end as shown_hint from h",
 )
 def _(spark, d):
     done = telemetry.fallback_bucket(telemetry.classify_failure(sql(spark, d, _FAILURES)))

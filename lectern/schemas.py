@@ -40,5 +40,6 @@ TELEMETRY = T.StructType(
         T.StructField("fallback_code", T.StringType()),
         T.StructField("fallback_message", T.StringType()),
         T.StructField("transition", T.StringType()),
+        T.StructField("is_underrun", T.BooleanType()),
     ]
 )

@@ -11,14 +11,14 @@ from lectern.schemas import MANIFEST_DDL, PAYLOAD_DDL, TELEMETRY
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files, one document each: (name, raw)."""
+    """Whole text files, one document each: (path, name, raw)."""
     return spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1).alias("name"), F.col("value").alias("raw")
+        F.input_file_name().alias("path"), F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1).alias("name"), F.col("value").alias("raw")
     )
 
 
 def read_files(spark: SparkSession, path: str, mime: dict[str, str] | None = None) -> DataFrame:
-    """File bytes decoded as UTF-8 with replacement characters: (name, mime, raw). `mime` maps extensions to types."""
+    """File bytes decoded as UTF-8 with replacement characters: (path, name, mime, raw). `mime` maps extensions to types."""
     files = spark.read.format("binaryFile").load(path)
     name = F.url_decode(F.regexp_extract("path", r"([^/]+)\z", 1))
     table = {ext.lower().lstrip("."): kind for ext, kind in (mime or {}).items()}
@@ -26,7 +26,7 @@ def read_files(spark: SparkSession, path: str, mime: dict[str, str] | None = Non
     kind = F.lit("")
     for ext, value in table.items():
         kind = F.when(extension == ext, value).otherwise(kind)
-    return files.select(name.alias("name"), kind.alias("mime"), decode_bytes(F.col("content")).alias("raw"))
+    return files.select("path", name.alias("name"), kind.alias("mime"), decode_bytes(F.col("content")).alias("raw"))
 
 
 def decode_bytes(content: Column) -> Column:

@@ -8,7 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def write_corpus(docs: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Segments (partitioned by kind), chunks and rejects of nested documents as parquet tables under one folder."""
+    """Segments (partitioned by kind), chunks and rejects of nested documents as parquet tables under one folder.
+
+    The nested documents are computed and written once; the flat tables are derived from that copy, which stays as
+    `nested`.
+    """
+    docs.write.mode("overwrite").parquet(f"{path}/nested")
+    docs = docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/nested")
     if "error_code" in docs.columns:
         docs.filter("error_code is not null").select(key, "error_code", "error_message").write.mode("overwrite").parquet(
             f"{path}/rejects"

@@ -161,7 +161,11 @@ def stream_budget(events: DataFrame, width: str = "1 hour", late: str = "10 minu
 
 
 def stream_session_budget(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """The same per burst of activity of each listening session."""
+    """The same per burst of activity of each listening session.
+
+    Bursts are merged on the map side first, so a session with most of the events sends a few rows per task.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         _timed(events, late)
         .groupBy("session_id", F.session_window("event_ts", gap).alias("w"))

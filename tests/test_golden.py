@@ -286,12 +286,62 @@ def test_stitch_small(spark):
     assert samples == [-32768, 32767, 16384, -16384]
 
 
-def test_retry_rounds(spark):
-    text = " ".join(["abcdefghi"] * 60)
-    df = rows(spark, [("s", text), ("ok", "short")], "segment_id string, text string")
-    got = synthesis.retry_rounds(df, lambda t: T.utf16_length(t) > 300, "too long").orderBy("split_depth", "attempt").collect()
-    assert [(r.segment_id, r.split_depth, r.attempt, r.delay_ms, r.outcome, r.chunk_count) for r in got] == [
-        ("s", 0, 1, 180, "retry", None), ("s", 0, 2, 360, "retry", None), ("s", 0, 3, None, "split", 2),
-        ("s::chunk_0", 1, 1, 180, "retry", None), ("s::chunk_0", 1, 2, 360, "retry", None), ("s::chunk_0", 1, 3, None, "exhausted", None),
+def test_retry_rounds(spark, tmp_path):
+    events = lambda df, fails, **more: [
+        (r.segment_id, r.split_depth, r.attempt, r.delay_ms, r.outcome, r.chunk_count)
+        for r in synthesis.retry_rounds(df, fails, "bad", str(tmp_path / "rounds"), **more).collect()
     ]
-    assert got[-1].message == "regen_exhausted: too long"
+    plain = lambda text: F.contains(text, F.lit("zz"))
+    # An over-long segment is split before its first attempt; its parts start at depth 1.
+    long = rows(spark, [("s", " ".join(["abcdefghi"] * 60)), ("ok", "short")], "segment_id string, text string")
+    got = events(long, plain)
+    assert got[0][:5] == ("s", 0, None, None, "split") and got[0][5] >= 2
+    assert got[1] == ("s", 0, None, None, "regenerated", got[0][5]) and len(got) == 2
+    # A failing word run gives up after three attempts, and nothing is regenerated.
+    one = rows(spark, [("w", "zz")], "segment_id string, text string")
+    assert sorted(events(one, plain), key=str) == sorted(
+        [("w", 0, 1, 180, "retry", None), ("w", 0, 2, 360, "retry", None), ("w", 0, 3, None, "exhausted", None)], key=str
+    )
+    # Sentences are halved until only the bad one is left; the good half does not make the whole good.
+    two = rows(spark, [("t", "All is well. But zz is not.")], "segment_id string, text string")
+    done = events(two, plain)
+    assert [e for e in done if e[4] == "split"] == [("t", 0, 3, None, "split", 2)]
+    assert {e[0] for e in done if e[4] == "exhausted"} == {"t::chunk_1"} and not [e for e in done if e[4] == "regenerated"]
+    # Where the other runtime can speak the text, one downgrade is all.
+    assert events(one, plain, other_fails=lambda text: F.lit(False)) == [("w", 0, 1, None, "downgrade", None)]
+    both = events(one, plain, other_fails=plain)
+    assert sorted(e[4] for e in both) == ["downgrade"] * 3 + ["exhausted"] + ["retry"] * 2
+
+
+def test_hosts_of_every_hop_are_judged(spark):
+    log = [
+        ("https://a.example/1", 302, "http://10.0.0.1/x"), ("http://10.0.0.1/x", 302, "https://a.example/2"), ("https://a.example/2", 200, None),
+        ("https://a.example/3", 301, "https://silent.example/"), ("https://a.example/4", 301, "/2"),
+    ]
+    crawl = rows(spark, [(*r, "text/html", 5) for r in log], "url string, status int, location string, content_type string, n_bytes int")
+    dns = rows(spark, [("a.example", "93.184.216.34")], "host string, address string")
+    ends = {r.url: (r.final_url, r.verdict, r.error_code) for r in guards.resolve_redirects(crawl, dns=dns, cidr=guards.cidr_ranges(spark)).collect()}
+    assert ends == {
+        "https://a.example/1": ("http://10.0.0.1/x", "error", "BLOCKED_HOST"),
+        "http://10.0.0.1/x": ("http://10.0.0.1/x", "error", "BLOCKED_HOST"),
+        "https://a.example/2": ("https://a.example/2", "ok", None),
+        "https://a.example/3": ("https://silent.example/", "error", "UNREADABLE_CONTENT"),
+        "https://a.example/4": ("https://a.example/2", "ok", None),
+    }
+
+
+def test_dot_steps_and_numeric_references_have_no_limit(spark):
+    base = "https://h/a/b/c/d/e/f/g/h/i/x.html?q=/../z"
+    refs = {"../" * 8 + "u.js": "https://h/a/u.js", "./" * 6 + "u.js": "https://h/a/b/c/d/e/f/g/h/i/u.js", "../" * 20 + "u.js": "https://h/u.js", "v/..": "https://h/a/b/c/d/e/f/g/h/i/", "/p/../q?x=/../y": "https://h/q?x=/../y"}
+    df = rows(spark, [(base, r) for r in refs], "base string, ref string").select("ref", html.resolve_url(F.col("base"), F.col("ref")).alias("u"))
+    assert {r.ref: r.u for r in df.collect()} == refs
+    text = rows(spark, [("&#00000065;&#x000000000042;&#99999999999;&#xD800;",)], "t string").select(html.decode_entities(F.col("t"))).first()[0]
+    assert text == "AB\ufffd\ufffd"
+
+
+def test_audio_that_cannot_be_judged_is_not_good(spark):
+    header = bytearray(b"RIFF\0\0\0\0WAVE")
+    df = rows(spark, [(1, None, False), (2, header, True), (3, header, False)], "id int, header binary, decode_failed boolean").selectExpr(
+        "*", "1000 as n_bytes", "'audio/wav' as mime", "cast(null as double) as duration_s", "0 as n_samples", "0D as rms"
+    )
+    assert {r.id: r.verdict for r in quality.validate_synth_output(df).collect()} == {1: "obvious_corruption_signal", 2: "decode_error", 3: None}
