@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.plan import let
+from lectern.functions.plan import let, pin
 from lectern.operators.documents import block, finish_segments
 
 # Named character references that are decoded (the ampersand itself comes last).
@@ -87,52 +87,119 @@ def segment_html(pages: DataFrame, html: str = "html") -> DataFrame:
     return finish_segments(read, F.transform(F.array("text"), lambda t, i: block(i, kind, "paragraph", t)))
 
 
-# What the sanitiser forbids and which address forms it accepts. The follow set contains the range
-# from `.` to `:` exactly as the original rule does, so digits and slashes are in it.
-DROPPED_WITH_CONTENT = ("script", "style", "iframe")
-DROPPED_TAGS = ("object", "embed", "link", "meta")
+# Elements dropped with their content, and the elements and attributes that safe HTML and SVG may hold.
+DROPPED_WITH_CONTENT = ("script", "style", "iframe", "noscript", "noembed", "noframes", "template", "title", "xmp")
+HTML_ELEMENTS = (
+    "a", "abbr", "address", "area", "article", "aside", "audio", "b", "bdi", "bdo", "big", "blockquote", "br", "button",
+    "canvas", "caption", "center", "cite", "code", "col", "colgroup", "data", "datalist", "dd", "del", "details", "dfn",
+    "dialog", "dir", "div", "dl", "dt", "em", "fieldset", "figcaption", "figure", "font", "footer", "form", "h1", "h2",
+    "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "i", "img", "input", "ins", "kbd", "label", "legend", "li", "main",
+    "map", "mark", "menu", "meter", "nav", "ol", "optgroup", "option", "output", "p", "picture", "pre", "progress", "q",
+    "rp", "rt", "ruby", "s", "samp", "search", "section", "select", "small", "source", "span", "strike", "strong", "sub",
+    "summary", "sup", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "time", "tr", "track", "tt", "u", "ul",
+    "var", "video", "wbr",
+)
+SVG_ELEMENTS = (
+    "circle", "clippath", "defs", "desc", "ellipse", "g", "image", "line", "lineargradient", "marker", "mask", "path",
+    "pattern", "polygon", "polyline", "radialgradient", "rect", "stop", "svg", "switch", "symbol", "text", "textpath",
+    "tspan", "view",
+)
+SAFE_ATTRIBUTES = (
+    "abbr", "accept", "align", "alt", "autocapitalize", "autocomplete", "autoplay", "axis", "bgcolor", "border",
+    "cellpadding", "cellspacing", "checked", "cite", "class", "clear", "color", "cols", "colspan", "controls", "coords",
+    "crossorigin", "cx", "cy", "d", "datetime", "decoding", "default", "dir", "disabled", "download", "draggable", "dx",
+    "dy", "enctype", "face", "fill", "fill-opacity", "fill-rule", "font-family", "font-size", "font-weight", "for",
+    "gradienttransform", "gradientunits", "headers", "height", "hidden", "high", "href", "hreflang", "id", "inputmode",
+    "ismap", "itemid", "itemprop", "itemscope", "itemtype", "kind", "label", "lang", "list", "loading", "loop", "low",
+    "max", "maxlength", "media", "method", "min", "minlength", "multiple", "muted", "name", "noshade", "nowrap",
+    "offset", "open", "opacity", "optimum", "pattern", "placeholder", "playsinline", "points", "poster", "preload",
+    "preserveaspectratio", "r", "readonly", "rel", "required", "rev", "reversed", "role", "rows", "rowspan", "rx", "ry",
+    "scope", "selected", "shape", "size", "sizes", "span", "spellcheck", "src", "srclang", "srcset", "start", "step",
+    "stop-color", "stop-opacity", "stroke", "stroke-linecap", "stroke-linejoin", "stroke-opacity", "stroke-width",
+    "summary", "tabindex", "text-anchor", "title", "transform", "translate", "type", "usemap", "valign", "value",
+    "viewbox", "width", "wrap", "x", "x1", "x2", "xlink:href", "xmlns", "y", "y1", "y2",
+)
+# Attributes whose values are never addresses.
 ADDRESS_FREE_ATTRIBUTES = (
-    "alt", "class", "for", "id", "label", "name", "pattern", "placeholder", "role", "summary", "title", "value",
-    "style", "xmlns",
+    "alt", "class", "for", "id", "label", "name", "pattern", "placeholder", "role", "summary", "title", "value", "xmlns",
+)
+# Fixed value: the accepted address forms; the follow set holds the range from `.` to `:`, so digits and slashes too.
+ADDRESS = r"(?i)\A(?:(?:https?|mailto|tel|ftp):|[^a-z]|[a-z+.-]+(?:[^a-z+.-:]|\z))"
+_HIDDEN = r"(?i)&(?:#|colon|tab|newline)"
+_INVISIBLE = r"[\x00-\x20\u00A0\u1680\u180E\u2000-\u2029\u205F\u3000]"
+
+_ATTRIBUTE = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
+_TOKEN = (
+    r"(?is)<!--.*?(?:-->|\z)"
+    rf"|<({'|'.join(DROPPED_WITH_CONTENT)})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\z)"
+    r"|<[!?][^>]*(?:>|\z)|</(?![a-zA-Z])[^>]*(?:>|\z)|</[a-zA-Z][^>]*(?:>|\z)"
+    rf"|<[a-zA-Z][^\s/>]*+(?:[\s/=]++|{_ATTRIBUTE})*+>"
+    r"|[^<]+|<"
 )
-_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-_IN_TAG = r"(?=[^<]*>)"
-_EVENT_OR_STYLE = rf"(?i)[\s/](?:style|on[a-z]+)\s*=\s*{_VALUE}{_IN_TAG}"
 
 
-def _unsafe_value(quote: str) -> str:
-    stop, end = (quote, f"(?={quote})") if quote else (r"\s>", r"(?=[\s>])")
-    allowed = rf"(?:https?|mailto|tel|ftp):|[^a-z\s]|[a-z+.\-\s]+(?:[^a-z+.-:\s{stop}]|{end})"
-    hidden = rf"[^{stop}]*&(?:#|colon|tab|newline)"
-    return rf"{quote}(?:(?={hidden})|\s*(?!{allowed}))[^{stop}]+{quote}"
+def _safe_attribute(a: Column) -> Column:
+    """(text, attributes removed, addresses removed) of one attribute as written in the page."""
+    name = F.regexp_extract(a, r"\A[^\s=]+", 0)
+    low = F.lower(name)
+    given = F.regexp_extract(a, r"(?s)=\s*(.*)\z", 1)
+    value = F.when(given.rlike(r"(?s)\A(?:\".*\"|'.*')\z"), F.substring(given, F.lit(2), F.length(given) - 2)).otherwise(given)
+    allowed = (low.isin(*SAFE_ATTRIBUTES) | low.rlike(r"\A(?:data|aria)-[\w.-]+\z")) & ~low.rlike(r"\Aon") & (low != "style")
+    bare = F.regexp_replace(value, _INVISIBLE, "")
+    address = low.isin(*ADDRESS_FREE_ATTRIBUTES) | (bare == "") | (bare.rlike(ADDRESS) & ~value.rlike(_HIDDEN))
+    text = F.concat(F.lit(" "), name, F.lit('="'), F.replace(value, F.lit('"'), F.lit("&quot;")), F.lit('"'))
+    return F.struct(
+        F.when(allowed & address, text).otherwise("").alias("text"),
+        F.when(allowed, 0).otherwise(1).alias("attributes"),
+        F.when(allowed & ~address, 1).otherwise(0).alias("addresses"),
+    )
 
 
-_UNSAFE_ADDRESS = (
-    rf"(?i)[\s/](?!(?:{'|'.join(ADDRESS_FREE_ATTRIBUTES)})\s*=)[a-z_][-\w:.]*\s*=\s*"
-    rf"(?:{_unsafe_value(chr(34))}|{_unsafe_value(chr(39))}|(?![\"'\s]){_unsafe_value('')}){_IN_TAG}"
-)
-_WITH_CONTENT = rf"(?is)<({'|'.join(DROPPED_WITH_CONTENT)})\b[^>]*>.*?(?:</\1\s*>|\z)"
-_BARE_TAG = rf"(?is)</?(?:{'|'.join(DROPPED_WITH_CONTENT + DROPPED_TAGS)})\b[^>]*>"
+def _safe_token(t: Column) -> Column:
+    """(text, elements, attributes, addresses removed) of one token of a page."""
+    name = F.regexp_extract(t, r"\A</?([a-zA-Z][^\s/>]*)", 1)
+    known = F.lower(name).isin(*HTML_ELEMENTS, *SVG_ELEMENTS)
+    opening = t.rlike(r"\A<[a-zA-Z]")
+    inner = F.regexp_extract(t, r"(?s)\A<[a-zA-Z][^\s/>]*(.*)>\z", 1)
+    parts = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(0)), _safe_attribute)
+
+    def made(text: Column, elements: Column | int = 0, attributes: Column | int = 0, addresses: Column | int = 0) -> Column:
+        wrap = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(text.alias("text"), wrap(elements).alias("elements"), wrap(attributes).alias("attributes"), wrap(addresses).alias("addresses"))
+
+    total = lambda of: lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + x[of])
+    tag = let(
+        parts,
+        lambda p: made(
+            F.concat(F.lit("<"), name, F.array_join(F.transform(p, lambda x: x["text"]), ""), F.lit(">")), 0, total("attributes")(p), total("addresses")(p)
+        ),
+    )
+    return (
+        F.when(~F.startswith(t, F.lit("<")), made(t))
+        .when(t == "<", made(F.lit("&lt;")))
+        .when(opening & known, tag)
+        .when(opening, made(F.lit(""), 1))
+        .when(known, made(F.concat(F.lit("</"), name, F.lit(">"))))
+        .otherwise(made(F.lit("")))
+    )
 
 
 def sanitize_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds `safe_html` and how many elements, event or style attributes and unsafe addresses were removed."""
-    step1 = F.regexp_replace(F.col(html), _WITH_CONTENT, "")
-    step2 = F.regexp_replace(F.col("_s1"), _BARE_TAG, "")
-    step3 = F.regexp_replace(F.col("_s2"), _EVENT_OR_STYLE, "")
-    step4 = F.regexp_replace(F.col("_s3"), _UNSAFE_ADDRESS, "")
+    """Adds `safe_html` and how many elements, attributes and unsafe addresses were removed.
+
+    A page is cut once into tags and text, as a browser cuts it. Every tag is judged by itself: its name and each of its
+    attributes must be on the allow-list, and it is written anew from what is left, so removing a part cannot bring a new
+    tag about. Text between tags is never touched; a `<` that starts no tag is escaped. Tags are not balanced.
+    """
+    tokens = F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), _safe_token)
+    done = pin(pages, "_tokens", tokens)
+    removed = lambda of: F.coalesce(F.aggregate("_tokens", F.lit(0), lambda n, t: n + t[of]), F.lit(0))
     return (
-        pages.withColumn("_s1", step1)
-        .withColumn("_s2", step2)
-        .withColumn("_s3", step3)
-        .withColumn("safe_html", step4)
-        .withColumn(
-            "n_elements",
-            F.regexp_count(F.col(html), F.lit(_WITH_CONTENT)) + F.regexp_count(F.col("_s1"), F.lit(_BARE_TAG)),
-        )
-        .withColumn("n_attributes", F.regexp_count(F.col("_s2"), F.lit(_EVENT_OR_STYLE)))
-        .withColumn("n_addresses", F.regexp_count(F.col("_s3"), F.lit(_UNSAFE_ADDRESS)))
-        .drop("_s1", "_s2", "_s3")
+        done.withColumn("safe_html", F.array_join(F.transform("_tokens", lambda t: t["text"]), ""))
+        .withColumn("n_elements", removed("elements"))
+        .withColumn("n_attributes", removed("attributes"))
+        .withColumn("n_addresses", removed("addresses"))
+        .drop("_tokens")
     )
 
 

@@ -37,6 +37,13 @@ DERIVED: dict[str, tuple[str, str | None]] = {
         " '<a href=\"javascript:alert(1)\" style=\"a:b\">z</a><footer>') as html from {pages}",
         None,
     ),
+    # Markup that sloppy sanitisers let through, or break.
+    "unsafe_pages": (
+        "select page_id, replace(html, '<footer>', concat(case page_id % 5 when 0 then '<img src=\"x\"onerror=\"alert(1)\">'"
+        " when 1 then '<img src=x onerror=alert(1) <b>' when 2 then '<scr<link>ipt>alert(1)</scr<link>ipt>'"
+        " when 3 then '<p>set one=2 and 3 > 1</p>' else '<b title=\"a>b\">x < y</b><a href=\"&#106;avascript:x\">' end, '<footer>')) as html from {dirty_pages}",
+        None,
+    ),
     "dns": (
         "select page_id, case page_id % 6 when 0 then concat('10.', cast(page_id % 256 as varchar(20)), '.0.1') when 1 then '192.168.1.9'"
         " when 2 then '172.31.255.255' when 3 then '172.32.0.1' when 4 then '::ffff:127.0.0.1' else 'fe80::1' end as address"

@@ -164,6 +164,29 @@ def test_sanitize(spark):
     assert 'href="https://ok.example/a"' in got[2] and 'title="a:b"' in got[2] and 'href="/rel"' in got[2]
 
 
+def test_sanitize_reads_tags_as_browsers_do(spark):
+    cases = {
+        '<img src="x"onerror="alert(1)">': '<img src="x">',
+        "<img src=x onerror=alert(1) <b>": '<img src="x">',
+        "<scr<link>ipt>alert(1)</scr<link>ipt>": "ipt>alert(1)ipt>",
+        "<p>set one=2 and 3 > 1</p>": "<p>set one=2 and 3 > 1</p>",
+        "a < b <3 <": "a &lt; b &lt;3 &lt;",
+        "<img src=x onerror=alert(1)": "&lt;img src=x onerror=alert(1)",
+        "<a title='say \"hi\"' href='/x' target=_top data-n=1 disabled>": '<a title="say &quot;hi&quot;" href="/x" data-n="1" disabled="">',
+        "<SCRIPT x='>'>alert(1)</script >t": "t",
+        "<style><img src=x onerror=alert(1)></style>t": "t",
+        "<script>open to the end": "",
+        "<!-- <b> --><b>x</b><!-- open": "<b>x</b>",
+        "<custom-tag onclick=x>kept</custom-tag>": "kept",
+        "<svg><linearGradient id=g></linearGradient><use href='#x'/></svg>": '<svg><linearGradient id="g"></linearGradient></svg>',
+        "<a href='java\tscript:x'>y</a><a href='vbscript:x'>y</a><a href=' mailto:a@b'>y</a>": '<a>y</a><a>y</a><a href=" mailto:a@b">y</a>',
+        "": "",
+    }
+    got = {r.html: r.safe_html for r in html.sanitize_pages(rows(spark, [(c,) for c in cases], "html string")).collect()}
+    assert got == cases
+    assert html.sanitize_pages(rows(spark, [(None,)], "html string")).first().safe_html is None
+
+
 def test_entities(spark):
     df = rows(spark, [("&lt;p&gt; &#65;&#x1F600;&#0; &nbsp;&amp;lt; R&D &#12",)], "t string")
     assert df.select(html.decode_entities(F.col("t"))).collect()[0][0] == "<p> A\U0001f600�  &lt; R&D &#12"
