@@ -90,18 +90,38 @@ def gathered(slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.repeat(bounds[slots] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=6)
+
+
 def squeezed(values: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, the mostly empty high bytes apart from the low ones, compressed."""
     planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    return len(values).to_bytes(8, "little") + codec().compress(planes, asbytes=True)
 
 
 def unsqueezed(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    planes = np.frombuffer(codec().decompress(data[8:], 4 * n), np.uint8).reshape(4, n)
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def packed_words(words: pa.Array) -> bytes:
+    """Lengths and UTF-8 bytes of words, compressed."""
+    words = words.cast(pa.large_binary())
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = words.buffers()[2].slice(bounds[0], bounds[-1] - bounds[0]) if len(words) and bounds[-1] > bounds[0] else b""
+    sizes = squeezed(np.diff(bounds).astype(np.uint32))
+    return len(sizes).to_bytes(8, "little") + sizes + codec().compress(raw, asbytes=True)
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    at = 8 + int.from_bytes(data[:8], "little")
+    ends = np.cumsum(unsqueezed(data[8:at]))
+    raw = codec().decompress(data[at:], int(ends[-1]) if len(ends) else 0, asbytes=True)
+    return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
+
+
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, decoded) per row: token ids of the text without special tokens, and the bytes they decode to.
 
@@ -133,8 +153,7 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ke
                 home = np.array([zlib.crc32(w.encode()) % homes for w in numbers], np.uint32)[order]
                 by_home = np.argsort(home, kind="stable")
                 cuts = runs(home[by_home])
-                bounds = pa.array([0, *[j for _, j in cuts]], pa.int32())
-                groups = pa.ListArray.from_arrays(bounds, words.take(pa.array(by_home)))
+                words = words.take(pa.array(by_home))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch["key"].slice(a, b - a).to_pylist()], pa.list_(batch["key"].type)),
@@ -142,20 +161,20 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ke
                         pa.array([squeezed(renumber[slots])], pa.binary()),
                         pa.array([squeezed(home)], pa.binary()),
                         pa.array([[int(home[by_home[i]]) for i, _ in cuts]], pa.list_(pa.int32())),
-                        pa.ListArray.from_arrays(pa.array([0, len(groups)], pa.int32()), groups),
+                        pa.array([[packed_words(words.slice(i, j - i)) for i, j in cuts]], pa.list_(pa.binary())),
                     ],
                     ["keys", "counts", "slots", "home_of", "homes", "words"],
                 )
 
-    schema = with_fields(source.select(F.array("key").alias("keys")).schema, "counts array<int>, slots binary, home_of binary, homes array<int>, words array<array<string>>")
+    schema = with_fields(source.select(F.array("key").alias("keys")).schema, "counts array<int>, slots binary, home_of binary, homes array<int>, words array<binary>")
     # A piece's number is drawn once and kept by the written table, so a task that runs again cannot mix pieces up.
     rows = stored(source.mapInArrow(cut, schema).withColumn("piece", F.monotonically_increasing_id()), "pieces")
 
     def encode(group: pa.Table) -> pa.Table:
         known, table = shared.value, {}
         sizes, ids = [], []
-        for words in group["words"]:
-            found = [table[w] if w in table else table.setdefault(w, encode_word(w.encode(), known)) for w in words.values.to_pylist()]
+        for words in group["words"].to_pylist():
+            found = [table[w] if w in table else table.setdefault(w, encode_word(w, known)) for w in unpacked_words(words)]
             sizes.append(squeezed(np.array([len(x) for x in found], np.uint32)))
             ids.append(squeezed(np.array([i for x in found for i in x], np.uint32)))
         return pa.table({"piece": group["piece"], "home": group["home"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
