@@ -27,9 +27,12 @@ def local_session(cpus: int | str = "*", memory: str = "8g", name: str = "lecter
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint directory the session names.
 
-    Only where none is set, as in tests, a temporary folder of this machine becomes the checkpoint directory.
+    Only where none is set and everything runs on one machine, as in tests, a temporary folder becomes the checkpoint
+    directory; executors elsewhere could not see it, so a cluster without the setting is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(root)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def write_corpus(docs: DataFrame, path: str, key: str = "doc_id") -> None:
@@ -26,7 +25,10 @@ def write_corpus(docs: DataFrame, path: str, key: str = "doc_id") -> None:
 
 
 def latest_cursors(moves: DataFrame) -> DataFrame:
-    """Last cursor per document key, never negative. Partial aggregation keeps one row per key and task."""
+    """Last cursor per document key, never negative. Partial aggregation keeps one row per key and task.
+
+    On a stream of moves this is a built-in streaming aggregation with one row of state per key, in update mode.
+    """
     last = F.max(F.struct("seq", "segment_index", "char_offset")).alias("last")
     zero = F.lit(0)
     return moves.groupBy("doc_key").agg(last).select(
@@ -35,42 +37,3 @@ def latest_cursors(moves: DataFrame) -> DataFrame:
         F.greatest(F.col("last.segment_index"), zero).alias("segment_index"),
         F.greatest(F.col("last.char_offset"), zero).alias("char_offset"),
     )
-
-
-def versioned_state(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """The state written by the newest batch before this one, or an empty table."""
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    # A batch counts only once its commit marker is there, so a batch that died half-way is ignored and redone.
-    done = -1
-    if fs.exists(base):
-        for entry in fs.listStatus(base):
-            name = entry.getPath().getName()
-            marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
-            if name.startswith("v=") and int(name[2:]) < batch_id and fs.exists(marker):
-                done = max(done, int(name[2:]))
-    if done < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v={done}")
-
-
-def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return versioned_state(spark, path, schema, 1 << 62)
-
-
-CURSOR_STATE = "doc_key string, seq bigint, segment_index int, char_offset int"
-
-
-def upsert_cursor(moves: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Stream cursor moves into a table of the latest cursor per key; a repeated batch rewrites its own version."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = versioned_state(spark, path, CURSOR_STATE, batch_id)
-        columns = ("doc_key", "seq", "segment_index", "char_offset")
-        merged = latest_cursors(old.select(*columns).unionByName(batch.select(*columns)))
-        merged.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in CURSOR_STATE.split(", ")]).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/v={batch_id}")
-
-    return moves.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

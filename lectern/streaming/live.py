@@ -1,23 +1,27 @@
 """Streams over arriving documents and telemetry.
 
-Stateless operators are the batch ones applied to a stream. Aggregates use built-in streaming aggregation, which
-combines on the map side first. The two order-dependent ones (last entries, degrade state) keep a compact state table
-that every micro-batch merges with the block-wise batch operator, so a session with most of the events is never
-handed to one task. State and output of a batch live in a folder named after it; a repeated batch rewrites the same
-folder, and a batch counts only when its commit marker exists.
+Stateless operators are the batch ones applied to a stream. Aggregates use built-in streaming aggregation, which combines
+on the map side first. The two order-dependent ones (last entries, degrade state) keep a few values per key in Spark's
+state store; a micro-batch brings only its own rows of a key to one task, so `maxFilesPerTrigger` (or the source's like)
+bounds what a hot session costs. Changed rows go to one folder per micro-batch; a repeated batch rewrites its own, readers
+take committed folders only, and old folders are merged from time to time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern import policies as P
-from lectern.operators import documents, playback, telemetry
-from lectern.sources.writers import read_state, versioned_state
+from lectern.operators import documents, telemetry
+
+MERGE_AFTER = 50  # committed folders of changes before they are merged
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -32,11 +36,17 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def changes_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the changed rows of a streaming aggregation, one folder per micro-batch."""
+def changes_to(stream: DataFrame, path: str, checkpoint: str, *keys: str) -> StreamingQuery:
+    """Write the changed rows of a stream in update mode, one row per key, one folder per micro-batch."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        spark = batch.sparkSession
+        done = committed(spark, path)
+        if len(done) > MERGE_AFTER:
+            newest_changes(spark, path, done, *keys).write.mode("overwrite").parquet(f"{path}/upto={done[-1][1]}")
+            for kind, version in done:
+                delete(spark, f"{path}/{kind}={version}")
 
     return (
         stream.writeStream.foreachBatch(save)
@@ -47,15 +57,48 @@ def changes_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def latest_changes(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    """Newest row per key of a folder written by `changes_to`."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "v")]
-    newest = F.max_by(F.struct(*values), F.col("v")).alias("_n")
+def _folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, fs = _folder(spark, path)
+    fs.delete(place, True)
+
+
+def committed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Committed folders that count, in order: the last merged one and the batches after it. Merging bounds the list."""
+    place, fs = _folder(spark, path)
+    if not fs.exists(place):
+        return []
+    found = []
+    for entry in fs.listStatus(place):
+        kind, _, version = entry.getPath().getName().partition("=")
+        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
+        if kind in ("v", "upto") and version.isdigit() and fs.exists(marker):
+            found.append((kind, int(version)))
+    merged = max((v for kind, v in found if kind == "upto"), default=-1)
+    return sorted(((kind, v) for kind, v in found if v > merged or (kind, v) == ("upto", merged)), key=lambda x: x[1])
+
+
+def newest_changes(spark: SparkSession, path: str, folders: list[tuple[str, int]], *keys: str) -> DataFrame:
+    """Newest row per key of some folders."""
+    parts = [spark.read.parquet(f"{path}/{kind}={version}").withColumn("_v", F.lit(version)) for kind, version in folders]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    values = [c for c in rows.columns if c not in (*keys, "_v")]
+    newest = F.max_by(F.struct(*values), F.col("_v")).alias("_n")
     grouped = rows.groupBy(*keys).agg(newest) if keys else rows.agg(newest)
     return grouped.select(*keys, "_n.*")
 
 
+def latest_changes(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Newest row per key of what `changes_to` has committed."""
+    return newest_changes(spark, path, committed(spark, path), *keys)
+
+
 def stream_segments(docs: DataFrame, raw: str = "raw", key: str = "doc_id") -> DataFrame:
     return documents.explode_segments(documents.segment_text(docs, raw), key)
 
@@ -74,57 +117,66 @@ def stream_first_audio(events: DataFrame) -> DataFrame:
     return events.filter("type = 'tts.first_audio'").groupBy("session_id").agg(first).select("session_id", "f.*")
 
 
-def _merge(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+RECENT = "session_id long, category string, seqs array<long>, segment_ids array<string>, messages array<string>"
+RECENT_STATE = "seqs array<long>, segment_ids array<string>, messages array<string>"
 
 
-RECENT_STATE = "session_id bigint, category string, seq bigint, segment_id string, message string"
+def stream_recent(events: DataFrame, keep: int = P.RECENT_ENTRIES) -> DataFrame:
+    """The last entries per session and category as arrays, newest first; at most `keep` of them are state of a group.
 
+    One row per changed group and micro-batch, for `changes_to`; `recent_rows` lists the entries.
+    """
 
-def stream_recent(events: DataFrame, path: str, checkpoint: str, keep: int = P.RECENT_ENTRIES) -> StreamingQuery:
-    """Keep the last entries per session and category; at most `keep` rows of state per group."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        old = versioned_state(batch.sparkSession, path, RECENT_STATE, batch_id)
-        names = [f.split()[0] for f in RECENT_STATE.split(", ")]
-        new = telemetry.classify_perf_event(batch).select(*names)
-        telemetry.recent_entries(old.unionByName(new), keep).select(*names).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+    def add(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = dict(zip(("seq", "segment_id", "message"), state.get, strict=True)) if state.exists else {}
+        rows = pd.DataFrame(old, columns=["seq", "segment_id", "message"])
+        for frame in frames:
+            new = frame[["seq", "segment_id", "message"]]
+            rows = (pd.concat([rows, new]) if len(rows) else new).sort_values("seq", ascending=False).head(keep)
+        lists = tuple([None if x is None or x != x else x for x in rows[c].tolist()] for c in ("seq", "segment_id", "message"))
+        lists = ([int(x) for x in lists[0]], *lists[1:])
+        state.update(lists)
+        yield pd.DataFrame({"session_id": [key[0]], "category": [key[1]], "seqs": [lists[0]], "segment_ids": [lists[1]], "messages": [lists[2]]})
 
-    return _merge(events, checkpoint, merge)
+    shown = telemetry.classify_perf_event(events).filter("category is not null").select("session_id", "category", "seq", "segment_id", "message")
+    return shown.groupBy("session_id", "category").applyInPandasWithState(add, RECENT, RECENT_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def recent_state(spark: SparkSession, path: str) -> DataFrame:
-    return read_state(spark, path, RECENT_STATE)
+def recent_rows(recent: DataFrame) -> DataFrame:
+    """One row per entry of `stream_recent`."""
+    entries = F.arrays_zip(F.col("seqs").alias("seq"), F.col("segment_ids").alias("segment_id"), F.col("messages").alias("message"))
+    return recent.select("session_id", "category", F.inline(entries))
 
 
-DEGRADE_STATE = "session_id bigint, seq bigint, wasm_failures bigint, degraded boolean"
+DEGRADE = "session_id long, seq long, wasm_failures long, degraded boolean"
+DEGRADE_STATE = "seq long, failures long, degraded boolean"
 
 
-def stream_degrade(results: DataFrame, path: str, checkpoint: str, limit: int = P.WASM_FAILURE_LIMIT) -> StreamingQuery:
-    """Degrade state per session after all events so far; events of a session arrive in `seq` order.
+def stream_degrade(results: DataFrame, limit: int = P.WASM_FAILURE_LIMIT) -> DataFrame:
+    """Degrade state per session after all events so far, one row per changed session and micro-batch.
 
-    The stored count re-enters the batch as that many failures placed just before the session's new events.
+    State is a counter and a latch. The events of a session arrive in `seq` order across micro-batches; inside one they
+    are sorted. `playback.degrade_state` has the rules.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        old = versioned_state(batch.sparkSession, path, DEGRADE_STATE, batch_id)
-        carried = old.filter("wasm_failures > 0").select(
-            "session_id",
-            F.explode(F.sequence(F.col("seq") - F.col("wasm_failures") + 1, F.col("seq"))).alias("seq"),
-            F.lit("wasm").alias("outcome"),
-        )
-        events = carried.unionByName(batch.select("session_id", "seq", "outcome"))
-        after = playback.degrade_state(events, limit)
-        last = F.max(F.struct("seq", "wasm_failures", "degraded")).alias("l")
-        quiet = old.select("session_id", F.struct("seq", "wasm_failures", "degraded").alias("l"))
-        final = after.groupBy("session_id").agg(last).unionByName(quiet).groupBy("session_id").agg(F.max("l").alias("l"))
-        final.select("session_id", "l.*").write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-
-    return _merge(results, checkpoint, merge)
-
-
-def degrade_table(spark: SparkSession, path: str) -> DataFrame:
-    return read_state(spark, path, DEGRADE_STATE)
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seq, count, latched = state.get if state.exists else (None, 0, False)
+        rows = pd.concat(list(frames)).sort_values("seq")
+        outcome = rows["outcome"].to_numpy()
+        up = count + np.cumsum(outcome == "wasm")
+        raw = up - np.maximum.accumulate(np.where(np.isin(outcome, ("ok", "reset")), up, 0))
+        last_hit = np.flatnonzero(raw >= limit)[-1:]
+        last_reset = np.flatnonzero(outcome == "reset")[-1:]
+        if len(last_reset):
+            latched = bool(len(last_hit) and last_hit[0] > last_reset[0])
+        else:
+            latched = bool(latched or len(last_hit))
+        seq = int(rows["seq"].iloc[-1]) if seq is None else max(int(seq), int(rows["seq"].iloc[-1]))
+        state.update((seq, int(raw[-1]), latched))
+        yield pd.DataFrame({"session_id": [key[0]], "seq": [seq], "wasm_failures": [limit if latched else int(raw[-1])], "degraded": [latched]})
+
+    needed = results.select("session_id", "seq", "outcome")
+    return needed.groupBy("session_id").applyInPandasWithState(advance, DEGRADE, DEGRADE_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def _window_metrics(events: DataFrame, window: Column) -> DataFrame:
