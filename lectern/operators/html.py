@@ -204,39 +204,88 @@ def sanitize_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def _meta(html: Column, *names: str) -> Column:
-    """First non-blank content of a meta element with one of the names, in either attribute order."""
-    found = []
-    for name in names:
-        key = rf"""(?:name|property)\s*=\s*["']{name}["']"""
-        content = r"""content\s*=\s*["']([^"'>]*)["']"""
-        found.append(F.nullif(T.js_trim(F.regexp_extract(html, rf"(?is)<meta\b[^>]*{key}[^>]*{content}", 1)), F.lit("")))
-        found.append(F.nullif(T.js_trim(F.regexp_extract(html, rf"(?is)<meta\b[^>]*{content}[^>]*{key}", 1)), F.lit("")))
-    return F.coalesce(*found)
+    """First non-blank content of a meta element with one of the names, tried in order; its own quotes end a content."""
+    quoted = r"""(?:[^>"']|"[^"]*"|'[^']*')"""
+    elements = F.regexp_extract_all(html, F.lit(rf"(?is)<meta\b{quoted}*>"), F.lit(0))
+
+    def content(m: Column) -> Column:
+        given = F.regexp_extract(m, r"""(?is)\bcontent\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+        return T.js_trim(F.regexp_replace(given, r"""\A["']|["']\z""", ""))
+
+    def first(name: str) -> Column:
+        named = F.filter(elements, lambda m: m.rlike(rf"""(?i)\b(?:name|property)\s*=\s*["']?{name}["'\s/>]"""))
+        return F.get(F.filter(F.transform(named, content), lambda c: c != ""), F.lit(0))
+
+    return F.coalesce(*[first(name) for name in names])
 
 
 # Relative trust in each container when choosing the main text.
 CONTAINER_WEIGHT = {"article": 10, "main": 9, "section": 6, "div": 5, "body": 3}
 
 
+_CONTAINER = rf"(?is)<(/?)({'|'.join(CONTAINER_WEIGHT)})(?=[\s/>])[^>]*>"
+_OPEN = "array<struct<tag:string,start:int>>"
+_RANGES = "array<struct<tag:string,start:int,stop:int>>"
+
+
+def _containers(page: Column) -> Column:
+    """(tag, start, stop) of the inside of every container, nested ones too, in characters from 0.
+
+    One pass over the container tags with a stack: a closing tag ends the innermost open container of its name, and with
+    it those left open inside; one that nothing opened is ignored. The end of the page ends what is still open.
+    """
+    tags = F.regexp_extract_all(page, F.lit(_CONTAINER), F.lit(0))
+    slashes = F.regexp_extract_all(page, F.lit(_CONTAINER), F.lit(1))
+    names = F.regexp_extract_all(page, F.lit(_CONTAINER), F.lit(2))
+    parts = F.arrays_zip(F.split(page, _CONTAINER, -1).alias("gap"), tags.alias("tag"), slashes.alias("slash"), names.alias("name"))
+
+    def ended(open_: Column, at: Column) -> Column:
+        return F.transform(open_, lambda o: F.struct(o["tag"].alias("tag"), o["start"].alias("start"), at.alias("stop")))
+
+    def step(state: Column, p: Column) -> Column:
+        name, at = F.lower(p["name"]), state["at"] + F.length(p["gap"])
+        after = at + F.coalesce(F.length(p["tag"]), F.lit(0))
+        open_, found = state["open"], state["found"]
+        level = F.aggregate(open_, F.struct(F.lit(0).alias("i"), F.lit(0).alias("hit")), lambda s, o: F.struct(
+            (s["i"] + 1).alias("i"), F.when(o["tag"] == name, s["i"] + 1).otherwise(s["hit"]).alias("hit")), lambda s: s["hit"])
+        closing = (p["slash"] == "/") & (level > 0)
+        rest = F.slice(open_, F.lit(1), F.greatest(level - 1, F.lit(0)))
+        closed = F.slice(open_, F.greatest(level, F.lit(1)), F.size(open_))
+        opened = F.array_append(open_, F.struct(name.alias("tag"), after.alias("start")))
+        last = p["tag"].isNull()
+        return F.struct(
+            after.alias("at"),
+            F.when(last, F.array().cast(_OPEN)).when(closing, rest).when(p["slash"] == "/", open_).otherwise(opened).cast(_OPEN).alias("open"),
+            F.when(last, F.concat(found, ended(open_, at))).when(closing, F.concat(found, ended(closed, at))).otherwise(found).cast(_RANGES).alias("found"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_OPEN).alias("open"), F.array().cast(_RANGES).alias("found"))
+    return F.aggregate(parts, start, step, lambda s: s["found"])
+
+
 def extract_articles(pages: DataFrame, html: str = "html") -> DataFrame:
     """Main-content extraction: score every container by its text without link text, keep the best.
 
-    All candidates of a page stay in its row, so the choice is an `array_max`, not a shuffle.
+    Containers are balanced and may nest. All candidates of a page stay in its row, so the choice is an `array_max`, not
+    a shuffle.
     """
     readable = pages.withColumn("_readable", F.regexp_replace(F.col(html), UNREAD, ""))
     bare = lambda fragment: F.btrim(F.regexp_replace(F.regexp_replace(fragment, TAG, ""), f"[{T.WS}]+", " "), F.lit(" "))
-
-    def candidates(tag: str) -> Column:
-        found = F.regexp_extract_all("_readable", F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
-        return F.transform(found, lambda f: F.struct(F.lit(CONTAINER_WEIGHT[tag]).alias("w"), F.lit(tag).alias("tag"), f.alias("f")))
+    weights = F.create_map(*[F.lit(x) for pair in CONTAINER_WEIGHT.items() for x in pair])
 
     def score(c: Column) -> Column:
-        links = F.array_join(F.regexp_extract_all(c["f"], F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), "")
-        text = bare(c["f"])
-        points = (F.length(text) - 2 * F.length(bare(links))) * c["w"]
-        return F.struct(points.alias("points"), c["tag"].alias("container"), text.alias("text"))
+        inside = F.substring(F.col("_readable"), c["start"] + 1, c["stop"] - c["start"])
+
+        def scored(fragment: Column) -> Column:
+            links = F.array_join(F.regexp_extract_all(fragment, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), "")
+            text = bare(fragment)
+            points = (F.length(text) - 2 * F.length(bare(links))) * F.element_at(weights, c["tag"])
+            return F.struct(points.alias("points"), c["tag"].alias("container"), text.alias("text"))
+
+        return let(inside, scored)
 
-    best = F.array_max(F.transform(F.concat(*[candidates(tag) for tag in CONTAINER_WEIGHT]), score))
+    # Of equal scores the container that comes later in the alphabet wins, as in any comparison of structs.
+    best = F.array_max(F.transform(_containers(F.col("_readable")), score))
     page = F.col(html)
     first_paragraph = F.regexp_extract("_readable", r"(?is)<p\b[^>]*>(.*?)(?=<p\b|</p|</article|\z)", 1)
     excerpt = F.coalesce(_meta(page, "description", "og:description"), F.nullif(bare(first_paragraph), F.lit("")))

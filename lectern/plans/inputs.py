@@ -37,6 +37,13 @@ DERIVED: dict[str, tuple[str, str | None]] = {
         " '<a href=\"javascript:alert(1)\" style=\"a:b\">z</a><footer>') as html from {pages}",
         None,
     ),
+    # Nested articles, and meta elements whose texts hold quotes of the other kind.
+    "article_pages": (
+        "select page_id, url, case page_id % 4 when 1 then replace(html, '<article onclick=\"x()\">', '<article onclick=\"x()\"><article>Inner note. </article>')"
+        " when 2 then replace(html, '<title>', '<meta name=\"author\" content=\"Ann O&apos;Neil\"><meta content=\"It''s a long day\" name=\"description\">"
+        "<meta property=''og:site_name'' content=''The \"Daily\" > News''><title>') else html end as html from {dirty_pages}",
+        None,
+    ),
     # Markup that sloppy sanitisers let through, or break.
     "unsafe_pages": (
         "select page_id, replace(html, '<footer>', concat(case page_id % 5 when 0 then '<img src=\"x\"onerror=\"alert(1)\">'"

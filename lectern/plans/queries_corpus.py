@@ -382,20 +382,20 @@ def _bare(x: str) -> str:
 
 
 _CANDIDATES = " union all ".join(
-    f"select page_id, '{tag}' as container, {weight} as w, unnest(regexp_extract_all(r, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1)) as f from rd"
+    f"select page_id, '{tag}' as container, {weight} as w, unnest(regexp_extract_all(r, '(?is)<{tag}\\b[^>]*>(.*?)(?:</{tag}\\s*>|\\z)', 1)) as f from rd"
     for tag, weight in html.CONTAINER_WEIGHT.items()
 )
 _U5 = f"""with {cte('dirty_pages')}, rd as (select page_id, html, {_READ} as r from dirty_pages), cd as ({_CANDIDATES}),
 sc as (select page_id, container, {_bare('f')} as t, (length({_bare('f')}) - 2 * length({_bare("array_to_string(regexp_extract_all(f, '(?is)<a\\b[^>]*>(.*?)</a>', 1), '')")})) * w as points from cd),
 bt as (select page_id, max(row(points, container, t)) as b from sc group by page_id)
-select page_id, {duck.page_title('html')} as title, cast(null as varchar) as byline,
-nullif({_plain("regexp_extract(regexp_replace(regexp_replace(r, '(?is)<p\\b', chr(1) || '<p', 'g'), '(?is)</(p|article)', chr(1) || '</x', 'g'), '(?is)<p[^>]*>([^' || chr(1) || ']*)', 1)")}, '') as excerpt,
-cast(null as varchar) as site_name, b[2] as container, {duck.decode_entities('b[3]')} as text_content from rd join bt using (page_id)"""
+select page_id, {duck.page_title('html')} as title, case when page_id % 4 = 2 then 'Ann O''Neil' end as byline,
+case when page_id % 4 = 2 then 'It''s a long day' else nullif({_plain("regexp_extract(regexp_replace(regexp_replace(r, '(?is)<p\\b', chr(1) || '<p', 'g'), '(?is)</(p|article)', chr(1) || '</x', 'g'), '(?is)<p[^>]*>([^' || chr(1) || ']*)', 1)")}, '') end as excerpt,
+case when page_id % 4 = 2 then 'The "Daily" > News' end as site_name, b[2] as container, concat(case when page_id % 4 = 1 then 'Inner note. ' else '' end, {duck.decode_entities('b[3]')}) as text_content from rd join bt using (page_id)"""
 
 
 @query("u5_extract_articles", _U5)
 def _(spark, d):
-    return html.extract_articles(derive(spark, d, "dirty_pages")).select(
+    return html.extract_articles(derive(spark, d, "article_pages")).select(
         "page_id", "title", "byline", "excerpt", "site_name", "container", "text_content"
     )
 

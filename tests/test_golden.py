@@ -187,6 +187,21 @@ def test_sanitize_reads_tags_as_browsers_do(spark):
     assert html.sanitize_pages(rows(spark, [(None,)], "html string")).first().safe_html is None
 
 
+def test_articles_keep_nested_containers_whole(spark):
+    main = "Main text of the page goes on and on. " * 3
+    cases = {
+        f"<body><div id=m><div>Intro.</div><div>{main}</div><p>Tail after.</p></div></body>": f"Intro.{main}Tail after.",
+        f"<body><nav><a href=/>home</a></nav><article>{main}<article>Reply.</article> End.</article><div>x</div></body>": f"{main}Reply. End.",
+        f"<body><div>{main}": main.strip(),
+        f"<article>{main}</div></section></article><div>": main.strip(),
+    }
+    got = {r.html: r.text_content for r in html.extract_articles(rows(spark, [(c,) for c in cases], "html string")).collect()}
+    assert got == {c: t.strip() for c, t in cases.items()}
+    page = """<meta name="description" content="It's a long day"><meta content='He said "hi"' property='og:site_name'><meta name=author content="A > B">"""
+    one = html.extract_articles(rows(spark, [(page,)], "html string")).first()
+    assert (one.excerpt, one.site_name, one.byline, one.text_content) == ("It's a long day", 'He said "hi"', "A > B", None)
+
+
 def test_entities(spark):
     df = rows(spark, [("&lt;p&gt; &#65;&#x1F600;&#0; &nbsp;&amp;lt; R&D &#12",)], "t string")
     assert df.select(html.decode_entities(F.col("t"))).collect()[0][0] == "<p> A\U0001f600�  &lt; R&D &#12"
