@@ -30,25 +30,20 @@ def clamp_index(index: Column, count: Column) -> Column:
     return F.greatest(F.least(index, count - 1), F.lit(0))
 
 
-def active_anchor(positions: DataFrame, anchors: DataFrame, block: int = 4096) -> DataFrame:
+def active_anchor(positions: DataFrame, anchors: DataFrame) -> DataFrame:
     """As-of lookup. `positions(doc_id, playback_idx, char_offset, floor_idx)` get `active_idx` and `anchor_offset`.
 
     The active anchor is the highest-numbered one of the same playback segment at or before the position, but never
-    below the floor. Positions and anchors are merged into one ordered stream and the highest anchor so far is carried
-    along block-wise, so no pair of rows is ever formed.
+    below the floor. It depends on the place alone, so distinct places are looked up: they are made distinct on the map
+    side first, and a segment has no more of them than characters, however many listeners it has. Places and anchors are
+    merged into one ordered stream and the highest anchor so far is carried along; no pair of rows is ever formed.
     """
-    marks = anchors.select(
-        "doc_id", "playback_idx", "char_offset", F.lit(0).alias("_kind"), F.col("anchor_idx").alias("_anchor"),
-        F.lit(None).cast("int").alias("floor_idx"), *[F.lit(None).cast(t).alias(c) for c, t in _extra(positions)],
-    )
-    asks = positions.select(
-        "doc_id", "playback_idx", "char_offset", F.lit(1).alias("_kind"), F.lit(None).cast(dict(anchors.dtypes)["anchor_idx"]).alias("_anchor"),
-        F.col("floor_idx").cast("int").alias("floor_idx"), *[F.col(c) for c, _ in _extra(positions)],
-    )
-    merged = running(
-        marks.unionByName(asks), ["doc_id", "playback_idx"], "char_offset", {"_best": ("max", F.col("_anchor"))}, block, tie=["_kind"]
-    )
-    asked = merged.filter("_kind = 1").withColumn("active_idx", F.greatest(F.col("floor_idx"), F.col("_best")).cast("bigint"))
+    place = ["doc_id", "playback_idx", "char_offset"]
+    marks = anchors.groupBy(*place).agg(F.max("anchor_idx").alias("_anchor")).withColumn("_asked", F.lit(False))
+    asks = positions.select(*place).distinct().withColumn("_anchor", F.lit(None).cast(dict(anchors.dtypes)["anchor_idx"])).withColumn("_asked", F.lit(True))
+    so_far = W.partitionBy("doc_id", "playback_idx").orderBy("char_offset", "_asked").rowsBetween(W.unboundedPreceding, 0)
+    best = marks.unionByName(asks).withColumn("_best", F.max("_anchor").over(so_far)).filter("_asked").select(*place, "_best")
+    asked = positions.join(best, place).withColumn("active_idx", F.greatest(F.col("floor_idx").cast("int"), F.col("_best")).cast("bigint"))
     at = anchors.select("doc_id", F.col("anchor_idx").cast("bigint").alias("active_idx"), F.col("playback_idx").alias("_p"), F.col("char_offset").alias("_o"))
     same = F.col("_p") == F.col("playback_idx")
     relative = F.when(same, F.greatest(F.col("char_offset") - F.col("_o"), F.lit(0))).otherwise(F.col("char_offset"))
@@ -57,10 +52,6 @@ def active_anchor(positions: DataFrame, anchors: DataFrame, block: int = 4096) -
     )
 
 
-def _extra(positions: DataFrame) -> list[tuple[str, str]]:
-    return [(c, t) for c, t in positions.dtypes if c not in ("doc_id", "playback_idx", "char_offset", "floor_idx")]
-
-
 def next_anchor(anchors: DataFrame, block: int = 4096) -> DataFrame:
     """For every anchor the first later one in a later playback segment; null means finished.
 
