@@ -10,6 +10,8 @@ entities. Not covered: reference-style links, tables, tab stops inside a line.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,9 +167,14 @@ def block_layout(codes: pa.Array, indents: pa.Array, args: pa.Array) -> pa.Array
     rows = [
         _fold(c or [], n or [], a or []) for c, n, a in zip(codes.to_pylist(), indents.to_pylist(), args.to_pylist())
     ]
-    kinds = pa.struct([pa.field(n, pa.int32()) for n in names[:-1]] + [pa.field("ordered", pa.bool_())])
-    blocks = pa.array([[dict(zip(names, b)) for b in r[0]] for r in rows], type=pa.list_(kinds))
-    return pa.StructArray.from_arrays([blocks, pa.array([r[1] for r in rows], type=pa.list_(pa.int32()))], ["blocks", "roles"])
+    # Columns are built directly; a dictionary per block would cost more than the fold.
+    columns = list(zip(*(b for r in rows for b in r[0]))) or [()] * len(names)
+    kinds = [pa.int32()] * (len(names) - 1) + [pa.bool_()]
+    flat = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], list(names))
+    ends = lambda part: pa.array([0, *accumulate(len(r[part]) for r in rows)], pa.int32())
+    blocks = pa.ListArray.from_arrays(ends(0), flat)
+    roles = pa.ListArray.from_arrays(ends(1), pa.array([x for r in rows for x in r[1]], pa.int32()))
+    return pa.StructArray.from_arrays([blocks, roles], ["blocks", "roles"])
 
 
 # One struct (code, indent, arg) per line. arg: fence length, kind and bareness; heading depth; whether a rule may
