@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and the character n-grams inside them are hashed into buckets. A document is the mean of its buckets' learned
+Words, pairs of words and the character n-grams inside words are hashed into buckets. A document is the mean of its buckets' learned
 vectors; a softmax over that mean gives the class. Training is stochastic gradient descent in numpy on a bounded sample
 of labelled rows. The mean and the softmax's scores are linear, so for scoring each bucket's vector is reduced to the one
 number by which it moves the score.
@@ -24,6 +24,7 @@ EPOCHS = 8
 RATE = 0.5
 TRAIN_ROWS = 6000  # labelled rows the model is fitted on, about
 GRAMS = (3, 4)
+REPEATED = np.uint64(0x5EED5EED5EED5EED)
 
 
 class Model(NamedTuple):
@@ -32,9 +33,17 @@ class Model(NamedTuple):
 
 
 def buckets(reader: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of all words and of all character n-grams that do not span a gap between words."""
+    """(row, bucket) of all words, word pairs, and character n-grams that do not span a gap between words.
+
+    All pairs of a word and itself share one bucket, so repetition is seen whatever the word.
+    """
     spans = reader.read(texts)
     rows, hashes = [spans.row], [spans.hash]
+    if len(spans.row) > 1:
+        near = np.flatnonzero(spans.row[1:] == spans.row[:-1])
+        left, right = spans.hash[near], spans.hash[near + 1]
+        rows.append(spans.row[near])
+        hashes.append(np.where(left == right, REPEATED, mix(left * np.uint64(BASE) + right)))
     # Bytes of words, with one blank before each word and after each text.
     inside = reader.word_bytes[spans.raw]
     first = np.zeros(len(spans.raw), bool)
