@@ -51,7 +51,10 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 def learn_profiles(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", size: int = PROFILE, train_rows: int = TRAIN_ROWS) -> Profiles:
     """Profiles of all non-null values of `lang`, from about `train_rows` rows of each, chosen by a hash of the key."""
     labelled = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    share = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    shares = labelled.groupBy("lang").agg(F.count("*").alias("rows")).limit(MAX_LANGUAGES + 1).collect()
+    if len(shares) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, rows long"))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.col("text"))), F.lit(1_000_000))
     sample = labelled.join(share, "lang").filter(draw * F.col("rows") < F.lit(1_000_000 * train_rows)).select("lang", "text")
 
@@ -68,10 +71,8 @@ def learn_profiles(docs: DataFrame, lang: str = "lang", text: str = "text", key:
 
     totals = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    rows = totals.withColumn("rank", place).filter(F.col("rank") <= size).select("lang", "code", "rank").limit(MAX_LANGUAGES * size + 1).collect()
+    rows = totals.withColumn("rank", place).filter(F.col("rank") <= size).select("lang", "code", "rank").collect()
     names = sorted({r["lang"] for r in rows})
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     codes = np.unique(np.array([r["code"] for r in rows], np.int64))
     ranks = np.full((len(codes), len(names)), size, np.int32)
     column = {name: i for i, name in enumerate(names)}
