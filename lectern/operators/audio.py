@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from lectern.functions import numbers as N
 from lectern.operators.scan import BLOCK, running
+from lectern.session import written
 
 
 def _positions(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def stitch_pcm(clips: DataFrame, block: int = BLOCK) -> DataFrame:
+def stitch_pcm(clips: DataFrame, block: int = BLOCK, folder: str | None = None) -> DataFrame:
     """Every clip resampled to its document's rate and channel count, with its place in the stitched sound.
 
     Output rows (doc_id, position, start_sample, n_samples, sample_rate, channels) are slices of one long sound: a
     document with any number of clips is never gathered into one row. Start positions come from a block-wise running
     sum, so a document that holds most of the clips still spreads over all tasks.
+
+    Sizes are taken in one narrow pass; with a shared `folder` they are written there, and the samples are then read
+    only once more, to be resampled.
     """
     # Sizes only: the samples themselves are shuffled once, by (doc_id, position), in the last join.
     duration = F.col("duration_s") if "duration_s" in clips.columns else F.size(F.get("channels", F.lit(0))) / F.col("sample_rate")
     narrow = clips.select("doc_id", "position", F.size("channels").alias("_n"), "sample_rate", duration.alias("_seconds"))
+    narrow = written(narrow, folder and f"{folder}/sizes")
     target = narrow.groupBy("doc_id").agg(
         F.greatest(F.max("_n"), F.lit(1)).alias("_channels"), F.max("sample_rate").alias("_rate")
     )

@@ -12,6 +12,7 @@ from lectern.functions import text as T
 from lectern.functions.plan import let
 from lectern.operators.html import resolve_url
 from lectern.policies import FETCH_TIMEOUT_MS, MAX_REDIRECTS, MAX_RESPONSE_BYTES
+from lectern.session import written
 
 MARKDOWN_NAME = r"(?i)\.md(?:own|arkdown)?\z"
 HTML_NAME = r"(?i)\.html?\z"
@@ -198,7 +199,8 @@ def judged_hosts(responses: DataFrame, dns: DataFrame, cidr: DataFrame, *columns
 
 
 def resolve_redirects(
-    crawl: DataFrame, max_redirects: int = MAX_REDIRECTS, dns: DataFrame | None = None, cidr: DataFrame | None = None
+    crawl: DataFrame, max_redirects: int = MAX_REDIRECTS, dns: DataFrame | None = None, cidr: DataFrame | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Every crawled address followed to its end: (url, final_url, hops, verdict, error_code, error_message).
 
@@ -206,7 +208,8 @@ def resolve_redirects(
     every hop is judged before it counts as fetched, and a walk that meets a forbidden one ends there. Responses that
     are no redirect need no walk at all. The rest walk the log once per hop; a finished walk keeps a key of its own that
     matches nothing. Many redirects to one address (a login page) share a key while they walk; the log's side is unique,
-    so adaptive execution splits them.
+    so adaptive execution splits them. With a shared `folder` the judged log is written there, and hops read that narrow
+    table instead of judging the log again.
     """
     ends = ("verdict", "error_code", "error_message")
     judged = classify_fetch(crawl).withColumn(
@@ -226,6 +229,7 @@ def resolve_redirects(
             F.when(closed, F.col("url_code")).otherwise(F.col("error_code")).alias("error_code"),
             F.when(closed, F.col("url_message")).otherwise(F.col("error_message")).alias("error_message"),
         )
+    judged = written(judged, folder and f"{folder}/log")
     straight = judged.filter("verdict <> 'redirect'").select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), *ends)
     step = ("target", "target_error", "target_code")
     log = judged.select(F.col("url").alias("_at"), *[F.col(c).alias(f"_{c}") for c in (*step, *ends)])

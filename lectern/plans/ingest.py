@@ -85,13 +85,14 @@ def corpus(raw_docs: DataFrame, read: ReadPolicy = PLAIN_READING, chunks: ChunkP
     return chunking.chunk_documents(documents.document_fingerprint(route_ingest(raw_docs, read)), chunks)
 
 
-def read_crawl(crawl: DataFrame, dns: DataFrame, cidr: DataFrame, bodies: DataFrame) -> DataFrame:
+def read_crawl(crawl: DataFrame, dns: DataFrame, cidr: DataFrame, bodies: DataFrame, folder: str | None = None) -> DataFrame:
     """Crawled addresses to article documents.
 
     Addresses are followed to their end and the host of every hop is checked first, on narrow rows; page bodies are
-    joined only for addresses that passed. `bodies(url, html)`, `dns(host, address)`.
+    joined only for addresses that passed. `bodies(url, html)`, `dns(host, address)`;
+    `folder` as in `resolve_redirects`.
     """
-    safe = guards.resolve_redirects(crawl, dns=dns, cidr=cidr).filter("verdict = 'ok'").select("url", "final_url")
+    safe = guards.resolve_redirects(crawl, dns=dns, cidr=cidr, folder=folder).filter("verdict = 'ok'").select("url", "final_url")
     # Each body is read once, however many addresses lead to it.
     wanted = safe.select("final_url").distinct()
     pages = bodies.select(F.col("url").alias("final_url"), "html").join(wanted, "final_url", "left_semi")

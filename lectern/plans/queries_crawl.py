@@ -9,6 +9,7 @@ from lectern.operators import guards, html
 from lectern.plans import duck, ingest
 from lectern.plans.inputs import cte, derive, sql, table
 from lectern.plans.registry import query
+from lectern.session import work_folder
 
 _MESS = "case page_id % 6 when 0 then url when 1 then replace(url, 'http', 'ftp') when 2 then concat('not a url ', url) when 3 then upper(url) when 4 then '' else url end"
 
@@ -64,7 +65,7 @@ from e left join v on v.url = e.final_url""",
 )
 def _(spark, d):
     dns = sql(spark, d, _CRAWL_DNS)
-    return guards.resolve_redirects(derive(spark, d, "crawl_log"), dns=dns, cidr=guards.cidr_ranges(spark))
+    return guards.resolve_redirects(derive(spark, d, "crawl_log"), dns=dns, cidr=guards.cidr_ranges(spark), folder=work_folder(spark, "crawl"))
 
 
 # A page's host has one public address; the host `mixed` also has a private one.
@@ -91,7 +92,7 @@ def _(spark, d):
         "'text/html' as content_type, 10 as n_bytes from {pages}",
     )
     bodies = sql(spark, d, f"select {_SITE} as url, html from {{pages}}")
-    found = ingest.read_crawl(log, sql(spark, d, _CRAWL_DNS), guards.cidr_ranges(spark), bodies)
+    found = ingest.read_crawl(log, sql(spark, d, _CRAWL_DNS), guards.cidr_ranges(spark), bodies, work_folder(spark, "crawl"))
     return found.select("url", "final_url", F.size("segments").alias("n_segments"))
 
 

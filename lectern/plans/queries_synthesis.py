@@ -314,7 +314,7 @@ x as (select doc_id, position, a0 as start_sample, n as n_samples, mr as sample_
 select doc_id, position, start_sample, n_samples, sample_rate, n_channels, round(list_sum(list_transform(ch, lambda v, i: v::double * i)), 4) as weighted from x""",
 )
 def _(spark, d):
-    done = audio.stitch_pcm(clips(spark, d))
+    done = audio.stitch_pcm(clips(spark, d), folder=work_folder(spark, "clips"))
     last = F.element_at("channels", -1)
     weighted = F.aggregate(F.transform(last, lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     return done.select(
