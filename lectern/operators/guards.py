@@ -25,6 +25,7 @@ MESSAGES = {
     "BAD_SCHEME": "Only http/https URLs are allowed.",
     "BLOCKED_HOST": "Target host resolves to a blocked IP range.",
     "NO_RECORDS": "Hostname resolved with no records.",
+    "UNRESOLVED": "Unable to resolve hostname.",
     "NO_LOCATION": "Redirect response is missing location header.",
     "TOO_MANY_REDIRECTS": "Maximum redirects exceeded.",
     "NOT_HTML": "Response is not HTML content.",
@@ -131,21 +132,23 @@ def host_verdict(hosts: DataFrame, dns: DataFrame, cidr: DataFrame, host: str =
     """Adds `error_code` and `error_message`; null when the host may be fetched.
 
     `dns(host, address)` is reduced to one row per host before the join, so a host with very many records or very many
-    pages stays cheap. Address literals are judged in place and never looked up.
+    pages stays cheap. A host without any row could not be looked up; one whose only rows have a null address was found
+    to have no records. Address literals are judged in place and never looked up.
     """
     resolved = (
         flag_blocked(dns.select(F.col("host").alias(host), "address"), cidr)
         .groupBy(host)
-        .agg(F.bool_or("blocked").alias("_any_blocked"))
+        .agg(F.bool_or(F.when(F.col("address").isNotNull(), F.col("blocked"))).alias("_any_blocked"), F.lit(True).alias("_found"))
     )
     literal = net.is_ipv4(F.col(host)) | net.ipv6_to_hex(F.col(host)).isNotNull()
     judged = flag_blocked(hosts.withColumn("_literal", literal), cidr, host).join(resolved, host, "left")
     bad = F.when(F.col("_literal"), F.col("blocked")).otherwise(F.coalesce("_any_blocked", F.lit(False)))
     silent = ~F.col("_literal") & F.col("_any_blocked").isNull()
+    message = F.when(F.col("_found"), MESSAGES["NO_RECORDS"]).otherwise(MESSAGES["UNRESOLVED"])
     return (
         judged.withColumn("error_code", F.when(bad, "BLOCKED_HOST").when(silent, "UNREADABLE_CONTENT"))
-        .withColumn("error_message", F.when(bad, MESSAGES["BLOCKED_HOST"]).when(silent, MESSAGES["NO_RECORDS"]))
-        .drop("_literal", "_any_blocked", "blocked")
+        .withColumn("error_message", F.when(bad, MESSAGES["BLOCKED_HOST"]).when(silent, message))
+        .drop("_literal", "_any_blocked", "_found", "blocked")
     )
 
 

@@ -583,18 +583,23 @@ def _(spark, d):
     return chunking.explode_pieces(docs, "doc_id").select("doc_id", "piece_idx", "chunk_idx", "char_offset")
 
 
-_HALF = PREEMPTIVE_CHUNKS.halved()
-# Sentence pieces of texts with two or more sentences; word runs at half limits for the others.
-_RETRY = (
-    f"{_TURNS}, sn as (select *, len({duck.sentences('text')}) as ns from tn), many as (select doc_id, position, text from sn where ns >= 2), "
-    f"{duck.pieces(PREEMPTIVE_CHUNKS, 'many')}, "
-    f"ow as (select doc_id, position, {duck.words('text')} as w from sn where ns = 1), ol as (select *, list_transform(w, lambda x: length(x)) as lens from ow), "
-    "op as (select doc_id, position, lens, 1::bigint as i, 0::bigint as g, lens[1]::bigint as c, 1::bigint as t from ol union all "
-    "select doc_id, position, lens, i + 1, case when f then g + 1 else g end, case when f then lens[i + 1] else c + 1 + lens[i + 1] end, case when f then 1 else t + 1 end "
-    f"from (select *, c + 1 + lens[i + 1] > {_HALF.max_chars} or t + 1 > {_HALF.max_tokens} as f from op where i < len(lens))), "
-    "og as (select op.doc_id, op.position, g, string_agg(w[i], ' ' order by i) as text from op join ol on op.doc_id = ol.doc_id and op.position = ol.position group by all), "
-    "rt as (select doc_id, position, row_number() over (partition by doc_id, position order by piece_idx) - 1 as part_idx, text from pc union all select doc_id, position, g, text from og)"
-)
+def retry_parts(policy) -> str:
+    """CTE `rt(doc_id, position, part_idx, text)` of the turns' parts after a failure."""
+    half = policy.halved()
+    # Sentence pieces of texts with two or more sentences; word runs at half limits for the others.
+    return (
+        f"{_TURNS}, sn as (select *, len({duck.sentences('text')}) as ns from tn), many as (select doc_id, position, text from sn where ns >= 2), "
+        f"{duck.pieces(policy, 'many')}, "
+        f"ow as (select doc_id, position, {duck.words('text')} as w from sn where ns = 1), ol as (select *, list_transform(w, lambda x: length(x)) as lens from ow), "
+        "op as (select doc_id, position, lens, 1::bigint as i, 0::bigint as g, lens[1]::bigint as c, 1::bigint as t from ol union all "
+        "select doc_id, position, lens, i + 1, case when f then g + 1 else g end, case when f then lens[i + 1] else c + 1 + lens[i + 1] end, case when f then 1 else t + 1 end "
+        f"from (select *, c + 1 + lens[i + 1] > {half.max_chars} or t + 1 > {half.max_tokens} as f from op where i < len(lens))), "
+        "og as (select op.doc_id, op.position, g, string_agg(w[i], ' ' order by i) as text from op join ol on op.doc_id = ol.doc_id and op.position = ol.position group by all), "
+        "rt as (select doc_id, position, row_number() over (partition by doc_id, position order by piece_idx) - 1 as part_idx, text from pc union all select doc_id, position, g, text from og)"
+    )
+
+
+_RETRY = retry_parts(PREEMPTIVE_CHUNKS)
 
 
 @query("u10_split_for_retry", f"with recursive {_RETRY} select doc_id, position, part_idx, text from rt")

@@ -60,7 +60,7 @@ w as (select url as beg, url as cur, 0 as hops from v union all
 e as (select beg as url, cur as final_url, hops from w qualify row_number() over (partition by beg order by hops desc) = 1)
 select e.url, e.final_url, hops, case when v.m is null and v.status = 200 then 'ok' else 'error' end as verdict,
  case when v.m is null and v.status = 200 then null when e.final_url like 'http://10.%' then 'BLOCKED_HOST' else 'UNREADABLE_CONTENT' end as error_code,
- case when e.final_url like 'http://10.%' then 'Target host resolves to a blocked IP range.' when e.final_url like 'https://quiet%' then 'Hostname resolved with no records.' when v.url is null then 'Fetch failed.' when v.m is not null then v.m when v.status between 300 and 399 then 'Maximum redirects exceeded.' end as error_message
+ case when e.final_url like 'http://10.%' then 'Target host resolves to a blocked IP range.' when e.final_url like 'https://quiet%' then 'Unable to resolve hostname.' when v.url is null then 'Fetch failed.' when v.m is not null then v.m when v.status between 300 and 399 then 'Maximum redirects exceeded.' end as error_message
 from e left join v on v.url = e.final_url""",
 )
 def _(spark, d):
@@ -145,7 +145,7 @@ _HOST = "case page_id % 8 when 0 then '10.1.2.3' when 1 then '[fe80::1]' when 2
 v as (select p.page_id, case page_id % 8 when 0 then '10.1.2.3' when 1 then 'fe80::1' when 2 then '8.8.8.8' else concat('h', cast(page_id as varchar), '.example') end as host,
  case page_id % 8 when 0 then true when 1 then true when 2 then false else coalesce(b.bad, false) end as bad, page_id % 8 > 2 and b.bad is null as silent from pages p left join b using (page_id))
 select page_id, host, case when bad then 'BLOCKED_HOST' when silent then 'UNREADABLE_CONTENT' end as error_code,
-case when bad then '{guards.MESSAGES['BLOCKED_HOST']}' when silent then '{guards.MESSAGES['NO_RECORDS']}' end as error_message from v""",
+case when bad then '{guards.MESSAGES['BLOCKED_HOST']}' when silent then '{guards.MESSAGES['UNRESOLVED']}' end as error_message from v""",
 )
 def _(spark, d):
     urls = sql(spark, d, f"select page_id, concat('http://', {_HOST}, ':8080/x') as url from {{pages}}")

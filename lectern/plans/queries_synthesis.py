@@ -10,7 +10,9 @@ from lectern.functions import text as T
 from lectern.operators import audio, playback, quality, synthesis
 from lectern.plans import duck
 from lectern.plans.inputs import cte, derive, sql, table
+from lectern.plans.queries_corpus import retry_parts
 from lectern.plans.registry import query
+from lectern.policies import DEFAULT_CHUNKS
 from lectern.session import work_folder
 
 @query(
@@ -158,21 +160,20 @@ def _(spark, d):
     return synthesis.retry_prefix_check(segments, cache, retries)
 
 
-_CAN_SPLIT = f"(len({duck.sentences('text')}) >= 2 or (len({duck.words('text')}) >= 2 and (length(array_to_string({duck.words('text')}, ' ')) > 450 or len({duck.words('text')}) > 80)))"
-
-
 @query(
     "u12_retry_schedule",
-    f"""with {cte('synth_results')}, f as (select segment_id, text, position % 5 as split_depth, position % 5 < 3 and {_CAN_SPLIT} as can from synth_results where not ok)
+    f"""with recursive {cte('synth_results')}, {retry_parts(DEFAULT_CHUNKS)}, np as (select doc_id, position, count(*) as n from rt group by all),
+f as (select segment_id, text, position % 5 as split_depth, n, position % 5 < 3 and coalesce(n, 0) >= 2 as can from synth_results left join np using (doc_id, position) where not ok)
 select segment_id, split_depth, attempt, case when attempt < 3 then cast(180 * pow(2, attempt - 1) as bigint) end as delay_ms,
-case when attempt < 3 then 'retry' when can then 'split' else 'exhausted' end as outcome, case when attempt = 3 and not can then 'regen_exhausted: empty blob' else 'empty blob' end as message
+case when attempt < 3 then 'retry' when can then 'split' else 'exhausted' end as outcome, case when attempt = 3 and can then n end as chunk_count,
+case when attempt = 3 and not can then 'regen_exhausted: empty blob' else 'empty blob' end as message
 from f, unnest([1, 2, 3]) t(attempt)""",
 )
 def _(spark, d):
     failures = derive(spark, d, "synth_results").filter("not ok").select(
         "segment_id", "text", (F.col("position") % 5).alias("split_depth"), F.lit("empty blob").alias("reason")
     )
-    return synthesis.retry_schedule(failures).drop("chunk_count")
+    return synthesis.retry_schedule(failures)
 
 
 @query("u12_retry_rounds")

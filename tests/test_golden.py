@@ -368,6 +368,15 @@ def test_hosts_of_every_hop_are_judged(spark):
     }
 
 
+def test_hosts_without_an_answer(spark):
+    hosts = rows(spark, [("a.example",), ("b.example",), ("c.example",), ("10.0.0.1",)], "host string")
+    dns = rows(spark, [("a.example", "93.184.216.34"), ("b.example", None)], "host string, address string")
+    got = {r.host: (r.error_code, r.error_message) for r in guards.host_verdict(hosts, dns, guards.cidr_ranges(spark)).collect()}
+    assert got["a.example"] == (None, None) and got["10.0.0.1"][0] == "BLOCKED_HOST"
+    assert got["b.example"] == ("UNREADABLE_CONTENT", "Hostname resolved with no records.")
+    assert got["c.example"] == ("UNREADABLE_CONTENT", "Unable to resolve hostname.")
+
+
 def test_dot_steps_and_numeric_references_have_no_limit(spark):
     base = "https://h/a/b/c/d/e/f/g/h/i/x.html?q=/../z"
     refs = {"../" * 8 + "u.js": "https://h/a/u.js", "./" * 6 + "u.js": "https://h/a/b/c/d/e/f/g/h/i/u.js", "../" * 20 + "u.js": "https://h/u.js", "v/..": "https://h/a/b/c/d/e/f/g/h/i/", "/p/../q?x=/../y": "https://h/q?x=/../y"}
