@@ -583,12 +583,12 @@ def _(spark, d):
     return chunking.explode_pieces(docs, "doc_id").select("doc_id", "piece_idx", "chunk_idx", "char_offset")
 
 
-def retry_parts(policy) -> str:
-    """CTE `rt(doc_id, position, part_idx, text)` of the turns' parts after a failure."""
+def retry_parts(policy, source: str = "select conv_id as doc_id, turn as position, text from conversations") -> str:
+    """CTE `rt(doc_id, position, part_idx, text)` of the parts of `source(doc_id, position, text)` after a failure."""
     half = policy.halved()
     # Sentence pieces of texts with two or more sentences; word runs at half limits for the others.
     return (
-        f"{_TURNS}, sn as (select *, len({duck.sentences('text')}) as ns from tn), many as (select doc_id, position, text from sn where ns >= 2), "
+        f"tn as ({source}), sn as (select *, len({duck.sentences('text')}) as ns from tn), many as (select doc_id, position, text from sn where ns >= 2), "
         f"{duck.pieces(policy, 'many')}, "
         f"ow as (select doc_id, position, {duck.words('text')} as w from sn where ns = 1), ol as (select *, list_transform(w, lambda x: length(x)) as lens from ow), "
         "op as (select doc_id, position, lens, 1::bigint as i, 0::bigint as g, lens[1]::bigint as c, 1::bigint as t from ol union all "

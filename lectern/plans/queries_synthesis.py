@@ -12,7 +12,7 @@ from lectern.plans import duck
 from lectern.plans.inputs import cte, derive, sql, table
 from lectern.plans.queries_corpus import retry_parts
 from lectern.plans.registry import query
-from lectern.policies import DEFAULT_CHUNKS
+from lectern.policies import DEFAULT_CHUNKS, PREEMPTIVE_CHUNKS
 from lectern.session import work_folder
 
 @query(
@@ -176,7 +176,43 @@ def _(spark, d):
     return synthesis.retry_schedule(failures)
 
 
-@query("u12_retry_rounds")
+def _rounds() -> str:
+    """All retry events when texts of more than 250 characters come out bad; the levels unrolled."""
+    keyed = "select segment_id as doc_id, 0 as position, text from"
+    split = lambda policy, source: f"with recursive {retry_parts(policy, source)} select doc_id as segment_id, part_idx, text from rt"
+    long = f"length({duck.trim('text')}) > {PREEMPTIVE_CHUNKS.max_chars} or {duck.tokens('text')} > {PREEMPTIVE_CHUNKS.max_tokens}"
+    child = "select concat(segment_id, '::chunk_', cast(part_idx as varchar)) as segment_id, text from"
+    ctes = [
+        cte("synth_results"),
+        "base as (select segment_id, text from synth_results)",
+        f"pp as ({split(PREEMPTIVE_CHUNKS, keyed + ' base where ' + long)})",
+        "pn as (select segment_id, count(*) as n from pp group by segment_id having count(*) >= 2)",
+        "b0 as (select * from base where segment_id not in (select segment_id from pn) and length(text) > 250)",
+    ]
+    for level in range(4):
+        ctes.append(f"p{level} as ({split(DEFAULT_CHUNKS, f'{keyed} b{level}')})")
+        ctes.append(f"n{level} as (select segment_id, count(*) as n from p{level} group by segment_id having count(*) >= 2)")
+        if level < 3:
+            more = f"{child} pp where segment_id in (select segment_id from pn) union all " if level == 0 else ""
+            children = f"{more}{child} p{level} where segment_id in (select segment_id from n{level})"
+            ctes.append(f"b{level + 1} as (select * from ({children}) where length(text) > 250)")
+    tried = " union all ".join(
+        f"select segment_id, {level} as split_depth, {'n' if level < 3 else 'null::bigint'} as n from b{level} left join n{level} using (segment_id)" for level in range(4)
+    )
+    ctes += [
+        f"tried as ({tried})",
+        "turns as (select segment_id, split_depth, attempt, case when attempt < 3 then cast(180 * pow(2, attempt - 1) as bigint) end as delay_ms, "
+        "case when attempt < 3 then 'retry' when n is not null then 'split' else 'exhausted' end as outcome, case when attempt = 3 then n end as chunk_count, "
+        "case when attempt = 3 and n is null then 'regen_exhausted: empty blob' else 'empty blob' end as message from tried, unnest([1, 2, 3]) t(attempt))",
+        "ev as (select * from turns union all select segment_id, 0, null, null, 'split', n, null from pn)",
+    ]
+    return (
+        f"with {', '.join(ctes)} select * from ev union all select segment_id, split_depth, null, null, 'regenerated', chunk_count, null from ev s where outcome = 'split' "
+        "and not exists (select 1 from ev x where x.outcome = 'exhausted' and starts_with(x.segment_id, concat(s.segment_id, '::chunk_')))"
+    )
+
+
+@query("u12_retry_rounds", _rounds())
 def _(spark, d):
     segments = derive(spark, d, "synth_results").select("segment_id", "text")
     return synthesis.retry_rounds(segments, lambda text: T.utf16_length(text) > 250, "empty blob", work_folder(spark, "retries"))
