@@ -33,6 +33,14 @@ def _bounds(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets[:-1], lengths
 
 
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    """List offsets of a batch. Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set)."""
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("a batch of more than 2^31 elements: lower spark.sql.execution.arrow.maxBytesPerBatch")
+    return ends.astype(np.int32)
+
+
 def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row order from longest to shortest, and how many rows are still live at each position."""
     order = np.argsort(-lengths, kind="stable")
@@ -98,7 +106,7 @@ def fnv1a32_each(texts: pa.Array) -> pa.Array:
     """`fnv1a32` of every element of a string array."""
     start, length = _bounds(texts)
     flat = texts.flatten()
-    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(length))).astype(np.int32), _hex8(_fnv_rows(flat)))
+    return pa.ListArray.from_arrays(_offsets(length), _hex8(_fnv_rows(flat)))
 
 
 def _nfkc(texts: pa.Array) -> pa.Array:
@@ -116,7 +124,7 @@ def nfkc(text: pa.Array) -> pa.Array:
 @arrow_udf(ArrayType(StringType()))
 def nfkc_each(texts: pa.Array) -> pa.Array:
     _, length = _bounds(texts)
-    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(length))).astype(np.int32), _nfkc(texts.flatten()))
+    return pa.ListArray.from_arrays(_offsets(length), _nfkc(texts.flatten()))
 
 
 @arrow_udf(ArrayType(LongType()))
@@ -130,7 +138,7 @@ def sums_before(values: pa.Array) -> pa.Array:
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
     base = exclusive[np.minimum(first, max(len(exclusive) - 1, 0))] if len(exclusive) else np.zeros(len(first), np.int64)
     exclusive = exclusive - np.repeat(base, length)
-    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(length))).astype(np.int32), pa.array(exclusive))
+    return pa.ListArray.from_arrays(_offsets(length), pa.array(exclusive))
 
 
 def greedy_starts(max_chars: int, max_tokens: int):
@@ -171,7 +179,6 @@ def greedy_starts(max_chars: int, max_tokens: int):
         where = np.flatnonzero(opens)
         owner = np.searchsorted(first + length, where, side="right")
         counts = np.bincount(owner, minlength=len(length))
-        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, pa.array((where - first[owner] + 1).astype(np.int32)))
+        return pa.ListArray.from_arrays(_offsets(counts), pa.array((where - first[owner] + 1).astype(np.int32)))
 
     return starts

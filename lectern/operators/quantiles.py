@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 SMALL_GROUP = 100_000  # groups up to this size keep all their distinct values
 ACCURACY = 100_000  # the sketch is off by at most one rank in this many
+BINS = 4096  # of a bracket
 MARGIN = 5e-5  # wide enough for the sketch error and the two neighbouring ranks of a group above SMALL_GROUP
 
 
@@ -20,8 +21,9 @@ def exact_percentiles(df: DataFrame, group: str, value: str, probs: dict[str, fl
     join follows the sizes measured at run time.
 
     A mergeable sketch first brackets each percentile. A second pass counts what lies below the bracket and keeps only
-    the few distinct values inside it, with their counts, for exact ranking. A value shared by a third of all rows is
-    one row by then.
+    the distinct values inside it, with their counts. A value shared by a third of all rows is one row by then. Counts of
+    equal bins of the bracket then tell which bin holds the rank sought, so a task ranks one bin in 4096 of a bracket
+    that holds about one in ten thousand rows.
     """
     clean = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_x"))
     edges = [max(0.0, min(1.0, p + s)) for p in probs.values() for s in (-MARGIN, MARGIN)]
@@ -49,21 +51,30 @@ def exact_percentiles(df: DataFrame, group: str, value: str, probs: dict[str, fl
         *[F.first(f"_{e}{i}").alias(f"_{e}{i}") for i in range(len(probs)) for e in ("lo", "hi")],
         F.first("n").alias("n"),
     )
-    order = W.partitionBy(group).orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(group)
-    ranked = counted
-    for i in range(len(probs)):
-        hit = F.col("_x").isNotNull() & F.col("_x").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-        ranked = ranked.withColumn(f"_below{i}", F.sum(f"_b{i}").over(whole)).withColumn(
-            f"_upto{i}", F.sum(F.when(hit, F.col("_c")).otherwise(0)).over(order)
-        ).withColumn(f"_hit{i}", hit)
-    picks = []
-    for i, p in enumerate(probs.values()):
-        place = F.lit(p) * (F.col("n") - 1)
-        for side, rank in (("f", F.floor(place)), ("c", F.ceil(place))):
-            reached = F.col(f"_hit{i}") & (F.col(f"_below{i}") + F.col(f"_upto{i}") > rank)
-            picks.append(F.min(F.when(reached, F.col("_x"))).alias(f"_{side}{i}"))
-    found = ranked.groupBy(group).agg(F.max("n").alias("n"), *picks)
+    below = counted.groupBy(group).agg(F.max("n").alias("n"), *[F.sum(f"_b{i}").alias(f"_b{i}") for i in range(len(probs))])
+    brackets_of = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi")) for i in range(len(probs))])
+    held = F.filter(brackets_of, lambda b: F.col("_x").between(b["lo"], b["hi"]))
+    items = counted.filter("_x is not null").select(group, "_x", "_c", F.explode(held).alias("b")).select(group, "_x", "_c", "b.*")
+    # A bracket is cut into equal bins; their counts tell which bin holds a rank, and only that bin's values are ranked.
+    width = F.col("hi") - F.col("lo")
+    finite = (F.abs("lo") < float("inf")) & (F.abs("hi") < float("inf")) & (width > 0)
+    place = F.least(F.floor((F.col("_x") - F.col("lo")) / width * BINS), F.lit(BINS - 1))
+    items = items.withColumn("_bin", F.when(finite, place).otherwise(F.lit(0)).cast("int")).select(group, "i", "_bin", "_x", "_c")
+    bins = items.groupBy(group, "i", "_bin").agg(F.sum("_c").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(group, "i").orderBy("_bin"))
+    bins = bins.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
+    ranks = [
+        F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), (turn(F.lit(p) * (F.col("n") - 1)) - F.col(f"_b{i}")).cast("long").alias("rank"))
+        for i, p in enumerate(probs.values())
+        for side, turn in (("f", F.floor), ("c", F.ceil))
+    ]
+    sought = below.select(group, F.explode(F.array(*ranks)).alias("r")).select(group, "r.*")
+    chosen = bins.join(sought, [group, "i"]).filter("rank >= _before and rank < _upto")
+    chosen = chosen.select(group, "i", "_bin", "side", (F.col("rank") - F.col("_before")).alias("_left"))
+    reached = F.sum("_c").over(W.partitionBy(group, "i", "side").orderBy("_x"))
+    hits = items.join(chosen, [group, "i", "_bin"]).withColumn("_reached", reached).filter("_reached > _left")
+    picks = [F.min(F.when((F.col("i") == i) & (F.col("side") == side), F.col("_x"))).alias(f"_{side}{i}") for i in range(len(probs)) for side in "fc"]
+    found = below.select(group, "n").join(hits.groupBy(group).agg(*picks), group)
     columns = []
     for i, (name, p) in enumerate(probs.items()):
         place = F.lit(p) * (F.col("n") - 1)

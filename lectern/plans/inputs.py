@@ -51,6 +51,7 @@ DERIVED: dict[str, tuple[str, str | None]] = {
         " when 3 then '<p>set one=2 and 3 > 1</p>' else '<b title=\"a>b\">x < y</b><a href=\"&#106;avascript:x\">' end, '<footer>')) as html from {dirty_pages}",
         None,
     ),
+    # A seventh of the pages has no answer at all, which feeds the branch of failed lookups.
     "dns": (
         "select page_id, case page_id % 6 when 0 then concat('10.', cast(page_id % 256 as varchar(20)), '.0.1') when 1 then '192.168.1.9'"
         " when 2 then '172.31.255.255' when 3 then '172.32.0.1' when 4 then '::ffff:127.0.0.1' else 'fe80::1' end as address"

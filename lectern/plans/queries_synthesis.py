@@ -228,6 +228,7 @@ when p is not null then concat('Build failed at segment ', cast(p + 1 as varchar
 from (select distinct conv_id as doc_id from conversations) c left join s using (doc_id) left join r on r.doc_id = s.doc_id and r.position = s.p""",
 )
 def _(spark, d):
+    # Documents divisible by 29 have no results, which feeds the branch of empty documents.
     results = derive(spark, d, "synth_results").filter("doc_id % 29 <> 0").select(
         "doc_id", "position", "segment_id", "ok", F.lit("empty blob").alias("reason"), (F.col("doc_id") % 17 == 0).alias("native")
     )
