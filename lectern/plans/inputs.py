@@ -74,10 +74,11 @@ DERIVED: dict[str, tuple[str, str | None]] = {
         "",
     ),
     "telemetry": (
-        "select user_id as session_id, event_id as seq, ts as event_ts, case event_type when 'click' then 'tts.segment_synth'"
+        "select user_id as session_id, event_id as seq, ts as event_ts, case when event_id % 23 = 5 then 'tts.degraded_mode' when event_id % 29 = 7 then 'tts.runtime_downgrade'"
+        " when event_id % 31 = 9 then 'tts.export_build_outcome' else case event_type when 'click' then 'tts.segment_synth'"
         " when 'view' then 'tts.first_audio' when 'signup' then 'tts.model_load' when 'error' then 'tts.synth_failure'"
-        " else 'tts.queue_transition' end as type, concat('seg_', cast(event_id % 50 as varchar(20))) as segment_id,"
-        " value * 10 as duration_ms, case when event_type = 'error' then case event_id % 6 when 0 then 'duration_too_short'"
+        " else 'tts.queue_transition' end end as type, concat('seg_', cast(event_id % 50 as varchar(20))) as segment_id,"
+        " value * 10 as duration_ms, case when event_id % 29 = 7 then 'probe failed on webgpu' when event_type = 'error' then case event_id % 6 when 0 then 'duration_too_short'"
         " when 1 then 'regen_exhausted' when 2 then 'Audio playback failed: NotAllowedError' when 3 then 'wasm out of memory'"
         " when 4 then 'WebGPU adapter lost' else 'timeout' end end as reason,"
         " case when event_type = 'purchase' then event_id % 20 = 0 end as is_underrun from {events}",

@@ -57,7 +57,7 @@ def _(spark, d):
     return spark.read.parquet(out)
 
 
-@query("t3_stream_counters", f"{TEL} select session_id, count(*) filter (type = 'tts.synth_failure') as synth_failures, 0 as fallback_activations from telemetry group by session_id")
+@query("t3_stream_counters", f"{TEL} select session_id, count(*) filter (type = 'tts.synth_failure') as synth_failures, count(*) filter (type = 'tts.degraded_mode') as fallback_activations from telemetry group by session_id")
 def _(spark, d):
     out, mark = work_folder(spark, "counters"), work_folder(spark, "mark")
     finish(live.changes_to(live.stream_counters(as_stream(spark, d, "telemetry"), "session_id"), out, mark, "session_id"))

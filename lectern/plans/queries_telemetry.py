@@ -69,7 +69,7 @@ def _(spark, d):
     return done.select("event_id", "bucket", "shown_reason", "shown_hint")
 
 
-@query("a5_telemetry_counters", f"{TEL} select session_id, count(*) filter (type = 'tts.synth_failure') as synth_failures, 0 as fallback_activations from telemetry group by session_id")
+@query("a5_telemetry_counters", f"{TEL} select session_id, count(*) filter (type = 'tts.synth_failure') as synth_failures, count(*) filter (type = 'tts.degraded_mode') as fallback_activations from telemetry group by session_id")
 def _(spark, d):
     return telemetry.telemetry_counters(derive(spark, d, "telemetry"), "session_id")
 
@@ -107,7 +107,7 @@ def _(spark, d):
 
 @query(
     "a7_memory_budget",
-    "with p as (select count(*) as n_loads, count(*) filter (event_id % 3 = 0) as n_reported, max(case when event_id % 3 = 0 then round(value * 40, 3) end) as peak_mb from events where event_type = 'signup') "
+    f"{TEL}, p as (select count(*) as n_loads, count(*) filter (seq % 3 = 0) as n_reported, max(case when seq % 3 = 0 then round(duration_ms * 4, 3) end) as peak_mb from telemetry where type = 'tts.model_load') "
     "select n_loads, n_reported, peak_mb, case when peak_mb is null then 'informational' when peak_mb < 12288e-1 then 'pass' else 'fail' end as verdict from p",
 )
 def _(spark, d):
