@@ -26,6 +26,8 @@ from lectern.llm.words import BASE, BLANK_SEPARATED, Words, combined, mix, packe
 
 BUCKET_BYTES = 16 << 20  # candidate keys of one task group
 CHUNK = 256  # candidates intersected at a time
+COMMON = 100_000  # most frequent shingles that are left out when candidates are sought
+COMMON_SHARE, COMMON_LEAST = 0.003, 8  # share of a map batch's documents, and their number, that make a shingle frequent
 
 
 def shingle_sets(reader: Words, texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,36 +81,48 @@ class Bands:
         return (high + high * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
 
 
-def part_keys(hashes: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(key, set number) of all parts of non-empty sets, for both families of each set."""
+def parts_of(hashes, owner, n_sets, family, n_parts, live, salt):
+    """(key, set number) of the filled parts of sets in their family, and how many parts of each set are filled."""
+    use = live[owner]
+    h, own = hashes[use], owner[use]
+    part = ((h >> np.uint64(32)) * n_parts[own].astype(np.uint64)) >> np.uint64(32)
+    if not len(h):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), part, np.zeros(n_sets, np.int64)
+    at = run_starts(own, part)
+    content = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5)), at)
+    tag = (family[own[at]].astype(np.uint64) << np.uint64(40)) + part[at] + np.uint64(salt << 56)
+    return mix(content + mix(tag + np.uint64(BASE))), own[at], part[at], np.bincount(own[at], minlength=n_sets)
+
+
+def part_keys(hashes: np.ndarray, bounds: np.ndarray, bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, set number) of the parts of non-empty sets, for both families of each set.
+
+    Shingles in `common` (any fixed list) are left out first, which cannot add to a difference. A set with more filled
+    parts than linked sets can differ in needs no other keys. Sets that are too poor for that also meet by parts of their
+    whole content, and those that are too poor even then by their empty parts.
+    """
     sizes = np.diff(bounds)
+    n = len(sizes)
     band = bands.of(sizes)
     most = bands.differences()
-    parts = np.where(most == 0, 1, (most + 1) * 11 // 10 + 1)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    keys, sets = [], []
+    parts = np.where(most == 0, 1, (most + 1) * 5 // 4 + 1)
+    owner = np.repeat(np.arange(n), sizes)
+    place = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
+    rare = common[place] != hashes if len(common) else np.ones(len(hashes), bool)
+    keys, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for family in (band, band - 1):
         live = (family >= 0) & (sizes > 0)
         family = np.maximum(family, 0)
-        n_parts = parts[family]
-        use = live[owner]
-        h, own = hashes[use], owner[use]
-        part = ((h >> np.uint64(32)) * n_parts[own].astype(np.uint64)) >> np.uint64(32)
-        if not len(h):
-            continue
-        at = run_starts(own, part)
-        content = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5)), at)
-        tag = (family[own[at]].astype(np.uint64) << np.uint64(40)) + part[at]
-        keys.append(mix(content + mix(tag + np.uint64(BASE))))
-        sets.append(own[at])
-        filled = np.bincount(own[at], minlength=len(sizes))
-        # Sets with too few filled parts also meet in their empty ones.
-        for i in np.flatnonzero(live & (filled <= most[family])):
-            empty = np.setdiff1d(np.arange(n_parts[i]), part[at[own[at] == i]].astype(np.int64)).astype(np.uint64)
-            keys.append(mix(mix((np.uint64(family[i]) << np.uint64(40)) + empty + np.uint64(BASE))))
+        n_parts, enough = parts[family], most[family] + 1
+        k, own, _, filled = parts_of(hashes[rare], owner[rare], n, family, n_parts, live, 1)
+        poor = live & (filled < enough)
+        whole, of, part, full = parts_of(hashes, owner, n, family, n_parts, poor, 2)
+        keys += [k, whole]
+        sets += [own, of]
+        for i in np.flatnonzero(poor & (full < enough)):
+            empty = np.setdiff1d(np.arange(n_parts[i]), part[of == i].astype(np.int64)).astype(np.uint64)
+            keys.append(mix(mix((np.uint64(family[i]) << np.uint64(40)) + empty + np.uint64((3 << 56) + 7))))
             sets.append(np.full(len(empty), i))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(sets)
 
 
@@ -197,6 +211,18 @@ def jaccard_join(
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), total * 5 // BUCKET_BYTES)  # some five bytes of keys per shingle
 
+    def frequent(batches):
+        reader = Words(BLANK_SEPARATED, lower=True)
+        for batch in batches:
+            found = [shingle_sets(reader, batch["text"].slice(a, b - a), words)[0] for a, b in pieces(batch["text"])]
+            shingles, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            often = count >= max(COMMON_LEAST, COMMON_SHARE * len(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(shingles[often].view(np.int64)), pa.array(count[often])], ["shingle", "n"])
+
+    totals = docs.select("text").mapInArrow(frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = totals.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").collect()
+    common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64)))
+
     def candidate_keys(batches):
         reader, bands = Words(BLANK_SEPARATED, lower=True), Bands(num, den)
         for batch in batches:
@@ -204,7 +230,7 @@ def jaccard_join(
             for a, b in pieces(batch["text"]):
                 hashes, bounds = shingle_sets(reader, batch["text"].slice(a, b - a), words)
                 own = set_ids(hashes, bounds)
-                k, s = part_keys(hashes, bounds, bands)
+                k, s = part_keys(hashes, bounds, bands, common.value)
                 keys.append(k)
                 ids.append(own[s])
             (keys, centres), edges = stars(np.concatenate(keys), np.concatenate(ids))

@@ -22,7 +22,7 @@ BUCKET_BITS = 16
 DIM = 16
 EPOCHS = 8
 RATE = 0.5
-TRAIN_ROWS = 6000  # labelled rows the model is fitted on, about
+TRAIN_ROWS = 4000  # labelled rows the model is fitted on, about
 GRAMS = (3, 4)
 REPEATED = np.uint64(0x5EED5EED5EED5EED)
 
