@@ -25,6 +25,7 @@ from lectern.llm.components import connected_components
 from lectern.llm.words import BASE, BLANK_SEPARATED, Words, combined, mix, packed, pieces, run_starts, runs, unpacked
 
 BUCKET_BYTES = 16 << 20  # candidate keys of one task group
+PORTION_BYTES = 8 << 20  # text whose equal keys are combined in a map task
 CHUNK = 256  # candidates intersected at a time
 COMMON = 100_000  # most frequent shingles that are left out when candidates are sought
 COMMON_SHARE, COMMON_LEAST = 0.003, 8  # share of a map batch's documents, and their number, that make a shingle frequent
@@ -52,6 +53,13 @@ def shingle_sets(reader: Words, texts: pa.Array, k: int) -> tuple[np.ndarray, np
     return hashes, np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(texts)))))
 
 
+def portions(batches):
+    """Record batches of about PORTION_BYTES of text each, which bounds what a task holds."""
+    for batch in batches:
+        for a, b in pieces(batch["text"], PORTION_BYTES):
+            yield batch.slice(a, b - a)
+
+
 def set_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """One 64-bit id per set; 0 for the empty set."""
     a = np.concatenate(([np.uint64(0)], np.cumsum(mix(hashes))))
@@ -213,7 +221,7 @@ def jaccard_join(
 
     def frequent(batches):
         reader = Words(BLANK_SEPARATED, lower=True)
-        for batch in batches:
+        for batch in portions(batches):
             found = [shingle_sets(reader, batch["text"].slice(a, b - a), words)[0] for a, b in pieces(batch["text"])]
             shingles, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             often = count >= max(COMMON_LEAST, COMMON_SHARE * len(batch))
@@ -225,7 +233,7 @@ def jaccard_join(
 
     def candidate_keys(batches):
         reader, bands = Words(BLANK_SEPARATED, lower=True), Bands(num, den)
-        for batch in batches:
+        for batch in portions(batches):
             keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for a, b in pieces(batch["text"]):
                 hashes, bounds = shingle_sets(reader, batch["text"].slice(a, b - a), words)
