@@ -11,6 +11,8 @@ from lectern.llm.common import stored, table
 from lectern.llm.jaccard_join import jaccard_join
 from lectern.session import work_folder
 
+ROW = "near_duplicates_row"  # working column
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, accepts."""
@@ -18,14 +20,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group linked by five-word shingles at a similarity of 0.8 or more.
+    """One row of each group of rows linked by five-word shingles at a similarity of 0.8 or more.
 
-    Rows of one id are one document, of which one row stays. Rows without an id stay, as nothing names them.
+    Rows, not ids, are compared: rows of one id with different texts are different documents, and rows without an id take
+    part. The row of the smallest id stays, rows without an id come last, and ties go to the row that was numbered first.
+    Texts without words link with nothing, so their rows all stay.
     """
-    groups = jaccard_join(docs, words=5, num=8, den=10)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    # A row's number is drawn once and kept by the written table, so every later read sees the same one.
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    # Null sorts before 1: rows with an id come first.
+    keyed = rows.select(F.struct(F.when(F.col("doc_id").isNull(), 1).alias("last"), "doc_id", F.col(ROW).alias("row")).alias("key"), "text")
+    groups = jaccard_join(keyed, key="key", words=5, num=8, den=10)
+    first = groups.filter("key.row = component_id.row").select(F.col("key.row").alias(ROW))
+    return rows.join(first, ROW, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

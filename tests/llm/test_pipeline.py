@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, and its last result against the stages' brute-force versions."""
 
+from collections import Counter
+
 import corpus_pipeline
 from test_operators import components, spans, texts
 
@@ -27,6 +29,20 @@ def test_near_duplicates_and_secrets(spark):
     assert all(not spans(r.text) and (r.text is None or r.n_chars == len(r.text)) for r in clean)
 
 
+def test_near_duplicates_goes_by_row(spark):
+    a, b, c = (" ".join(f"{name}{i}" for i in range(40)) for name in "abc")
+    rows = [
+        (3, a), (5, a + " end"), (5, b), (5, b + " end"),  # one id, two texts: the copy of document 3 goes, b stays once
+        (None, c), (None, c + " end"), (None, c), (None, b), (9, a),  # no id: one row of c, none of b
+        (8, "short"), (8, "other"), (7, None), (None, None), (None, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text.split(" ")[0] if r.text else r.text) for r in out.collect())
+    assert got == Counter([(3, "a0"), (5, "b0"), (None, "c0"), (8, "short"), (8, "other"), (7, None), (None, None), (None, "")])
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(out) < table(spark, SF, "documents").count()
