@@ -97,9 +97,9 @@ def compile_patterns(items: list[tuple[int, str | None]], window: int) -> list[P
 
 
 def benchmark_parts(benchmark: DataFrame, key: str, text: str, limit: int):
-    """The benchmark's items in parts of about `limit` bytes, fetched one after the other; keys as strings."""
+    """The benchmark's items in parts of about `limit` bytes, fetched one after the other; keys as strings, or null."""
     part, size = [], 0
-    rows = benchmark.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+    rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
     for row in rows.toLocalIterator():
         part.append((row.k, row.t))
         size += len(row.t)
@@ -114,12 +114,13 @@ def find_contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
     window: int = 10, pattern_bytes: int = PATTERN_BYTES,
 ) -> DataFrame:
-    """(key, n_words, n_hit, items) per row: words of the text, words inside an occurrence, sorted ids of the items hit.
+    """(key, n_words, n_hit, items, n_items) per row: words of the text, words inside an occurrence, sorted ids of the
+    items hit, number of the items hit.
 
     Patterns are `window` consecutive words of an item; an item of fewer words, but not none, is one pattern. A-Z are
     lower-cased; words are runs of letters, digits and non-ASCII characters. Null, empty and wordless texts have no
-    words and no hits; items like that, or without an id, have no patterns. Repeated rows give repeated rows; items of
-    one id count once. An empty benchmark hits nothing, an empty table gives an empty table.
+    words and no hits; items like that have no patterns. Items without an id hit words like any other and are one more item
+    in n_items, all together, but are not listed. Repeated rows give repeated rows; items of one id count once. An empty benchmark hits nothing, an empty table gives an empty table.
 
     No row is shuffled. The benchmark is broadcast in parts of at most about `pattern_bytes` of text, one pass over the
     documents for each part, so what an executor holds does not grow with the benchmark.
@@ -128,7 +129,8 @@ def find_contamination(
     marked = search(rows, "text", benchmark, item_key, item_text, window, pattern_bytes)
     schema = with_fields(rows.select("key").schema, f"n_words long, n_hit long, {ITEMS} array<string>")
     counted = marked.mapInArrow(count_hits, schema)
-    return counted.select(F.col("key").alias(key), "n_words", "n_hit", F.array_sort(F.array_distinct(ITEMS)).alias("items"))
+    listed = F.array_sort(F.array_compact(F.array_distinct(ITEMS))).alias("items")
+    return counted.select(F.col("key").alias(key), "n_words", "n_hit", listed, F.size(F.array_distinct(ITEMS)).cast("long").alias("n_items"))
 
 
 def without_contaminated(
@@ -181,7 +183,7 @@ def searcher(shared, text: str, window: int):
                 spans = reader.read(rows[text])
                 bounds = np.concatenate(([0], np.cumsum(spans.per_row())))
                 hit = hit_words(rows, bounds)
-                found: dict[int, set[str]] = {}
+                found: dict[int, set[str | None]] = {}
                 for table in tables:
                     at, which = table.search(spans.hash, bounds)
                     for s, p in zip(at.tolist(), which.tolist(), strict=True):
@@ -193,7 +195,7 @@ def searcher(shared, text: str, window: int):
                 if found:
                     touched = np.bincount(spans.row[hit], minlength=b - a) > 0
                     maps = [np.packbits(hit[i:j]).tobytes() if t else None for i, j, t in zip(bounds[:-1], bounds[1:], touched, strict=True)]
-                    lists = [sorted({*(old or []), *found.get(i, ())}) for i, old in enumerate(rows[ITEMS].to_pylist())]
+                    lists = [list({*(old or []), *found.get(i, ())}) for i, old in enumerate(rows[ITEMS].to_pylist())]
                     for name, values in ((HIT, maps), (ITEMS, lists)):
                         at = rows.schema.get_field_index(name)
                         rows = rows.set_column(at, rows.schema.field(at), pa.array(values, rows.schema.field(at).type))

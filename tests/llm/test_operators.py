@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language_id, quality, secrets, sharding, substring_dedup, topk, toxicity
+from lectern.llm import bpe, decontaminate, language_id, quality, queries, secrets, sharding, substring_dedup, topk, toxicity
 from lectern.llm.components import connected_components
 from lectern.llm.jaccard_join import jaccard_join
 from lectern.session import work_folder
@@ -180,6 +180,32 @@ def test_decontamination(spark, docs, pattern_bytes):
     assert kept.count() == sum(n for row, n in want.items() if row[2] == 0)
 
 
+@pytest.mark.parametrize("pattern_bytes", [decontaminate.PATTERN_BYTES, 10])
+def test_decontamination_by_items_without_an_id(spark, pattern_bytes):
+    passage = prose(2, 20)
+    bench = spark.createDataFrame([(None, passage), (None, "only here"), (7, passage), (8, "far away")], "item_id long, text string")
+    rows = [(1, "so " + passage), (2, "it is only here now"), (3, "clean"), (4, "only here or far away")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.find_contamination(docs, bench, pattern_bytes=pattern_bytes).collect()
+    n = len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(passage)))
+    assert {tuple([*r[:3], tuple(r[3]), r[4]]) for r in got} == {(1, n + 1, n, ("7",), 2), (2, 5, 2, (), 1), (3, 1, 0, (), 0), (4, 5, 4, ("8",), 2)}
+    assert [r.doc_id for r in decontaminate.without_contaminated(docs, bench, pattern_bytes=pattern_bytes).collect()] == [3]
+
+
+def test_decontamination_agrees_with_its_sql_on_items_without_an_id(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, t) for i, t in texts() if i is not None and len(t or "") < 50_000]
+    docs = spark.createDataFrame(list(dict(rows).items()), "doc_id long, text string")
+    items = [*ITEMS, (None, "one two"), (None, prose(5, 25)), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.op4(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.OP4).fetchall())
+
+
 def test_sharding(docs):
     rows = sharding.shard(docs, shards=8, bucket_bytes=4096).collect()
     want = Counter((i, len((t or "").encode()) + 1, t) for i, t in texts())
