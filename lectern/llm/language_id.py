@@ -74,13 +74,23 @@ def learn_profiles(docs: DataFrame, lang: str = "lang", text: str = "text", key:
     rows = totals.withColumn("rank", place).filter(F.col("rank") <= size).select("lang", "code", "rank").collect()
     names = sorted({r["lang"] for r in rows})
     codes = np.unique(np.array([r["code"] for r in rows], np.int64))
-    ranks = np.full((len(codes), len(names)), size, np.int32)
+    ranks = np.full((len(codes), len(names)), PROFILE, np.int32)
     column = {name: i for i, name in enumerate(names)}
     for r in rows:
         ranks[np.searchsorted(codes, r["code"]), column[r["lang"]]] = r["rank"] - 1
     return Profiles(names, codes, ranks)
 
 
+def distances(codes: np.ndarray, counts: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
+    """Out-of-place distance to every language, and the number of n-grams it is summed over."""
+    top = ranked(codes, counts, PROFILE)
+    at = np.minimum(np.searchsorted(known, top), len(known) - 1)
+    hit = known[at] == top
+    of = ranks[at[hit]]
+    apart = np.where(of == PROFILE, PROFILE, np.abs(of - np.flatnonzero(hit)[:, None]))
+    return apart.sum(0, dtype=np.int64) + PROFILE * int((~hit).sum()), len(top)
+
+
 def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) per row.
 
@@ -103,11 +113,8 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                top = ranked(codes, counts, PROFILE)
-                at = np.minimum(np.searchsorted(known, top), len(known) - 1)
-                hit = known[at] == top
-                away = np.abs(ranks[at[hit]] - np.flatnonzero(hit)[:, None]).sum(0, dtype=np.int64) + PROFILE * int((~hit).sum())
-                close = 1.0 - away / (PROFILE * len(top))
+                away, n = distances(codes, counts, known, ranks)
+                close = 1.0 - away / (PROFILE * n)
                 best = int(np.argmin(away))
                 total = float(close.sum())
                 langs.append(names[best])

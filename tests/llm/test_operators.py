@@ -365,6 +365,22 @@ def test_language_id(spark, docs):
         assert want == next(r.lang_pred for r in got if rows[r.doc_id][1] == t)
 
 
+def test_language_distances_of_a_long_text():
+    import numpy as np
+
+    rng, size = np.random.default_rng(3), language_id.PROFILE
+    # Three languages with profiles of their own that overlap; a text of more n-grams than a profile holds.
+    known = np.arange(900)
+    ranks = np.full((900, 3), size, np.int32)
+    for lang in range(3):
+        ranks[rng.permutation(900)[:size], lang] = np.arange(size)
+    codes, counts = np.arange(100, 1100), rng.permutation(1000) + 1
+    top = sorted(zip(-counts, codes))[:size]
+    want = [sum(size if c >= 900 or ranks[c, lang] == size else abs(int(ranks[c, lang]) - n) for n, (_, c) in enumerate(top)) for lang in range(3)]
+    away, n = language_id.distances(codes, counts, known, ranks)
+    assert n == size and away.tolist() == want
+
+
 def labelled(spark):
     rng = random.Random(6)
     rows, labels = [], []
