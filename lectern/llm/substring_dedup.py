@@ -1,10 +1,10 @@
-"""Substring dedup by seed and extend over word windows.
+"""Substring dedup by equality of word windows.
 
-Seeds: of the k-word grams inside a window of `words` words, the one with the smallest hash is the window's anchor
-(winnowing). Equal windows pick the same anchor, so documents that share a passage of `words` words meet in an anchor.
-Extension: with each anchor travel the fingerprints of the windows around it, that is of every way to extend the anchor
-to the left and right up to the threshold. Windows that agree in anchor and fingerprint extend the match; overlapping
-matched windows join into maximal repeats, whose words are removed wherever a smaller document id has them too.
+The 64-bit key of a window of `words` words is made of its anchor, the smallest hash among its k-word grams (winnowing),
+and of the window's fingerprint. Windows of one key are equal; nothing is extended from an anchor, as the anchor follows
+from the window. Overlapping matched windows join into maximal repeats, whose words are removed wherever a smaller
+document id has them too. Keys are dealt out by their own value, so a phrase that recurs with different words around it
+spreads over all task groups.
 
 A map batch first settles repeats among its own documents and sends on one record per distinct window, under its smallest
 document id. So a passage that a third of all documents hold costs one record per batch, not one per document, and no
@@ -39,6 +39,13 @@ def anchors(hashes: np.ndarray, at: np.ndarray, words: int, gram: int) -> tuple[
     return best, where
 
 
+def window_keys(spans, at: np.ndarray, h: np.ndarray, words: int, gram: int) -> np.ndarray:
+    """Key of each window with hash `h` that starts at `at`, from its anchor and fingerprint."""
+    if not len(at):
+        return h
+    return mix(anchors(spans.hash, at, words, gram)[0] + mix((h & FINGERPRINT) + np.uint64(BASE)))
+
+
 def place_of(ids: np.ndarray, groups: int) -> np.ndarray:
     """The task group of document ids, by crc32 of the id as text."""
     distinct, back = np.unique(ids, return_inverse=True)
@@ -80,64 +87,63 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
 
     def seeds_of(reader: Words, batch: pa.RecordBatch) -> pa.RecordBatch:
         doc = np.asarray(batch["key"]).astype(np.int64)
-        owners, whole, low = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for a, b in pieces(batch["text"]):
             spans = reader.read(batch["text"].slice(a, b - a))
             at, h = windows(spans, words)
             owners.append(doc[a + spans.row[at]])
-            whole.append(h)
-            low.append(anchors(spans.hash, at, words, gram)[0] if len(at) else h)
-        owners, whole, low = np.concatenate(owners), np.concatenate(whole), np.concatenate(low)
-        order, first, later = earlier(whole, owners)
-        owners, whole, low = owners[order], whole[order] & FINGERPRINT, low[order]
+            keys.append(window_keys(spans, at, h, words, gram))
+        owners, keys = np.concatenate(owners), np.concatenate(keys)
+        order, first, later = earlier(keys, owners)
+        owners, keys = owners[order], keys[order]
         # Settled here: a smaller document of this batch has the window.
-        out = [(1, *row) for row in by_place(owners[later], whole[later])]
-        # Left open: each distinct window once, packed by its anchor's bucket.
-        o, w, s = owners[first], whole[first], low[first]
-        bucket = (s % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((o, s, bucket))
-        o, w, s, bucket = o[order], w[order], s[order], bucket[order]
-        out += [(0, int(bucket[i]), record(s[i:j], o[i:j], w[i:j])) for i, j in runs(bucket)]
+        out = [(1, *row) for row in by_place(owners[later], keys[later])]
+        # Left open: each distinct window once, packed by its key's bucket.
+        o, k = owners[first], keys[first]
+        bucket = (k % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((k, o, bucket))
+        o, k, bucket = o[order], k[order], bucket[order]
+        out += [(0, int(bucket[i]), record(o[i:j], k[i:j])) for i, j in runs(bucket)]
         kinds = pa.int32(), pa.int32(), pa.binary()
         return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds[c]) for c in range(3)], ["settled", "bucket", "payload"])
 
-    def record(seed: np.ndarray, owner: np.ndarray, fingerprint: np.ndarray) -> bytes:
-        """Anchors with their document and number of windows, then the windows' 48-bit fingerprints."""
-        at = run_starts(seed, owner)
-        count = np.diff(np.append(at, len(seed))).astype(np.uint32)
-        docs, number = np.unique(owner[at], return_inverse=True)
-        head = np.array([len(docs), len(at), len(seed)], np.int64)
-        halves = (fingerprint >> np.uint64(32)).astype(np.uint16), fingerprint.astype(np.uint32)
+    def record(owner: np.ndarray, keys: np.ndarray) -> bytes:
+        """Documents, as distances from the smallest, with their number of windows, then the windows' keys."""
+        at = run_starts(owner)
+        count = np.diff(np.append(at, len(owner))).astype(np.uint32)
+        docs = (owner[at] - owner[0]).view(np.uint64)
+        wide = int(docs[-1] >> np.uint64(32) > 0)
+        head = np.array([owner[0], wide, len(at), len(keys)], np.int64)
         small = np.minimum(count, 255).astype(np.uint8)
-        return packed(head, docs, seed[at], number.astype(np.uint32), halves[1], halves[0], small, count[count >= 255])
+        return packed(head, keys, docs if wide else docs.astype(np.uint32), small, count[count >= 255])
 
-    def read_record(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n_docs, n_anchors, n = np.frombuffer(payload, np.int64, 3).tolist()
-        at, parts = 24, []
-        for kind, size in (("i8", n_docs), ("u8", n_anchors), ("u4", n_anchors), ("u4", n), ("u2", n), ("u1", n_anchors)):
+    def read_record(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+        least, wide, n_docs, n = np.frombuffer(payload, np.int64, 4).tolist()
+        at, parts = 32, []
+        for kind, size in (("u8", n), ("u8" if wide else "u4", n_docs), ("u1", n_docs)):
             parts.append(np.frombuffer(payload, kind, size, at))
             at += parts[-1].nbytes
-        docs, seed, number, low, high, small = parts
+        keys, docs, small = parts
         count = small.astype(np.int64)
         count[small == 255] = np.frombuffer(payload, np.uint32, offset=at)
-        return np.repeat(seed, count), np.repeat(docs[number], count), (high.astype(np.uint64) << np.uint64(32)) | low
+        return np.repeat(docs.astype(np.uint64).view(np.int64) + np.int64(least), count), keys
 
-    def by_place(owner: np.ndarray, fingerprint: np.ndarray) -> list[tuple[int, bytes]]:
+    def by_place(owner: np.ndarray, keys: np.ndarray) -> list[tuple[int, bytes]]:
         place = place_of(owner, places)
         order = np.argsort(place, kind="stable")
-        place, owner, fingerprint = place[order], owner[order], fingerprint[order]
-        return [(int(place[i]), packed(owner[i:j], fingerprint[i:j])) for i, j in runs(place)]
+        place, owner, keys = place[order], owner[order], keys[order] & FINGERPRINT
+        return [(int(place[i]), packed(owner[i:j], keys[i:j])) for i, j in runs(place)]
 
-    def extend(group: pa.Table) -> pa.Table:
+    def settle(group: pa.Table) -> pa.Table:
         """Matches across batches, and what batches have settled, by the documents' task group."""
         settled = np.asarray(group["settled"])
         payloads = group["payload"]
         out = []
         found = [read_record(payloads[int(i)].as_py()) for i in np.flatnonzero(settled == 0)]
         if found:
-            seed, owner, fingerprint = (np.concatenate(x) for x in zip(*found, strict=True))
-            order, _, later = earlier(mix(seed + mix(fingerprint + np.uint64(BASE))), owner)
-            out = by_place(owner[order][later], fingerprint[order][later])
+            owner, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+            order, _, later = earlier(keys, owner)
+            out = by_place(owner[order][later], keys[order][later])
         bucket = np.asarray(group["bucket"])
         out += [(int(bucket[i]), payloads[int(i)].as_py()) for i in np.flatnonzero(settled == 1)]
         return pa.table({"place": pa.array([x[0] for x in out], pa.int32()), "payload": pa.array([x[1] for x in out], pa.binary())})
@@ -145,7 +151,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     sent = docs.mapInArrow(seeds, "settled int, bucket int, payload binary")
     # What is settled already only passes through, spread over the same groups.
     slot = F.when(F.col("settled") == 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets)).cast("int"))
-    matches = sent.withColumn("slot", slot).groupBy("slot").applyInArrow(extend, "place int, payload binary")
+    matches = sent.withColumn("slot", slot).groupBy("slot").applyInArrow(settle, "place int, payload binary")
 
     def cut(doc_group: pa.Table, match_group: pa.Table) -> pa.Table:
         pairs = [unpacked(p, np.int64, np.uint64) for p in match_group["payload"].to_pylist()]
@@ -162,7 +168,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
             at, h = windows(spans, words)
             doc = np.asarray(some.fill_null(0)).astype(np.uint64)
             valid = np.asarray(some.is_valid())
-            mine = mix(doc * np.uint64(BASE))[spans.row[at]] ^ (h & FINGERPRINT)
+            mine = mix(doc * np.uint64(BASE))[spans.row[at]] ^ (window_keys(spans, at, h, words, gram) & FINGERPRINT)
             place = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
             hit = (known[place] == mine) & valid[spans.row[at]] if len(known) else np.zeros(len(at), bool)
             change = np.zeros(len(spans.row) + 1, np.int64)

@@ -147,6 +147,31 @@ def test_substring_dedup_of_short_windows(spark):
     assert got == removed(rows, 8)
 
 
+def test_windows_of_one_anchor_are_dealt_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.llm.words import BLANK_SEPARATED, Words, windows
+
+    phrase = "the phrase that always recurs"
+    texts_ = [" ".join([*(f"l{i}x{j}" for j in range(4)), phrase, *(f"r{i}x{j}" for j in range(4))]) for i in range(3000)]
+    spans = Words(BLANK_SEPARATED).read(pa.array(texts_ + texts_[:5]))
+    at, h = windows(spans, 13)
+    anchor = substring_dedup.anchors(spans.hash, at, 13, 5)[0]
+    keys = substring_dedup.window_keys(spans, at, h, 13, 5)
+    one = keys[: len(texts_)][anchor[: len(texts_)] == Counter(anchor.tolist()).most_common(1)[0][0]]
+    assert len(one) > 100 and len(set((one % np.uint64(8)).tolist())) == 8
+    assert keys[:5].tolist() == keys[-5:].tolist() and len(set(keys.tolist())) == len(texts_)
+
+
+def test_substring_dedup_of_wide_ids_and_long_texts(spark):
+    rows = [(-(2**62), prose(31, 900)), (5, prose(31, 900) + " x"), (2**62, prose(31, 500) + " " + prose(32, 30)), (7, prose(32, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 4):
+        got = Counter(tuple(r) for r in substring_dedup.remove_repeats(df.repartition(parts)).collect())
+        assert got == removed(rows, 13)
+
+
 ITEMS = [(1, prose(2, 20)), (2, "one two"), (3, None), (4, ""), (10, "b c d e f g h i j k"), (None, "x"), (5, "sun sun sun sun"), (2, "one two")]
 
 
