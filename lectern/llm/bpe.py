@@ -3,7 +3,9 @@
 Texts are cut into pre-tokens. A piece of some megabytes becomes one row: its distinct words, and for every document the
 numbers of its words in order. The distinct words are exploded and shuffled by a hash of the word, so all pieces' copies
 of a word meet and each distinct word is encoded once; the ids are joined back to every piece that has the word, and the
-documents are reassembled by position. Decoding joins the ids with the token-byte table. Words travel in lists, one per
+documents are reassembled by position. `encode_and_decode` looks the bytes of the ids up in the broadcast vocabulary, in
+the task that has just joined them, as a join would shuffle every id once more; `decode` is the join with the token-byte
+table for ids that come from elsewhere, and no query calls it. Words travel in lists, one per
 piece and task group, as a row per word would cost several times its bytes; a word that is everywhere comes once per piece,
 so no key is hot.
 """
