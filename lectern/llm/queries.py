@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language_id, quality, secrets, sharding, substring_dedup, topk, toxicity
+from lectern.llm import bpe, decontaminate, language_id, periodic, quality, secrets, sharding, simhash, substring_dedup, topk, toxicity, whitening
 from lectern.llm.common import ORACLES, QUERIES, query, remainder, table
 from lectern.llm.jaccard_join import jaccard_join
 from lectern.session import work_folder
@@ -165,3 +165,47 @@ OP10 = r"""with cut as (select doc_id, list_filter(regexp_split_to_array(coalesc
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), words=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_simhash_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=3)
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text), a tenth of them with a text whose end repeats itself, by the rule of the query's contract."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)).alias("ws"), F.floor(h / 10).alias("g"))
+    n = F.size("ws")
+    start = (F.col("g") % n).cast("int")
+    sized = chosen.withColumn("a", F.when(n > 0, start))
+    sized = sized.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    block = F.slice("ws", F.col("a") + 1, F.col("p"))
+    rest = n - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    made = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a")), tail), " ")
+    return sized.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    # Greatest length, then smallest start, then smallest period.
+    ranked = F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    found = found.withColumn("best", F.array_max(ranked)).withColumn("period", -F.col("best.period"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        "period",
+        F.floor(1000 * F.col("best.length") / F.col("period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
