@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.plan import let, pin
 from lectern.operators.documents import block, finish_segments
+from lectern.operators.elements import SKIPPED, TEXT, balanced, best_container
 
 # Named character references that are decoded (the ampersand itself comes last).
 ENTITIES = {
@@ -138,7 +139,11 @@ _TOKEN = (
 )
 
 
-def _safe_attribute(a: Column) -> Column:
+# Elements whose sources may hold the data themselves, and the attributes that name a source.
+DATA_ELEMENTS, DATA_ATTRIBUTES = ("audio", "image", "img", "source", "track", "video"), ("href", "src", "xlink:href")
+
+
+def _safe_attribute(a: Column, element: Column) -> Column:
     """(text, attributes removed, addresses removed) of one attribute as written in the page."""
     name = F.regexp_extract(a, r"\A[^\s=]+", 0)
     low = F.lower(name)
@@ -147,6 +152,7 @@ def _safe_attribute(a: Column) -> Column:
     allowed = (low.isin(*SAFE_ATTRIBUTES) | low.rlike(r"\A(?:data|aria)-[\w.-]+\z")) & ~low.rlike(r"\Aon") & (low != "style")
     bare = F.regexp_replace(value, _INVISIBLE, "")
     address = low.isin(*ADDRESS_FREE_ATTRIBUTES) | (bare == "") | (bare.rlike(ADDRESS) & ~value.rlike(_HIDDEN))
+    address |= element.isin(*DATA_ELEMENTS) & low.isin(*DATA_ATTRIBUTES) & F.startswith(value, F.lit("data:"))
     text = F.concat(F.lit(" "), name, F.lit('="'), F.replace(value, F.lit('"'), F.lit("&quot;")), F.lit('"'))
     return F.struct(
         F.when(allowed & address, text).otherwise("").alias("text"),
@@ -155,32 +161,39 @@ def _safe_attribute(a: Column) -> Column:
     )
 
 
+_ELEMENTS = (*HTML_ELEMENTS, *SVG_ELEMENTS)
+
+
 def _safe_token(t: Column) -> Column:
-    """(text, elements, attributes, addresses removed) of one token of a page."""
+    """One token of a page: its safe text, its element's name, its code for `balanced`, and what was removed from it."""
     name = F.regexp_extract(t, r"\A</?([a-zA-Z][^\s/>]*)", 1)
-    known = F.lower(name).isin(*HTML_ELEMENTS, *SVG_ELEMENTS)
+    low = F.lower(name)
+    number = F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(_ELEMENTS) for x in (n, 3 * i)]), low)
     opening = t.rlike(r"\A<[a-zA-Z]")
+    alone = low.isin(*SVG_ELEMENTS) & F.endswith(t, F.lit("/>"))
     inner = F.regexp_extract(t, r"(?s)\A<[a-zA-Z][^\s/>]*(.*)>\z", 1)
-    parts = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(0)), _safe_attribute)
+    parts = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: _safe_attribute(a, low))
 
-    def made(text: Column, elements: Column | int = 0, attributes: Column | int = 0, addresses: Column | int = 0) -> Column:
+    def made(text: Column | str, code: Column | int, elements: int = 0, attributes: Column | int = 0, addresses: Column | int = 0) -> Column:
         wrap = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return F.struct(text.alias("text"), wrap(elements).alias("elements"), wrap(attributes).alias("attributes"), wrap(addresses).alias("addresses"))
+        fields = {"text": text, "code": code, "elements": elements, "attributes": attributes, "addresses": addresses}
+        return F.struct(name.alias("name"), *[wrap(v).alias(k) for k, v in fields.items()])
 
     total = lambda of: lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + x[of])
     tag = let(
         parts,
         lambda p: made(
-            F.concat(F.lit("<"), name, F.array_join(F.transform(p, lambda x: x["text"]), ""), F.lit(">")), 0, total("attributes")(p), total("addresses")(p)
+            F.concat(F.lit("<"), name, F.array_join(F.transform(p, lambda x: x["text"]), ""), F.lit(">")),
+            number + F.when(alone, 2).otherwise(0), 0, total("attributes")(p), total("addresses")(p),
         ),
     )
     return (
-        F.when(~F.startswith(t, F.lit("<")), made(t))
-        .when(t == "<", made(F.lit("&lt;")))
-        .when(opening & known, tag)
-        .when(opening, made(F.lit(""), 1))
-        .when(known, made(F.concat(F.lit("</"), name, F.lit(">"))))
-        .otherwise(made(F.lit("")))
+        F.when(~F.startswith(t, F.lit("<")), made(t, TEXT))
+        .when(t == "<", made("&lt;", TEXT))
+        .when(opening & number.isNotNull(), tag)
+        .when(opening, made("", SKIPPED, 1))
+        .when(number.isNotNull(), made("", number + 1))
+        .otherwise(made("", SKIPPED))
     )
 
 
@@ -189,24 +202,34 @@ def sanitize_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
     A page is cut once into tags and text, as a browser cuts it. Every tag is judged by itself: its name and each of its
     attributes must be on the allow-list, and it is written anew from what is left, so removing a part cannot bring a new
-    tag about. Text between tags is never touched; a `<` that starts no tag is escaped. Tags are not balanced.
+    tag about. Text between tags is never touched; a `<` that starts no tag is escaped. `data:` addresses stay in the
+    sources of images, sound and video only.
+
+    The result is balanced as a browser would balance it: a block ends an open paragraph, items, cells and rows end those
+    before them, a format that a block's end interrupts goes on in the next block, crossed formats are closed and opened
+    again, a closing tag that nothing opened is dropped, and what is still open ends with the page. Elements that a
+    browser would add where a page leaves them out (a table's body, a paragraph for a lone closing tag) are not added.
     """
-    tokens = F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), _safe_token)
-    done = pin(pages, "_tokens", tokens)
+    done = pin(pages, "_tokens", F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), _safe_token))
+    order = balanced(_ELEMENTS)(F.transform("_tokens", lambda t: t["code"]), F.transform("_tokens", lambda t: F.hash(t["text"])))
+    done = pin(done, "_order", order)
     removed = lambda of: F.coalesce(F.aggregate("_tokens", F.lit(0), lambda n, t: n + t[of]), F.lit(0))
+
+    def written(i: Column) -> Column:
+        ended = F.concat(F.lit("</"), F.get(F.col("_tokens"), -1 - i)["name"], F.lit(">"))
+        return F.when(i >= 0, F.get(F.col("_tokens"), i)["text"]).otherwise(ended)
+
     return (
-        done.withColumn("safe_html", F.array_join(F.transform("_tokens", lambda t: t["text"]), ""))
+        done.withColumn("safe_html", F.array_join(F.transform("_order", written), ""))
         .withColumn("n_elements", removed("elements"))
         .withColumn("n_attributes", removed("attributes"))
         .withColumn("n_addresses", removed("addresses"))
-        .drop("_tokens")
+        .drop("_tokens", "_order")
     )
 
 
-def _meta(html: Column, *names: str) -> Column:
+def _meta(elements: Column, *names: str) -> Column:
     """First non-blank content of a meta element with one of the names, tried in order; its own quotes end a content."""
-    quoted = r"""(?:[^>"']|"[^"]*"|'[^']*')"""
-    elements = F.regexp_extract_all(html, F.lit(rf"(?is)<meta\b{quoted}*>"), F.lit(0))
 
     def content(m: Column) -> Column:
         given = F.regexp_extract(m, r"""(?is)\bcontent\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
@@ -221,83 +244,52 @@ def _meta(html: Column, *names: str) -> Column:
 
 # Relative trust in each container when choosing the main text.
 CONTAINER_WEIGHT = {"article": 10, "main": 9, "section": 6, "div": 5, "body": 3}
+_CONTAINERS = sorted(CONTAINER_WEIGHT)  # of equal scores the container that comes later in the alphabet wins
+_LINK = len(_CONTAINERS) + 1
 
 
-_CONTAINER = rf"(?is)<(/?)({'|'.join(CONTAINER_WEIGHT)})(?=[\s/>])[^>]*>"
-_OPEN = "array<struct<tag:string,start:int>>"
-_RANGES = "array<struct<tag:string,start:int,stop:int>>"
-
+def _tag_code(tag: Column) -> Column:
+    """The number of a container, or of a link, negative for a closing tag; 0 for other tags."""
+    name = F.lower(F.regexp_extract(tag, r"\A</?([a-zA-Z]+)(?=[\s/>])", 1))
+    numbers = F.create_map(*[F.lit(x) for i, n in enumerate([*_CONTAINERS, "a"], 1) for x in (n, i)])
+    return F.coalesce(F.try_element_at(numbers, name), F.lit(0)) * F.when(F.startswith(tag, F.lit("</")), -1).otherwise(1)
 
-def _containers(page: Column) -> Column:
-    """(tag, start, stop) of the inside of every container, nested ones too, in characters from 0.
 
-    One pass over the container tags with a stack: a closing tag ends the innermost open container of its name, and with
-    it those left open inside; one that nothing opened is ignored. The end of the page ends what is still open.
-    """
-    tags = F.regexp_extract_all(page, F.lit(_CONTAINER), F.lit(0))
-    slashes = F.regexp_extract_all(page, F.lit(_CONTAINER), F.lit(1))
-    names = F.regexp_extract_all(page, F.lit(_CONTAINER), F.lit(2))
-    parts = F.arrays_zip(F.split(page, _CONTAINER, -1).alias("gap"), tags.alias("tag"), slashes.alias("slash"), names.alias("name"))
-
-    def ended(open_: Column, at: Column) -> Column:
-        return F.transform(open_, lambda o: F.struct(o["tag"].alias("tag"), o["start"].alias("start"), at.alias("stop")))
-
-    def step(state: Column, p: Column) -> Column:
-        name, at = F.lower(p["name"]), state["at"] + F.length(p["gap"])
-        after = at + F.coalesce(F.length(p["tag"]), F.lit(0))
-        open_, found = state["open"], state["found"]
-        level = F.aggregate(open_, F.struct(F.lit(0).alias("i"), F.lit(0).alias("hit")), lambda s, o: F.struct(
-            (s["i"] + 1).alias("i"), F.when(o["tag"] == name, s["i"] + 1).otherwise(s["hit"]).alias("hit")), lambda s: s["hit"])
-        closing = (p["slash"] == "/") & (level > 0)
-        rest = F.slice(open_, F.lit(1), F.greatest(level - 1, F.lit(0)))
-        closed = F.slice(open_, F.greatest(level, F.lit(1)), F.size(open_))
-        opened = F.array_append(open_, F.struct(name.alias("tag"), after.alias("start")))
-        last = p["tag"].isNull()
-        return F.struct(
-            after.alias("at"),
-            F.when(last, F.array().cast(_OPEN)).when(closing, rest).when(p["slash"] == "/", open_).otherwise(opened).cast(_OPEN).alias("open"),
-            F.when(last, F.concat(found, ended(open_, at))).when(closing, F.concat(found, ended(closed, at))).otherwise(found).cast(_RANGES).alias("found"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_OPEN).alias("open"), F.array().cast(_RANGES).alias("found"))
-    return F.aggregate(parts, start, step, lambda s: s["found"])
+def _text_code(text: Column) -> Column:
+    """Four times the size of a text, blanks collapsed and cut at its ends; plus 2 and 1 for a blank at either end."""
+    return let(
+        F.regexp_replace(text, f"[{T.WS}]+", " "),
+        lambda t: F.length(F.btrim(t, F.lit(" "))) * 4 + F.startswith(t, F.lit(" ")).cast("int") * 2 + F.endswith(t, F.lit(" ")).cast("int"),
+    )
 
 
 def extract_articles(pages: DataFrame, html: str = "html") -> DataFrame:
     """Main-content extraction: score every container by its text without link text, keep the best.
 
-    Containers are balanced and may nest. All candidates of a page stay in its row, so the choice is an `array_max`, not
-    a shuffle.
+    A page is cut once into its tags and the texts between them. Containers are balanced and may nest; running sums over
+    the texts measure each one by a difference, so a page costs its length and its number of tags, however deep containers
+    nest, and only the best one's text is put together. A page without containers has a null `container` and `text_content`.
     """
     readable = pages.withColumn("_readable", F.regexp_replace(F.col(html), UNREAD, ""))
+    readable = pin(readable, "_tags", F.regexp_extract_all("_readable", F.lit(TAG), F.lit(0)))
+    readable = pin(readable, "_texts", F.split("_readable", TAG, -1))
     bare = lambda fragment: F.btrim(F.regexp_replace(F.regexp_replace(fragment, TAG, ""), f"[{T.WS}]+", " "), F.lit(" "))
-    weights = F.create_map(*[F.lit(x) for pair in CONTAINER_WEIGHT.items() for x in pair])
-
-    def score(c: Column) -> Column:
-        inside = F.substring(F.col("_readable"), c["start"] + 1, c["stop"] - c["start"])
-
-        def scored(fragment: Column) -> Column:
-            links = F.array_join(F.regexp_extract_all(fragment, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), "")
-            text = bare(fragment)
-            points = (F.length(text) - 2 * F.length(bare(links))) * F.element_at(weights, c["tag"])
-            return F.struct(points.alias("points"), c["tag"].alias("container"), text.alias("text"))
-
-        return let(inside, scored)
-
-    # Of equal scores the container that comes later in the alphabet wins, as in any comparison of structs.
-    best = F.array_max(F.transform(_containers(F.col("_readable")), score))
-    page = F.col(html)
+    weights = {i: CONTAINER_WEIGHT[n] for i, n in enumerate(_CONTAINERS, 1)}
+    scored = readable.withColumn("_best", best_container(weights, _LINK)(F.transform("_tags", _tag_code), F.transform("_texts", _text_code)))
+    metas = pin(scored, "_metas", F.filter("_tags", lambda t: t.rlike(r"(?i)\A<meta[\s/]")))
+    inside = F.array_join(F.slice("_texts", F.col("_best.first") + 1, F.col("_best.last") - F.col("_best.first") + 1), "")
+    text = F.btrim(F.regexp_replace(inside, f"[{T.WS}]+", " "), F.lit(" "))
     first_paragraph = F.regexp_extract("_readable", r"(?is)<p\b[^>]*>(.*?)(?=<p\b|</p|</article|\z)", 1)
-    excerpt = F.coalesce(_meta(page, "description", "og:description"), F.nullif(bare(first_paragraph), F.lit("")))
+    of = lambda *names: _meta(F.col("_metas"), *names)
+    excerpt = F.coalesce(of("description", "og:description"), F.nullif(bare(first_paragraph), F.lit("")))
     return (
-        readable.withColumn("_best", best)
-        .withColumn("title", page_title(page))
-        .withColumn("byline", decode_entities(_meta(page, "author", "article:author")))
+        metas.withColumn("title", page_title(F.col(html)))
+        .withColumn("byline", decode_entities(of("author", "article:author")))
         .withColumn("excerpt", decode_entities(excerpt))
-        .withColumn("site_name", decode_entities(_meta(page, "og:site_name")))
-        .withColumn("container", F.col("_best.container"))
-        .withColumn("text_content", decode_entities(F.col("_best.text")))
-        .drop("_readable", "_best")
+        .withColumn("site_name", decode_entities(of("og:site_name")))
+        .withColumn("container", F.get(F.array(*[F.lit(n) for n in _CONTAINERS]), F.col("_best.container") - 1))
+        .withColumn("text_content", decode_entities(F.when(F.col("_best").isNotNull(), text)))
+        .drop("_readable", "_tags", "_texts", "_best", "_metas")
     )
 
 

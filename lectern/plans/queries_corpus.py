@@ -359,12 +359,25 @@ _PROBED = (
 )
 
 
+# The pages hold paragraphs of the form `<p><b>text<br>`, ended by the next `<p>`: the open <b>, three at most, go on in
+# every later paragraph, and behind the article to the end of the page.
+_OWN = "len(string_split(x, '<b>')) - 1"
+_BALANCED = rf"""
+clean as (select page_id, string_split(regexp_replace({_S3}, '(?i)\shref="javascript:[^"]*"', '', 'g'), '<p>') as parts from dirty_pages),
+ended as (select page_id, list_transform(parts, lambda x: case when contains(x, '</article>') and not contains(x, '</p>') then replace(x, '</article>', '</p></article>') else x end) as parts from clean),
+bold as (select page_id, parts, list_transform(parts, lambda x: {_OWN}) as own from ended),
+ranked as (select *, list_transform(range(1, len(parts) + 2), lambda j: least(3, coalesce(list_sum(own[1:j - 1]), 0))::bigint) as n from bold),
+made as (select page_id, n[len(n)] as open, array_to_string(list_transform(range(1, len(parts) + 1), lambda j: case when j = 1 then parts[1] else concat('<p>', repeat('<b>', n[j]),
+  split_part(parts[j], '</p>', 1), repeat('</b>', n[j] + own[j]), '</p>', substr(parts[j], length(split_part(parts[j], '</p>', 1)) + 5)) end), '') as h from ranked),
+tidy as (select page_id, concat(replace(h, '</article>', concat('</article>', repeat('<b>', open))), case when page_id % 5 = 4 then '</a>' else '' end, repeat('</b>', open)) as h from made)"""
+
+
 @query(
     "u4_sanitize_pages",
-    f"with {cte('dirty_pages')} select page_id, replace(regexp_replace({_S3}, '(?i)\\shref=\"javascript:[^\"]*\"', '', 'g'), '<footer>', concat({_PROBED}, '<footer>')) as safe_html, "
+    f"with {cte('dirty_pages')}, {_BALANCED} select page_id, replace(h, '<footer>', concat({_PROBED}, '<footer>')) as safe_html, "
     "len(regexp_extract_all(html, '(?is)<(script|style|iframe|noscript|title|html|head|body|link|meta)\\b')) + case when page_id % 5 = 2 then 1 else 0 end as n_elements, "
     "len(regexp_extract_all(html, '(?i)\\s(style|on[a-z]+)=\"[^\"]*\"')) + case page_id % 5 when 0 then 1 when 1 then 2 else 0 end as n_attributes, "
-    "len(regexp_extract_all(html, '(?i)\\shref=\"javascript:')) + case when page_id % 5 = 4 then 1 else 0 end as n_addresses from dirty_pages",
+    "len(regexp_extract_all(html, '(?i)\\shref=\"javascript:')) + case when page_id % 5 = 4 then 1 else 0 end as n_addresses from dirty_pages join tidy using (page_id)",
 )
 def _(spark, d):
     return html.sanitize_pages(derive(spark, d, "unsafe_pages")).select("page_id", "safe_html", "n_elements", "n_attributes", "n_addresses")

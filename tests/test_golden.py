@@ -1,6 +1,8 @@
 """Small cases with known results."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,7 +174,7 @@ def test_sanitize_reads_tags_as_browsers_do(spark):
         "<p>set one=2 and 3 > 1</p>": "<p>set one=2 and 3 > 1</p>",
         "a < b <3 <": "a &lt; b &lt;3 &lt;",
         "<img src=x onerror=alert(1)": "&lt;img src=x onerror=alert(1)",
-        "<a title='say \"hi\"' href='/x' target=_top data-n=1 disabled>": '<a title="say &quot;hi&quot;" href="/x" data-n="1" disabled="">',
+        "<a title='say \"hi\"' href='/x' target=_top data-n=1 disabled>": '<a title="say &quot;hi&quot;" href="/x" data-n="1" disabled=""></a>',
         "<SCRIPT x='>'>alert(1)</script >t": "t",
         "<style><img src=x onerror=alert(1)></style>t": "t",
         "<script>open to the end": "",
@@ -202,6 +204,108 @@ def test_articles_keep_nested_containers_whole(spark):
     assert (one.excerpt, one.site_name, one.byline, one.text_content) == ("It's a long day", 'He said "hi"', "A > B", None)
 
 
+def test_sanitize_balances_as_browsers_do(spark):
+    cases = {
+        "<p>a<p>b": "<p>a</p><p>b</p>",
+        "<b><i>x</b>y</i>": "<b><i>x</i></b><i>y</i>",
+        "<b>1<p>2</b>3</p>": "<b>1</b><p><b>2</b>3</p>",
+        "<p><b>A<br><p>B</p><p>C</p></article>": "<p><b>A<br></b></p><p><b>B</b></p><p><b>C</b></p>",
+        "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>": "<ul><li>a</li><li>b<ul><li>c</li></ul></li><li>d</li></ul>",
+        "<table><tr><td>a<td>b<tr><td>c</table>d": "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>d",
+        "<td><div>a</table></td>b": "<td><div>a</div></td>b",
+        "</div></p>x</b></br>": "x",
+        "<div><span>a</div>b</span>": "<div><span>a</span></div>b",
+        "<span><div>a</span>b": "<span><div>ab</div></span>",
+        "<a href=/1>x<a href=/2>y": '<a href="/1">x</a><a href="/2">y</a>',
+        "<b><b><b><b>x</p><div>y": "<b><b><b><b>x<div>y</div></b></b></b></b>",
+        "<p><b><b><b><b>x<p>y": "<p><b><b><b><b>x</b></b></b></b></p><p><b><b><b>y</b></b></b></p>",
+        "<b class=x>a<p>c</p>": '<b class="x">a<p>c</p></b>',
+        "<dl><dt>a<dd>b<dt>c</dl>": "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>",
+        "<select><option>a<option>b</select>": "<select><option>a</option><option>b</option></select>",
+        "<h1>a<h2>b</h2></h1>": "<h1>a</h1><h2>b</h2>",
+        "<svg><circle /><g><path d=m /></svg>z": '<svg><circle></circle><g><path d="m"></path></g></svg>z',
+        "<img src='data:image/png;base64,AA='><a href='data:text/html,x'>q</a>": '<img src="data:image/png;base64,AA="><a>q</a>',
+        "<em><div><strong>x</em>y</strong></div>z": "<em></em><div><em><strong>x</strong></em><strong>y</strong></div>z",
+        "<p>open <i>to the <custom>end": "<p>open <i>to the end</i></p>",
+    }
+    got = {r.html: r.safe_html for r in html.sanitize_pages(rows(spark, [(c,) for c in cases], "html string")).collect()}
+    assert got == cases
+    # What is balanced stays as it is, and every opened element is ended once, innermost first.
+    again = {r.html: r.safe_html for r in html.sanitize_pages(rows(spark, [(c,) for c in cases.values()], "html string")).collect()}
+    for text in cases.values():
+        assert again[text] == text
+        stack = []
+        for slash, name in re.findall(r"<(/?)([a-z0-9]+)[^>]*>", text):
+            if slash:
+                assert stack.pop() == name
+            elif name not in ("br", "img"):
+                stack.append(name)
+        assert not stack
+
+
+def plain_best(page):
+    """Every container of a page measured by itself."""
+    weights = html.CONTAINER_WEIGHT
+    page = re.sub(html.UNREAD.replace(r"\z", r"\Z"), "", page)
+    pieces = re.split(r"(</?[a-zA-Z][^>]*>)", page)
+    open_, found, at = [], [], 0
+    bare = lambda t: " ".join(t.split())
+    for i, piece in enumerate([*pieces, "</end>"]):
+        m = re.match(r"<(/?)([a-z]+)", piece) if i % 2 or i == len(pieces) else None
+        if m and m[2] in weights and not m[1]:
+            open_.append((m[2], i + 1))
+        elif m and (m[2] == "end" or m[1] and m[2] in [n for n, _ in open_]):
+            while open_:
+                name, start = open_.pop()
+                inside = pieces[start:i]
+                text = bare("".join(inside[::2]))
+                links, on = [], False
+                for k, x in enumerate(pieces):
+                    on = x.startswith("<a ") or on and not x.startswith("</a>") if k % 2 else on
+                    if k % 2 == 0 and on and start <= k < i and any(y.startswith("</a>") for y in pieces[k:]):
+                        links.append(x)
+                found.append((len(text) - 2 * len(bare("".join(links))), name, text))
+                if name == m[2]:
+                    break
+    return max(((p * weights[n], n, t) for p, n, t in found), default=None)
+
+
+def test_articles_against_a_search_of_every_container(spark):
+    rng = random.Random(5)
+    pages = []
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randrange(30)):
+            parts.append(rng.choice(["<div>", "</div>", "<article>", "</article>", "<section>", "</section>", "<main>", "</main>", "<a href=x>", "</a>", "<p>", "</p>", "\n", "  ", "one", " two ", "three\tfour", "é", ""]))
+        pages.append("".join(parts))
+    got = {r.html: (r.container, r.text_content) for r in html.extract_articles(rows(spark, [(p,) for p in set(pages)], "html string")).collect()}
+    for page, (container, text) in got.items():
+        best = plain_best(page)
+        assert (container is None) == (best is None), page
+        if best is not None:
+            # Ties between containers of one name may go to either text.
+            assert (container == best[1]), page
+            assert text == best[2] or len(text) == len(best[2]), (page, text, best)
+
+
+@pytest.mark.parametrize("page, words", [
+    ("<div>" * 2000 + "text " * 5000 + "</div>" * 2000, 5000),
+    ("<meta name=description content=" + "x" * 1_000_000 + "><body>hello world</body>", 2),
+    ("<body>hello world <meta name=x " + "y" * 1_000_000, 5),
+    ("<body>" + '<meta name="a content=b>' * 20_000, 0),
+    ("<div>" * 2000 + "<p>some <a href=x>link</a> text</p>" * 58_000 + "</div>" * 2000, None),
+])
+def test_large_and_broken_pages_finish(spark, page, words):
+    """Deep nesting, long attributes, tags that are never closed, 2 MiB of markup: linear work and no deep recursion."""
+    df = rows(spark, [(page,)], "html string")
+    start = time.monotonic()
+    article = html.extract_articles(df).first()
+    html.sanitize_pages(df).collect()
+    assert time.monotonic() - start < 60
+    if words is not None:
+        assert len((article.text_content or "").split()) == words
+
+
 def test_entities(spark):
     df = rows(spark, [("&lt;p&gt; &#65;&#x1F600;&#0; &nbsp;&amp;lt; R&D &#12",)], "t string")
     assert df.select(html.decode_entities(F.col("t"))).collect()[0][0] == "<p> A\U0001f600�  &lt; R&D &#12"
