@@ -4,8 +4,9 @@ Three steps, all inside the document row: native expressions classify every line
 line classes into blocks (the only step that depends on earlier lines), and native expressions assemble block texts.
 
 Covered: ATX and setext headings, paragraphs with lazy continuation, nested bullet and ordered lists, block quotes,
-fenced and indented code, rules, HTML blocks (dropped), emphasis, code spans, links, images, autolinks, escapes and
-entities. Not covered: reference-style links, tables, tab stops inside a line.
+fenced and indented code, rules, HTML blocks (dropped), nested emphasis, code spans, links, reference links with their
+definitions (one line each, not in quotes), images, autolinks, escapes and entities. Not covered: tables, tab stops inside
+a line.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField,
 from lectern.functions import kernels as K
 from lectern.functions import text as T
 from lectern.functions.plan import let, pin
+from lectern.operators import inline
 from lectern.operators.documents import META_TYPE, OFFSET_TYPE, block, finish_segments
-from lectern.operators.html import decode_entities
 from lectern.policies import PLAIN_READING, ReadPolicy
 
-BLANK, TEXT, HEADING, RULE, ITEM, QUOTE, HTML, FENCE, UNDERLINE = range(9)
+BLANK, TEXT, HEADING, RULE, ITEM, QUOTE, HTML, FENCE, UNDERLINE, DEFINITION = range(10)
 PARAGRAPH_BLOCK, HEADING_BLOCK, ITEM_BLOCK, QUOTE_BLOCK, CODE_BLOCK = range(5)
-NO_ROLE, OPEN_TEXT, MORE_TEXT, MORE_CODE, HEAD, MARKER, OPEN_QUOTE, MORE_QUOTE, OPEN_CODE = range(9)
+NO_ROLE, OPEN_TEXT, MORE_TEXT, MORE_CODE, HEAD, MARKER, OPEN_QUOTE, MORE_QUOTE, OPEN_CODE, DEFINED = range(10)
 
 _FENCE = r"\A[ \t]*(?:(`{3,})[^`]*|(~{3,}).*)\z"
 _HEADING = r"\A[ \t]*#{1,6}(?:[ \t].*)?\z"
@@ -90,7 +91,7 @@ def _fold(codes: list[int], indents: list[int], args: list[int]) -> tuple[list[t
             reach(i)
             flowing = False
             continue
-        if code == UNDERLINE:
+        if code == UNDERLINE or code == DEFINITION and flowing:
             code = TEXT
         if flowing and (code == HTML and not arg or code == ITEM and not items and arg & 2 and not arg & 1):
             code = TEXT
@@ -136,7 +137,9 @@ def _fold(codes: list[int], indents: list[int], args: list[int]) -> tuple[list[t
             reach(i)
             continue
         flowing = code == TEXT
-        if code == FENCE:
+        if code == DEFINITION:
+            roles[i] = DEFINED
+        elif code == FENCE:
             fence, in_code = arg | 4, False
             if not items:
                 leaf = len(blocks)
@@ -193,35 +196,12 @@ _CLASSIFY = f"""transform(_lines, l -> case
   when l rlike r'\\A[ \\t]*-{{2,}}[ \\t]*\\z' then named_struct('code', {RULE}, 'indent', @indent, 'arg', 1)
   when l rlike r'{_BLOCK_TAG}' then named_struct('code', {HTML}, 'indent', @indent, 'arg', 1)
   when l rlike r'{_LONE_TAG}' then named_struct('code', {HTML}, 'indent', @indent, 'arg', 0)
+  when l rlike r'@definition' then named_struct('code', {DEFINITION}, 'indent', @indent, 'arg', 0)
   else named_struct('code', {TEXT}, 'indent', @indent, 'arg', 0) end)""".replace(
     "@indent", r"length(replace(regexp_extract(l, r'\A([ \t]*)', 1), '\t', '    '))"
 ).replace("@marker", r"regexp_extract(l, r'\A[ \t]*([-+*]|[0-9]{1,9}[.)])', 1)").replace(
     "@gap", r"length(regexp_extract(l, r'\A[ \t]*(?:[-+*]|[0-9]{1,9}[.)])([ \t]*)', 1))"
-)
-
-
-def inline_text(text: Column) -> Column:
-    """Inline markers resolved: the parts of a line are joined by single spaces, images vanish, link text stays."""
-    return let(text, _inline)
-
-
-def _inline(text: Column) -> Column:
-    w = f"[{T.WS}]*"
-    out = text
-    for pattern, replacement in (
-        (r"(?: {2,}|\\)\n", " "),
-        (rf"{w}!\[[^\]]*\]\([^)]*\){w}", " "),
-        (rf"{w}\[([^\]]*)\]\([^)]*\){w}", " $1 "),
-        (rf"{w}<((?:https?|mailto|ftp):[^<>\s]*)>{w}", " $1 "),
-        (rf"{w}(</?[a-zA-Z][^<>]*>){w}", " $1 "),
-        (rf"{w}(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`){w}", " $2 "),
-        (rf"{w}(?<![*\\])(\*{{1,3}})(?![\s*])([^*]+?)(?<![\s*\\])\1(?!\*){w}", " $2 "),
-        (rf"{w}(?<![\w\\])(_{{1,3}})(?![\s_])(.+?)(?<![\s_\\])\1(?!\w){w}", " $2 "),
-        (r"\\([!-/:-@\[-`{-~])", "$1"),
-        (r"[ \t]+\n[ \t]*|\n[ \t]+", "\n"),
-    ):
-        out = F.regexp_replace(out, pattern, replacement)
-    return decode_entities(F.when(text.rlike(r"[!\[<`*_\\]|[ \t]\n|\n[ \t]"), out).otherwise(text))
+).replace("@definition", inline.DEFINITION.replace("'", r"\x27"))
 
 
 def segment_markdown(df: DataFrame, raw: str = "raw", policy: ReadPolicy = PLAIN_READING) -> DataFrame:
@@ -255,10 +235,17 @@ def segment_markdown(df: DataFrame, raw: str = "raw", policy: ReadPolicy = PLAIN
         lambda b: (b["kind"] != CODE_BLOCK) | F.lit(policy.include_code),
     )
 
+    def gathered(b: Column) -> Column:
+        joined = F.array_join(F.slice("_pieces", b["first"] + 1, b["last"] - b["first"] + 1), "")
+        return F.when(b["kind"] != CODE_BLOCK, joined).otherwise("")
+
+    placed = placed.withColumn("_wanted", wanted)
+    defined = F.filter(F.transform("_lines", lambda l, i: F.when(F.get(F.col("_layout.roles"), i) == DEFINED, l)), lambda l: l.isNotNull())
+    placed = placed.withColumn("_defined", F.transform(defined, lambda l: inline.label_key(F.regexp_extract(l, inline.DEFINITION, 1))))
+    placed = inline.speakable(pin(placed, "_texts", F.transform("_wanted", gathered)), "_texts", "_defined")
+
     def made(b: Column, i: Column) -> Column:
         first, last = b["first"], b["last"]
-        joined = F.array_join(F.slice("_pieces", first + 1, last - first + 1), "")
-        is_code = b["kind"] == CODE_BLOCK
 
         def speak(clean: Column) -> Column:
             return (
@@ -267,8 +254,9 @@ def segment_markdown(df: DataFrame, raw: str = "raw", policy: ReadPolicy = PLAIN
                 .otherwise(clean)
             )
 
-        code = F.when(b["depth"] == 4, F.regexp_replace(joined, r"(\A |\n)(?: {4}|\t)", "$1")).otherwise(joined)
-        body = F.when(is_code, code).otherwise(let(T.normalize_whitespace(inline_text(joined)), speak))
+        lines = F.array_join(F.slice("_pieces", first + 1, last - first + 1), "")
+        code = F.when(b["depth"] == 4, F.regexp_replace(lines, r"(\A |\n)(?: {4}|\t)", "$1")).otherwise(lines)
+        body = F.when(b["kind"] == CODE_BLOCK, code).otherwise(let(T.normalize_whitespace(F.get(F.col("_texts"), i)), speak))
         kind_name = F.element_at(
             F.array(*[F.lit(n) for n in ("paragraph", "heading", "list_item", "blockquote", "code")]), b["kind"] + 1
         )
@@ -288,5 +276,5 @@ def segment_markdown(df: DataFrame, raw: str = "raw", policy: ReadPolicy = PLAIN
         )
         return block(i, "markdown", kind_name, body, offset, meta)
 
-    done = finish_segments(placed, F.transform(wanted, made))
-    return done.drop("_raw", "_lines", "_class", "_layout", "_at", "_pieces")
+    done = finish_segments(placed, F.transform("_wanted", made))
+    return done.drop("_raw", "_lines", "_class", "_layout", "_at", "_pieces", "_wanted", "_defined", "_texts")

@@ -22,6 +22,18 @@ DERIVED: dict[str, tuple[str, str | None]] = {
         " when 2 then l when 3 then concat('- ', l) when 4 then concat('> ', l)"
         " else concat('```sql', chr(10), l, chr(10), '```') end), concat(chr(10), chr(10))) as raw from {documents}",
     ),
+    # Nested and adjacent formats, and references whose definitions come first (even ids) or last (odd ids).
+    "inline_docs": (
+        "select doc_id, case when doc_id % 2 = 0 then concat('[Ref  ', k, ']: <https://x.example/a b> \"t\"', chr(10), '[ref ', k, ']: /second', chr(10), body)"
+        " else concat(body, chr(10), chr(10), '[REF ', k, ']: /only') end as raw from (select doc_id, cast(doc_id as varchar(20)) as k,"
+        " array_join(transform(split(replace(text, '*', '+'), chr(10)), (l, i) -> case i % 5"
+        " when 0 then concat('a **bold *nested* ', l, '** end')"
+        " when 1 then concat('see [the *guide* ', l, '][ref ', cast(doc_id as varchar(20)), '] and [REF ', cast(doc_id as varchar(20)), '][] and [rEf ', cast(doc_id as varchar(20)), '] not [no such][gone]')"
+        " when 2 then concat('***both* strong** ', l, ' *a **b***![alt *x*](/i.png)tail snake_case_word 2 * 3')"
+        " when 3 then concat('- __x _y_ z__ ', l, ' [in *link*](</u v> \"t\")!')"
+        " else concat('> ~', l, ' `code *not*` **open \\\\*esc\\\\*') end), concat(chr(10), chr(10))) as body from {documents})",
+        "select doc_id, replace(text, '*', '+') as text from {documents}",
+    ),
     "raw_files": (
         "select doc_id, concat('f', cast(doc_id as varchar(20)), case doc_id % 7 when 0 then '.txt' when 1 then '.md' when 2 then '.mdown'"
         " when 3 then '.markdown' when 4 then '.HTML' when 5 then '.pdf' else '' end) as name,"

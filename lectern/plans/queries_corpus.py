@@ -447,6 +447,23 @@ def _(spark, d):
     return _marked(spark, d, EXPRESSIVE_READING)
 
 
+_INLINE = f"""with ln as (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(0, len(string_split(text, chr(10))))) as i from inline_docs),
+tx as (select doc_id, i, case i % 5 when 0 then concat('a bold nested ', {duck.trim('l')}, ' end')
+ when 1 then concat('see the guide ', {duck.trim('l')}, ' and REF ', doc_id, ' and rEf ', doc_id, ' not [no such][gone]')
+ when 2 then concat('both strong ', {duck.trim('l')}, ' a b tail snake_case_word 2 * 3')
+ when 3 then concat('x y z ', {duck.trim('l')}, ' in link !')
+ else concat('~', l, ' code *not* **open *esc*') end as text from ln)
+select doc_id, row_number() over (partition by doc_id order by i) - 1 as position,
+ case i % 5 when 3 then 'list_item' when 4 then 'blockquote' else 'paragraph' end as block_type, {duck.normalize('text')} as text from tx"""
+
+
+@query("u6_inline_and_references", f"with {cte('inline_docs')}, {_INLINE.removeprefix('with ')}")
+def _(spark, d):
+    """Nested emphasis, links, and references to definitions before and after them."""
+    docs = markdown.segment_markdown(derive(spark, d, "inline_docs"))
+    return documents.explode_segments(docs, "doc_id").select("doc_id", "position", "block_type", "text")
+
+
 @query(
     "k1_document_order",
     f"{PARA} select doc_id, string_agg(segment_id, ' ' order by position) as ids from seg group by doc_id",

@@ -155,6 +155,47 @@ UNSAFE = [
 ]
 
 
+INLINE_CASES = {
+    "a **bold *nested* text**": "a bold nested text",
+    "*a **b***  ***c** d* e": "a b c d e",
+    "**a*b** *a": "a*b *a",
+    "a*b*c _d_e_ f__g__h": "a b c d_e f__g__h",
+    "*foo**bar**baz* **foo*bar*baz**": "foo bar baz foo bar baz",
+    '*(**foo**)* **foo"*bar*"foo**': '( foo ) foo" bar "foo',
+    "_foo*_bar_baz_*": "_foo* bar_baz *",
+    "** a**b ** c*": "** a**b ** c*",
+    "[the *guide*][g] [G] [g][] [no][gone] ![img *x*][g] [x](http://a.b/c_d \"t\") [y](<a b>) ![z](q) end\n\n[g]: /url 'tit'\n[g]: /other": "the guide G g [no][gone] x y end",
+    "[foo]: /u\n[bar]: <a b> \"t\"\ntext [foo] [Bar  ]": "text foo Bar",
+    "para\n[foo]: /u [foo]": "para\n[foo]: /u [foo]",
+    "- item [r]\n\n[r]: /x": "item r",
+    "[foo][bar][baz]\n\n[baz]: /1": "[foo] bar",
+    "[[x]]\n\n[x]: u": "[ x ]",
+    "[a [b](u) c](v) ![a [b](u) *c*](v) t": "[a b c](v) t",
+    "*[a*](u) [*em*](u)*b*": "* a* em b",
+    "`a*b` *`c`d* <http://x.y/z_a_> <me@x.y> \\*lit\\* &amp; `&amp;` \\&amp;": "a*b c d http://x.y/z_a_ me@x.y *lit* & &amp; &amp;",
+    "line  \nbreak\\\nsoft\n  x": "line break soft\nx",
+    "# h *a* [r] #\n\n[r]: <>": "h a r",
+    "[]: x [ ]: y [a]": "[]: x [ ]: y [a]",
+    "[ö][Ö]\n\n[Ö]: x": "ö",
+    "\\[a] \\![b](c)\n\n[a]: x": "[a] ! b",
+}
+
+
+def test_markdown_inline_structure(spark):
+    got = documents.explode_segments(markdown.segment_markdown(rows(spark, [(c,) for c in INLINE_CASES], "raw string")), "raw").collect()
+    assert {r.raw: r.text for r in got} == INLINE_CASES
+
+
+@pytest.mark.parametrize("raw", [
+    "*a " * 10_000, "[a " * 10_000, "a] " * 10_000, "*a_ " * 10_000, "[a][b] " * 10_000 + "\n\n[b]: x", "`a ``b " * 5_000, "*a **b " * 5_000 + "c** d* " * 5_000,
+    "![a " * 5_000 + "](b) " * 5_000, "[" * 10_000 + "[a](b)" * 10_000, "[a](b \"x" * 5_000, "[a](" + "(x" * 5_000, "".join(f"[l{i}]: /x\n" for i in range(5_000)) + "\n" + "".join(f"[l{i}] " for i in range(5_000)),
+])
+def test_markdown_of_many_markers_finishes(spark, raw):
+    start = time.monotonic()
+    markdown.segment_markdown(rows(spark, [(raw,)], "raw string")).collect()
+    assert time.monotonic() - start < 20
+
+
 def test_sanitize(spark):
     df = rows(spark, list(enumerate(UNSAFE)), "page_id int, html string")
     got = {r.page_id: r.safe_html for r in html.sanitize_pages(df).collect()}
