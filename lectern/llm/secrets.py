@@ -12,6 +12,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.plan import let
+
+BLOCK = 256  # elements of an array that are folded one after the other
+CHUNK = 4096  # code points of a text that are searched for a position
+
 
 class Rule(NamedTuple):
     kind: str
@@ -36,29 +41,46 @@ def rule_version(rules=RULES) -> str:
     return "|".join(f"{r.kind}~{r.pattern}~{r.group}~{r.least}" for r in rules)
 
 
+def running(values: Column, combine) -> Column:
+    """`combine` of every element of an array of ints with all before it, in time linear in the array's length.
+
+    Appending to an array copies it, so blocks are folded apart and then take on what the blocks before them came to.
+    """
+
+    def fold(v: Column) -> Column:
+        last = lambda done, x: F.coalesce(combine(F.get(done, F.size(done) - 1), x), x)
+        return F.aggregate(v, F.array().cast("array<int>"), lambda done, x: F.array_append(done, last(done, x)))
+
+    def joined(blocks: Column) -> Column:
+        totals = fold(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)))
+        carry = lambda t: lambda b, i: F.transform(b, lambda x: F.coalesce(combine(F.get(t, i - 1), x), x))
+        return let(totals, lambda t: F.flatten(F.transform(blocks, carry(t))))
+
+    def cut(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(starts, lambda at: fold(F.slice(v, at, F.lit(BLOCK)))), joined)
+
+    return let(values, cut)
+
+
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
     """Matches of a rule, leftmost and without overlap, in code points. Text between matches gives their positions."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     gaps = F.split(text, rule.pattern, -1)
-    parts = F.zip_with(
-        F.zip_with(gaps, whole, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("len"))),
-        value,
-        lambda p, v: F.struct(p["gap"].alias("gap"), p["len"].alias("len"), F.length(v).alias("value")),
-    )
-    kind = F.lit(rule.kind)
-
-    def step(state: Column, p: Column) -> Column:
-        start = state["at"] + p["gap"]
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind_no"), kind.alias("kind"), (start + p["len"]).alias("end"))
-        return F.struct(
-            (start + F.coalesce(p["len"], F.lit(0))).alias("at"),
-            F.when(p["value"] >= rule.least, F.array_append(state["found"], span)).otherwise(state["found"]).alias("found"),
-        )
-
-    none = F.array().cast(FINDINGS)
-    folded = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
-    return F.when(F.size(whole) > 0, folded).otherwise(none)
+
+    def placed(sizes: Column) -> Column:
+        ends = running(F.transform(sizes, lambda s: s["gap"] + s["len"]), lambda a, b: a + b)
+        spans = F.zip_with(sizes, ends, lambda s, end: F.struct(
+            (end - s["len"]).alias("start"), F.lit(number).alias("kind_no"), F.lit(rule.kind).alias("kind"), end.alias("end"), s["value"].alias("value")))
+        long = F.filter(spans, lambda s: s["value"] >= rule.least)
+        return F.transform(long, lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["kind"].alias("kind"), s["end"].alias("end"))).cast(FINDINGS)
+
+    matches = F.zip_with(whole, value, lambda w, v: F.struct(F.length(w).alias("len"), F.length(v).alias("value")))
+    # There is one gap more than there are matches; the last one has no match behind it.
+    sizes = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), m["len"].alias("len"), m["value"].alias("value")))
+    found = let(F.filter(sizes, lambda s: s["len"].isNotNull()), placed)
+    return F.when(F.size(whole) > 0, found).otherwise(F.array().cast(FINDINGS))
 
 
 def find_secrets(text: Column, rules=RULES) -> Column:
@@ -100,17 +122,27 @@ def span_text(findings: Column) -> Column:
 
 
 def redact(text: str, findings: str = "findings", mark: str = "[SECRET]") -> Column:
-    """The text column with every finding replaced; findings that overlap are replaced as one."""
+    """The text column with every finding replaced; findings that overlap are replaced as one.
+
+    The text is cut once into chunks of CHUNK code points, as reading a string from a far position takes as long as the
+    position is far.
+    """
     body = F.col(text)
 
-    def step(state: Column, s: Column) -> Column:
-        begin = F.greatest(state["at"], s["start"])
-        between = F.substring(body, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        piece = F.when(s["end"] <= state["at"], F.lit("")).otherwise(
-            F.concat(between, F.when((state["at"] > 0) & (s["start"] < state["at"]), F.lit("")).otherwise(F.lit(mark)))
-        )
-        return F.struct(F.greatest(begin, s["end"], state["at"]).alias("at"), F.array_append(state["out"], piece).alias("out"))
+    def between(chunks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        some = F.slice(chunks, first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1)
+        return F.when(end > start, F.substring(F.array_join(some, ""), start - first * CHUNK + 1, end - start)).otherwise(F.lit(""))
+
+    def replaced(chunks: Column, reached: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(reached, i - 1), F.lit(0))  # the end of all findings before
+            return F.when(s["start"] >= at, F.concat(between(chunks, at, s["start"]), F.lit(mark))).otherwise(F.lit(""))
+
+        last = F.get(reached, F.size(reached) - 1)
+        return F.concat(F.array_join(F.transform(F.col(findings), piece), ""), between(chunks, last, F.length(body)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(F.col(findings), zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(body, s["at"] + 1, F.length(body))))
+    ends = running(F.transform(F.col(findings), lambda s: s["end"]), F.greatest)
+    chunks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    done = let(chunks, lambda c: let(ends, lambda e: replaced(c, e)))
     return F.when(F.size(findings) > 0, done).otherwise(body)
