@@ -325,7 +325,9 @@ def jaccard_join(
     links = content.groupBy("tile").applyInArrow(verify, "a long, b long")
     roots = connected_components(links).withColumnRenamed("node", "set_id")
     named = sets.select("set_id", "low").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Both sides lie in written tables, so adaptive execution can split a root that many sets share.
+    named = stored(named, "roots")
+    lowest = stored(named.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     named = named.join(lowest, "root").select("set_id", "component_id")
     out = rows.join(named, "set_id", "left")
     alone = F.when(F.col("set_id") == 0, F.col("key")).otherwise(F.col("component_id"))
