@@ -48,3 +48,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def remainder(key: str, parts: int):
     """crc32 of the key as text, modulo `parts`: the fixed rule for held-out rows."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
+
+
+def held_out(key: str, parts: int, part: int):
+    """Whether a row is kept from training; a row without a key is never trained on, but is in no part either."""
+    return F.coalesce(remainder(key, parts) == part, F.lit(False)).alias("held_out")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import with_fields
+from lectern.llm.common import stored, with_fields
 from lectern.llm.words import BASE, BLANK_SEPARATED, Words, mix, pieces
 
 BUCKET_BITS = 16
@@ -23,6 +23,7 @@ DIM = 16
 EPOCHS = 8
 RATE = 0.5
 TRAIN_ROWS = 4000  # labelled rows the model is fitted on, about
+TRAIN_BYTES = 256 << 20  # of their features, at most about
 GRAMS = (3, 4)
 REPEATED = np.uint64(0x5EED5EED5EED5EED)
 
@@ -110,11 +111,22 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, train_rows: int, key
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> Model:
-    """Fit on a bounded sample. Without labelled rows the model is neutral: every score is 0.5."""
+    """Fit on a bounded sample. Without labelled rows the model is neutral: every score is 0.5.
+
+    Of the rows that share a key and a label one counts, the one whose text has the smallest hash: a key on any number of
+    rows gives one of the `train_rows`. The driver takes them in the order of their hashes until TRAIN_BYTES are full.
+    """
 
     def features(batches):
         reader = Words(BLANK_SEPARATED)
+        best: dict[tuple, int] = {}  # as many as there are keys in the sample
         for batch in batches:
+            keep = []
+            for i, (k, y, h) in enumerate(zip(batch["key"].to_pylist(), batch["y"].to_pylist(), batch["draw"].to_pylist(), strict=True)):
+                if h < best.get((k, y), h + 1):
+                    best[k, y] = h
+                    keep.append(i)
+            batch = batch.take(pa.array(keep, pa.int64()))
             for a, b in pieces(batch["text"]):
                 rows, found = buckets(reader, batch["text"].slice(a, b - a))
                 codes, counts = np.unique(rows * (1 << BUCKET_BITS) + found, return_counts=True)
@@ -125,13 +137,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
                     shares.append((bucket[i:j].tobytes(), (counts[i:j] / max(1, counts[i:j].sum())).astype(np.float32).tobytes()))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part["key"], pa.array([s[0] for s in shares], pa.binary()), pa.array([s[1] for s in shares], pa.binary()), part["y"]], ["key", "bucket", "share", "y"]
+                    [part["key"], part["y"], part["draw"], pa.array([s[0] for s in shares], pa.binary()), pa.array([s[1] for s in shares], pa.binary())],
+                    ["key", "y", "draw", "bucket", "share"],
                 )
 
-    sample = sampled(docs, labels, label, train_rows, key, text)
-    rows = sample.mapInArrow(features, sample.select("key", F.lit(b"").alias("bucket"), F.lit(b"").alias("share"), "y").schema).collect()
-    rows.sort(key=lambda r: (r["key"], r["y"], bytes(r["bucket"])))
-    return fit([(bytes(r["bucket"]), bytes(r["share"]), r["y"]) for r in rows])
+    sample = sampled(docs, labels, label, train_rows, key, text).withColumn("draw", F.xxhash64("text"))
+    schema = with_fields(sample.select("key", "y", "draw").schema, "bucket binary, share binary")
+    first = stored(sample.mapInArrow(features, schema), "features")
+    # One row per key and label: those of equal draw have equal texts.
+    first = first.groupBy("key", "y").agg(F.min_by(F.struct("bucket", "share"), "draw").alias("x")).orderBy(F.xxhash64("key"), "key", "y")
+    taken, size = [], 0
+    for r in first.toLocalIterator():
+        size += len(r["x"]["bucket"]) + len(r["x"]["share"])
+        if taken and size > TRAIN_BYTES:
+            break
+        taken.append((r["key"], r["y"], bytes(r["x"]["bucket"]), bytes(r["x"]["share"])))
+    taken.sort(key=lambda r: r[:3])
+    return fit([(bucket, share, y) for _, y, bucket, share in taken])
 
 
 def scores(reader: Words, model: Model, texts: pa.Array) -> np.ndarray:

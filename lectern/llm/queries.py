@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, language_id, periodic, quality, secrets, sharding, simhash, substring_dedup, topk, toxicity, whitening
-from lectern.llm.common import ORACLES, QUERIES, query, remainder, table
+from lectern.llm.common import ORACLES, QUERIES, held_out, query, remainder, table
 from lectern.llm.jaccard_join import jaccard_join
 from lectern.session import work_folder
 
@@ -38,7 +38,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language_id.learn_profiles(docs.filter(remainder("doc_id", 4) != 2))
     found = language_id.identify(docs, profiles)
-    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out("doc_id", 4, 2), "lang_pred", "score")
 
 
 OP2 = f"""with recursive {shingle_links(3, 90, 100)}
@@ -55,7 +55,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.filter(remainder("doc_id", 3) != 1))
     found = quality.classify(docs, model)
-    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held_out("doc_id", 3, 1), "score", "predicted")
 
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,7 +92,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = toxicity.learn_lexicon(docs, labels.filter(remainder("doc_id", 4) != 2))
     found = toxicity.score_toxicity(docs, lexicon)
-    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held_out("doc_id", 4, 2), "score", "predicted")
 
 
 @query("op6_sharding")
