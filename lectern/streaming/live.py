@@ -1,10 +1,12 @@
 """Streams over arriving documents and telemetry.
 
-Stateless operators are the batch ones applied to a stream. Aggregates use built-in streaming aggregation, which combines
+Stateless operators are the batch ones applied to a stream; `ingest_to` routes, segments and fingerprints arriving
+documents of every kind into several tables that agree after any crash. Aggregates use built-in streaming aggregation, which combines
 on the map side first. The two order-dependent ones (last entries, degrade state) keep a few values per key in Spark's
 state store; a micro-batch brings only its own rows of a key to one task, so `maxFilesPerTrigger` (or the source's like)
 bounds what a hot session costs. Changed rows go to one folder per micro-batch; a repeated batch rewrites its own, readers
-take committed folders only, and old folders are merged from time to time.
+take committed folders only, and old folders are merged from time to time. State that belongs to a burst of activity
+(`stream_degrade_bursts`, `stream_recent_bursts`) is dropped by an event-time timer once the session has been idle.
 """
 
 from __future__ import annotations
@@ -16,10 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from lectern import policies as P
 from lectern.operators import documents, telemetry
+from lectern.plans import ingest
 
 MERGE_AFTER = 50  # committed folders of changes before they are merged
 
@@ -36,25 +41,35 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def changes_to(stream: DataFrame, path: str, checkpoint: str, *keys: str) -> StreamingQuery:
-    """Write the changed rows of a stream in update mode, one row per key, one folder per micro-batch."""
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def changes_to(stream: DataFrame, path: str, checkpoint: str, *keys: str, rocksdb: bool = False) -> StreamingQuery:
+    """Write the changed rows of a stream in update mode, one row per key, one folder per micro-batch.
+
+    What is merged away stays until the next merge, so a reader that holds the older list of folders still finds them.
+    `rocksdb` keeps the state of this query in RocksDB, which streams with timers need.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
         spark = batch.sparkSession
         done = committed(spark, path)
         if len(done) > MERGE_AFTER:
-            newest_changes(spark, path, done, *keys).write.mode("overwrite").parquet(f"{path}/upto={done[-1][1]}")
-            for kind, version in done:
+            for kind, version in merged_away(spark, path):
                 delete(spark, f"{path}/{kind}={version}")
+            newest_changes(spark, path, done, *keys).write.mode("overwrite").parquet(f"{path}/upto={done[-1][1]}")
 
-    return (
-        stream.writeStream.foreachBatch(save)
-        .outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER)
+    try:
+        if rocksdb:
+            conf.set(PROVIDER, ROCKSDB)
+        return writer.start()  # a query keeps the settings it was started with
+    finally:
+        conf.set(PROVIDER, before)
 
 
 def _folder(spark: SparkSession, path: str):
@@ -69,6 +84,17 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def committed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """Committed folders that count, in order: the last merged one and the batches after it. Merging bounds the list."""
+    found = _marked_folders(spark, path)
+    merged = max((v for kind, v in found if kind == "upto"), default=-1)
+    return sorted(((kind, v) for kind, v in found if v > merged or (kind, v) == ("upto", merged)), key=lambda x: x[1])
+
+
+def merged_away(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Committed folders that a merged one has replaced."""
+    return sorted(set(_marked_folders(spark, path)) - set(committed(spark, path)))
+
+
+def _marked_folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     place, fs = _folder(spark, path)
     if not fs.exists(place):
         return []
@@ -78,8 +104,7 @@ def committed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
         marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
         if kind in ("v", "upto") and version.isdigit() and fs.exists(marker):
             found.append((kind, int(version)))
-    merged = max((v for kind, v in found if kind == "upto"), default=-1)
-    return sorted(((kind, v) for kind, v in found if v > merged or (kind, v) == ("upto", merged)), key=lambda x: x[1])
+    return found
 
 
 def newest_changes(spark: SparkSession, path: str, folders: list[tuple[str, int]], *keys: str) -> DataFrame:
@@ -99,6 +124,37 @@ def latest_changes(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     return newest_changes(spark, path, committed(spark, path), *keys)
 
 
+TABLES = ("segments", "rejects", "documents")  # the last one commits a batch
+
+
+def ingest_to(raw_docs: DataFrame, path: str, checkpoint: str, policy: P.ReadPolicy = P.PLAIN_READING, key: str = "doc_id") -> StreamingQuery:
+    """Arriving files, pasted texts and extractor answers into the tables `segments`, `rejects` and `documents`.
+
+    `plans.ingest.route_ingest` has the columns and rules. Each micro-batch is routed once and written to a folder of its
+    number in every table, `documents` last: that folder's marker commits the batch for all three. A batch that is
+    repeated after a crash overwrites its own folders, so no table holds rows twice or without the others.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark, place = batch.sparkSession, lambda table: f"{path}/{table}/v={batch_id}"
+        documents.document_fingerprint(ingest.route_ingest(batch, policy)).write.mode("overwrite").parquet(place("nested"))
+        done = spark.read.parquet(place("nested"))
+        good = F.col("error_code").isNull()
+        done.filter(good).select(key, F.inline("segments")).write.mode("overwrite").parquet(place("segments"))
+        done.filter(~good).select(key, "error_code", "error_message").write.mode("overwrite").parquet(place("rejects"))
+        index = documents.document_index(done, key, "route").withColumn("accepted", F.col("warnings.severity").isNull() | ~F.array_contains("warnings.severity", "error"))
+        index.write.mode("overwrite").parquet(place("documents"))
+        delete(spark, place("nested"))
+
+    return raw_docs.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingested(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Rows of one of the TABLES from all committed batches; `v` is the batch."""
+    done = [v for kind, v in _marked_folders(spark, f"{path}/documents") if kind == "v"]
+    return spark.read.parquet(f"{path}/{table}").filter(F.col("v").isin(done))
+
+
 def stream_segments(docs: DataFrame, raw: str = "raw", key: str = "doc_id") -> DataFrame:
     return documents.explode_segments(documents.segment_text(docs, raw), key)
 
@@ -142,16 +198,27 @@ def stream_recent(events: DataFrame, keep: int = P.RECENT_ENTRIES) -> DataFrame:
     return shown.groupBy("session_id", "category").applyInPandasWithState(add, RECENT, RECENT_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def recent_rows(recent: DataFrame) -> DataFrame:
-    """One row per entry of `stream_recent`."""
+def recent_rows(recent: DataFrame, *keys: str) -> DataFrame:
+    """One row per entry of `stream_recent`; `keys` are more columns to keep."""
     entries = F.arrays_zip(F.col("seqs").alias("seq"), F.col("segment_ids").alias("segment_id"), F.col("messages").alias("message"))
-    return recent.select("session_id", "category", F.inline(entries))
+    return recent.select("session_id", "category", *keys, F.inline(entries))
 
 
 DEGRADE = "session_id long, seq long, wasm_failures long, degraded boolean"
 DEGRADE_STATE = "seq long, failures long, degraded boolean"
 
 
+def degrade_fold(outcome: np.ndarray, count: int, latched: bool, limit: int) -> tuple[int, bool]:
+    """Counter and latch after more outcomes, in their order. `playback.degrade_state` has the rules."""
+    up = count + np.cumsum(outcome == "wasm")
+    raw = up - np.maximum.accumulate(np.where(np.isin(outcome, ("ok", "reset")), up, 0))
+    last_hit = np.flatnonzero(raw >= limit)[-1:]
+    last_reset = np.flatnonzero(outcome == "reset")[-1:]
+    if len(last_reset):
+        return int(raw[-1]), bool(len(last_hit) and last_hit[0] > last_reset[0])
+    return int(raw[-1]), bool(latched or len(last_hit))
+
+
 def stream_degrade(results: DataFrame, limit: int = P.WASM_FAILURE_LIMIT) -> DataFrame:
     """Degrade state per session after all events so far, one row per changed session and micro-batch.
 
@@ -162,23 +229,125 @@ def stream_degrade(results: DataFrame, limit: int = P.WASM_FAILURE_LIMIT) -> Dat
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, count, latched = state.get if state.exists else (None, 0, False)
         rows = pd.concat(list(frames)).sort_values("seq")
-        outcome = rows["outcome"].to_numpy()
-        up = count + np.cumsum(outcome == "wasm")
-        raw = up - np.maximum.accumulate(np.where(np.isin(outcome, ("ok", "reset")), up, 0))
-        last_hit = np.flatnonzero(raw >= limit)[-1:]
-        last_reset = np.flatnonzero(outcome == "reset")[-1:]
-        if len(last_reset):
-            latched = bool(len(last_hit) and last_hit[0] > last_reset[0])
-        else:
-            latched = bool(latched or len(last_hit))
+        count, latched = degrade_fold(rows["outcome"].to_numpy(), count, latched, limit)
         seq = int(rows["seq"].iloc[-1]) if seq is None else max(int(seq), int(rows["seq"].iloc[-1]))
-        state.update((seq, int(raw[-1]), latched))
-        yield pd.DataFrame({"session_id": [key[0]], "seq": [seq], "wasm_failures": [limit if latched else int(raw[-1])], "degraded": [latched]})
+        state.update((seq, count, latched))
+        yield pd.DataFrame({"session_id": [key[0]], "seq": [seq], "wasm_failures": [limit if latched else count], "degraded": [latched]})
 
     needed = results.select("session_id", "seq", "outcome")
     return needed.groupBy("session_id").applyInPandasWithState(advance, DEGRADE, DEGRADE_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+class _Burst(StatefulProcessor):
+    """Folds the rows of a key, burst by burst. A burst ends where the key has been idle for longer than `idle` micros.
+
+    The gap itself is judged on the rows, so results do not depend on when timers fire; the timer drops the state of a
+    burst that has ended, so what is kept is bounded by the sessions active of late.
+    """
+
+    columns: tuple[str, ...] = ()  # of the input
+    STATE = ""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+        # Read here, as workers have no session.
+        self.schemas = StructType.fromDDL("begin long, last long"), StructType.fromDDL(self.STATE)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.span = handle.getValueState("span", self.schemas[0])
+        self.kept = handle.getListState("kept", self.schemas[1])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        rows = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
+        at = rows["at"].to_numpy()
+        begin, last = self.span.get() if self.span.exists() else (None, None)
+        cuts = [0, *(np.flatnonzero(np.diff(at) > self.idle) + 1).tolist(), len(at)]
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            goes_on = begin is not None and at[a] - last <= self.idle
+            begin = begin if goes_on else int(at[a])
+            state = [tuple(x) for x in self.kept.get()] if goes_on and not a and self.kept.exists() else []
+            state, row = self.fold(state, rows.iloc[a:b])
+            last = max(int(at[b - 1]), last) if goes_on else int(at[b - 1])
+            out.append((*key, begin, *row))
+        self.span.update((begin, last))
+        self.kept.put(state)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((last + self.idle) // 1000 + 1)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.span.clear()
+        self.kept.clear()
+        yield pd.DataFrame([], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+class _DegradeBurst(_Burst):
+    columns = ("session_id", "begin", "seq", "wasm_failures", "degraded")
+    STATE = "seq long, failures long, degraded boolean"
+
+    def __init__(self, idle: int, limit: int):
+        super().__init__(idle)
+        self.limit = limit
+
+    def fold(self, state, rows):
+        seq, count, latched = state[0] if state else (-1, 0, False)
+        count, latched = degrade_fold(rows["outcome"].to_numpy(), count, latched, self.limit)
+        seq = max(int(seq), int(rows["seq"].max()))
+        return [(seq, count, latched)], (seq, self.limit if latched else count, latched)
+
+
+class _RecentBurst(_Burst):
+    columns = ("session_id", "category", "begin", "seqs", "segment_ids", "messages")
+    STATE = "seq long, segment_id string, message string"
+
+    def __init__(self, idle: int, keep: int):
+        super().__init__(idle)
+        self.keep = keep
+
+    def fold(self, state, rows):
+        plain = lambda x: None if x is None or x != x else x
+        new = [(int(s), plain(i), plain(m)) for s, i, m in zip(rows["seq"], rows["segment_id"], rows["message"], strict=True)]
+        newest = sorted([*state, *new], key=lambda e: -e[0])[: self.keep]
+        return newest, tuple([e[i] for e in newest] for i in range(3))
+
+
+def _with_instant(events: DataFrame, late: str) -> DataFrame:
+    return _timed(events, late).withColumn("at", F.unix_micros("event_ts"))
+
+
+def stream_degrade_bursts(results: DataFrame, idle: str = "12 hours", late: str = "10 minutes", limit: int = P.WASM_FAILURE_LIMIT) -> DataFrame:
+    """Degrade state per session and burst of activity, one row per burst that a micro-batch has changed.
+
+    Reads session_id, seq, event_ts and outcome. The counter and the latch start anew when a session was idle for longer
+    than `idle`. Rows later than the watermark are left out. For `changes_to` with `rocksdb`.
+    """
+    needed = _with_instant(results.select("session_id", "seq", "event_ts", "outcome"), late)
+    made = needed.groupBy("session_id").transformWithStateInPandas(
+        _DegradeBurst(_micros(idle), limit), "session_id long, begin long, seq long, wasm_failures long, degraded boolean", "Update", "EventTime"
+    )
+    return made.withColumn("begin", F.timestamp_micros("begin"))
+
+
+def stream_recent_bursts(events: DataFrame, idle: str = "12 hours", late: str = "10 minutes", keep: int = P.RECENT_ENTRIES) -> DataFrame:
+    """The last entries per session, category and burst of activity as arrays, newest first; see `stream_degrade_bursts`."""
+    shown = telemetry.classify_perf_event(events).filter("category is not null").select("session_id", "category", "seq", "event_ts", "segment_id", "message")
+    made = _with_instant(shown, late).groupBy("session_id", "category").transformWithStateInPandas(
+        _RecentBurst(_micros(idle), keep),
+        "session_id long, category string, begin long, seqs array<long>, segment_ids array<string>, messages array<string>", "Update", "EventTime",
+    )
+    return made.withColumn("begin", F.timestamp_micros("begin"))
+
+
+def _micros(interval: str) -> int:
+    return int(pd.Timedelta(interval).value // 1000)
+
+
 def _window_metrics(events: DataFrame, window: Column) -> DataFrame:
     timed = F.when(F.col("type") == "tts.segment_synth", F.col("duration_ms"))
     return (
