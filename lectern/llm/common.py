@@ -36,6 +36,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a working column that no column of the table has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_fields(schema: StructType, ddl: str) -> StructType:
     """The schema with more fields."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -13,13 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import with_fields
+from lectern.llm.common import free_name, stored, with_fields
 from lectern.llm.words import BASE, LETTERS_AND_DIGITS, Words, pieces
 
-PATTERN_BYTES = 8 << 20  # benchmark text searched for in one pass over the documents
+PATTERN_BYTES = 2 << 20  # benchmark text searched for in one pass over the documents; its tables are some 30 times that
 LANE = 128  # window starts per lane
 TABLE_BITS = 18
-HIT, ITEMS = "contamination_hit_words", "contamination_items"  # working columns
 
 
 class Patterns:
@@ -122,67 +121,77 @@ def find_contamination(
     words and no hits; items like that have no patterns. Items without an id hit words like any other and are one more item
     in n_items, all together, but are not listed. Repeated rows give repeated rows; items of one id count once. An empty benchmark hits nothing, an empty table gives an empty table.
 
-    No row is shuffled. The benchmark is broadcast in parts of at most about `pattern_bytes` of text, one pass over the
-    documents for each part, so what an executor holds does not grow with the benchmark.
+    No row is shuffled. The benchmark is fetched in parts of about `pattern_bytes` of text, its search tables are built once
+    on the driver and broadcast, and each part takes one pass over the documents. The rows are written between two passes,
+    so one part's tables are alive at a time, however large the benchmark; it costs a write of the table per further part.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marked = search(rows, "text", benchmark, item_key, item_text, window, pattern_bytes)
-    schema = with_fields(rows.select("key").schema, f"n_words long, n_hit long, {ITEMS} array<string>")
-    counted = marked.mapInArrow(count_hits, schema)
-    listed = F.array_sort(F.array_compact(F.array_distinct(ITEMS))).alias("items")
-    return counted.select(F.col("key").alias(key), "n_words", "n_hit", listed, F.size(F.array_distinct(ITEMS)).cast("long").alias("n_items"))
+    marked, hit, items = search(rows, "text", benchmark, item_key, item_text, window, pattern_bytes)
+    schema = with_fields(rows.select("key").schema, "n_words long, n_hit long, found array<string>")
+    counted = marked.mapInArrow(hit_counter(hit, items), schema)
+    listed = F.array_sort(F.array_compact(F.array_distinct("found"))).alias("items")
+    return counted.select(F.col("key").alias(key), "n_words", "n_hit", listed, F.size(F.array_distinct("found")).cast("long").alias("n_items"))
 
 
 def without_contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, pattern_bytes: int = PATTERN_BYTES
 ) -> DataFrame:
     """The rows, with all their columns, in which `find_contamination` finds no hit."""
-    marked = search(docs, text, benchmark, item_key, item_text, window, pattern_bytes)
-    return marked.filter(F.col(HIT).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked, hit, _ = search(docs, text, benchmark, item_key, item_text, window, pattern_bytes)
+    return marked.filter(F.col(hit).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def search(docs: DataFrame, text: str, benchmark: DataFrame, item_key: str, item_text: str, window: int, pattern_bytes: int) -> DataFrame:
-    """The rows with a bit map of their words hit (null: none) and the items found, after a pass for each part."""
-    out = docs.withColumn(HIT, F.lit(None).cast("binary")).withColumn(ITEMS, F.array().cast("array<string>"))
-    for part in benchmark_parts(benchmark, item_key, item_text, pattern_bytes):
-        out = out.mapInArrow(searcher(docs.sparkSession.sparkContext.broadcast(part), text, window), out.schema)
-    return out
+def search(docs: DataFrame, text: str, benchmark: DataFrame, item_key: str, item_text: str, window: int, pattern_bytes: int) -> tuple[DataFrame, str, str]:
+    """The rows after a pass for each part, with two more columns, whose names are returned: a bit map of the words hit
+    (null: none) and the items found."""
+    hit, items = free_name(docs, "hit_words"), free_name(docs, "hit_items")
+    out = docs.withColumn(hit, F.lit(None).cast("binary")).withColumn(items, F.array().cast("array<string>"))
+    for i, part in enumerate(benchmark_parts(benchmark, item_key, item_text, pattern_bytes)):
+        out = stored(out, "pass") if i else out
+        tables = compile_patterns([(n, t) for n, (_, t) in enumerate(part)], window)
+        shared = docs.sparkSession.sparkContext.broadcast(([k for k, _ in part], tables))
+        out = out.mapInArrow(searcher(shared, text, hit, items), out.schema)
+    return out, hit, items
 
 
-def hit_words(rows: pa.RecordBatch, bounds: np.ndarray) -> np.ndarray:
+def hit_words(maps: pa.Array, bounds: np.ndarray) -> np.ndarray:
     """The bit maps of all rows as one flag per word."""
     hit = np.zeros(int(bounds[-1]), bool)
-    for i, bits in enumerate(rows[HIT]):
+    for i, bits in enumerate(maps):
         if bits.is_valid:
             a, b = int(bounds[i]), int(bounds[i + 1])
             hit[a:b] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=b - a)
     return hit
 
 
-def count_hits(batches):
-    reader = Words(LETTERS_AND_DIGITS, lower=True)
-    for batch in batches:
-        for a, b in pieces(batch["text"]):
-            rows = batch.slice(a, b - a)
-            n_words = reader.read(rows["text"]).per_row()
-            bounds = np.concatenate(([0], np.cumsum(n_words)))
-            flags = np.concatenate(([0], np.cumsum(hit_words(rows, bounds))))
-            yield pa.RecordBatch.from_arrays([rows["key"], pa.array(n_words), pa.array(np.diff(flags[bounds])), rows[ITEMS]], ["key", "n_words", "n_hit", ITEMS])
+def hit_counter(hit: str, items: str):
+    """Counts the words of the rows, and those hit."""
+
+    def count(batches):
+        reader = Words(LETTERS_AND_DIGITS, lower=True)
+        for batch in batches:
+            for a, b in pieces(batch["text"]):
+                rows = batch.slice(a, b - a)
+                n_words = reader.read(rows["text"]).per_row()
+                bounds = np.concatenate(([0], np.cumsum(n_words)))
+                flags = np.concatenate(([0], np.cumsum(hit_words(rows[hit], bounds))))
+                yield pa.RecordBatch.from_arrays([rows["key"], pa.array(n_words), pa.array(np.diff(flags[bounds])), rows[items]], ["key", "n_words", "n_hit", "found"])
+
+    return count
 
 
-def searcher(shared, text: str, window: int):
+def searcher(shared, text: str, hit_name: str, items_name: str):
     """One pass over the documents for one part of the benchmark: adds to the bit maps and item lists."""
 
     def run(batches):
         reader = Words(LETTERS_AND_DIGITS, lower=True)
-        names = [k for k, _ in shared.value]
-        tables = compile_patterns([(i, t) for i, (_, t) in enumerate(shared.value)], window)
+        names, tables = shared.value
         for batch in batches:
             for a, b in pieces(batch[text]):
                 rows = batch.slice(a, b - a)
                 spans = reader.read(rows[text])
                 bounds = np.concatenate(([0], np.cumsum(spans.per_row())))
-                hit = hit_words(rows, bounds)
+                hit = hit_words(rows[hit_name], bounds)
                 found: dict[int, set[str | None]] = {}
                 for table in tables:
                     at, which = table.search(spans.hash, bounds)
@@ -195,8 +204,8 @@ def searcher(shared, text: str, window: int):
                 if found:
                     touched = np.bincount(spans.row[hit], minlength=b - a) > 0
                     maps = [np.packbits(hit[i:j]).tobytes() if t else None for i, j, t in zip(bounds[:-1], bounds[1:], touched, strict=True)]
-                    lists = [list({*(old or []), *found.get(i, ())}) for i, old in enumerate(rows[ITEMS].to_pylist())]
-                    for name, values in ((HIT, maps), (ITEMS, lists)):
+                    lists = [list({*(old or []), *found.get(i, ())}) for i, old in enumerate(rows[items_name].to_pylist())]
+                    for name, values in ((hit_name, maps), (items_name, lists)):
                         at = rows.schema.get_field_index(name)
                         rows = rows.set_column(at, rows.schema.field(at), pa.array(values, rows.schema.field(at).type))
                 yield rows
