@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, quality, secrets
-from lectern.llm.common import stored, table
+from lectern.llm.common import free_name, stored, table
 from lectern.llm.jaccard_join import jaccard_join
 from lectern.session import work_folder
 
-ROW = "near_duplicates_row"  # working column
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, accepts."""
+    """Documents that the classifier, fitted on the labelled ones, accepts.
+
+    Null, empty and blank texts are scored like any other text without features. Rows without an id are judged by their
+    text; without labelled rows the model is neutral and keeps every row. An empty table stays empty.
+    """
     return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -24,24 +26,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows, not ids, are compared: rows of one id with different texts are different documents, and rows without an id take
     part. The row of the smallest id stays, rows without an id come last, and ties go to the row that was numbered first.
-    Texts without words link with nothing, so their rows all stay.
+    Null, empty and blank texts have no words and link with nothing, so their rows all stay. An empty table stays empty.
     """
+    number = free_name(docs, "row")
     # A row's number is drawn once and kept by the written table, so every later read sees the same one.
-    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     # Null sorts before 1: rows with an id come first.
-    keyed = rows.select(F.struct(F.when(F.col("doc_id").isNull(), 1).alias("last"), "doc_id", F.col(ROW).alias("row")).alias("key"), "text")
+    keyed = rows.select(F.struct(F.when(F.col("doc_id").isNull(), 1).alias("last"), "doc_id", F.col(number).alias("row")).alias("key"), "text")
     groups = jaccard_join(keyed, key="key", words=5, num=8, den=10)
-    first = groups.filter("key.row = component_id.row").select(F.col("key.row").alias(ROW))
-    return rows.join(first, ROW, "left_semi").select(*docs.columns)
+    first = groups.filter("key.row = component_id.row").select(F.col("key.row").alias(number))
+    return rows.join(first, number, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
+    """Documents that hold no window of the benchmark. Null, empty and wordless texts hold none and stay; so do all rows
+    where the benchmark is empty. Rows without an id are judged by their text."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their texts; n_chars follows the new text."""
+    """All documents, with secrets replaced in their texts; n_chars follows the new text. Null and empty texts stay as they
+    are; rows without an id and repeated rows are kept like any other."""
     found = secrets.scan_versions(docs, work_folder(spark, "ledger"))
     changed = F.size("findings") > 0
     out = found.withColumn("text", secrets.redact("text"))
@@ -51,7 +56,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and what they decode to, as digests."""
+    """Token ids of every document and what they decode to, as digests. A null text counts as empty: no ids, no bytes."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.digests(bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN))
 
