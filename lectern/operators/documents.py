@@ -112,7 +112,7 @@ def duplicate_documents(indexed: DataFrame, key: str = "doc_id") -> DataFrame:
 def segment_profile(segments: DataFrame) -> DataFrame:
     """Counts by kind and block type, with subtotals per kind and a grand total."""
     measured = segments.select(
-        "kind", "block_type", F.length("text").alias("chars"), T.count_words("text").alias("tokens")
+        "kind", "block_type", T.utf16_length("text").alias("chars"), T.count_words("text").alias("tokens")
     )
     return (
         measured.rollup("kind", "block_type")

@@ -209,10 +209,10 @@ def resolve_redirects(
 
     `crawl` has one row per address. With `dns(host, address)` and address ranges, the host of the first address and of
     every hop is judged before it counts as fetched, and a walk that meets a forbidden one ends there. Responses that
-    are no redirect need no walk at all. The rest walk the log once per hop; a finished walk keeps a key of its own that
-    matches nothing. Many redirects to one address (a login page) share a key while they walk; the log's side is unique,
-    so adaptive execution splits them. With a shared `folder` the judged log is written there, and hops read that narrow
-    table instead of judging the log again.
+    are no redirect need no walk at all. Redirects take one step by a join with the log; steps are then joined with
+    themselves, so each round doubles how far a redirect sees, and only walks that are still going take part. Many
+    redirects to one address (a login page) share a key; the other side is unique, so adaptive execution splits them.
+    With a shared `folder` the judged log and the steps are written there and computed once.
     """
     ends = ("verdict", "error_code", "error_message")
     judged = classify_fetch(crawl).withColumn(
@@ -234,40 +234,45 @@ def resolve_redirects(
         )
     judged = written(judged, folder and f"{folder}/log")
     straight = judged.filter("verdict <> 'redirect'").select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), *ends)
-    step = ("target", "target_error", "target_code")
-    log = judged.select(F.col("url").alias("_at"), *[F.col(c).alias(f"_{c}") for c in (*step, *ends)])
-    walk = judged.filter("verdict = 'redirect'").select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), *step, *ends)
+
+    # One step of every redirect; `going` where it leads to another one.
+    redirects = judged.filter("verdict = 'redirect'").select("url", "target", "target_error", "target_code")
     unreadable = "UNREADABLE_CONTENT"
-    for hop in range(1, max_redirects + 1):
-        going = F.col("verdict") == "redirect"
-        invalid = F.col("target_error").isNotNull()
-        key = F.when(going & ~invalid, F.col("target")).otherwise(F.concat(F.lit("\x00"), "url"))
-        met = walk.withColumn("_at", key).join(log, "_at", "left")
-        lost = F.col("_verdict").isNull()
-        last = (F.col("_verdict") == "redirect") & F.lit(hop == max_redirects)
-
-        def settle(column: str, when_invalid: Column, when_lost: str, when_last: str) -> Column:
-            return (
-                F.when(~going, F.col(column))
-                .when(invalid, when_invalid)
-                .when(lost, when_lost)
-                .when(last, when_last)
-                .otherwise(F.col(f"_{column}"))
-                .alias(column)
-            )
-
-        walk = met.select(
-            "url",
-            F.when(going, F.col("target")).otherwise(F.col("final_url")).alias("final_url"),
-            F.when(going, hop).otherwise(F.col("hops")).alias("hops"),
-            F.col("_target").alias("target"),
-            F.col("_target_error").alias("target_error"),
-            F.col("_target_code").alias("target_code"),
-            settle("verdict", F.lit("error"), "error", "error"),
-            settle("error_code", F.col("target_code"), unreadable, unreadable),
-            settle("error_message", F.col("target_error"), MESSAGES["FETCH_FAILED"], MESSAGES["TOO_MANY_REDIRECTS"]),
-        )
-    return straight.unionByName(walk.drop(*step))
+    log = judged.select(F.col("url").alias("target"), *ends)
+    met = redirects.filter("target_error is null").join(log, "target", "left")
+    lost = F.col("verdict").isNull()
+    met = met.select(
+        "url", F.col("target").alias("final_url"), F.lit(1).alias("hops"), (F.coalesce("verdict", F.lit("")) == "redirect").alias("going"),
+        F.when(lost, "error").otherwise(F.col("verdict")).alias("verdict"),
+        F.when(lost, unreadable).otherwise(F.col("error_code")).alias("error_code"),
+        F.when(lost, MESSAGES["FETCH_FAILED"]).otherwise(F.col("error_message")).alias("error_message"),
+    )
+    invalid = redirects.filter("target_error is not null").select(
+        "url", F.col("target").alias("final_url"), F.lit(1).alias("hops"), F.lit(False).alias("going"),
+        F.lit("error").alias("verdict"), F.col("target_code").alias("error_code"), F.col("target_error").alias("error_message"),
+    )
+    steps = written(met.unionByName(invalid), folder and f"{folder}/steps-1")
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        """The steps of `first`, and where they have not ended, those of `second` from there."""
+        far = second.select(F.col("url").alias("final_url"), F.col("final_url").alias("_to"), F.col("hops").alias("_more"), *[F.col(c).alias(f"_{c}") for c in ("going", *ends)])
+        further = first.filter("going").select("url", "final_url", "hops").join(far, "final_url")
+        further = further.select("url", F.col("_to").alias("final_url"), (F.col("hops") + F.col("_more")).alias("hops"), *[F.col(f"_{c}").alias(c) for c in ("going", *ends)])
+        return first.filter("not going").unionByName(further)
+
+    walk, power, size, left = None, steps, 1, max_redirects
+    while left:
+        if left & 1:
+            walk = power if walk is None else then(walk, power)
+        left >>= 1
+        if left:
+            size *= 2
+            power = written(then(power, power), folder and f"{folder}/steps-{size}")
+    if walk is None:
+        walk = redirects.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), F.lit(True).alias("going"), *[F.lit(None).cast("string").alias(c) for c in ends])
+    over = lambda c, value: F.when(F.col("going"), value).otherwise(F.col(c)).alias(c)
+    walk = walk.select("url", "final_url", "hops", over("verdict", "error"), over("error_code", unreadable), over("error_message", MESSAGES["TOO_MANY_REDIRECTS"]))
+    return straight.unionByName(walk)
 
 
 def validate_article(articles: DataFrame) -> DataFrame:

@@ -20,12 +20,46 @@ def exact_percentiles(df: DataFrame, group: str, value: str, probs: dict[str, fl
     `few_groups` states that the groups come from a short fixed list, so their brackets may be broadcast; otherwise the
     join follows the sizes measured at run time.
 
-    A mergeable sketch first brackets each percentile. A second pass counts what lies below the bracket and keeps only
-    the distinct values inside it, with their counts. A value shared by a third of all rows is one row by then. Counts of
-    equal bins of the bracket then tell which bin holds the rank sought, so a task ranks one bin in 4096 of a bracket
-    that holds about one in ten thousand rows.
+    Groups of up to SMALL_GROUP values keep all their distinct values with counts, which are ranked by one window. In a
+    larger one a mergeable sketch first brackets each percentile. A second pass counts what lies below the bracket and
+    keeps only the distinct values inside it, with their counts. A value shared by a third of all rows is one row by then.
+    Counts of equal bins of the bracket then tell which bin holds the rank sought, so a task ranks one bin in 4096 of a
+    bracket that holds about one in ten thousand rows. Whether there are larger groups is asked first.
     """
     clean = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_x"))
+    large = clean.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SMALL_GROUP).select(group)
+    if large.isEmpty():
+        return _ranked(clean, group, probs)
+    few = F.broadcast(large) if few_groups else large
+    same = clean[group].eqNullSafe(large[group])
+    small = clean.join(few, same, "left_anti")
+    return _ranked(small, group, probs).unionByName(_bracketed(clean.join(few, same, "left_semi"), group, probs, few_groups))
+
+
+def _columns(probs: dict[str, float]) -> list:
+    """One column per probability from the values `_f<i>` and `_c<i>` at the ranks below and above."""
+    out = []
+    for i, (name, p) in enumerate(probs.items()):
+        place = F.lit(p) * (F.col("n") - 1)
+        part = place - F.floor(place)
+        out.append((F.col(f"_f{i}") + (F.col(f"_c{i}") - F.col(f"_f{i}")) * part).alias(name))
+    return out
+
+
+def _ranked(clean: DataFrame, group: str, probs: dict[str, float]) -> DataFrame:
+    """All distinct values of a group ranked at once."""
+    counted = clean.groupBy(group, "_x").agg(F.count(F.lit(1)).alias("_k"))
+    upto = F.sum("_k").over(W.partitionBy(group).orderBy("_x"))
+    ranked = counted.withColumn("_upto", upto).withColumn("n", F.sum("_k").over(W.partitionBy(group)))
+    picks = []
+    for i, p in enumerate(probs.values()):
+        for side, turn in (("f", F.floor), ("c", F.ceil)):
+            picks.append(F.min(F.when(F.col("_upto") > turn(F.lit(p) * (F.col("n") - 1)), F.col("_x"))).alias(f"_{side}{i}"))
+    found = ranked.groupBy(group).agg(F.max("n").alias("n"), *picks)
+    return found.select(group, "n", *_columns(probs))
+
+
+def _bracketed(clean: DataFrame, group: str, probs: dict[str, float], few_groups: bool) -> DataFrame:
     edges = [max(0.0, min(1.0, p + s)) for p in probs.values() for s in (-MARGIN, MARGIN)]
     sketch = clean.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("_x", edges, ACCURACY).alias("_e")
@@ -75,9 +109,4 @@ def exact_percentiles(df: DataFrame, group: str, value: str, probs: dict[str, fl
     hits = items.join(chosen, [group, "i", "_bin"]).withColumn("_reached", reached).filter("_reached > _left")
     picks = [F.min(F.when((F.col("i") == i) & (F.col("side") == side), F.col("_x"))).alias(f"_{side}{i}") for i in range(len(probs)) for side in "fc"]
     found = below.select(group, "n").join(hits.groupBy(group).agg(*picks), group)
-    columns = []
-    for i, (name, p) in enumerate(probs.items()):
-        place = F.lit(p) * (F.col("n") - 1)
-        part = place - F.floor(place)
-        columns.append((F.col(f"_f{i}") + (F.col(f"_c{i}") - F.col(f"_f{i}")) * part).alias(name))
-    return found.select(group, "n", *columns)
+    return found.select(group, "n", *_columns(probs))

@@ -143,13 +143,13 @@ def _limit(metric: Column, at: int) -> Column:
     return out
 
 
-def metric_values(events: DataFrame) -> DataFrame:
-    """(metric, value) rows of the timed events."""
+def metric_values(events: DataFrame, *more: Column) -> DataFrame:
+    """(metric, value) rows of the timed events, with `more` columns."""
     metric = F.lit(None).cast("string")
     for name, (kind, _, _) in BUDGETS.items():
         metric = F.when(F.col("type") == kind, name).otherwise(metric)
     kinds = [kind for kind, _, _ in BUDGETS.values()]
-    return events.filter(F.col("type").isin(*kinds)).select(metric.alias("metric"), F.col("duration_ms").alias("value"))
+    return events.filter(F.col("type").isin(*kinds)).select(metric.alias("metric"), F.col("duration_ms").alias("value"), *more)
 
 
 def latency_budget(events: DataFrame) -> DataFrame:
@@ -159,6 +159,38 @@ def latency_budget(events: DataFrame) -> DataFrame:
     return found.withColumn("within_budget", holds("p50", 1) & holds("p95", 2))
 
 
+SKETCH_K = 400  # of a sketch; its rank error is about 0.7 % then
+RANK_ERROR = 0.02  # that no percentile of a merged sketch should pass
+
+
+def latency_sketches(events: DataFrame, every: str = "hour") -> DataFrame:
+    """(metric, starts, n, sketch) per metric and unit of time: some kilobytes each, whatever the number of events.
+
+    Sketches merge, so stored hours give days and weeks without reading events again (`rolled_up`).
+    """
+    kind = F.lit(None).cast("string")
+    for name, (event, _, _) in BUDGETS.items():
+        kind = F.when(F.col("type") == event, name).otherwise(kind)
+    timed = events.select(kind.alias("metric"), F.date_trunc(every, "event_ts").alias("starts"), F.col("duration_ms").cast("double").alias("value"))
+    timed = timed.filter("metric is not null and value is not null")
+    return timed.groupBy("metric", "starts").agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("value", SKETCH_K).alias("sketch"))
+
+
+def rolled_up(sketches: DataFrame, every: str = "day") -> DataFrame:
+    """Stored sketches merged per metric and longer unit of time."""
+    starts = F.date_trunc(every, "starts").alias("starts")
+    return sketches.groupBy("metric", starts).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_budget(sketches: DataFrame) -> DataFrame:
+    """p50 and p95 of each sketch against the budgets: (metric, starts, n, p50, p95, within_budget). Ranks are off by
+    RANK_ERROR at most; `latency_budget` is exact."""
+    at = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(p))
+    found = sketches.select("metric", "starts", "n", at(0.5).alias("p50"), at(0.95).alias("p95"))
+    holds = lambda name, place: F.coalesce(F.col(name) < _limit(F.col("metric"), place), F.lit(True))
+    return found.withColumn("within_budget", holds("p50", 1) & holds("p95", 2))
+
+
 def memory_budget(events: DataFrame) -> DataFrame:
     """Peak memory against its budget: pass, fail, or informational when no event reported memory."""
     peak = events.filter("type = 'tts.model_load'").agg(

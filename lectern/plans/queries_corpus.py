@@ -47,26 +47,28 @@ MESSY = (
 # --- sources and sinks -------------------------------------------------------------------------------------------
 
 def written_texts(spark, d, value):
-    """One file per document in the shared folder, named by the folder it lies in."""
+    """One file per document, in a few folders of the shared folder; the first line of a file is the document's id."""
     folder = work_folder(spark, "texts")
-    table(spark, d, "documents").select("doc_id", value.alias("value")).write.partitionBy("doc_id").text(folder)
-    return f"{folder}/*/*.txt"
+    rows = table(spark, d, "documents").select(F.pmod("doc_id", F.lit(16)).alias("bucket"), value.alias("value"))
+    rows.write.partitionBy("bucket").option("maxRecordsPerFile", 1).text(folder)
+    return folder
 
 
-def folder_id(path):
-    return F.regexp_extract(path, "doc_id=([0-9]+)", 1).cast("long").alias("doc_id")
+def file_id():
+    return F.regexp_extract("raw", r"\A([0-9]+)\n", 1).cast("long").alias("doc_id")
 
 
-@query("s1_read_text", "select doc_id, concat(text, chr(10)) as raw, length(text) + 1 as n_units from documents")
+@query("s1_read_text", "select doc_id, concat(doc_id, chr(10), text, chr(10)) as raw, length(text) + length(doc_id::varchar) + 2 as n_units from documents")
 def _(spark, d):
-    read = readers.read_text(spark, written_texts(spark, d, F.col("text")))
-    return read.select(folder_id("path"), "raw", T.utf16_length("raw").alias("n_units"))
+    read = readers.read_text(spark, written_texts(spark, d, F.concat_ws("\n", F.col("doc_id").cast("string"), "text")))
+    return read.select(file_id(), "raw", T.utf16_length("raw").alias("n_units"))
 
 
-@query("s2_read_files", "select doc_id, concat(text, chr(65533), chr(10)) as raw, 'text/plain' as mime from documents")
+@query("s2_read_files", "select doc_id, concat(doc_id, chr(10), text, chr(65533), chr(10)) as raw, 'text/plain' as mime from documents")
 def _(spark, d):
-    broken = F.concat(F.encode(F.concat(F.lit("\ufeff"), "text"), "UTF-8"), F.unhex(F.lit("FF"))).cast("string")
-    return readers.read_files(spark, written_texts(spark, d, broken), {".txt": "text/plain"}).select(folder_id("path"), "raw", "mime")
+    marked = F.concat(F.lit("\ufeff"), F.col("doc_id").cast("string"), F.lit("\n"), "text")
+    broken = F.concat(F.encode(marked, "UTF-8"), F.unhex(F.lit("FF"))).cast("string")
+    return readers.read_files(spark, written_texts(spark, d, broken), {".txt": "text/plain"}).select(file_id(), "raw", "mime")
 
 
 _ARTIFACTS = (
@@ -77,12 +79,12 @@ _ARTIFACTS = (
 
 @query("s7_read_manifest", f"select {_ARTIFACTS} from part")
 def _(spark, d):
-    """A manifest is one JSON text; here one per brand, so that no task holds all parts."""
+    """A manifest is one JSON text; here each lists a thousand parts, so their number grows with the table."""
     folder = work_folder(spark, "manifests")
-    entries = sql(spark, d, f"select p_brand, {_ARTIFACTS} from {{part}}")
-    rows = F.collect_list(F.struct(*[c for c in entries.columns if c != "p_brand"])).alias("artifacts")
-    entries.groupBy("p_brand").agg(rows).select(F.to_json(F.struct("artifacts")).alias("value"), "p_brand").write.partitionBy("p_brand").text(folder)
-    return readers.read_manifest(spark, f"{folder}/*/*.txt")
+    entries = sql(spark, d, f"select p_partkey div 1000 as manifest, {_ARTIFACTS} from {{part}}")
+    rows = F.collect_list(F.struct(*[c for c in entries.columns if c != "manifest"])).alias("artifacts")
+    entries.groupBy("manifest").agg(rows).select(F.to_json(F.struct("artifacts")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return readers.read_manifest(spark, folder)
 
 
 @query("s3_read_pages", "select page_id, url, length(html) as n_chars from pages")
@@ -135,6 +137,34 @@ def _(spark, d):
     return back.groupBy("kind").agg(F.count(F.lit(1)).alias("n_segments"), F.sum(F.length("text")).alias("n_chars"))
 
 
+_RECENT_TEXT = "case when doc_id % 100 = 7 then concat(text, ' Changed') else text end"
+
+
+@query(
+    "s8_update_corpus",
+    f"with para_docs as (select doc_id, lang, replace({_RECENT_TEXT}, chr(10), concat(chr(10), chr(10))) as raw from documents), {duck.segments('para_docs')}, "
+    "n as (select doc_id, count(*)::int as n_segments, sum(length(text))::bigint as n_chars from seg group by doc_id) "
+    "select doc_id, n_segments, n_chars, doc_id % 100 = 7 as changed, doc_id % 50 = 7 as rewritten from n",
+)
+def _(spark, d):
+    """A corpus of all documents, then a run over them in which one in a hundred has changed."""
+    folder = work_folder(spark, "corpus")
+    made = lambda text: documents.document_fingerprint(documents.segment_text(
+        table(spark, d, "documents").select("doc_id", F.regexp_replace(F.expr(text), "\n", "\n\n").alias("raw"))
+    )).drop("raw")
+    files = lambda: spark.read.parquet(f"{folder}/corpus").select("bucket", F.input_file_name().alias("file")).distinct()
+    update = lambda text: writers.update_corpus(made(text), folder, bucket=F.col("doc_id") % 50)
+    update("text")
+    files().write.parquet(f"{folder}/before")
+    changed = update(_RECENT_TEXT)
+    fresh = files().join(spark.read.parquet(f"{folder}/before"), ["bucket", "file"], "left_anti").select("bucket").distinct()
+    corpus = spark.read.parquet(f"{folder}/corpus")
+    chars = F.aggregate(F.transform("segments", lambda s: F.length(s["text"]).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    out = corpus.select("doc_id", "bucket", F.size("segments").alias("n_segments"), chars.alias("n_chars")).filter("n_segments > 0")
+    out = out.join(changed.select("doc_id", F.lit(True).alias("changed")), "doc_id", "left").join(fresh.withColumn("rewritten", F.lit(True)), "bucket", "left")
+    return out.select("doc_id", "n_segments", "n_chars", F.coalesce("changed", F.lit(False)).alias("changed"), F.coalesce("rewritten", F.lit(False)).alias("rewritten"))
+
+
 # --- scalars -----------------------------------------------------------------------------------------------------
 
 @query("x1_unify_newlines", f"{MESSY} select doc_id, regexp_replace(raw, '\\r\\n?', chr(10), 'g') as text from m")

@@ -26,6 +26,68 @@ def _(spark, d):
     return readers.read_telemetry(spark, folder).select(*kept)
 
 
+# Lines as they arrive: every tenth is cut off, every tenth has a text for a number, and some lack a field.
+_USER, _SEQ = "cast(user_id as varchar(20))", "cast(event_id as varchar(20))"
+
+
+def _object(*fields: str, end: str = "chr(125)") -> str:
+    """SQL of a JSON object; braces are spelt by number, as both engines' texts pass through a formatter."""
+    return f"concat(chr(123), {", ',', ".join(fields)}, {end})"
+
+
+def _field(name: str, value: str) -> str:
+    return f"concat('\"{name}\":', {value})"
+
+
+_ID, _NO = _field("session_id", _USER), _field("seq", _SEQ)
+_LINES = (
+    f"select event_id, case event_id % 10 when 3 then {_object(_ID, _NO, end="',\"type\":\"tts.mod'")}"
+    f" when 4 then {_object(_ID, _field("duration_ms", "'\"fast\"'"), _field("type", "'\"tts.model_load\"'"))}"
+    f" when 5 then concat('[', {_SEQ}, ']') when 6 then {_object(_NO, _field("type", "'\"tts.model_load\"'"))}"
+    f" when 7 then {_object(_ID, _NO, _field("type", "'\" \"'"))}"
+    f" when 8 then {_object(_ID, _NO, _field("type", "'\"tts.new_kind\"'"), _field("extra", _object(_field("a", _SEQ))))}"
+    f" else {_object(_ID, _NO, _field("type", "'\"tts.segment_synth\"'"), _field("duration_ms", "cast(event_id % 977 as varchar(20))"))} end as line from {{events}}"
+)
+_JUDGED = f"""with l as ({_LINES.replace('{events}', 'events')}), e as (select * from l join events using (event_id))
+select line, case event_id % 10 when 3 then 'malformed' when 4 then 'malformed' when 5 then 'malformed' when 6 then 'no_session' when 7 then 'no_type' end as reject_reason, case when event_id % 10 not in (3, 4, 5, 6, 7) then user_id end as session_id,
+case when event_id % 10 not in (3, 4, 5, 6, 7) then event_id end as seq, case event_id % 10 when 3 then null when 4 then null when 5 then null when 6 then null when 7 then null when 8 then 'tts.new_kind' else 'tts.segment_synth' end as type,
+case when event_id % 10 in (0, 1, 2, 9) then (event_id % 977)::double end as duration_ms, case when event_id % 10 = 8 then event_id end as extra from e"""
+
+
+def _written_lines(spark, d):
+    folder = work_folder(spark, "lines")
+    sql(spark, d, _LINES).select("line").write.text(folder)
+    return folder
+
+
+def _one_table(rejects, events):
+    extra = F.try_variant_get("payload", "$.extra.a", "bigint").alias("extra")
+    fields = ("session_id", "seq", "type", "duration_ms")
+    good = events.select(F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("reject_reason"), *fields, extra)
+    bad = rejects.select("line", "reject_reason", *[F.lit(None).cast(good.schema[c].dataType).alias(c) for c in (*fields, "extra")])
+    return good.unionByName(bad)
+
+
+_SPLIT = f"select case when reject_reason is not null then line end as line, * exclude (line) from ({_JUDGED})"
+
+
+@query("s6_rejected_events", _SPLIT)
+def _(spark, d):
+    """Good events and rejects of lines of which half are broken; unknown kinds keep their payload."""
+    judged = readers.judge_events(readers.read_lines(spark, _written_lines(spark, d)))
+    return _one_table(readers.rejected_events(judged), readers.accepted_events(judged))
+
+
+@query("s6_stream_events", _SPLIT)
+def _(spark, d):
+    """The same lines as a stream into two tables."""
+    from lectern.streaming import live
+
+    out, mark = work_folder(spark, "events"), work_folder(spark, "mark")
+    live.events_to(readers.read_lines(spark, _written_lines(spark, d), streaming=True), out, mark).awaitTermination()
+    return _one_table(live.ingested(spark, out, "rejects", "events"), live.ingested(spark, out, "events", "events"))
+
+
 @query(
     "f10_classify_perf_event",
     f"{TEL}, c as (select seq, reason, {_CATEGORY} as category from telemetry) select seq, category, case category when 'runtime-warning' then 'info' when 'fatal-playback-blocker' then 'error' end as severity, "
@@ -105,6 +167,25 @@ def _(spark, d):
     return done.withColumn("p50", F.round("p50", 6)).withColumn("p95", F.round("p95", 6))
 
 
+@query(
+    "a7_latency_rollup",
+    f"{TEL} select case type when 'tts.first_audio' then 'first_audio_ms' when 'tts.segment_synth' then 'segment_synth_ms' else 'model_load_ms' end as metric, date_trunc('day', event_ts)::timestamp as starts, "
+    "count(duration_ms) as n, true as p50_close, true as p95_close from telemetry where type in ('tts.first_audio', 'tts.segment_synth', 'tts.model_load') and duration_ms is not null group by all",
+)
+def _(spark, d):
+    """Daily percentiles from stored hourly sketches; their ranks among all values of the day are within the bound."""
+    folder = work_folder(spark, "sketches")
+    events = derive(spark, d, "telemetry")
+    telemetry.latency_sketches(events).write.parquet(folder)
+    days = telemetry.sketched_budget(telemetry.rolled_up(spark.read.parquet(folder)))
+    values = telemetry.metric_values(events.filter("duration_ms is not null"), F.date_trunc("day", "event_ts").alias("starts"))
+    met = values.join(days, ["metric", "starts"]).groupBy("metric", "starts")
+    shares = met.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("value") < F.col(p)).alias(f"{p}_below") for p in ("p50", "p95")], *[F.count_if(F.col("value") <= F.col(p)).alias(f"{p}_upto") for p in ("p50", "p95")])
+    # A value that occurs often has many ranks; on days of few events one rank is more than the bound.
+    close = lambda p, at: (F.col(f"{p}_below") <= F.ceil(F.col("n") * (at + telemetry.RANK_ERROR))) & (F.col(f"{p}_upto") >= F.floor(F.col("n") * (at - telemetry.RANK_ERROR)))
+    return shares.select("metric", F.col("starts").cast("timestamp_ntz").alias("starts"), "n", close("p50", 0.5).alias("p50_close"), close("p95", 0.95).alias("p95_close"))
+
+
 @query(
     "a7_memory_budget",
     f"{TEL}, p as (select count(*) as n_loads, count(*) filter (seq % 3 = 0) as n_reported, max(case when seq % 3 = 0 then round(duration_ms * 4, 3) end) as peak_mb from telemetry where type = 'tts.model_load') "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lectern.functions import text as T
 from lectern.operators.html import TAG, UNREAD, decode_entities, sanitize_pages
@@ -105,6 +106,50 @@ def read_telemetry(spark: SparkSession, path: str, streaming: bool = False, fmt:
     return reader.schema(TELEMETRY).format(fmt).load(path)
 
 
+# The event types whose fields the table of events has.
+KNOWN_EVENTS = (
+    "tts.model_load", "tts.first_audio", "tts.segment_synth", "tts.segment_retry", "tts.segment_regenerated", "tts.validation_code",
+    "tts.synth_failure", "tts.export_build_outcome", "tts.queue_underrun", "tts.queue_transition", "tts.degraded_mode", "tts.runtime_downgrade",
+)
+
+
+def read_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Lines of text as they are, in `line`; a reader of events that keeps what it cannot read."""
+    reader = spark.readStream if streaming else spark.read
+    return reader.text(path).withColumnRenamed("value", "line")
+
+
+def judge_events(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Adds `event` (the typed fields), `payload` and `reject_reason` to JSON lines; works on streams too.
+
+    reject_reason is `malformed` where a line is no JSON object or a field has another type, `no_session` or `no_type`
+    where one of those is missing, null for good lines. Events of a type that is not known are good: `payload` keeps the whole
+    of them as a variant, so that later versions can read their fields.
+    """
+    schema = StructType([*TELEMETRY.fields, StructField("_corrupt", StringType())])
+    parsed = F.from_json(line, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    judged = lines.withColumn("_e", parsed)
+    kind = F.btrim(F.coalesce(F.col("_e.type"), F.lit("")))
+    reason = (
+        F.when(F.col("_e").isNull() | F.col("_e._corrupt").isNotNull() | ~F.startswith(F.ltrim(line), F.lit("{")), "malformed")
+        .when(F.col("_e.session_id").isNull(), "no_session")
+        .when(kind == "", "no_type")
+    )
+    judged = judged.withColumn("reject_reason", reason)
+    good = F.col("reject_reason").isNull()
+    unknown = F.when(good & ~kind.isin(*KNOWN_EVENTS), F.try_parse_json(line))
+    event = F.struct(*[F.col(f"_e.{f.name}").alias(f.name) for f in TELEMETRY.fields])
+    return judged.withColumn("event", F.when(good, event)).withColumn("payload", unknown).drop("_e")
+
+
+def accepted_events(judged: DataFrame) -> DataFrame:
+    return judged.filter("reject_reason is null").select("event.*", "payload")
+
+
+def rejected_events(judged: DataFrame, line: str = "line") -> DataFrame:
+    return judged.filter("reject_reason is not null").select(F.col(line).alias("line"), "reject_reason")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Licence manifest entries, one row per artifact."""
     return spark.read.schema(MANIFEST_DDL).json(path, multiLine=True).selectExpr("inline(artifacts)")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +26,45 @@ def write_corpus(docs: DataFrame, path: str, key: str = "doc_id") -> None:
         docs.select(key, F.inline("chunks")).write.mode("overwrite").parquet(f"{path}/chunks")
 
 
+BUCKETS = 256
+
+
+def update_corpus(docs: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS, bucket: Column | None = None) -> DataFrame:
+    """Bring a stored corpus up to date with documents that may have changed; (key, bucket) of those that had.
+
+    `docs` has a `fingerprint` (`documents.document_fingerprint`), which says whether a document is the same as the one
+    stored under its key: unchanged ones are left alone by an anti-join of keys and fingerprints. Only the buckets of the
+    others are read, merged and replaced; documents that are not among `docs` stay. `bucket` is an expression over the
+    columns of `docs`; unset, keys are hashed into `buckets`.
+
+    The merged buckets are written aside first, so a run that is lost halfway can be repeated: what it has replaced counts
+    as unchanged then. Keys must be unique among `docs`; rows of null key are left out.
+    """
+    spark = docs.sparkSession
+    place = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int") if bucket is None else bucket.cast("int")
+    new = docs.filter(F.col(key).isNotNull()).withColumn("bucket", place)
+    stored, aside = f"{path}/corpus", f"{path}/aside-{uuid.uuid4().hex}"
+    if not _exists(spark, stored):
+        new.write.partitionBy("bucket").parquet(stored)
+        return new.select(key, "bucket")
+    old = spark.read.schema(new.schema).parquet(stored)
+    changed = new.join(old.select(key, "fingerprint"), [key, "fingerprint"], "left_anti")
+    changed.write.parquet(f"{aside}/changed")
+    changed = spark.read.schema(new.schema).parquet(f"{aside}/changed")
+    touched = [r[0] for r in changed.select("bucket").distinct().collect()]  # as many as there are buckets, at most
+    kept = old.filter(F.col("bucket").isin(touched)).join(changed.select(key), key, "left_anti")
+    kept.unionByName(changed).write.partitionBy("bucket").parquet(f"{aside}/merged")
+    if touched:
+        merged = spark.read.schema(new.schema).parquet(f"{aside}/merged")
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(stored)
+    return changed.select(key, "bucket")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def latest_cursors(moves: DataFrame) -> DataFrame:
     """Last cursor per document key, never negative. Partial aggregation keeps one row per key and task.
 

@@ -25,6 +25,7 @@ from pyspark.sql.types import StructType
 from lectern import policies as P
 from lectern.operators import documents, telemetry
 from lectern.plans import ingest
+from lectern.sources import readers
 
 MERGE_AFTER = 50  # committed folders of changes before they are merged
 
@@ -124,6 +125,17 @@ def latest_changes(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     return newest_changes(spark, path, committed(spark, path), *keys)
 
 
+def events_to(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Arriving JSON lines into the tables `rejects` and `events`; `events` commits a batch for both, as in `ingest_to`."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        judged = readers.judge_events(batch)
+        readers.rejected_events(judged).write.mode("overwrite").parquet(f"{path}/rejects/v={batch_id}")
+        readers.accepted_events(judged).write.mode("overwrite").parquet(f"{path}/events/v={batch_id}")
+
+    return lines.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 TABLES = ("segments", "rejects", "documents")  # the last one commits a batch
 
 
@@ -149,9 +161,9 @@ def ingest_to(raw_docs: DataFrame, path: str, checkpoint: str, policy: P.ReadPol
     return raw_docs.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingested(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Rows of one of the TABLES from all committed batches; `v` is the batch."""
-    done = [v for kind, v in _marked_folders(spark, f"{path}/documents") if kind == "v"]
+def ingested(spark: SparkSession, path: str, table: str, last: str = TABLES[-1]) -> DataFrame:
+    """Rows of one of the tables from all batches that the table written last has committed; `v` is the batch."""
+    done = [v for kind, v in _marked_folders(spark, f"{path}/{last}") if kind == "v"]
     return spark.read.parquet(f"{path}/{table}").filter(F.col("v").isin(done))
 
 

@@ -1,5 +1,6 @@
 """Small cases with known results."""
 
+import datetime
 import random
 import re
 import time
@@ -537,3 +538,97 @@ def test_audio_that_cannot_be_judged_is_not_good(spark):
         "*", "1000 as n_bytes", "'audio/wav' as mime", "cast(null as double) as duration_s", "0 as n_samples", "0D as rms"
     )
     assert {r.id: r.verdict for r in quality.validate_synth_output(df).collect()} == {1: "obvious_corruption_signal", 2: "decode_error", 3: None}
+
+
+def walk(log, url, limit):
+    """One address followed hop by hop."""
+    at, hops = url, 0
+    while True:
+        status, location = log.get(at, (None, None))
+        if status is None:
+            return at, hops, "error", guards.MESSAGES["FETCH_FAILED"]
+        if status != 301:
+            return at, hops, "ok" if status == 200 else "error", None if status == 200 else f"Origin responded with status {status}."
+        if not location:
+            return at, hops, "error", guards.MESSAGES["NO_LOCATION"]
+        if hops == limit:
+            return at, hops, "error", guards.MESSAGES["TOO_MANY_REDIRECTS"]
+        at, hops = location, hops + 1
+
+
+@pytest.mark.parametrize("limit", [0, 1, 2, 3, 5, 6, 7])
+def test_redirects_by_doubling(spark, limit):
+    """Chains, cycles, lost targets and a target that a third of all redirects lead to."""
+    rng = random.Random(limit)
+    url = lambda i: f"https://r.example/{i}"
+    log = {}
+    for i in range(300):
+        kind = rng.random()
+        target = url(0) if kind < 0.3 else url(rng.randrange(330))
+        log[url(i)] = (301, target) if kind < 0.85 else (301, "") if kind < 0.87 else (404, None) if kind < 0.92 else (200, None)
+    for i in range(300, 312):
+        log[url(i)] = (301, url(i + 1))
+    df = rows(spark, [(u, s, t, "text/html", 10) for u, (s, t) in log.items()], "url string, status int, location string, content_type string, n_bytes int")
+    got = {r.url: (r.final_url, r.hops, r.verdict, r.error_message) for r in guards.resolve_redirects(df, max_redirects=limit).collect()}
+    assert got == {u: walk(log, u, limit) for u in log}
+
+
+def test_redirects_to_an_invalid_address(spark):
+    data = [("https://a.example/", 301, "https://b.example/", "text/html", 1), ("https://b.example/", 301, "ftp://c.example/", "text/html", 1)]
+    df = rows(spark, data, "url string, status int, location string, content_type string, n_bytes int")
+    got = {r.url: (r.final_url, r.hops, r.verdict, r.error_code) for r in guards.resolve_redirects(df).collect()}
+    assert got == {"https://a.example/": ("ftp://c.example/", 2, "error", "INVALID_URL"), "https://b.example/": ("ftp://c.example/", 1, "error", "INVALID_URL")}
+
+
+def test_rejected_events(spark):
+    lines = [
+        '{"session_id": 1, "seq": 2, "type": "tts.first_audio", "duration_ms": 5}', '{"session_id": 1, "seq": "x", "type": "tts.first_audio"}', '{"session_id": 1', "", "null", "[1]", "7",
+        '{"seq": 1, "type": "a"}', '{"session_id": 1, "type": "  "}', '  {"session_id": 3, "type": "new", "deep": {"x": [1, 2]}}', None,
+    ]
+    judged = readers.judge_events(rows(spark, [(x,) for x in lines], "line string"))
+    bad = {r.line: r.reject_reason for r in readers.rejected_events(judged).collect()}
+    assert bad == {lines[1]: "malformed", lines[2]: "malformed", "": "malformed", "null": "malformed", "[1]": "malformed", "7": "malformed", lines[7]: "no_session", lines[8]: "no_type", None: "malformed"}
+    good = readers.accepted_events(judged).select("session_id", "type", "duration_ms", F.expr("variant_get(payload, '$.deep.x[1]', 'int')").alias("x")).collect()
+    assert sorted(map(tuple, good)) == [(1, "tts.first_audio", 5.0, None), (3, "new", None, 2)]
+
+
+def test_corpus_updates_touch_changed_buckets_only(spark, tmp_path):
+    docs = lambda texts: documents.document_fingerprint(documents.segment_text(rows(spark, list(texts.items()), "doc_id long, raw string"))).drop("raw")
+    path = str(tmp_path / "c")
+    texts = {i: f"Text {i}.\n\nMore." for i in range(60)}
+    stored = lambda: {r.doc_id: r.fingerprint for r in spark.read.parquet(f"{path}/corpus").collect()}
+    def files():
+        found = {}
+        for r in spark.read.parquet(f"{path}/corpus").select("bucket", F.input_file_name().alias("file")).distinct().collect():
+            found.setdefault(r.bucket, set()).add(r.file)
+        return found
+
+    assert writers.update_corpus(docs(texts), path, buckets=8).count() == 60
+    before = files()
+    assert writers.update_corpus(docs(texts), path, buckets=8).count() == 0 and files() == before
+    texts.update({5: "Other.", 99: "New."})
+    changed = writers.update_corpus(docs({i: texts[i] for i in (4, 5, 6, 99)}), path, buckets=8).collect()
+    assert {r.doc_id for r in changed} == {5, 99}
+    assert stored() == {r.doc_id: r.fingerprint for r in docs(texts).collect()}
+    after = files()
+    assert {b for b in after if after[b] != before.get(b)} == {r.bucket for r in changed}
+
+
+def test_profile_counts_utf16_units(spark):
+    flat = rows(spark, [("text", "paragraph", "a\U0001f600b")], "kind string, block_type string, text string")
+    assert {r.n_chars for r in documents.segment_profile(flat).collect()} == {4}
+
+
+def test_merged_sketches_and_budgets(spark):
+    rng = random.Random(2)
+    start = datetime.datetime(2024, 5, 1)
+    data = [(start + datetime.timedelta(minutes=i % 2880), "tts.segment_synth" if i % 3 else "tts.first_audio", rng.expovariate(1 / 300)) for i in range(30_000)]
+    events = rows(spark, data, "event_ts timestamp, type string, duration_ms double")
+    days = telemetry.sketched_budget(telemetry.rolled_up(telemetry.latency_sketches(events))).collect()
+    assert len(days) == 4
+    for day in days:
+        kind = telemetry.BUDGETS[day.metric][0]
+        values = sorted(v for t, k, v in data if k == kind and t.date() == day.starts.date())
+        assert day.n == len(values)
+        for got, p in ((day.p50, 0.5), (day.p95, 0.95)):
+            assert abs(sum(v <= got for v in values) / len(values) - p) <= telemetry.RANK_ERROR
