@@ -9,7 +9,7 @@ from lectern.functions import numbers as N
 from lectern.functions import text as T
 from lectern.operators import audio, playback, quality, synthesis
 from lectern.plans import duck
-from lectern.plans.inputs import cte, derive, sql, table
+from lectern.plans.inputs import DERIVED, cte, derive, sql, table
 from lectern.plans.queries_corpus import retry_parts
 from lectern.plans.registry import query
 from lectern.policies import DEFAULT_CHUNKS, PREEMPTIVE_CHUNKS
@@ -176,7 +176,7 @@ def _(spark, d):
     return synthesis.retry_schedule(failures)
 
 
-def _rounds() -> str:
+def _rounds(other: int | None = None, where: str = "") -> str:
     """All retry events when texts of more than 250 characters come out bad; the levels unrolled."""
     keyed = "select segment_id as doc_id, 0 as position, text from"
     split = lambda policy, source: f"with recursive {retry_parts(policy, source)} select doc_id as segment_id, part_idx, text from rt"
@@ -184,27 +184,33 @@ def _rounds() -> str:
     child = "select concat(segment_id, '::chunk_', cast(part_idx as varchar)) as segment_id, text from"
     ctes = [
         cte("synth_results"),
-        "base as (select segment_id, text from synth_results)",
+        f"base as (select segment_id, text from synth_results{where})",
         f"pp as ({split(PREEMPTIVE_CHUNKS, keyed + ' base where ' + long)})",
         "pn as (select segment_id, count(*) as n from pp group by segment_id having count(*) >= 2)",
         "b0 as (select * from base where segment_id not in (select segment_id from pn) and length(text) > 250)",
     ]
     for level in range(4):
-        ctes.append(f"p{level} as ({split(DEFAULT_CHUNKS, f'{keyed} b{level}')})")
+        # What the other runtime can speak needs no second attempt and no split.
+        ctes.append(f"x{level} as (select * from b{level}{f' where length(text) > {other}' if other else ''})")
+        ctes.append(f"p{level} as ({split(DEFAULT_CHUNKS, f'{keyed} x{level}')})")
         ctes.append(f"n{level} as (select segment_id, count(*) as n from p{level} group by segment_id having count(*) >= 2)")
         if level < 3:
             more = f"{child} pp where segment_id in (select segment_id from pn) union all " if level == 0 else ""
             children = f"{more}{child} p{level} where segment_id in (select segment_id from n{level})"
             ctes.append(f"b{level + 1} as (select * from ({children}) where length(text) > 250)")
     tried = " union all ".join(
-        f"select segment_id, {level} as split_depth, {'n' if level < 3 else 'null::bigint'} as n from b{level} left join n{level} using (segment_id)" for level in range(4)
+        f"select segment_id, {level} as split_depth, {'n' if level < 3 else 'null::bigint'} as n from x{level} left join n{level} using (segment_id)" for level in range(4)
+    )
+    lowered = "".join(
+        f" union all select segment_id, {level}, attempt, null, 'downgrade', null, 'empty blob' from b{level}, unnest([1, 2, 3]) t(attempt) where attempt = 1 or length(text) > {other}"
+        for level in range(4 if other else 0)
     )
     ctes += [
         f"tried as ({tried})",
         "turns as (select segment_id, split_depth, attempt, case when attempt < 3 then cast(180 * pow(2, attempt - 1) as bigint) end as delay_ms, "
         "case when attempt < 3 then 'retry' when n is not null then 'split' else 'exhausted' end as outcome, case when attempt = 3 then n end as chunk_count, "
         "case when attempt = 3 and n is null then 'regen_exhausted: empty blob' else 'empty blob' end as message from tried, unnest([1, 2, 3]) t(attempt))",
-        "ev as (select * from turns union all select segment_id, 0, null, null, 'split', n, null from pn)",
+        f"ev as (select * from turns union all select segment_id, 0, null, null, 'split', n, null from pn{lowered})",
     ]
     return (
         f"with {', '.join(ctes)} select * from ev union all select segment_id, split_depth, null, null, 'regenerated', chunk_count, null from ev s where outcome = 'split' "
@@ -218,6 +224,50 @@ def _(spark, d):
     return synthesis.retry_rounds(segments, lambda text: T.utf16_length(text) > 250, "empty blob", work_folder(spark, "retries"))
 
 
+@query("u12_retry_rounds_downgrade", _rounds(other=300))
+def _(spark, d):
+    """Failing attempts are repeated on the other runtime, which speaks somewhat longer texts."""
+    segments = derive(spark, d, "synth_results").select("segment_id", "text")
+    return synthesis.retry_rounds(
+        segments, lambda text: T.utf16_length(text) > 250, "empty blob", work_folder(spark, "retries"), other_fails=lambda text: T.utf16_length(text) > 300
+    )
+
+
+_NOT_READY = " where segment_id not in (select cache_key from sc where status = 'ready')"
+_FLOW = f"""with sc as (select * from ({DERIVED['synth_cache'][0].replace('{conversations}', 'conversations')})), events as ({_rounds(other=300, where=_NOT_READY)}),
+{cte('synth_results')}, ends as (select split_part(segment_id, '::chunk_', 1) as segment_id, bool_or(outcome = 'exhausted') as lost, bool_or(outcome = 'split') as parts from events group by 1),
+q as (select doc_id, position, r.segment_id, doc_id % 17 = 0 as native, case when status = 'ready' then 'cache' when lost then 'failed' when parts then 'regenerated' else 'built' end as source
+ from synth_results r left join sc on sc.cache_key = r.segment_id left join ends on ends.segment_id = r.segment_id)"""
+
+
+def _flow(spark, d):
+    from lectern.plans.synthesis_flow import build_audio
+
+    segments = derive(spark, d, "synth_results").select("doc_id", "position", "segment_id", "text", F.col("segment_id").alias("cache_key"))
+    docs = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    return build_audio(
+        docs, segments, derive(spark, d, "synth_cache"), lambda text: T.utf16_length(text) > 250, "empty blob", work_folder(spark, "build"),
+        other_fails=lambda text: T.utf16_length(text) > 300, native=F.col("doc_id") % 17 == 0,
+    )
+
+
+@query(
+    "synthesis_flow_outcomes",
+    f"""{_FLOW}, b as (select *, source = 'failed' or native as bad from q), s as (select doc_id, count(*) as n, min(position) filter (bad) as p from b group by doc_id)
+select doc_id, case when p is not null then 'error' else 'ready' end as status, coalesce(p, n) as built_segments, n as total_segments, b.segment_id as failed_segment_id, p as failed_segment_index,
+case when b.native then '{synthesis.NATIVE_ONLY}' when p is not null then concat('Build failed at segment ', cast(p + 1 as varchar), '/', cast(n as varchar), ' (', b.segment_id, '): regen_exhausted: empty blob') end as error
+from s left join b using (doc_id) where p is null and b.position = 0 or b.position = p""".replace("b.segment_id as failed_segment_id", "case when p is not null then b.segment_id end as failed_segment_id"),
+)
+def _(spark, d):
+    """Cache, model, other runtime, splits and retries, to one verdict per document."""
+    return _flow(spark, d).outcomes
+
+
+@query("synthesis_flow_queue", f"{_FLOW} select doc_id, position, segment_id, segment_id as cache_key, source from q")
+def _(spark, d):
+    return _flow(spark, d).queue
+
+
 @query(
     "a10_export_outcome",
     f"""with {cte('synth_results')}, r as (select *, not ok or doc_id % 17 = 0 as bad from synth_results where doc_id % 29 <> 0),
