@@ -183,17 +183,14 @@ def classify_fetch(crawl: DataFrame) -> DataFrame:
     return crawl.withColumn("_f", verdict).select(*crawl.columns, "_f.*")
 
 
-def judged_hosts(responses: DataFrame, dns: DataFrame, cidr: DataFrame, *columns: str) -> DataFrame:
+def judged_hosts(responses: DataFrame, dns: DataFrame, cidr: DataFrame, *columns: str, folder: str | None = None) -> DataFrame:
     """Adds `<column>_code` and `<column>_message` for the hosts of address columns; null when they may be fetched.
 
     Every distinct host is judged once; the verdicts are unique per host, so a host with most of the rows only repeats
-    the side that adaptive execution can split.
+    the side that adaptive execution can split. With a shared `folder` they are written there, as every column reads them.
     """
-    hosts = None
-    for c in columns:
-        own = responses.select(net.url_host(F.col(c)).alias("host")).filter("host is not null").distinct()
-        hosts = own if hosts is None else hosts.union(own)
-    verdicts = host_verdict(hosts.distinct(), dns, cidr).filter("error_code is not null")
+    hosts = responses.select(F.explode(F.array(*[net.url_host(F.col(c)) for c in columns])).alias("host")).filter("host is not null").distinct()
+    verdicts = written(host_verdict(hosts, dns, cidr).filter("error_code is not null"), folder and f"{folder}/hosts")
     out = responses
     for c in columns:
         known = verdicts.select(F.col("host").alias("_host"), F.col("error_code").alias(f"{c}_code"), F.col("error_message").alias(f"{c}_message"))
@@ -212,7 +209,8 @@ def resolve_redirects(
     are no redirect need no walk at all. Redirects take one step by a join with the log; steps are then joined with
     themselves, so each round doubles how far a redirect sees, and only walks that are still going take part. Many
     redirects to one address (a login page) share a key; the other side is unique, so adaptive execution splits them.
-    With a shared `folder` the judged log and the steps are written there and computed once.
+    With a shared `folder` the judged log and the first steps are written there and computed once; later rounds read only
+    what is still going.
     """
     ends = ("verdict", "error_code", "error_message")
     judged = classify_fetch(crawl).withColumn(
@@ -221,7 +219,7 @@ def resolve_redirects(
     problem = F.when(F.col("target").isNotNull(), url_error(F.col("target")))
     judged = judged.select("url", "target", problem.alias("target_error"), F.when(problem.isNotNull(), "INVALID_URL").alias("target_code"), *ends)
     if dns is not None:
-        hosts = judged_hosts(judged.withColumnRenamed("target_code", "_code").withColumnRenamed("target_error", "_error"), dns, cidr, "url", "target")
+        hosts = judged_hosts(judged.withColumnRenamed("target_code", "_code").withColumnRenamed("target_error", "_error"), dns, cidr, "url", "target", folder=folder)
         closed = F.col("url_code").isNotNull()
         judged = hosts.select(
             "url",
@@ -260,14 +258,13 @@ def resolve_redirects(
         further = further.select("url", F.col("_to").alias("final_url"), (F.col("hops") + F.col("_more")).alias("hops"), *[F.col(f"_{c}").alias(c) for c in ("going", *ends)])
         return first.filter("not going").unionByName(further)
 
-    walk, power, size, left = None, steps, 1, max_redirects
+    walk, power, left = None, steps, max_redirects
     while left:
         if left & 1:
             walk = power if walk is None else then(walk, power)
         left >>= 1
         if left:
-            size *= 2
-            power = written(then(power, power), folder and f"{folder}/steps-{size}")
+            power = then(power, power)
     if walk is None:
         walk = redirects.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), F.lit(True).alias("going"), *[F.lit(None).cast("string").alias(c) for c in ends])
     over = lambda c, value: F.when(F.col("going"), value).otherwise(F.col(c)).alias(c)

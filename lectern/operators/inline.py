@@ -235,6 +235,6 @@ def speakable(df: DataFrame, texts: str, definitions: str) -> DataFrame:
         whole = F.array_join(F.zip_with(tokens, F.get(F.col("_fates"), i), put), "")
         apart = F.regexp_replace(whole, f"[{T.WS}{EDGE}]*{EDGE}[{T.WS}{EDGE}]*", " ")
         straight = lambda t: F.when(t.rlike(r"[ \t]\n|\n[ \t]"), F.regexp_replace(t, r"[ \t]+\n[ \t]*|\n[ \t]+", "\n")).otherwise(t)
-        return decode_entities(straight(F.when(F.size(tokens) > 0, apart).otherwise(text)))
+        return decode_entities(let(F.when(F.size(tokens) > 0, apart).otherwise(text), straight))
 
     return pin(df, texts, F.transform(texts, joined)).drop("_tokens", "_codes", "_labels", "_fates")
