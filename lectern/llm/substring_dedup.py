@@ -1,185 +1,307 @@
-"""Substring dedup by equality of word windows.
+"""Substring dedup by seed and extend.
 
-The 64-bit key of a window of `words` words is made of its anchor, the smallest hash among its k-word grams (winnowing),
-and of the window's fingerprint. Windows of one key are equal; nothing is extended from an anchor, as the anchor follows
-from the window. Overlapping matched windows join into maximal repeats, whose words are removed wherever a smaller
-document id has them too. Keys are dealt out by their own value, so a phrase that recurs with different words around it
-spreads over all task groups.
+1. Documents are dealt out to places of some megabytes. Every window of `words` words has an anchor, the smallest hash
+   among its k-word grams (winnowing); a place sends on its distinct anchors, which are joined by their hash. What is in
+   one document only is gone after that.
+2. An occurrence of a shared anchor is a seed. It is sent on with its context, the words that a window around the anchor
+   can reach on either side. Equal contexts of one place cost one record, under their smallest document id.
+3. All occurrences of an anchor meet and are extended together: those that agree in s words to the left and in the rest of
+   the threshold to the right are a match of `words` words, for every s. Words are compared as bytes, hashes only bring
+   occurrences together. A match counts where a smaller document id takes part.
+4. Overlapping matches join into maximal repeats, whose words are cut out at the documents' places.
 
-A map batch first settles repeats among its own documents and sends on one record per distinct window, under its smallest
-document id. So a passage that a third of all documents hold costs one record per batch, not one per document, and no
-pairs of documents are formed. Documents are shuffled once, to meet their own matched windows.
+No pairs of documents are formed. An anchor that recurs with many different words around it (more than `hot`
+occurrences) is extended where it stands: its windows travel as contexts of their own, dealt out by their own hash.
 """
 
 from __future__ import annotations
 
-import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import shuffle_partitions
-from lectern.llm.words import BASE, BLANK_SEPARATED, Words, combined, joined, mix, packed, pieces, run_starts, runs, unpacked, windows
+from lectern.llm.simhash import joined_words, within
+from lectern.llm.words import BLANK_SEPARATED, Spans, Words, combined, joined, mix, packed, pieces, run_starts, runs, unpacked, windows
 
-GROUP_BYTES = 16 << 20  # text, or records, of one task group
-SEED_BYTES = 8 << 20  # text whose repeats are settled in a map task
-FINGERPRINT = np.uint64((1 << 48) - 1)
+PLACE_BYTES = 16 << 20  # text of one place
+BUCKET_BYTES = 8 << 20  # contexts of one task group, if a text's contexts are as long as the text
+HOT = 1 << 16  # occurrences of an anchor beyond which its windows are dealt out one by one
 
 
 def anchors(hashes: np.ndarray, at: np.ndarray, words: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word of the smallest gram in each window that starts at `at`; the leftmost of equal ones."""
+    """Hash and first word of the anchors of the windows that start at `at`, each once: the smallest gram, the leftmost of equal ones."""
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     grams = combined(hashes, gram)
     best, where = grams[at].copy(), at.copy()
     for j in range(1, words - gram + 1):
         other = grams[at + j]
         less = other < best
         best[less], where[less] = other[less], at[less] + j
-    return best, where
+    where = np.unique(where)
+    return grams[where], where
 
 
-def window_keys(spans, at: np.ndarray, h: np.ndarray, words: int, gram: int) -> np.ndarray:
-    """Key of each window with hash `h` that starts at `at`, from its anchor and fingerprint."""
-    if not len(at):
-        return h
-    return mix(anchors(spans.hash, at, words, gram)[0] + mix((h & FINGERPRINT) + np.uint64(BASE)))
+class Contexts(NamedTuple):
+    """Seeds with the words around them; each word is followed by one blank."""
+
+    doc: np.ndarray
+    first: np.ndarray  # number of the first word among the words of the place
+    left: np.ndarray  # words before the anchor
+    right: np.ndarray  # words after it
+    size: np.ndarray  # bytes
+    text: np.ndarray  # bytes of all contexts after each other
+    key: np.ndarray  # hash by which they are dealt out
+
+    def texts(self) -> pa.Array:
+        return binaries(self.text, np.cumsum(self.size) - self.size, self.size)
+
+    def some(self, rows: np.ndarray) -> Contexts:
+        at = np.cumsum(self.size) - self.size
+        text = self.text[within(at[rows], self.size[rows])]
+        return Contexts(self.doc[rows], self.first[rows], self.left[rows], self.right[rows], self.size[rows], text, self.key[rows])
+
+
+NO_CONTEXTS = Contexts(*(np.zeros(0, t) for t in (np.int64, np.int64, np.uint16, np.uint16, np.int64, np.uint8, np.uint64)))
+
+
+def binaries(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The byte ranges as an Arrow array."""
+    bounds = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(text[within(start, size)])])
+
+
+def smallest(texts: pa.Array, left: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Per row the smallest document among the rows of equal bytes and equal `left`."""
+    code = np.asarray(texts.dictionary_encode().indices).astype(np.int64) << 32 | left
+    _, code = np.unique(code, return_inverse=True)
+    low = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(low, code, doc)
+    return low[code]
+
+
+def in_order(group: pa.Table) -> pa.Table:
+    """The rows of a place in an order that follows from their content, so words have the same numbers in every stage."""
+    return group.take(pc.sort_indices(group, [("key", "ascending"), ("text", "ascending")])).combine_chunks()
+
+
+def read(reader: Words, group: pa.Table):
+    """(keys, spans, number of the first word) of each piece of a place."""
+    keys, texts = group["key"], group["text"]
+    first = 0
+    for a, b in pieces(texts):
+        spans = reader.read(texts.slice(a, b - a))
+        yield keys.slice(a, b - a), spans, first
+        first += len(spans.row)
 
 
-def place_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    """The task group of document ids, by crc32 of the id as text."""
-    distinct, back = np.unique(ids, return_inverse=True)
-    crc = np.fromiter((zlib.crc32(b"%d" % i) for i in distinct.tolist()), np.int64, len(distinct))
-    return (crc % groups)[back]
+def seeds_of(keys: pa.ChunkedArray, spans: Spans, words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word and document of every anchor in rows with a key."""
+    at, _ = windows(spans, words)
+    at = at[np.asarray(keys.is_valid())[spans.row[at]]]
+    h, where = anchors(spans.hash, at, words, gram)
+    return h, where, np.asarray(keys.fill_null(0)).astype(np.int64)[spans.row[where]]
 
 
-def earlier(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key and id; the first row of each key in that order; and which rows have a smaller id at their key."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = run_starts(keys)
-    low = np.repeat(ids[first], np.diff(np.append(first, len(keys))))
-    return order, first, ids > low
+def contexts_of(spans: Spans, h: np.ndarray, where: np.ndarray, doc: np.ndarray, hot: np.ndarray, first: int, words: int, gram: int) -> Contexts:
+    """The seeds at `where` with their contexts; those of hot anchors as one context per window."""
+    reach = words - gram
+    ends = np.cumsum(spans.per_row())
+    begin, end = (ends - spans.per_row())[spans.row[where]], ends[spans.row[where]]
+    left = np.minimum(where - begin, reach)
+    right = np.minimum(end - where - gram, reach)
+    # A hot anchor's windows start from `left` words before it to the last start that reaches over it.
+    number = np.where(hot, left + right - reach + 1, 0)
+    start = within((where - left)[hot], number[hot])
+    window_hash = combined(spans.hash, words)[start] if len(start) else np.zeros(0, np.uint64)
+    cold = ~hot
+    at = np.concatenate(((where - left)[cold], start))
+    left = np.concatenate((left[cold], np.zeros(len(start), np.int64)))
+    right = np.concatenate((right[cold], np.full(len(start), reach)))
+    body, word_start, word_end = joined_words(spans)
+    from_byte = word_start[at]
+    size = word_end[at + left + gram + right - 1] + 1 - from_byte
+    return Contexts(
+        np.concatenate((doc[cold], np.repeat(doc, number))), at + first, left.astype(np.uint16), right.astype(np.uint16), size,
+        np.frombuffer(body, np.uint8)[within(from_byte, size)], mix(np.concatenate((h[cold], window_hash))),
+    )
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 13, gram: int = 5) -> DataFrame:
+def joined_contexts(parts: list[Contexts]) -> Contexts:
+    return Contexts(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else NO_CONTEXTS
+
+
+def record(c: Contexts) -> bytes:
+    return packed(np.array([len(c.doc)]), c.doc, c.first, c.size.astype(np.uint32), c.left, c.right, c.text)
+
+
+def read_record(payload: bytes) -> Contexts:
+    n = int(np.frombuffer(payload, np.int64, 1)[0])
+    at, out = 8, []
+    for kind in (np.int64, np.int64, np.uint32, np.uint16, np.uint16):
+        out.append(np.frombuffer(payload, kind, n, at))
+        at += out[-1].nbytes
+    doc, first, size, left, right = out
+    return Contexts(doc, first, left, right, size.astype(np.int64), np.frombuffer(payload, np.uint8, offset=at), np.zeros(n, np.uint64))
+
+
+def extended(c: Contexts, words: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 word of each seed's match with smaller documents, within its context; 0 and 0 without one."""
+    reach = words - gram
+    counts = c.left.astype(np.int64) + c.right + gram
+    after = np.flatnonzero(c.text == 0x20) + 1  # every word ends with its blank
+    start = np.concatenate(([0], after))  # of each word, and the end of the last
+    word = np.cumsum(counts) - counts  # number of each context's first word
+    low, high = np.full(len(c.doc), 1 << 40), np.zeros(len(c.doc), np.int64)
+    for s in range(reach + 1):
+        rows = np.flatnonzero((c.left >= s) & (c.right >= reach - s))
+        if not len(rows):
+            continue
+        skipped = c.left[rows].astype(np.int64) - s
+        a = start[word[rows] + skipped]
+        b = start[word[rows] + skipped + words]
+        match = c.doc[rows] > smallest(binaries(c.text, a, b - a), np.zeros(len(rows), np.int64), c.doc[rows])
+        rows, skipped = rows[match], skipped[match]
+        low[rows] = np.minimum(low[rows], skipped)
+        high[rows] = np.maximum(high[rows], skipped + words)
+    return np.where(high > 0, low, 0), high
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 13, gram: int = 8, hot: int = HOT) -> DataFrame:
     """(key, n_words, n_removed, kept) per row; kept is what stays of the text, its words joined by one blank.
 
     A word goes if a window of `words` consecutive words covers it that also starts in a document of smaller key; windows
     are judged on the input. Words are separated by blanks and the control characters 9 to 13, otherwise unchanged.
     Null, empty and shorter texts have no window and lose nothing; null gives zero words and an empty text. Rows of a null
     key are neither source nor target. Repeated keys are one document: its rows take nothing from each other, and each
-    loses the windows that any of them shares with a smaller key. `key` is an integer column. An empty table gives an empty table.
+    loses the windows that it shares with a smaller key. `key` is an integer column. An empty table gives an empty table.
+    `gram` (1 to `words`) and `hot` change the cost, not the result.
     """
+    if not 1 <= gram <= words < 1 << 16:
+        raise ValueError("an anchor has from one word to as many as a window, and a window at most 65,535")
     spark, key_type = docs.sparkSession, docs.schema[key].dataType
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = shuffle_partitions(spark)
-    places = max(least, total // GROUP_BYTES)
-    buckets = max(least, total * 3 // 2 // GROUP_BYTES)
+    places = max(least, total // PLACE_BYTES)
+    buckets = np.uint64(max(least, total // BUCKET_BYTES))
 
-    def seeds(batches):
-        reader = Words(BLANK_SEPARATED)
-        for batch in batches:
-            batch = batch.filter(batch["key"].is_valid())
-            for a, b in pieces(batch["text"], SEED_BYTES):
-                yield seeds_of(reader, batch.slice(a, b - a))
-
-    def seeds_of(reader: Words, batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc = np.asarray(batch["key"]).astype(np.int64)
-        owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for a, b in pieces(batch["text"]):
-            spans = reader.read(batch["text"].slice(a, b - a))
-            at, h = windows(spans, words)
-            owners.append(doc[a + spans.row[at]])
-            keys.append(window_keys(spans, at, h, words, gram))
-        owners, keys = np.concatenate(owners), np.concatenate(keys)
-        order, first, later = earlier(keys, owners)
-        owners, keys = owners[order], keys[order]
-        # Settled here: a smaller document of this batch has the window.
-        out = [(1, *row) for row in by_place(owners[later], keys[later])]
-        # Left open: each distinct window once, packed by its key's bucket.
-        o, k = owners[first], keys[first]
-        bucket = (k % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((k, o, bucket))
-        o, k, bucket = o[order], k[order], bucket[order]
-        out += [(0, int(bucket[i]), record(o[i:j], k[i:j])) for i, j in runs(bucket)]
-        kinds = pa.int32(), pa.int32(), pa.binary()
-        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds[c]) for c in range(3)], ["settled", "bucket", "payload"])
-
-    def record(owner: np.ndarray, keys: np.ndarray) -> bytes:
-        """Documents, as distances from the smallest, with their number of windows, then the windows' keys."""
-        at = run_starts(owner)
-        count = np.diff(np.append(at, len(owner))).astype(np.uint32)
-        docs = (owner[at] - owner[0]).view(np.uint64)
-        wide = int(docs[-1] >> np.uint64(32) > 0)
-        head = np.array([owner[0], wide, len(at), len(keys)], np.int64)
-        small = np.minimum(count, 255).astype(np.uint8)
-        return packed(head, keys, docs if wide else docs.astype(np.uint32), small, count[count >= 255])
-
-    def read_record(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-        least, wide, n_docs, n = np.frombuffer(payload, np.int64, 4).tolist()
-        at, parts = 32, []
-        for kind, size in (("u8", n), ("u8" if wide else "u4", n_docs), ("u1", n_docs)):
-            parts.append(np.frombuffer(payload, kind, size, at))
-            at += parts[-1].nbytes
-        keys, docs, small = parts
-        count = small.astype(np.int64)
-        count[small == 255] = np.frombuffer(payload, np.uint32, offset=at)
-        return np.repeat(docs.astype(np.uint64).view(np.int64) + np.int64(least), count), keys
-
-    def by_place(owner: np.ndarray, keys: np.ndarray) -> list[tuple[int, bytes]]:
-        place = place_of(owner, places)
+    def by_bucket(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        bucket = (keys % buckets).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return [(int(bucket[order[i]]), order[i:j]) for i, j in runs(bucket[order])]
+
+    def table(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.Table:
+        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+    def seeds(group: pa.Table) -> pa.Table:
+        """The place's distinct anchors with the logarithm of their number, by bucket."""
+        place = group["place"][0].as_py()
+        found = [seeds_of(keys, spans, words, gram)[0] for keys, spans, _ in read(Words(BLANK_SEPARATED), in_order(group))]
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        logs = np.ceil(np.log2(n)).astype(np.uint8)
+        rows = [(b, place, packed(h[i], logs[i])) for b, i in by_bucket(mix(h))]
+        return table(["bucket", "place", "payload"], [pa.int32(), pa.int32(), pa.binary()], rows)
+
+    def share(group: pa.Table) -> pa.Table:
+        """Anchors of more than one place, for each of them, and whether they are hot."""
+        found = [unpacked(p, np.uint64, np.uint8) for p in group["payload"].to_pylist()]
+        place = np.repeat(np.asarray(group["place"]), [len(f[0]) for f in found])
+        h, logs = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((place, h))
+        h, place, number = h[order], place[order], np.int64(1) << logs[order].astype(np.int64)
+        at = run_starts(h)
+        count = np.diff(np.append(at, len(h)))
+        busy = np.repeat(np.add.reduceat(number, at) > hot, count)
+        several = np.repeat(count > 1, count)
+        h, place, busy = h[several], place[several], busy[several].astype(np.uint8)
         order = np.argsort(place, kind="stable")
-        place, owner, keys = place[order], owner[order], keys[order] & FINGERPRINT
-        return [(int(place[i]), packed(owner[i:j], keys[i:j])) for i, j in runs(place)]
+        h, place, busy = h[order], place[order], busy[order]
+        return table(["place", "payload"], [pa.int32(), pa.binary()], [(int(place[i]), packed(h[i:j], busy[i:j])) for i, j in runs(place)])
 
-    def settle(group: pa.Table) -> pa.Table:
-        """Matches across batches, and what batches have settled, by the documents' task group."""
+    def contexts(doc_group: pa.Table, shared_group: pa.Table) -> pa.Table:
+        """Seeds of the place with their contexts, by bucket; and what the place's own smaller documents settle."""
+        kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        names = ["bucket", "place", "settled", "payload"]
+        if not doc_group.num_rows:
+            return table(names, kinds, [])
+        place = doc_group["place"][0].as_py()
+        told = [unpacked(p, np.uint64, np.uint8) for p in shared_group["payload"].to_pylist()]
+        known, busy = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+        order = np.argsort(known)
+        known, busy = known[order], busy[order].astype(bool)
+        doc_group = in_order(doc_group)
+        reader = Words(BLANK_SEPARATED)
+        found = [seeds_of(keys, spans, words, gram) for keys, spans, _ in read(reader, doc_group)]
+        all_h, all_docs = (np.concatenate([f[i] for f in found]) for i in (0, 2))
+        # Anchors of several documents of this place are shared as well.
+        order = np.lexsort((all_docs, all_h))
+        h, d = all_h[order], all_docs[order]
+        local = np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
+        parts = []
+        for (h, where, doc), (_, spans, first) in zip(found, read(reader, doc_group), strict=True):
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            told_of = known[at] == h if len(known) else np.zeros(len(h), bool)
+            seed = np.flatnonzero(told_of | np.isin(h, local))
+            if len(seed):
+                is_hot = busy[at[seed]] & told_of[seed] if len(known) else np.zeros(len(seed), bool)
+                parts.append(contexts_of(spans, h[seed], where[seed], doc[seed], is_hot, first, words, gram))
+        c = joined_contexts(parts)
+        low = smallest(c.texts(), c.left, c.doc)
+        later = c.doc > low
+        number = c.left[later].astype(np.int64) + c.right[later] + gram
+        rows = [(int(i), place, True, packed(c.first[later][i::16], number[i::16])) for i in range(min(16, int(later.sum())))]
+        c = c.some(np.flatnonzero(~later))
+        rows += [(b, place, False, record(c.some(i))) for b, i in by_bucket(c.key)]
+        return table(names, kinds, rows)
+
+    def extend(group: pa.Table) -> pa.Table:
+        """Matches across places, as first word and number of words, by place; what is settled passes through."""
         settled = np.asarray(group["settled"])
-        payloads = group["payload"]
-        out = []
-        found = [read_record(payloads[int(i)].as_py()) for i in np.flatnonzero(settled == 0)]
-        if found:
-            owner, keys = (np.concatenate(x) for x in zip(*found, strict=True))
-            order, _, later = earlier(keys, owner)
-            out = by_place(owner[order][later], keys[order][later])
-        bucket = np.asarray(group["bucket"])
-        out += [(int(bucket[i]), payloads[int(i)].as_py()) for i in np.flatnonzero(settled == 1)]
-        return pa.table({"place": pa.array([x[0] for x in out], pa.int32()), "payload": pa.array([x[1] for x in out], pa.binary())})
-
-    sent = docs.mapInArrow(seeds, "settled int, bucket int, payload binary")
-    # What is settled already only passes through, spread over the same groups.
-    slot = F.when(F.col("settled") == 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets)).cast("int"))
-    matches = sent.withColumn("slot", slot).groupBy("slot").applyInArrow(settle, "place int, payload binary")
+        place, payloads = np.asarray(group["place"]), group["payload"]
+        out = [(int(place[i]), payloads[int(i)].as_py()) for i in np.flatnonzero(settled)]
+        mine = np.flatnonzero(~settled)
+        if len(mine):
+            parts = [read_record(payloads[int(i)].as_py()) for i in mine]
+            place = np.repeat(place[mine], [len(p.doc) for p in parts])
+            c = joined_contexts(parts)
+            a, b = extended(c, words, gram)
+            order = np.flatnonzero(b)
+            order = order[np.argsort(place[order], kind="stable")]
+            place, first, number = place[order], c.first[order] + a[order], (b - a)[order]
+            out += [(int(place[i]), packed(first[i:j], number[i:j])) for i, j in runs(place)]
+        return table(["place", "payload"], [pa.int32(), pa.binary()], out)
 
     def cut(doc_group: pa.Table, match_group: pa.Table) -> pa.Table:
-        pairs = [unpacked(p, np.int64, np.uint64) for p in match_group["payload"].to_pylist()]
-        owner = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-        known = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.uint64)
-        known = np.unique(mix(owner.astype(np.uint64) * np.uint64(BASE)) ^ known)
-        doc_group = doc_group.combine_chunks()
-        out = []
-        reader = Words(BLANK_SEPARATED)
-        keys, texts = doc_group["key"], doc_group["text"]
-        for a, b in pieces(texts):
-            spans = reader.read(texts.slice(a, b - a))
-            some = keys.slice(a, b - a)
-            at, h = windows(spans, words)
-            doc = np.asarray(some.fill_null(0)).astype(np.uint64)
-            valid = np.asarray(some.is_valid())
-            mine = mix(doc * np.uint64(BASE))[spans.row[at]] ^ (window_keys(spans, at, h, words, gram) & FINGERPRINT)
-            place = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
-            hit = (known[place] == mine) & valid[spans.row[at]] if len(known) else np.zeros(len(at), bool)
-            change = np.zeros(len(spans.row) + 1, np.int64)
-            np.add.at(change, at[hit], 1)
-            np.add.at(change, at[hit] + words, -1)
+        columns = {"key": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
+        out = [pa.table({name: pa.array([], kind) for name, kind in columns.items()})]
+        matches = [unpacked(p, np.int64, np.int64) for p in match_group["payload"].to_pylist()]
+        start, number = (np.concatenate(x) for x in zip(*matches, strict=True)) if matches else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(start, kind="stable")
+        start, number = start[order], number[order]
+        for keys, spans, first in read(Words(BLANK_SEPARATED), in_order(doc_group)) if doc_group.num_rows else []:
+            n = len(spans.row)
+            a, b = np.searchsorted(start, [first, first + n])  # a match lies in one row, so in one piece
+            change = np.zeros(n + 1, np.int64)
+            np.add.at(change, start[a:b] - first, 1)
+            np.add.at(change, start[a:b] - first + number[a:b], -1)
             gone = np.cumsum(change[:-1]) > 0
-            removed = np.bincount(spans.row[gone], minlength=b - a)
-            out.append(pa.table({"key": some, "n_words": spans.per_row(), "n_removed": removed, "kept": joined(spans, ~gone).cast(pa.string())}))
-        return pa.concat_tables(out) if out else pa.table({"key": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
+            removed = np.bincount(spans.row[gone], minlength=len(keys))
+            out.append(pa.table({"key": keys, "n_words": spans.per_row(), "n_removed": removed, "kept": joined(spans, ~gone).cast(pa.string())}))
+        return pa.concat_tables(out)
 
-    place = F.coalesce(F.crc32(F.col("key").cast("string").cast("binary")), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    placed = docs.withColumn("place", F.pmod(place, F.lit(places)).cast("int"))
+    # Copies of one row spread over places by the input partition that they come from.
+    place = F.pmod(F.xxhash64("key", "text", F.spark_partition_id()), F.lit(places)).cast("int")
+    placed = docs.withColumn("place", place)
+    sent = placed.groupBy("place").applyInArrow(seeds, "bucket int, place int, payload binary")
+    shared = sent.groupBy("bucket").applyInArrow(share, "place int, payload binary")
+    met = placed.groupBy("place").cogroup(shared.groupBy("place")).applyInArrow(contexts, "bucket int, place int, settled boolean, payload binary")
+    slot = F.when(F.col("settled"), F.pmod(F.xxhash64("place", "bucket"), F.lit(int(buckets))).cast("int")).otherwise(F.col("bucket"))
+    matches = met.withColumn("slot", slot).groupBy("slot").applyInArrow(extend, "place int, payload binary")
     kept = placed.groupBy("place").cogroup(matches.groupBy("place")).applyInArrow(cut, "key long, n_words long, n_removed long, kept string")
     return kept.select(F.col("key").cast(key_type).alias(key), "n_words", "n_removed", "kept")

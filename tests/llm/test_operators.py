@@ -148,21 +148,59 @@ def test_substring_dedup_of_short_windows(spark):
     assert got == removed(rows, 8)
 
 
-def test_windows_of_one_anchor_are_dealt_apart():
+@pytest.mark.parametrize("hot", [0, 5, substring_dedup.HOT])
+@pytest.mark.parametrize("gram", [1, 5, 13])
+def test_substring_dedup_of_recurring_phrases(spark, hot, gram):
+    """Anchors with many different words around them give the same matches, whichever way they are extended."""
+    rng = random.Random(11)
+    phrase = "the phrase that always recurs in texts of every kind"
+    tails = [prose(i, 9) for i in range(12)]
+    rows = [(i, f"{rng.choice(tails)} {phrase}  {rng.choice(tails)} {prose(100 + i, rng.randrange(6))}") for i in range(150)]
+    rows += [(None, rows[3][1]), (3, rows[90][1]), (200, phrase)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(df, gram=gram, hot=hot).collect())
+    assert got == removed(rows, 13)
+
+
+def test_windows_of_a_hot_anchor_are_dealt_apart():
     import numpy as np
     import pyarrow as pa
 
-    from lectern.llm.words import BLANK_SEPARATED, Words, windows
+    from lectern.llm.words import BLANK_SEPARATED, Words
 
     phrase = "the phrase that always recurs"
     texts_ = [" ".join([*(f"l{i}x{j}" for j in range(4)), phrase, *(f"r{i}x{j}" for j in range(4))]) for i in range(3000)]
-    spans = Words(BLANK_SEPARATED).read(pa.array(texts_ + texts_[:5]))
-    at, h = windows(spans, 13)
-    anchor = substring_dedup.anchors(spans.hash, at, 13, 5)[0]
-    keys = substring_dedup.window_keys(spans, at, h, 13, 5)
-    one = keys[: len(texts_)][anchor[: len(texts_)] == Counter(anchor.tolist()).most_common(1)[0][0]]
-    assert len(one) > 100 and len(set((one % np.uint64(8)).tolist())) == 8
-    assert keys[:5].tolist() == keys[-5:].tolist() and len(set(keys.tolist())) == len(texts_)
+    spans = Words(BLANK_SEPARATED).read(pa.array(texts_))
+    where = np.arange(3000) * 13 + 4
+    h = np.full(3000, 7, np.uint64)
+    made = [substring_dedup.contexts_of(spans, h, where, np.arange(3000), np.full(3000, hot), 0, 13, 5) for hot in (False, True)]
+    assert len(set(made[0].key.tolist())) == 1 and len(set((made[1].key % np.uint64(8)).tolist())) == 8
+    for contexts in made:
+        assert [x.decode().split() for x in contexts.texts().to_pylist()] == [t.split() for t in texts_]
+
+
+def test_substring_dedup_compares_words_and_not_hashes(spark, monkeypatch):
+    """Seeds that meet by a common hash match only where their words agree."""
+    rows = [(i, prose(40 + i // 2, 30) + f" end{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = substring_dedup.anchors
+
+    def clashing(hashes, at, words, gram):
+        h, where = plain(hashes, at, words, gram)
+        return h & 1, where
+
+    monkeypatch.setattr(substring_dedup, "anchors", clashing)
+    for hot in (0, substring_dedup.HOT):
+        got = Counter(tuple(r) for r in substring_dedup.remove_repeats(df, hot=hot).collect())
+        assert got == removed(rows, 13)
+
+
+def test_substring_dedup_of_a_hot_document(spark):
+    """One document id, and one row without an id, on a third of all rows each."""
+    rows = [(5, prose(50 + i, 20)) for i in range(60)] + [(None, "the same text " * 6)] * 60 + [(i, prose(50 + i, 20)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == removed(rows, 13)
 
 
 def test_substring_dedup_of_wide_ids_and_long_texts(spark):
