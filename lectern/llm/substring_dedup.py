@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import shuffle_partitions
 from lectern.llm.simhash import joined_words, within
-from lectern.llm.words import BLANK_SEPARATED, Spans, Words, combined, joined, mix, packed, pieces, run_starts, runs, unpacked, windows
+from lectern.llm.words import BLANK_SEPARATED, PIECE, Spans, Words, combined, joined, mix, packed, pieces, run_starts, runs, unpacked, windows
 
 PLACE_BYTES = 16 << 20  # text of one place
 BUCKET_BYTES = 8 << 20  # contexts of one task group, if a text's contexts are as long as the text
@@ -59,21 +59,32 @@ class Contexts(NamedTuple):
     key: np.ndarray  # hash by which they are dealt out
 
     def texts(self) -> pa.Array:
-        return binaries(self.text, np.cumsum(self.size) - self.size, self.size)
+        return binaries(self.text, self.size)
 
-    def some(self, rows: np.ndarray) -> Contexts:
-        at = np.cumsum(self.size) - self.size
-        text = self.text[within(at[rows], self.size[rows])]
+    def begin(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+    def some(self, rows: np.ndarray, begin: np.ndarray) -> Contexts:
+        text = gathered(self.text, begin[rows], self.size[rows])
         return Contexts(self.doc[rows], self.first[rows], self.left[rows], self.right[rows], self.size[rows], text, self.key[rows])
 
 
 NO_CONTEXTS = Contexts(*(np.zeros(0, t) for t in (np.int64, np.int64, np.uint16, np.uint16, np.int64, np.uint8, np.uint64)))
 
 
-def binaries(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """The byte ranges as an Arrow array."""
+def gathered(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The byte ranges after each other; positions are made for about a megabyte at a time."""
+    ends = np.cumsum(size, dtype=np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for i, j in runs((ends - size) // PIECE):
+        out[ends[i] - size[i] : ends[j - 1]] = text[within(start[i:j], size[i:j])]
+    return out
+
+
+def binaries(text: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Byte ranges that lie after each other as an Arrow array."""
     bounds = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(text[within(start, size)])])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(text)])
 
 
 def smallest(texts: pa.Array, left: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -128,7 +139,7 @@ def contexts_of(spans: Spans, h: np.ndarray, where: np.ndarray, doc: np.ndarray,
     size = word_end[at + left + gram + right - 1] + 1 - from_byte
     return Contexts(
         np.concatenate((doc[cold], np.repeat(doc, number))), at + first, left.astype(np.uint16), right.astype(np.uint16), size,
-        np.frombuffer(body, np.uint8)[within(from_byte, size)], mix(np.concatenate((h[cold], window_hash))),
+        gathered(np.frombuffer(body, np.uint8), from_byte, size), mix(np.concatenate((h[cold], window_hash))),
     )
 
 
@@ -165,7 +176,7 @@ def extended(c: Contexts, words: int, gram: int) -> tuple[np.ndarray, np.ndarray
         skipped = c.left[rows].astype(np.int64) - s
         a = start[word[rows] + skipped]
         b = start[word[rows] + skipped + words]
-        match = c.doc[rows] > smallest(binaries(c.text, a, b - a), np.zeros(len(rows), np.int64), c.doc[rows])
+        match = c.doc[rows] > smallest(binaries(gathered(c.text, a, b - a), b - a), np.zeros(len(rows), np.int64), c.doc[rows])
         rows, skipped = rows[match], skipped[match]
         low[rows] = np.minimum(low[rows], skipped)
         high[rows] = np.maximum(high[rows], skipped + words)
@@ -256,8 +267,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         later = c.doc > low
         number = c.left[later].astype(np.int64) + c.right[later] + gram
         rows = [(int(i), place, True, packed(c.first[later][i::16], number[i::16])) for i in range(min(16, int(later.sum())))]
-        c = c.some(np.flatnonzero(~later))
-        rows += [(b, place, False, record(c.some(i))) for b, i in by_bucket(c.key)]
+        left, begin = np.flatnonzero(~later), c.begin()
+        rows += [(b, place, False, record(c.some(left[i], begin))) for b, i in by_bucket(c.key[left])]
         return table(names, kinds, rows)
 
     def extend(group: pa.Table) -> pa.Table:
