@@ -48,10 +48,8 @@ MESSY = (
 
 def written_texts(spark, d, value):
     """One file per document, in a few folders of the shared folder; the first line of a file is the document's id."""
-    folder = work_folder(spark, "texts")
-    rows = table(spark, d, "documents").select(F.pmod("doc_id", F.lit(16)).alias("bucket"), value.alias("value"))
-    rows.write.partitionBy("bucket").option("maxRecordsPerFile", 1).text(folder)
-    return folder
+    rows = table(spark, d, "documents").select(F.pmod("doc_id", F.lit(64)).alias("bucket"), value.alias("value"))
+    return writers.write_texts(rows, work_folder(spark, "texts"), "bucket", "value")
 
 
 def file_id():

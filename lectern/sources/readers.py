@@ -11,11 +11,24 @@ from lectern.operators.html import TAG, UNREAD, decode_entities, sanitize_pages
 from lectern.schemas import MANIFEST_DDL, PAYLOAD_DDL, TELEMETRY
 
 
+TASK_BYTES = 16 << 20
+
+
+def few_tasks(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """`rows` of the scan `files` in tasks of about `TASK_BYTES`, with no shuffle.
+
+    Spark counts 4 MB for the opening of a file, so millions of small files would make a task for every few of them.
+    """
+    size = int(files._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    least = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(least, -(-size // TASK_BYTES)))
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files, one document each: (path, name, raw)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("path"), F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1).alias("name"), F.col("value").alias("raw")
-    )
+    files = spark.read.text(path, wholetext=True)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1)
+    return few_tasks(files.select(F.input_file_name().alias("path"), name.alias("name"), F.col("value").alias("raw")), files)
 
 
 def read_files(spark: SparkSession, path: str, mime: dict[str, str] | None = None) -> DataFrame:
@@ -27,7 +40,7 @@ def read_files(spark: SparkSession, path: str, mime: dict[str, str] | None = Non
     kind = F.lit("")
     for ext, value in table.items():
         kind = F.when(extension == ext, value).otherwise(kind)
-    return files.select("path", name.alias("name"), kind.alias("mime"), decode_bytes(F.col("content")).alias("raw"))
+    return few_tasks(files.select("path", name.alias("name"), kind.alias("mime"), decode_bytes(F.col("content")).alias("raw")), files)
 
 
 def decode_bytes(content: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,35 @@ def write_corpus(docs: DataFrame, path: str, key: str = "doc_id") -> None:
         docs.select(key, F.inline("chunks")).write.mode("overwrite").parquet(f"{path}/chunks")
 
 
+def write_texts(rows: DataFrame, path: str, bucket: str, value: str) -> str:
+    """One text file per row, its line ended, in a folder `path/bucket=...`; the path.
+
+    On a mounted file system Hadoop starts two processes per file to set modes, which takes milliseconds a file; the tasks
+    write the files themselves there. A file is named by partition and row, so a repeated task writes its own files again.
+    """
+    where = urlsplit(path)
+    if where.scheme not in ("", "file"):
+        rows.write.partitionBy(bucket).option("maxRecordsPerFile", 1).text(path)
+        return path
+    top = unquote(where.path) if where.scheme else path
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            task, folders, texts = (batch.column(i).to_pylist() for i in range(3))
+            for folder in set(folders):
+                os.makedirs(f"{top}/{folder}", exist_ok=True)
+            for t, folder, text in zip(task, folders, texts, strict=True):
+                with open(f"{top}/{folder}/part-{t:05d}-{n}.txt", "wb") as f:
+                    f.write((text or b"") + b"\n")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    name = F.concat(F.lit(f"{bucket}="), F.coalesce(F.col(bucket).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    rows.select(F.spark_partition_id(), name, F.col(value).cast("binary")).mapInArrow(save, "n long").agg(F.sum("n")).collect()
+    return path
+
+
 BUCKETS = 256
 
 
