@@ -2,7 +2,8 @@
 
 Each one takes and returns Arrow batches; text only enters the hash. The folds step through all rows of a batch
 at once with numpy (position 0 of every row, then position 1, ...), so the cost per element is a few nanoseconds and
-one very long row never turns into quadratic copying.
+one very long row never turns into quadratic copying. A batch is worked on in slices of rows, so what a kernel needs
+besides the batch is bounded, however large Spark makes its batches.
 """
 
 from __future__ import annotations
@@ -18,6 +19,21 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 # 32-bit FNV-1a.
 FNV_BASIS, FNV_PRIME, MASK32 = 2166136261, 16777619, 0xFFFFFFFF
 _FEW_ROWS = 96  # below this many live rows a plain loop is cheaper than numpy calls
+# What a kernel works on at once: bytes of text, elements of lists in numpy folds, and in folds over Python objects.
+TEXT_SLICE, LIST_SLICE, OBJECT_SLICE = 1 << 22, 1 << 20, 1 << 16
+
+
+def cuts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Rows [a, b) of slices of about `most` in all: a slice ends with the row that reaches it. At least one slice."""
+    part = (np.cumsum(sizes) - sizes) // most
+    starts = np.flatnonzero(np.diff(part)) + 1
+    return list(zip([0, *starts.tolist()], [*starts.tolist(), len(sizes)], strict=True))
+
+
+def by_slices(fold, most: int, *lists: pa.Array) -> pa.Array:
+    """`fold` of list arrays of one length, slice by slice; the first list measures the rows."""
+    parts = [fold(*(x.slice(a, b - a) for x in lists)) for a, b in cuts(_bounds(lists[0])[1], most)]
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
 
 def _ints(values: pa.Array) -> np.ndarray:
@@ -49,26 +65,44 @@ def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, live
 
 
-def _utf16_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """UTF-16 code units of a whole batch, with the start and length of every row."""
-    if len(texts) == 0:
-        return np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    texts = pc.fill_null(texts, "") if texts.null_count else texts
+def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the rows in the bytes of the whole array, and those bytes."""
     wide = pa.types.is_large_string(texts.type)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)
-    offsets = offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
-    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
-    # A lead byte starts one unit, a four-byte lead starts two, a continuation byte starts none.
-    weight = ((raw & 0xC0) != 0x80).astype(np.int64) + (raw >= 0xF0)
-    unit_at = np.concatenate(([0], np.cumsum(weight)))
-    units = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-16-le"), dtype=np.uint16)
-    edges = unit_at[offsets - offsets[0]]
-    return units, edges[:-1], np.diff(edges)
+    raw = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)
+    return offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64), raw
+
+
+def _utf16_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-16 code units of the rows between some offsets, with the start and length of every row."""
+    edges = offsets - offsets[0]
+    raw = raw[offsets[0] : offsets[-1]]
+    if len(raw) and raw.max() >= 0x80:
+        # A lead byte starts one unit, a four-byte lead starts two, a continuation byte starts none.
+        weight = ((raw & 0xC0) != 0x80).astype(np.int8) + (raw >= 0xF0)
+        edges = np.concatenate(([0], np.cumsum(weight, dtype=np.int64)))[edges]
+        raw = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-16-le"), dtype=np.uint16)
+    return raw, edges[:-1], np.diff(edges)
 
 
 def _fnv_rows(texts: pa.Array) -> np.ndarray:
-    units, start, length = _utf16_units(texts)
+    if len(texts) == 0:
+        return np.zeros(0, np.uint32)
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
+    offsets, raw = _text_bytes(texts)
+    slices = cuts(np.diff(offsets), TEXT_SLICE)
+    return np.concatenate([_fnv_slice(raw, offsets[a : b + 1]) for a, b in slices])
+
+
+def _fnv_slice(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    longest = int(np.diff(offsets).argmax())
+    begin, end = int(offsets[longest]), int(offsets[longest + 1])
+    if end - begin > TEXT_SLICE:  # on its own, as its units would not be bounded
+        around = [offsets[: longest + 1], offsets[longest + 1 :]]
+        head, tail = (_fnv_slice(raw, o) if len(o) > 1 else np.zeros(0, np.uint32) for o in around)
+        return np.concatenate([head, [np.uint32(_fnv_long(raw[begin:end]))], tail])
+    units, start, length = _utf16_units(raw, offsets)
     order, live = _by_length(length)
     at, size = start[order], length[order]
     state = np.full(len(start), FNV_BASIS, dtype=np.uint32)  # longest row first
@@ -76,10 +110,8 @@ def _fnv_rows(texts: pa.Array) -> np.ndarray:
     for position, count in enumerate(live.tolist()):
         if count < _FEW_ROWS:
             for row in range(count):
-                h = int(state[row])
-                for unit in units[at[row] : at[row] + size[row] - position].tolist():
-                    h = ((h ^ unit) * FNV_PRIME) & MASK32
-                state[row] = h
+                units_left = units[at[row] : at[row] + size[row] - position]
+                state[row] = _fnv_units(int(state[row]), units_left)
             break
         head, where = state[:count], at[:count]
         head ^= units.take(where)
@@ -90,6 +122,24 @@ def _fnv_rows(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def _fnv_units(state: int, units: np.ndarray) -> int:
+    for unit in units.tolist():
+        state = ((state ^ unit) * FNV_PRIME) & MASK32
+    return state
+
+
+def _fnv_long(raw: np.ndarray) -> int:
+    """Hash of one text, taken in parts that end between two characters."""
+    state, at = FNV_BASIS, 0
+    while at < len(raw):
+        end = min(at + TEXT_SLICE, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        state = _fnv_units(state, _utf16_units(raw, np.array([at, end]))[0])
+        at = end
+    return state
+
+
 def _hex8(state: np.ndarray) -> pa.Array:
     return pa.array([f"{h:08x}" for h in state.tolist()], type=pa.string())
 
@@ -110,6 +160,13 @@ def fnv1a32_each(texts: pa.Array) -> pa.Array:
 
 
 def _nfkc(texts: pa.Array) -> pa.Array:
+    if len(texts) == 0:
+        return pa.array([], type=pa.string())
+    parts = [_nfkc_slice(texts.slice(a, b - a)) for a, b in cuts(np.diff(_text_bytes(texts)[0]), TEXT_SLICE)]
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+
+
+def _nfkc_slice(texts: pa.Array) -> pa.Array:
     # Python's own tables: the Arrow normaliser of some versions leaves composed letters decomposed.
     return pa.array(
         [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], type=pa.string()
@@ -130,12 +187,14 @@ def nfkc_each(texts: pa.Array) -> pa.Array:
 @arrow_udf(ArrayType(LongType()))
 def sums_before(values: pa.Array) -> pa.Array:
     """For every element, the sum of the elements before it in its array."""
-    start, length = _bounds(values)
-    flat = _ints(values.values)
-    keep = np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
-    flat = flat[keep]
+    return by_slices(_sums_before, LIST_SLICE, values)
+
+
+def _sums_before(values: pa.Array) -> pa.Array:
+    _, length = _bounds(values)
+    flat = _ints(values.flatten())
     exclusive = np.cumsum(flat) - flat
-    first = np.concatenate(([0], np.cumsum(length)[:-1]))
+    first = np.cumsum(length) - length
     base = exclusive[np.minimum(first, max(len(exclusive) - 1, 0))] if len(exclusive) else np.zeros(len(first), np.int64)
     exclusive = exclusive - np.repeat(base, length)
     return pa.ListArray.from_arrays(_offsets(length), pa.array(exclusive))
@@ -150,8 +209,11 @@ def greedy_starts(max_chars: int, max_tokens: int):
 
     @arrow_udf(ArrayType(IntegerType()))
     def starts(lens: pa.Array, toks: pa.Array, seps: pa.Array, forced: pa.Array) -> pa.Array:
+        return by_slices(fold, LIST_SLICE, lens, toks, seps, forced)
+
+    def fold(lens: pa.Array, toks: pa.Array, seps: pa.Array, forced: pa.Array) -> pa.Array:
         _, length = _bounds(lens)
-        first = np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64)
+        first = np.cumsum(length) - length
         lens_v, toks_v, seps_v, force_v = (_ints(a.flatten()) for a in (lens, toks, seps, forced))
         opens = np.zeros(int(length.sum()), dtype=bool)
         chars = np.zeros(len(length), dtype=np.int64)

@@ -166,6 +166,10 @@ def _fold(codes: list[int], indents: list[int], args: list[int]) -> tuple[list[t
 @arrow_udf(_LAYOUT)
 def block_layout(codes: pa.Array, indents: pa.Array, args: pa.Array) -> pa.Array:
     """The block structure of each row's lines; only small integers cross into Python."""
+    return K.by_slices(_layout_slice, K.OBJECT_SLICE, codes, indents, args)
+
+
+def _layout_slice(codes: pa.Array, indents: pa.Array, args: pa.Array) -> pa.Array:
     names = ("kind", "first", "last", "depth", "ordinal", "ordered")
     rows = [
         _fold(c or [], n or [], a or []) for c, n, a in zip(codes.to_pylist(), indents.to_pylist(), args.to_pylist())
