@@ -32,7 +32,7 @@ def cuts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 def by_slices(fold, most: int, *lists: pa.Array) -> pa.Array:
     """`fold` of list arrays of one length, slice by slice; the first list measures the rows."""
-    parts = [fold(*(x.slice(a, b - a) for x in lists)) for a, b in cuts(_bounds(lists[0])[1], most)]
+    parts = [fold(*(x.slice(a, b - a) for x in lists)) for a, b in cuts(bounds(lists[0])[1], most)]
     return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
 
@@ -40,7 +40,7 @@ def _ints(values: pa.Array) -> np.ndarray:
     return np.asarray(values.fill_null(0) if values.null_count else values).astype(np.int64, copy=False)
 
 
-def _bounds(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bounds(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of every list, as absolute positions in its child array; null lists are empty."""
     offsets = np.asarray(lists.offsets).astype(np.int64)
     lengths = np.diff(offsets)
@@ -154,7 +154,7 @@ def fnv1a32(text: pa.Array) -> pa.Array:
 @arrow_udf(ArrayType(StringType()))
 def fnv1a32_each(texts: pa.Array) -> pa.Array:
     """`fnv1a32` of every element of a string array."""
-    start, length = _bounds(texts)
+    start, length = bounds(texts)
     flat = texts.flatten()
     return pa.ListArray.from_arrays(_offsets(length), _hex8(_fnv_rows(flat)))
 
@@ -180,7 +180,7 @@ def nfkc(text: pa.Array) -> pa.Array:
 
 @arrow_udf(ArrayType(StringType()))
 def nfkc_each(texts: pa.Array) -> pa.Array:
-    _, length = _bounds(texts)
+    _, length = bounds(texts)
     return pa.ListArray.from_arrays(_offsets(length), _nfkc(texts.flatten()))
 
 
@@ -191,7 +191,7 @@ def sums_before(values: pa.Array) -> pa.Array:
 
 
 def _sums_before(values: pa.Array) -> pa.Array:
-    _, length = _bounds(values)
+    _, length = bounds(values)
     flat = _ints(values.flatten())
     exclusive = np.cumsum(flat) - flat
     first = np.cumsum(length) - length
@@ -212,7 +212,7 @@ def greedy_starts(max_chars: int, max_tokens: int):
         return by_slices(fold, LIST_SLICE, lens, toks, seps, forced)
 
     def fold(lens: pa.Array, toks: pa.Array, seps: pa.Array, forced: pa.Array) -> pa.Array:
-        _, length = _bounds(lens)
+        _, length = bounds(lens)
         first = np.cumsum(length) - length
         lens_v, toks_v, seps_v, force_v = (_ints(a.flatten()) for a in (lens, toks, seps, forced))
         opens = np.zeros(int(length.sum()), dtype=bool)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType
 
-from lectern.functions import kernels as K
 from lectern.functions import text as T
+from lectern.functions.kernels import OBJECT_SLICE, bounds, cuts
 from lectern.functions.plan import let, pin
 from lectern.operators.html import decode_entities
 
@@ -145,12 +145,12 @@ def _resolve(codes: list[int], labels: list[int], defined: set[int]) -> list[int
 def resolved(codes: pa.Array, labels: pa.Array, defined: pa.Array) -> pa.Array:
     """What becomes of each token of each block, by document."""
     part = lambda a, b: _resolved_slice(*(x.slice(a, b - a) for x in (codes, labels, defined)))
-    return pa.concat_arrays([part(a, b) for a, b in K.cuts(_n_tokens(codes), K.OBJECT_SLICE)])
+    return pa.concat_arrays([part(a, b) for a, b in cuts(_n_tokens(codes), OBJECT_SLICE)])
 
 
 def _n_tokens(codes: pa.Array) -> np.ndarray:
     """Number of tokens of each document."""
-    first, n = K._bounds(codes)
+    first, n = bounds(codes)
     ends = np.asarray(codes.values.offsets).astype(np.int64) if len(codes.values) else np.zeros(1, np.int64)
     return ends[first + n] - ends[first]
 

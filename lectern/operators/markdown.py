@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField,
 
 from lectern.functions import kernels as K
 from lectern.functions import text as T
+from lectern.functions.kernels import OBJECT_SLICE, by_slices
 from lectern.functions.plan import let, pin
 from lectern.operators import inline
 from lectern.operators.documents import META_TYPE, OFFSET_TYPE, block, finish_segments
@@ -166,7 +167,7 @@ def _fold(codes: list[int], indents: list[int], args: list[int]) -> tuple[list[t
 @arrow_udf(_LAYOUT)
 def block_layout(codes: pa.Array, indents: pa.Array, args: pa.Array) -> pa.Array:
     """The block structure of each row's lines; only small integers cross into Python."""
-    return K.by_slices(_layout_slice, K.OBJECT_SLICE, codes, indents, args)
+    return by_slices(_layout_slice, OBJECT_SLICE, codes, indents, args)
 
 
 def _layout_slice(codes: pa.Array, indents: pa.Array, args: pa.Array) -> pa.Array:
