@@ -18,9 +18,10 @@ from lectern.streaming import live
 
 BATCHES = 4  # at least
 ROWS_PER_FILE, FILES_PER_BATCH = 500_000, 64  # at most
+TEXTS_PER_FILE = 8_000  # whole texts are far wider rows: a batch needs enough files to keep all cores busy
 
 
-def arrivals(df: DataFrame, key: str, late: int | None = None, after: DataFrame | None = None) -> DataFrame:
+def arrivals(df: DataFrame, key: str, late: int | None = None, after: DataFrame | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
     """A stream of the rows of `df` in the order of an integer key.
 
     The rows are dealt out to files of bounded size by ranges of the key, in one parallel write, and the files are dated in
@@ -29,7 +30,7 @@ def arrivals(df: DataFrame, key: str, late: int | None = None, after: DataFrame
     """
     spark = df.sparkSession
     low, high, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    ranges = file_count(rows)
+    ranges = file_count(rows, per_file)
     width = (high - low + 1) if rows else 1
     place = F.expr(f"cast(({key} - {low or 0}) * {ranges} div {width} as int)")
     dealt = df.withColumn("arrival", place)
@@ -43,8 +44,8 @@ def arrivals(df: DataFrame, key: str, late: int | None = None, after: DataFrame
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-def file_count(rows: int) -> int:
-    return max(2 * BATCHES, -(-rows // ROWS_PER_FILE))
+def file_count(rows: int, per_file: int = ROWS_PER_FILE) -> int:
+    return max(2 * BATCHES, -(-rows // per_file))
 
 
 def date_files(spark: SparkSession, folder: str, late: list) -> None:
@@ -62,7 +63,8 @@ def date_files(spark: SparkSession, folder: str, late: list) -> None:
 def as_stream(spark: SparkSession, d: str, name: str, late: int | None = None, after: DataFrame | None = None) -> DataFrame:
     """A derived table whose base table arrives in several micro-batches, in the order of its id."""
     base, key = ("documents", "doc_id") if name == "para_docs" else ("events", "event_id")
-    stream = arrivals(spark.read.parquet(f"{d}/{base}.parquet"), key, late, after)
+    per_file = TEXTS_PER_FILE if base == "documents" else ROWS_PER_FILE
+    stream = arrivals(spark.read.parquet(f"{d}/{base}.parquet"), key, late, after, per_file)
     return spark.sql(DERIVED[name][0], **{base: stream})
 
 
@@ -183,7 +185,7 @@ def _(spark, d):
     """Files, pasted texts and extractor answers arrive mixed; the tables of all batches are put side by side."""
     out, mark = work_folder(spark, "ingested"), work_folder(spark, "mark")
     docs = raw_docs(spark, d).withColumn("n", F.crc32(F.col("doc_id").cast("binary")))
-    finish(live.ingest_to(arrivals(docs, "n").drop("n"), out, mark))
+    finish(live.ingest_to(arrivals(docs, "n", per_file=TEXTS_PER_FILE).drop("n"), out, mark))
     index, rejects = live.ingested(spark, out, "documents"), live.ingested(spark, out, "rejects")
     counted = live.ingested(spark, out, "segments").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_segments"))
     done = index.select("doc_id", "route", "title", "accepted").join(counted, "doc_id", "left").join(rejects.drop("v"), "doc_id", "left")

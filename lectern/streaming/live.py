@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -254,79 +254,81 @@ class _Burst(StatefulProcessor):
     """Folds the rows of a key, burst by burst. A burst ends where the key has been idle for longer than `idle` micros.
 
     The gap itself is judged on the rows, so results do not depend on when timers fire; the timer drops the state of a
-    burst that has ended, so what is kept is bounded by the sessions active of late.
+    burst that has ended, so what is kept is bounded by the sessions active of late. A call for a key is a few rows, so
+    they stay plain rows, and all state of a key is one value: it is read once and written once.
     """
 
-    columns: tuple[str, ...] = ()  # of the input
+    COLUMNS = Row()  # of the result
     STATE = ""
+    EMPTY: tuple = ()  # state of a burst that begins
 
     def __init__(self, idle: int):
         self.idle = idle
         # Read here, as workers have no session.
-        self.schemas = StructType.fromDDL("begin long, last long"), StructType.fromDDL(self.STATE)
+        self.schema = StructType.fromDDL(f"begin long, last long, timer long, {self.STATE}")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.span = handle.getValueState("span", self.schemas[0])
-        self.kept = handle.getListState("kept", self.schemas[1])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        rows = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
-        at = rows["at"].to_numpy()
-        begin, last = self.span.get() if self.span.exists() else (None, None)
-        cuts = [0, *(np.flatnonzero(np.diff(at) > self.idle) + 1).tolist(), len(at)]
-        out = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            goes_on = begin is not None and at[a] - last <= self.idle
-            begin = begin if goes_on else int(at[a])
-            state = [tuple(x) for x in self.kept.get()] if goes_on and not a and self.kept.exists() else []
-            state, row = self.fold(state, rows.iloc[a:b])
-            last = max(int(at[b - 1]), last) if goes_on else int(at[b - 1])
-            out.append((*key, begin, *row))
-        self.span.update((begin, last))
-        self.kept.put(state)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((last + self.idle) // 1000 + 1)
-        yield pd.DataFrame(out, columns=self.columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.span.clear()
+        self.kept = handle.getValueState("kept", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        rows = sorted(rows, key=lambda r: (r["at"], r["seq"]))
+        begin, last, timer, *state = self.kept.get() or (None, None, None)
+        first = 0
+        for end in range(1, len(rows) + 1):
+            if end < len(rows) and rows[end]["at"] - rows[end - 1]["at"] <= self.idle:
+                continue
+            if begin is None or rows[first]["at"] - last > self.idle:
+                begin, last, state = rows[first]["at"], rows[first]["at"], self.EMPTY
+            last = max(rows[end - 1]["at"], last)
+            state, row = self.fold(tuple(state), rows[first:end])
+            yield self.COLUMNS(*key, begin, *row)
+            first = end
+        due = (last + self.idle) // 1000 + 1
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.kept.update((begin, last, due, *state))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.kept.clear()
-        yield pd.DataFrame([], columns=self.columns)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
 class _DegradeBurst(_Burst):
-    columns = ("session_id", "begin", "seq", "wasm_failures", "degraded")
+    COLUMNS = Row("session_id", "begin", "seq", "wasm_failures", "degraded")
     STATE = "seq long, failures long, degraded boolean"
+    EMPTY = (-1, 0, False)
 
     def __init__(self, idle: int, limit: int):
         super().__init__(idle)
         self.limit = limit
 
     def fold(self, state, rows):
-        seq, count, latched = state[0] if state else (-1, 0, False)
-        count, latched = degrade_fold(rows["outcome"].to_numpy(), count, latched, self.limit)
-        seq = max(int(seq), int(rows["seq"].max()))
-        return [(seq, count, latched)], (seq, self.limit if latched else count, latched)
+        seq, count, latched = state
+        count, latched = degrade_fold(np.array([r["outcome"] for r in rows], object), count, latched, self.limit)
+        seq = max(seq, *(r["seq"] for r in rows))
+        return (seq, count, latched), (seq, self.limit if latched else count, latched)
 
 
 class _RecentBurst(_Burst):
-    columns = ("session_id", "category", "begin", "seqs", "segment_ids", "messages")
-    STATE = "seq long, segment_id string, message string"
+    COLUMNS = Row("session_id", "category", "begin", "seqs", "segment_ids", "messages")
+    STATE = "seqs array<long>, segment_ids array<string>, messages array<string>"
+    EMPTY = ([], [], [])
 
     def __init__(self, idle: int, keep: int):
         super().__init__(idle)
         self.keep = keep
 
     def fold(self, state, rows):
-        plain = lambda x: None if x is None or x != x else x
-        new = [(int(s), plain(i), plain(m)) for s, i, m in zip(rows["seq"], rows["segment_id"], rows["message"], strict=True)]
-        newest = sorted([*state, *new], key=lambda e: -e[0])[: self.keep]
-        return newest, tuple([e[i] for e in newest] for i in range(3))
+        new = [(r["seq"], r["segment_id"], r["message"]) for r in rows]
+        newest = sorted([*zip(*state, strict=True), *new], key=lambda e: -e[0])[: self.keep]
+        lists = tuple([e[i] for e in newest] for i in range(3))
+        return lists, lists
 
 
 def _with_instant(events: DataFrame, late: str) -> DataFrame:
@@ -340,7 +342,7 @@ def stream_degrade_bursts(results: DataFrame, idle: str = "12 hours", late: str
     than `idle`. Rows later than the watermark are left out. For `changes_to` with `rocksdb`.
     """
     needed = _with_instant(results.select("session_id", "seq", "event_ts", "outcome"), late)
-    made = needed.groupBy("session_id").transformWithStateInPandas(
+    made = needed.groupBy("session_id").transformWithState(
         _DegradeBurst(_micros(idle), limit), "session_id long, begin long, seq long, wasm_failures long, degraded boolean", "Update", "EventTime"
     )
     return made.withColumn("begin", F.timestamp_micros("begin"))
@@ -349,7 +351,7 @@ def stream_degrade_bursts(results: DataFrame, idle: str = "12 hours", late: str
 def stream_recent_bursts(events: DataFrame, idle: str = "12 hours", late: str = "10 minutes", keep: int = P.RECENT_ENTRIES) -> DataFrame:
     """The last entries per session, category and burst of activity as arrays, newest first; see `stream_degrade_bursts`."""
     shown = telemetry.classify_perf_event(events).filter("category is not null").select("session_id", "category", "seq", "event_ts", "segment_id", "message")
-    made = _with_instant(shown, late).groupBy("session_id", "category").transformWithStateInPandas(
+    made = _with_instant(shown, late).groupBy("session_id", "category").transformWithState(
         _RecentBurst(_micros(idle), keep),
         "session_id long, category string, begin long, seqs array<long>, segment_ids array<string>, messages array<string>", "Update", "EventTime",
     )
