@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, quality, secrets
-from lectern.llm.common import free_name, stored, table
+from lectern.llm.common import free_name, may_match, stored, table
 from lectern.llm.jaccard_join import jaccard_join
 from lectern.session import work_folder
 
@@ -34,8 +34,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # Null sorts before 1: rows with an id come first.
     keyed = rows.select(F.struct(F.when(F.col("doc_id").isNull(), 1).alias("last"), "doc_id", F.col(number).alias("row")).alias("key"), "text")
     groups = jaccard_join(keyed, key="key", words=5, num=8, den=10)
-    first = groups.filter("key.row = component_id.row").select(F.col("key.row").alias(number))
-    return rows.join(first, number, "left_semi").select(*docs.columns)
+    dropped = stored(groups.filter("key.row <> component_id.row").select(F.col("key.row").alias(number)), "dropped")
+    # Only texts of rows that may be dropped are shuffled.
+    unsure = free_name(docs, "unsure")
+    rows = may_match(rows, [number], dropped, [number], unsure)
+    kept = rows.filter(F.col(unsure)).join(dropped.hint("merge"), number, "left_anti")
+    return rows.filter(~F.col(unsure)).unionByName(kept).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

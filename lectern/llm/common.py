@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,6 +36,26 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MARKS = 1 << 23  # bits of a broadcast filter
+
+
+def may_match(rows: DataFrame, keys: list[str], others: DataFrame, other_keys: list[str], name: str) -> DataFrame:
+    """`rows` with a column `name`: false only where no row of `others` has these keys.
+
+    The keys of `others` are hashed into `MARKS` bits, so a table of 2 MB at most is broadcast. Rows that cannot match need
+    not be shuffled for a join; the others must still be joined. Keys must have the same types on both sides.
+    """
+
+    def bit(columns: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(MARKS))
+
+    word, marks, place = (free_name(rows, n) for n in ("word", "marks", "place"))
+    single = lambda at: f"shiftleft(1L, cast({at} % 64 as int))"
+    found = others.select(bit(other_keys).alias(place)).groupBy(F.expr(f"{place} div 64").alias(word)).agg(F.expr(f"bit_or({single(place)})").alias(marks))
+    rows = rows.withColumn(place, bit(keys)).withColumn(word, F.expr(f"{place} div 64")).join(F.broadcast(found), word, "left")
+    return rows.withColumn(name, F.expr(f"coalesce({marks} & {single(place)}, 0L) <> 0")).drop(word, marks, place)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A name for a working column that no column of the table has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -4,12 +4,13 @@
 2. Sizes fall into bands such that linked sets lie in one band or in neighbouring ones. A pair of bands (a family) fixes
    how many shingles at most two linked sets can differ in; the hash range is cut into more parts than that, so at least
    one part is the same in both. Sets that agree in a part meet in a candidate group. A part takes some four to ten
-   shingles together, so a passage that many documents share does not bring them all together.
+   shingles together, so a passage that many documents share does not bring them all together. A set sends only its
+   fullest parts, one more than linked sets can differ in, which still have one in common.
 3. Each candidate group, however large, is cut into size-banded tiles. Inside a tile bit counts of hashed signatures
    bound the overlap from above; what passes is intersected exactly. Pairs that are connected already are skipped.
 4. Components of the exact links give the classes.
 
-Only candidates' sets are shuffled. Equal sets and equal parts are combined inside each map batch, so one group of copies
+Only candidates' texts and sets are shuffled. Equal sets and equal parts are combined inside each map batch, so one group of copies
 sends one row per batch. No step forms all pairs of a group of copies as rows.
 """
 
@@ -20,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shuffle_partitions, stored
+from lectern.llm.common import may_match, shuffle_partitions, stored
 from lectern.llm.components import connected_components
 from lectern.llm.words import BASE, BLANK_SEPARATED, Words, combined, mix, packed, pieces, run_starts, runs, unpacked
 
 BUCKET_BYTES = 16 << 20  # candidate keys of one task group
 PORTION_BYTES = 8 << 20  # text whose equal keys are combined in a map task
+KEY_BYTES = 6  # of a candidate key that are shuffled
 CHUNK = 256  # candidates intersected at a time
 COMMON = 100_000  # most frequent shingles that are left out when candidates are sought
 COMMON_SHARE, COMMON_LEAST = 0.003, 8  # share of a map batch's documents, and their number, that make a shingle frequent
@@ -89,21 +91,33 @@ class Bands:
         return (high + high * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
 
 
-def parts_of(hashes, owner, n_sets, family, n_parts, live, salt):
-    """(key, set number) of the filled parts of sets in their family, and how many parts of each set are filled."""
+def parts_of(hashes, owner, n_sets, family, n_parts, enough, live, salt):
+    """(key, set number) of the `enough` fullest parts of sets in their family, the part and set number of all filled ones,
+    and how many parts of each set are filled.
+
+    Of two linked sets take the one whose last part taken is the fuller: among its parts one is the same in both, and the
+    other set takes all that are as full. So what two linked sets take has a part in common, as long as sets of too few
+    filled parts take them all, and parts of a shingle or two, which unrelated sets share, are mostly left out.
+    """
     use = live[owner]
     h, own = hashes[use], owner[use]
     part = ((h >> np.uint64(32)) * n_parts[own].astype(np.uint64)) >> np.uint64(32)
     if not len(h):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), part, np.zeros(n_sets, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, part, none, np.zeros(n_sets, np.int64)
     at = run_starts(own, part)
     content = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5)), at)
-    tag = (family[own[at]].astype(np.uint64) << np.uint64(40)) + part[at] + np.uint64(salt << 56)
-    return mix(content + mix(tag + np.uint64(BASE))), own[at], part[at], np.bincount(own[at], minlength=n_sets)
+    part, own = part[at], own[at]
+    filled = np.bincount(own, minlength=n_sets)
+    order = np.lexsort((part, -np.diff(np.append(at, len(h))), own))  # the same order of equal parts in all sets
+    rank = np.arange(len(own)) - np.repeat(np.cumsum(filled) - filled, filled)
+    taken = order[rank < enough[own]]  # `own` is sorted, so it is the same in that order
+    tag = (family[own[taken]].astype(np.uint64) << np.uint64(40)) + part[taken] + np.uint64(salt << 56)
+    return mix(content[taken] + mix(tag + np.uint64(BASE))), own[taken], part, own, filled
 
 
 def part_keys(hashes: np.ndarray, bounds: np.ndarray, bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, set number) of the parts of non-empty sets, for both families of each set.
+    """(key, set number) of the fullest parts of non-empty sets, for both families of each set.
 
     Shingles in `common` (any fixed list) are left out first, which cannot add to a difference. A set with more filled
     parts than linked sets can differ in needs no other keys. Sets that are too poor for that also meet by parts of their
@@ -122,13 +136,13 @@ def part_keys(hashes: np.ndarray, bounds: np.ndarray, bands: Bands, common: np.n
         live = (family >= 0) & (sizes > 0)
         family = np.maximum(family, 0)
         n_parts, enough = parts[family], most[family] + 1
-        k, own, _, filled = parts_of(hashes[rare], owner[rare], n, family, n_parts, live, 1)
+        k, own, _, _, filled = parts_of(hashes[rare], owner[rare], n, family, n_parts, enough, live, 1)
         poor = live & (filled < enough)
-        whole, of, part, full = parts_of(hashes, owner, n, family, n_parts, poor, 2)
+        whole, of, part, holder, full = parts_of(hashes, owner, n, family, n_parts, enough, poor, 2)
         keys += [k, whole]
         sets += [own, of]
         for i in np.flatnonzero(poor & (full < enough)):
-            empty = np.setdiff1d(np.arange(n_parts[i]), part[of == i].astype(np.int64)).astype(np.uint64)
+            empty = np.setdiff1d(np.arange(n_parts[i]), part[holder == i].astype(np.int64)).astype(np.uint64)
             keys.append(mix(mix((np.uint64(family[i]) << np.uint64(40)) + empty + np.uint64((3 << 56) + 7))))
             sets.append(np.full(len(empty), i))
     return np.concatenate(keys), np.concatenate(sets)
@@ -145,6 +159,20 @@ def stars(keys: np.ndarray, ids: np.ndarray):
     return (keys[at], ids[at]), edges
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """The first KEY_BYTES bytes of sorted keys: all first bytes, then all second ones, which compresses.
+
+    Keys of one bucket have the rest nearly in common. Two that do not only make a candidate more.
+    """
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].T.tobytes()
+
+
+def from_planes(payload: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(payload, np.uint8, n * KEY_BYTES).reshape(KEY_BYTES, n).T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def linked(data: np.ndarray, bounds: np.ndarray, group: np.ndarray, num: int, den: int) -> np.ndarray:
     """A label per set of a tile, equal where links lead from one to the other. Sets must be sorted by size.
 
@@ -246,7 +274,7 @@ def jaccard_join(
             order = np.argsort(bucket, kind="stable")
             bucket, keys, centres = bucket[order], keys[order], centres[order]
             cuts = runs(bucket)
-            places, payloads = [int(bucket[i]) for i, _ in cuts], [packed(keys[i:j], centres[i:j]) for i, j in cuts]
+            places, payloads = [int(bucket[i]) for i, _ in cuts], [planes(keys[i:j]) + packed(centres[i:j]) for i, j in cuts]
             kinds = [0] * len(places)
             if len(edges):
                 places, kinds, payloads = [*places, int(edges[0, 1] % buckets)], [*kinds, 1], [*payloads, packed(edges[:, 0], edges[:, 1])]
@@ -260,9 +288,9 @@ def jaccard_join(
             if kind:
                 edges.append(np.stack(unpacked(payload, np.int64, np.int64), 1))
             else:
-                k, i = unpacked(payload, np.uint64, np.int64)
-                keys.append(k)
-                ids.append(i)
+                n = len(payload) // (KEY_BYTES + 8)
+                keys.append(from_planes(payload, n))
+                ids.append(np.frombuffer(payload, np.int64, n, n * KEY_BYTES))
         edges.append(stars(np.concatenate(keys), np.concatenate(ids))[1])
         edges = np.unique(np.concatenate(edges), axis=0)
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
@@ -294,8 +322,10 @@ def jaccard_join(
     )
     large = large.select("set_id", "group", "key", "check", F.explode(tile).alias("tile"))
     tiles = small.unionByName(large).groupBy("set_id", "group", "key", "check").agg(F.collect_set(F.xxhash64("tile")).alias("tiles"))
-    texts = marked.withColumnRenamed("key", "k").withColumnRenamed("check", "c")
-    texts = texts.join(tiles, F.col("k").eqNullSafe(F.col("key")) & (F.col("c") == F.col("check"))).select("set_id", "group", "tiles", "text")
+    # Texts of other rows than candidates are not shuffled.
+    texts = may_match(marked, ["key", "check"], found, ["key", "check"], "wanted").filter("wanted")
+    texts = texts.select(F.col("key").alias("k"), F.col("check").alias("c"), "text")
+    texts = texts.join(tiles.hint("merge"), F.col("k").eqNullSafe(F.col("key")) & (F.col("c") == F.col("check"))).select("set_id", "group", "tiles", "text")
 
     def sets_of(batches):
         reader = Words(BLANK_SEPARATED, lower=True)
