@@ -36,6 +36,18 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_BYTES = 1 << 20
+
+
+def shuffled_if_large(table: DataFrame) -> DataFrame:
+    """A written table as a side of a join: beyond `BROADCAST_BYTES` of files it is shuffled whatever the session's limit.
+
+    Spark compares that limit with the size of the files; as a broadcast table they take the driver ten times as much.
+    """
+    size = int(table._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    return table.hint("merge") if size > BROADCAST_BYTES else table
+
+
 MARKS = 1 << 23  # bits of a broadcast filter
 
 

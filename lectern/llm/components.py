@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import shuffled_if_large, stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         steps.append(step)
         left = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        moved = edges.join(left, "a").join(right, "b")
+        moved = edges.join(shuffled_if_large(left), "a").join(shuffled_if_large(right), "b")
         moved = moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a < b")
         edges = stored(moved.distinct(), "edges")
         if edges.isEmpty():
@@ -36,5 +36,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     found = steps[0]
     for step in steps[1:]:
         step = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        found = found.join(step, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+        found = found.join(shuffled_if_large(step), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
     return found

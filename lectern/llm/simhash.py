@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shuffle_partitions, stored, with_fields
+from lectern.llm.common import shuffle_partitions, shuffled_if_large, stored, with_fields
 from lectern.llm.components import connected_components
 from lectern.llm.words import BLANK_SEPARATED, Spans, Words, pieces
 
@@ -139,11 +139,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     table = entries(prints, balls=False)
     known = stored(table.groupBy("entry").agg(F.count("*").alias("own")), "table")
-    probes = stored(entries(prints, balls=True).join(known.select("entry"), "entry"), "probes")
+    # Spark sizes what an explode gives by the rows that go in, and would broadcast some sixteen probes of every print.
+    probes = stored(entries(prints, balls=True).hint("merge").join(known.select("entry"), "entry"), "probes")
     asked = stored(probes.groupBy("entry").agg(F.count("*").alias("asking")), "asked")
-    busy = known.join(asked, "entry", "left").withColumn("rows", F.col("own") + F.coalesce("asking", F.lit(0)))
+    busy = known.join(shuffled_if_large(asked), "entry", "left").withColumn("rows", F.col("own") + F.coalesce("asking", F.lit(0)))
     busy = stored(busy.filter("rows > 1").select("entry", F.ceil(F.col("rows") / tile_rows).alias("blocks")), "busy")
-    met = table.unionByName(probes).join(busy, "entry")
+    met = table.unionByName(probes).hint("merge").join(busy, "entry")
     mine = F.pmod(F.xxhash64("print"), F.col("blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     # Entries of one block share tasks; a larger one has a tile for every pair of its blocks.
@@ -166,10 +167,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     links = met.groupBy((F.col("blocks") > 1).alias("large"), "place").applyInArrow(compare, "a long, b long")
     roots = connected_components(links).withColumnRenamed("node", "print")
-    named = stored(sets.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "roots")
+    named = stored(shuffled_if_large(sets).join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "roots")
     # Both sides lie in written tables, so adaptive execution can split a root that many fingerprints share.
     lowest = stored(named.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
-    named = named.join(lowest, "root").select("print", "component_id")
-    out = rows.join(named, "print")
+    named = shuffled_if_large(named).join(shuffled_if_large(lowest), "root").select("print", "component_id")
+    out = shuffled_if_large(rows).join(named, "print")
     digits = F.lpad(F.lower(F.hex("print")), 16, "0")
     return out.select(F.col("key").cast(key_type).alias(key), digits.alias("fingerprint"), "component_id")

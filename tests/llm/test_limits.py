@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.llm import common, simhash
 from lectern.llm import jaccard_join as J
 from lectern.llm.common import may_match
 
@@ -59,3 +60,33 @@ def test_only_rows_without_a_partner_are_ruled_out(spark):
     assert sum(r.maybe for r in found) < 700
     none = may_match(rows, ["key"], others.limit(0), ["other"], "maybe")
     assert none.filter("maybe").count() == 0 and none.count() == 3000
+
+
+def broadcast_rows(spark, make):
+    """The result's rows, and the broadcast tables of all plans that were made on the way and of the result."""
+    kept, plans = common.stored, []
+
+    def stored(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, purpose)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "stored", stored)
+        df = make()
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    return df.collect(), sum("BroadcastExchange" in p and "explode" in p for p in plans)
+
+
+def test_probes_are_not_broadcast(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.xxhash64("id").cast("string"), (F.col("id") % 150).cast("string")).alias("text"))
+    rows, broadcast = broadcast_rows(spark, lambda: simhash.near_duplicates(docs))
+    assert len(rows) == 200 and len({r.doc_id for r in rows}) == 200 and not broadcast
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda: table.join(common.shuffled_if_large(table.select(F.col("id"), F.lit(1).alias("x"))), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 100)
+    assert "BroadcastHashJoin" not in plan()
