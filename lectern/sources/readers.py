@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -24,8 +29,122 @@ def few_tasks(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.coalesce(max(least, -(-size // TASK_BYTES)))
 
 
+BATCH_BYTES = 4 << 20  # of files that a task hands on together
+
+
+def visible(name: str) -> bool:
+    """Whether Spark's readers look at a file or folder of this name."""
+    return not (name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_"))
+
+
+def mounted_folders(spark: SparkSession, path: str) -> list[str] | None:
+    """The folders of a mounted file system that hold the files of `path`: itself, or its folders `column=value`.
+
+    None for single files, patterns, other stores and other layouts, whose rules are left to Spark's readers.
+    """
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" and (rest[:3] == "///" or rest[:1] == "/" != rest[1:2]):
+        top = "/" + rest.lstrip("/")
+    elif ":" in path or not (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:").startswith("file:"):
+        return None
+    else:
+        top = path
+    top = os.path.abspath(top)
+    if any(c in path for c in "*?[]{}\\") or not os.path.isdir(top):
+        return None
+    folders, files = [], False
+    with os.scandir(top) as found:
+        for entry in found:
+            if visible(entry.name):
+                if entry.is_dir():
+                    folders.append(entry.name)
+                else:
+                    files = True
+                if files and folders:
+                    return None
+    if files:
+        return [top]
+    parts = [name.partition("=") for name in folders]
+    if not folders or not all(column and value for column, _, value in parts) or len({column for column, _, _ in parts}) > 1:
+        return None
+    return [f"{top}/{name}" for name in folders]
+
+
+def in_uri(path: str) -> str:
+    """The path as it stands in a URI of java.net: what is no legal character there, in percent."""
+    legal = lambda c: c.isascii() and (c.isalnum() or c in "/-_.!~*'():@&=+$,;") or c >= "\xa0" and unicodedata.category(c)[0] != "Z"
+    return "".join(c if legal(c) else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in path)
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """(path, uri, content) of the files that are not empty, in tasks of about `TASK_BYTES`; None where `mounted_folders` is.
+
+    Spark's readers hold the path, size and time of every file on the driver. Here tasks list the folders and names are
+    dealt out to the tasks that read them, so the driver holds the folders only.
+    """
+    folders = mounted_folders(spark, path)
+    if folders is None:
+        return None
+    least = 2 * spark.sparkContext.defaultParallelism
+    places = spark.createDataFrame([(os.fsencode(f),) for f in folders], "folder binary").repartition(min(len(folders), least))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bool, int]]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                with os.scandir(folder) as found:
+                    for entry in found:
+                        if visible(os.fsdecode(entry.name)):
+                            inner = entry.is_dir()
+                            size = 0 if inner else entry.stat().st_size
+                            if inner or size:
+                                yield entry.path, inner, size
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, inner, total = 0, False, 0
+        for _, is_folder, size in listed(batches):
+            n, inner, total = n + 1, inner or is_folder, total + size
+        yield pa.RecordBatch.from_pydict({"n": [n], "inner": [inner], "bytes": [total]})
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = []
+        for name, _, _ in listed(batches):
+            some.append(name)
+            if len(some) == 10_000:
+                yield pa.RecordBatch.from_pydict({"file": pa.array(some, pa.binary())})
+                some = []
+        yield pa.RecordBatch.from_pydict({"file": pa.array(some, pa.binary())})
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(files, texts):
+            paths = [os.fsdecode(f).encode("utf-8", "replace").decode() for f in files]
+            return pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "uri": pa.array(map(in_uri, paths), pa.string()), "content": pa.array(texts, pa.binary())})
+
+        files, texts, held = [], [], 0
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with open(file, "rb") as f:
+                    texts.append(f.read())
+                files.append(file)
+                held += len(texts[-1])
+                if held >= BATCH_BYTES:
+                    yield batch_of(files, texts)
+                    files, texts, held = [], [], 0
+        yield batch_of(files, texts)
+
+    found = places.mapInArrow(measure, "n long, inner boolean, bytes long").agg(F.sum("n"), F.max("inner"), F.sum("bytes")).first()
+    if found[1] or not found[0]:
+        return None
+    tasks = min(found[0], max(least, -(-found[2] // TASK_BYTES)))
+    rows = places.mapInArrow(names, "file binary").repartition(tasks).mapInArrow(contents, "path string, uri string, content binary")
+    return rows.select(F.concat(F.lit("file:"), "path").alias("path"), F.concat(F.lit("file://"), "uri").alias("uri"), "content")
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files, one document each: (path, name, raw)."""
+    whole = whole_files(spark, path)
+    if whole is not None:
+        name = F.regexp_extract("uri", r"([^/]+)\z", 1)
+        return whole.select(F.col("uri").alias("path"), name.alias("name"), F.col("content").cast("string").alias("raw"))
     files = spark.read.text(path, wholetext=True)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1)
     return few_tasks(files.select(F.input_file_name().alias("path"), name.alias("name"), F.col("value").alias("raw")), files)

@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from lectern.functions import kernels as K
 from lectern.operators import inline
@@ -119,3 +120,27 @@ def test_state_of_a_burst_is_read_and_written_once(spark):
 
 def test_texts_arrive_in_more_files():
     assert queries_stream.file_count(1_000_000, queries_stream.TEXTS_PER_FILE) == 125
+
+
+@pytest.mark.parametrize("read", [readers.read_text])
+def test_the_driver_holds_no_list_of_files(spark, small_files, tmp_path, read):
+    (tmp_path / "texts" / "b=1" / "_left").write_bytes(b"no")
+    (tmp_path / "texts" / "b=1" / "empty.txt").write_bytes(b"")
+    (tmp_path / "texts" / "b=2" / "a b+%41.txt").write_bytes(b"\xff x")
+    rows = read(spark, f"file://{small_files}")
+    assert not rows.inputFiles()
+    got = {r.path: (r.name, r.raw) for r in rows.select("path", "name", F.hex(F.col("raw").cast("binary")).alias("raw")).collect()}
+    assert len(got) == FILES + 1
+    if read is readers.read_text:
+        assert got[f"file://{small_files}/b=2/a%20b+%2541.txt"] == ("a%20b+%2541.txt", "FF2078")
+    else:
+        assert got[f"file:{small_files}/b=2/a b+%41.txt"] == ("a b A.txt", "EFBFBD2078")
+
+
+@pytest.mark.parametrize("read", [readers.read_text, readers.read_files])
+def test_other_layouts_are_left_to_the_readers_of_spark(spark, tmp_path, read):
+    for name in ("flat/1", "flat/sub/2", "deep/b=1/sub/3", "mixed/4", "mixed/b=1/5", "one/a=1/6"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name[-1])
+    found = lambda path: sorted(r.raw for r in read(spark, f"{tmp_path}/{path}").collect())
+    assert [found(p) for p in ("flat", "deep", "mixed", "one", "flat/1", "fl*")] == [["1"], ["3"], ["5"], ["6"], ["1"], ["1"]]
