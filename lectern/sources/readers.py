@@ -152,14 +152,16 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str, mime: dict[str, str] | None = None) -> DataFrame:
     """File bytes decoded as UTF-8 with replacement characters: (path, name, mime, raw). `mime` maps extensions to types."""
-    files = spark.read.format("binaryFile").load(path)
+    whole = whole_files(spark, path)
+    files = spark.read.format("binaryFile").load(path) if whole is None else whole
     name = F.url_decode(F.regexp_extract("path", r"([^/]+)\z", 1))
     table = {ext.lower().lstrip("."): kind for ext, kind in (mime or {}).items()}
     extension = F.lower(F.regexp_extract(name, r"\.([^.]*)\z", 1))
     kind = F.lit("")
     for ext, value in table.items():
         kind = F.when(extension == ext, value).otherwise(kind)
-    return few_tasks(files.select("path", name.alias("name"), kind.alias("mime"), decode_bytes(F.col("content")).alias("raw")), files)
+    rows = files.select("path", name.alias("name"), kind.alias("mime"), decode_bytes(F.col("content")).alias("raw"))
+    return few_tasks(rows, files) if whole is None else rows
 
 
 def decode_bytes(content: Column) -> Column:
