@@ -21,7 +21,7 @@ ROWS_PER_FILE, FILES_PER_BATCH = 500_000, 64  # at most
 TEXTS_PER_FILE = 8_000  # whole texts are far wider rows: a batch needs enough files to keep all cores busy
 
 
-def arrivals(df: DataFrame, key: str, late: int | None = None, after: DataFrame | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
+def arrivals(df: DataFrame, key: str, late: int | None = None, after: DataFrame | None = None, per_file: int | None = None) -> DataFrame:
     """A stream of the rows of `df` in the order of an integer key.
 
     The rows are dealt out to files of bounded size by ranges of the key, in one parallel write, and the files are dated in
@@ -44,8 +44,8 @@ def arrivals(df: DataFrame, key: str, late: int | None = None, after: DataFrame
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-def file_count(rows: int, per_file: int = ROWS_PER_FILE) -> int:
-    return max(2 * BATCHES, -(-rows // per_file))
+def file_count(rows: int, per_file: int | None = None) -> int:
+    return max(2 * BATCHES, -(-rows // (per_file or ROWS_PER_FILE)))
 
 
 def date_files(spark: SparkSession, folder: str, late: list) -> None:
